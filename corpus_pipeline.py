@@ -30,8 +30,8 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id (of rows that repeat it, one)."""
-    found = simhash.near_duplicates(docs, width=5, max_bits=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that of the smallest id (of rows that repeat it, one)."""
+    found = simhash.similar_texts(docs, width=5, similarity=0.8)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(heads, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"])

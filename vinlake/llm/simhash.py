@@ -7,6 +7,9 @@ Pigeonring: cut the 64 bits into m = max_bits + 1 segments on a ring. If two fin
 whose first l segments differ in at most floor(l * max_bits / m) = l - 1 bits in total, for every l. So segment i is equal, segments i and i + 1 differ in one bit
 at most, and so on. The first two links of the chain are the key of an equi-join (one side writes each one-bit change of its segment i + 1); the rest of the
 chain prunes pairs before the full Hamming check. A key has 2 * 64 / m bits, so a block holds next to no pair that isn't a link.
+
+`near_duplicates` links by fingerprints alone. `similar_texts` takes several families of fingerprints as a filter, and then compares the word shingles themselves:
+at a similarity of 0.8 one fingerprint of 64 bits misses most pairs that any usable number of bits could find.
 """
 
 from __future__ import annotations
@@ -17,11 +20,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinlake.llm.common import cut, map_texts
+from vinlake.llm.common import as_table, broadcast_if_small, cut, map_texts
 
 BITS = 64
 #: Shingles hashed at once, which bounds memory for very long texts.
 BLOCK = 65_536
+#: Of similar_texts: families of fingerprints, bits in which two of one family may differ, and words of the shingles that they are made of.
+FAMILIES, FAMILY_BITS, FAMILY_WIDTH = 8, 4, 2
+#: Class ids that are broadcast at most.
+MAX_BROADCAST = 200_000
 
 
 def _fingerprint(text: str | None, width: int) -> int:
@@ -130,3 +137,170 @@ def near_duplicates(df: DataFrame, width: int = 5, max_bits: int = 3, id_col: st
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(component, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingles:
+    """Word shingles as 64-bit hashes. A bounded memory of words spares hashing them again."""
+
+    def __init__(self, most: int = 200_000):
+        self.memo, self.most = {}, most
+
+    def words(self, text: str | None) -> np.ndarray:
+        import xxhash
+
+        words, memo = (text or "").encode("utf-8", "surrogatepass").lower().split(), self.memo
+        if len(memo) > self.most:
+            memo.clear()
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+    @staticmethod
+    def of(words: np.ndarray, width: int) -> np.ndarray:
+        """The distinct shingles, sorted; fewer words than width make one."""
+        if not len(words):
+            return words
+        width = min(width, len(words))
+        n = len(words) - width + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(width):
+            h = _mixed(h * np.uint64(_ODD) + words[j : j + n])
+        return np.unique(h)
+
+
+def _families(shingles: np.ndarray, count: int) -> list[int]:
+    """SimHashes of a set of shingles under `count` hash functions, as signed numbers; without shingles all zero."""
+    out = []
+    for r in range(count):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(shingles), BLOCK):
+            h = _mixed(shingles[at : at + BLOCK] + np.uint64((r + 1) * _ODD & (1 << 64) - 1))
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _class(words: np.ndarray) -> int:
+    """A hash of the whole sequence of words, as a signed number; 0 without words."""
+    c = 0
+    for at in range(0, len(words), BLOCK):
+        part = words[at : at + BLOCK]
+        here = np.arange(at, at + len(part), dtype=np.uint64) * np.uint64(_ODD)
+        c = (c * _ODD + int(np.bitwise_xor.reduce(_mixed(part + here)))) & ((1 << 64) - 1)
+    return c - (1 << 64) if c >> 63 else c
+
+
+def _halves(max_bits: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Key parts, each (lowest bit, width): a segment, and a half of the next. In a chain the first segment is equal and the two differ in one bit at most, so one half is equal too."""
+    ring = _segments(max_bits)
+    out = []
+    for i, first in enumerate(ring):
+        low, w = ring[(i + 1) % len(ring)]
+        out += [(first, (low, w // 2)), (first, (low + w // 2, w - w // 2))]
+    return out
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose sets of word shingles have at least this Jaccard similarity. docs: (th, t), texts and their hashes; classes: (c, th), the hash
+    of one text of each class."""
+    pairs = as_table(pairs.distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    some = as_table(classes.join(broadcast_if_small(ids, MAX_BROADCAST), "c", "left_semi").select("c", "th"))
+    found = docs.join(broadcast_if_small(some.select("th"), MAX_BROADCAST), "th", "left_semi").dropDuplicates(["th"])
+    some = as_table(found.join(some, "th").select("c", "t"))
+    both = pairs.join(some.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(some.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+
+    def make():
+        shingles = Shingles()
+
+        def fn(a, b, ta, tb):
+            known: dict[int, np.ndarray] = {}  # of one slice of rows
+            keep = []
+            for i, (x, y) in enumerate(zip(a, b)):
+                for c, t in ((x, ta[i]), (y, tb[i])):
+                    if c not in known:
+                        known[c] = shingles.of(shingles.words(t), width)
+                one, two = known[x], known[y]
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common >= similarity * (len(one) + len(two) - common):
+                    keep.append(i)
+            return [[a[i] for i in keep], [b[i] for i in keep]]
+
+        return fn
+
+    return map_texts(both.select("a", "b", "ta", "tb"), make, "a long, b long", rows=64)
+
+
+def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, component_id) of every row of df: texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity` are linked.
+
+    Texts of equal words (A-Z in lower case, ASCII white space between them) are one class, named by a hash. Candidates are pairs of classes that differ in at most
+    FAMILY_BITS bits in one of FAMILIES fingerprints at least, and whose numbers of shingles allow the similarity; each is then compared in full. Pairs that the
+    filter misses are few (the README has the figures). component_id: the smallest id that is reachable over links, the row's own included. Null, empty and blank
+    texts are one class. A null id is no component_id unless all ids of its component are null. Repeated rows each return a row; other columns are left out.
+
+    No group is paired off in full. First each member of a block meets the block's smallest class only. Then, with the components of those links, the members of a
+    block outside its largest component meet the others: what is joined already is not compared again, and no link between different components is lost.
+    """
+
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
+
+    def make():
+        shingles = Shingles()
+
+        def fn(ids, hashes, texts):
+            words = [shingles.words(t) for t in texts]
+            return [ids, hashes, [_class(w) for w in words], [len(shingles.of(w, width)) for w in words], [_families(shingles.of(w, FAMILY_WIDTH), FAMILIES) for w in words]]
+
+        return fn
+
+    rows = as_table(map_texts(docs, make, "doc_id long, th long, c long, n int, f array<long>"))
+    classes = as_table(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("n").alias("n"), *(F.min(F.get("f", F.lit(r))).alias(f"f{r}") for r in range(FAMILIES))))
+    prints = classes.select("c", "n", F.array(*(f"f{r}" for r in range(FAMILIES))).alias("f"))
+    docs = docs.select("th", "t")
+    f = F.col("f")
+
+    def blocks(table: DataFrame, *more: str) -> DataFrame:
+        """A row for each class, family and key."""
+        each = table.select("c", "n", *more, F.posexplode("f").alias("r", "f"))
+        keys = [F.xxhash64(F.lit(k), F.col("r"), _part(f, *one), _part(f, *two)) for k, (one, two) in enumerate(_halves(FAMILY_BITS))]
+        return each.select("c", "n", "f", *more, F.explode(F.array(*keys)).alias("key"))
+
+    def close(f1: Column, f2: Column, n1: Column, n2: Column) -> Column:
+        """Within the bits that a family allows, and with numbers of shingles that allow the similarity. Equal keys by chance only cost the check."""
+        return (F.bit_count(f1.bitwiseXOR(f2)) <= FAMILY_BITS) & (F.least(n1, n2) >= similarity * F.greatest(n1, n2))
+
+    index = blocks(prints)
+    heads = index.groupBy("key").agg(F.min(F.struct("c", "f", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = heads.select("key", F.col("h.c").alias("b"), F.col("h.f").alias("fb"), F.col("h.n").alias("nb"))
+    star = index.join(heads.hint("shuffle_hash"), "key").filter((F.col("c") != F.col("b")) & close(f, F.col("fb"), F.col("n"), F.col("nb")))
+    first = as_table(_verified(star.select(F.col("c").alias("a"), "b"), docs, classes, width, similarity))
+
+    joined = connected(first)
+    sizes = joined.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
+    named = joined.union(joined.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "root")
+    tagged = prints.join(named, F.col("c") == F.col("node"), "left").select("c", "n", "f", F.coalesce("root", "c").alias("g"), F.coalesce("m", F.lit(1)).alias("m"))
+    index = blocks(as_table(tagged), "g", "m")
+    largest = index.groupBy("key").agg(F.max(F.struct("m", "g")).alias("top"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low != high").select("key", "top")
+    ask = index.join(largest.hint("shuffle_hash"), "key").filter(F.struct("m", "g") < F.col("top")).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("g").alias("ga"), F.col("m").alias("ma"))
+    ask = as_table(ask)
+    rest = index.join(ask.hint("shuffle_hash"), "key").filter((F.struct("ma", "ga") < F.struct("m", "g")) & close(f, F.col("fa"), F.col("n"), F.col("na")))
+    second = as_table(_verified(rest.select("a", F.col("c").alias("b")), docs, classes, width, similarity))
+
+    star = connected(first.union(second))
+    rooted = classes.select("c", "least").join(star, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least")
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(component, "root").select("c", "component_id")
+    return rows.select("doc_id", "c").join(named, "c").select("doc_id", F.lower(F.hex("c")).alias("class_id"), "component_id")
