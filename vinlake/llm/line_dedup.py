@@ -29,6 +29,7 @@ def boilerplate(df: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_
     t = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(t).alias("th"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(t, "\n")).alias("pos", "l"))
     rows = rows.withColumn("l", _normal(F.col("l"))).filter("l != ''").select("k", "th", "site", "pos", F.xxhash64("l").alias("line"))
+    rows = as_table(rows)  # texts are split and normalised once; four steps read these short rows
     # A line on `sites` sites stands in as many rows at least: a plain count, cheap to merge, spares sketches of lines that are found once.
     often = rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line")
     often = broadcast_if_small(as_table(often), MAX_BROADCAST)
