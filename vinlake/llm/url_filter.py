@@ -157,7 +157,7 @@ WITH u AS (
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), r AS (
   SELECT *, CASE {" ".join(fits)} END AS rule,
-    len(list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')), k -> k IN ({listed}))) > 0 AS listed_host FROM h
+    len(list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')), lambda k: k IN ({listed}))) > 0 AS listed_host FROM h
 )
 SELECT page_id, host, path, rule, CASE {verdicts} WHEN listed_host THEN 'block' ELSE 'allow' END AS verdict, listed_host FROM r
 """
