@@ -126,7 +126,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
 
     def down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
-            return pd.DataFrame({"q": [], "dim": [], "tree": [], "h": [], "n": []})
+            return pd.DataFrame({"q": [], "dim": [], "tree": [], "h": [], "n": []}, dtype=object)
         h = np.sort(left["h"].to_numpy(np.int64))
         out = []
         for q, dim, t, x in zip(right["q"], right["dim"], right["tree"], right["h"]):

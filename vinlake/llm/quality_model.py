@@ -119,7 +119,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return None
     wanted = {r.i: r.y for r in known.orderBy(*draw_order("i", "y")).limit(LABELLED).collect()}
     ids = df.sparkSession.createDataFrame([(i,) for i in wanted], "k long")
-    drawn = _features_of(df.join(F.broadcast(ids), df[id_col] == F.col("k"), "left_semi"), id_col, text_col).limit(2 * LABELLED).collect()  # ids are at most LABELLED
+    docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    drawn = _features_of(docs.join(F.broadcast(ids), "k", "left_semi"), "k", "t").limit(2 * LABELLED).collect()  # ids are at most LABELLED
     n = df.count()
     loose = df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("unlabelled")), F.lit(1 << 30)) < int(min(1.0, 2 * UNLABELLED / max(1, n)) * (1 << 30)))
     unlabelled = _features_of(loose, id_col, text_col).limit(UNLABELLED).collect()

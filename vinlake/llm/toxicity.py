@@ -187,7 +187,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if rate is None or not 0 < rate < 1:
         return None
     ids = df.sparkSession.createDataFrame(wanted, "k long, y int")
-    texts = df.filter(F.length(text_col) <= EXAMPLE_CHARS).join(F.broadcast(ids), df[id_col] == F.col("k")).select("k", "y", F.col(text_col).alias("t")).limit(4 * EXAMPLES)
+    docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).filter(F.length("t") <= EXAMPLE_CHARS)
+    texts = docs.join(F.broadcast(ids), "k").select("k", "y", "t").distinct().limit(4 * EXAMPLES)  # at most two labels of an id
     rows = sorted({r.k: (r.k, r.y, r.t) for r in sorted(texts.collect(), key=lambda r: (r.k, r.y, r.t))}.values())
     examples = [t for _, _, t in rows], [y for _, y, _ in rows]
     terms = choose_terms(*examples)
