@@ -25,8 +25,8 @@ from vinlake.llm.common import as_table, broadcast_if_small, cut, map_texts
 BITS = 64
 #: Shingles hashed at once, which bounds memory for very long texts.
 BLOCK = 65_536
-#: Of similar_texts: families of fingerprints, bits in which two of one family may differ, and words of the shingles that they are made of.
-FAMILIES, FAMILY_BITS, FAMILY_WIDTH = 8, 4, 2
+#: Of similar_texts: fingerprints of a text, each of SEGMENTS segments; the ring that is checked in full spans CHECKED fingerprints, of which RING_BITS bits may differ.
+FAMILIES, SEGMENTS, CHECKED, RING_BITS = 10, 4, 4, 48
 #: Class ids that are broadcast at most.
 MAX_BROADCAST = 200_000
 
@@ -201,18 +201,18 @@ def _class(words: np.ndarray) -> int:
     return c - (1 << 64) if c >> 63 else c
 
 
-def _halves(max_bits: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Key parts, each (lowest bit, width): a segment, and a half of the next. In a chain the first segment is equal and the two differ in one bit at most, so one half is equal too."""
-    ring = _segments(max_bits)
+def _keys(more: int) -> list[Column]:
+    """A key for each segment of column f: the segment, and so many bits of the next on the ring."""
+    ring = _segments(SEGMENTS - 1)
     out = []
-    for i, first in enumerate(ring):
-        low, w = ring[(i + 1) % len(ring)]
-        out += [(first, (low, w // 2)), (first, (low + w // 2, w - w // 2))]
+    for i, (low, w) in enumerate(ring):
+        after = _part(F.col("f"), ring[(i + 1) % SEGMENTS][0], more) if more else F.lit(0)
+        out.append(F.xxhash64(F.lit(i), F.col("r"), _part(F.col("f"), low, w), after))
     return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of word shingles have at least this Jaccard similarity. docs: (th, t), texts and their hashes; classes: (c, th), the hash
+    """The pairs (a, b, j) of classes with the Jaccard similarity of their sets of word shingles, if it is at least `similarity`. docs: (th, t), texts and their hashes; classes: (c, th), the hash
     of one text of each class."""
     pairs = as_table(pairs.distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
@@ -226,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
         def fn(a, b, ta, tb):
             known: dict[int, np.ndarray] = {}  # of one slice of rows
-            keep = []
+            keep, found = [], []
             for i, (x, y) in enumerate(zip(a, b)):
                 for c, t in ((x, ta[i]), (y, tb[i])):
                     if c not in known:
@@ -235,23 +235,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 if common >= similarity * (len(one) + len(two) - common):
                     keep.append(i)
-            return [[a[i] for i in keep], [b[i] for i in keep]]
+                    found.append(common / max(1, len(one) + len(two) - common))
+            return [[a[i] for i in keep], [b[i] for i in keep], found]
 
         return fn
 
-    return map_texts(both.select("a", "b", "ta", "tb"), make, "a long, b long", rows=64)
+    return map_texts(both.select("a", "b", "ta", "tb"), make, "a long, b long, j double", rows=64)
 
 
 def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, component_id) of every row of df: texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity` are linked.
 
-    Texts of equal words (A-Z in lower case, ASCII white space between them) are one class, named by a hash. Candidates are pairs of classes that differ in at most
-    FAMILY_BITS bits in one of FAMILIES fingerprints at least, and whose numbers of shingles allow the similarity; each is then compared in full. Pairs that the
-    filter misses are few (the README has the figures). component_id: the smallest id that is reachable over links, the row's own included. Null, empty and blank
-    texts are one class. A null id is no component_id unless all ids of its component are null. Repeated rows each return a row; other columns are left out.
+    Texts of equal words (A-Z in lower case, ASCII white space between them) are one class, named by a hash. A class has FAMILIES fingerprints of its shingles. Candidates
+    share a whole segment of one of them and then stay within the ring's budget of RING_BITS over CHECKED fingerprints from there on; each is compared in full by its
+    shingles. Pairs that the filter misses are few (the README has the figures). component_id: the smallest id that is reachable over links, the row's own included.
+    Null, empty and blank texts are one class. A null id is no component_id unless all ids of its component are null. Repeated rows each return a row; other columns
+    are left out.
 
-    No group is paired off in full. First each member of a block meets the block's smallest class only. Then, with the components of those links, the members of a
-    block outside its largest component meet the others: what is joined already is not compared again, and no link between different components is lost.
+    No group is paired off in full. First each class meets the oldest class of the blocks of longer keys that hold it. The components of those links are then left
+    alone: only classes of different components are compared. And as the Jaccard distance is a metric, two classes that were both compared with a third can be alike
+    only if their distances from it differ by no more than theirs may.
     """
 
     text = F.col(text_col).cast("string")
@@ -262,7 +265,8 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
 
         def fn(ids, hashes, texts):
             words = [shingles.words(t) for t in texts]
-            return [ids, hashes, [_class(w) for w in words], [len(shingles.of(w, width)) for w in words], [_families(shingles.of(w, FAMILY_WIDTH), FAMILIES) for w in words]]
+            sets = [shingles.of(w, width) for w in words]
+            return [ids, hashes, [_class(w) for w in words], [len(x) for x in sets], [_families(x, FAMILIES) for x in sets]]
 
         return fn
 
@@ -270,34 +274,36 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     classes = as_table(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("n").alias("n"), *(F.min(F.get("f", F.lit(r))).alias(f"f{r}") for r in range(FAMILIES))))
     prints = classes.select("c", "n", F.array(*(f"f{r}" for r in range(FAMILIES))).alias("f"))
     docs = docs.select("th", "t")
-    f = F.col("f")
-
-    def blocks(table: DataFrame, *more: str) -> DataFrame:
-        """A row for each class, family and key."""
-        each = table.select("c", "n", *more, F.posexplode("f").alias("r", "f"))
-        keys = [F.xxhash64(F.lit(k), F.col("r"), _part(f, *one), _part(f, *two)) for k, (one, two) in enumerate(_halves(FAMILY_BITS))]
-        return each.select("c", "n", "f", *more, F.explode(F.array(*keys)).alias("key"))
-
-    def close(f1: Column, f2: Column, n1: Column, n2: Column) -> Column:
-        """Within the bits that a family allows, and with numbers of shingles that allow the similarity. Equal keys by chance only cost the check."""
-        return (F.bit_count(f1.bitwiseXOR(f2)) <= FAMILY_BITS) & (F.least(n1, n2) >= similarity * F.greatest(n1, n2))
-
-    index = blocks(prints)
-    heads = index.groupBy("key").agg(F.min(F.struct("c", "f", "n")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    heads = heads.select("key", F.col("h.c").alias("b"), F.col("h.f").alias("fb"), F.col("h.n").alias("nb"))
-    star = index.join(heads.hint("shuffle_hash"), "key").filter((F.col("c") != F.col("b")) & close(f, F.col("fb"), F.col("n"), F.col("nb")))
-    first = as_table(_verified(star.select(F.col("c").alias("a"), "b"), docs, classes, width, similarity))
+    def close(one: str, two: str) -> Column:
+        """Numbers of shingles that allow the similarity."""
+        return F.least(one, two) >= similarity * F.greatest(one, two)
+
+    # Longer keys: a segment and half of the next. Few share one by chance, so a block's oldest class is mostly the origin of its copies.
+    prints = prints.join(classes.select("c", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least")), "c")
+    long = prints.select("c", "n", "least", F.posexplode("f").alias("r", "f")).select("c", "n", "f", "least", F.explode(F.array(*_keys(8))).alias("key"))
+    heads = long.groupBy("key").agg(F.min(F.struct("least", "c", "n", "f")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = broadcast_if_small(as_table(heads.select("key", F.col("h.c").alias("b"), F.col("h.n").alias("nb"), F.col("h.f").alias("fb"))), MAX_BROADCAST)
+    within = F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= RING_BITS // CHECKED + 8
+    star = long.join(heads, "key").filter((F.col("c") != F.col("b")) & within & close("n", "nb")).select(F.col("c").alias("a"), "b")
+    met = as_table(_verified(star, docs, classes, width, 0.0))
+    first = met.filter(F.col("j") >= similarity).select("a", "b")
 
     joined = connected(first)
-    sizes = joined.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
-    named = joined.union(joined.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "root")
-    tagged = prints.join(named, F.col("c") == F.col("node"), "left").select("c", "n", "f", F.coalesce("root", "c").alias("g"), F.coalesce("m", F.lit(1)).alias("m"))
-    index = blocks(as_table(tagged), "g", "m")
-    largest = index.groupBy("key").agg(F.max(F.struct("m", "g")).alias("top"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low != high").select("key", "top")
-    ask = index.join(largest.hint("shuffle_hash"), "key").filter(F.struct("m", "g") < F.col("top")).select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("g").alias("ga"), F.col("m").alias("ma"))
-    ask = as_table(ask)
-    rest = index.join(ask.hint("shuffle_hash"), "key").filter((F.struct("ma", "ga") < F.struct("m", "g")) & close(f, F.col("fa"), F.col("n"), F.col("na")))
-    second = as_table(_verified(rest.select("a", F.col("c").alias("b")), docs, classes, width, similarity))
+    named = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
+    # Of the heads that a class has met the one that most have met, and the distance from it; a head has met itself.
+    fame = met.groupBy("b").agg(F.count(F.lit(1)).alias("fame"))
+    far = met.unionByName(fame.select(F.col("b").alias("a"), "b", F.lit(1.0).alias("j"))).join(fame, "b").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("h"), (1 - F.col("j")).alias("d")), F.struct("fame", "b")).alias("x"))
+    far = far.select(F.col("a").alias("c2"), F.col("x.h").alias("h"), F.col("x.d").alias("d"))
+    tagged = prints.join(named, F.col("c") == F.col("node"), "left").join(far, F.col("c") == F.col("c2"), "left").select("c", "n", "f", F.coalesce("root", "c").alias("g"), "h", "d")
+    tagged = as_table(tagged)
+    ring = [F.get("all", (F.col("r") + i) % FAMILIES).alias(f"f{i}") for i in range(1, CHECKED)]
+    short = tagged.select("c", "n", "g", "h", "d", F.col("f").alias("all"), F.posexplode("f").alias("r", "f")).select("c", "n", "g", "h", "d", F.col("f").alias("f0"), *ring, F.explode(F.array(*_keys(0))).alias("key"))
+    a, b = short.alias("a"), short.hint("shuffle_hash").alias("b")
+    bits = [F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}"))) for i in range(CHECKED)]
+    chain = reduce(Column.__and__, (sum(bits[1 : i + 1], bits[0]) <= (i + 1) * RING_BITS // CHECKED + (4 if i + 1 < CHECKED else 0) for i in range(CHECKED)))
+    may = F.coalesce((F.col("a.h") != F.col("b.h")) | (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similarity + 1e-9), F.lit(True))
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.g") != F.col("b.g")) & close("a.n", "b.n") & may & chain)
+    second = as_table(_verified(rest.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")), docs, classes, width, similarity)).select("a", "b")
 
     star = connected(first.union(second))
     rooted = classes.select("c", "least").join(star, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least")
