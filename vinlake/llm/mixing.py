@@ -10,6 +10,8 @@ All of it is DataFrame functions, without Python on rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +65,52 @@ def _uniform(*cols: Column | int) -> Column:
     return F.shiftrightunsigned(_hash(*cols), 11).cast("double") * (2.0**-53)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: Spark copies an expression wherever it stands, and those of copies grow without end."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ln_fact(n: Column) -> Column:
     """ln(n!) by Stirling's series, moved up by 8 so that it is exact to 1e-13."""
-    z = n + 9.0
-    low = F.lit(0.0)
-    for i in range(1, 9):
-        low = low + F.log(n + float(i))
-    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - low
+
+    def series(z: Column) -> Column:
+        low = z - 8
+        for i in range(7, 0, -1):
+            low = low * (z - i)
+        return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(low)
+
+    return _let(n + 9.0, series)
 
 
 def hypergeometric(good: Column, all_: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` from `all_`, without putting back, are among `good`: by inversion at u. Exact to double precision: 12 deviations around the mean are
     searched, beyond which less than 1e-30 lies."""
-    g, n, d = good.cast("double"), F.greatest(all_, F.lit(1)).cast("double"), drawn.cast("double")
-    mean = g * d / n
-    wide = 12 * F.sqrt(F.greatest(mean * (1 - g / n) * (n - d) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))) + 12
-    low = F.greatest(F.lit(0.0), d - (n - g), F.floor(mean - wide).cast("double"))
-    high = F.least(g, d, F.ceil(mean + wide).cast("double"))
-    ln = lambda a, b: _ln_fact(a) - _ln_fact(b) - _ln_fact(a - b)
-    first = F.exp(ln(g, low) + ln(n - g, d - low) - ln(n, d))
-    start = F.struct(low.alias("k"), first.alias("p"), first.alias("sum"))
 
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * (g - acc["k"]) * (d - acc["k"]) / ((acc["k"] + 1) * (n - g - d + acc["k"] + 1))
-        return F.when((acc["sum"] >= u) | (acc["k"] >= high), acc).otherwise(F.struct((acc["k"] + 1).alias("k"), p.alias("p"), (acc["sum"] + p).alias("sum")))
+    def bounds(x: Column) -> Column:
+        g, n, d = x["g"], x["n"], x["d"]
+        mean = g * d / n
+        wide = 12 * F.sqrt(F.greatest(mean * (1 - g / n) * (n - d) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))) + 12
+        return F.struct(F.greatest(F.lit(0.0), d - (n - g), F.floor(mean - wide).cast("double")).alias("low"), F.least(g, d, F.ceil(mean + wide).cast("double")).alias("high"))
+
+    def search(x: Column) -> Column:
+        g, n, d = x["g"], x["n"], x["d"]
 
-    found = F.aggregate(F.sequence(F.lit(0), F.greatest(high - low, F.lit(0.0)).cast("int")), start, step, lambda acc: acc["k"].cast("long"))
-    return F.when((good <= 0) | (drawn <= 0), F.lit(0).cast("long")).when(drawn >= all_, good.cast("long")).otherwise(found)
+        def inverted(at: Column) -> Column:
+            low, high = at["low"], at["high"]
+            ln = lambda a, b: _ln_fact(a) - _ln_fact(b) - _ln_fact(a - b)
+            first = F.exp(ln(g, low) + ln(n - g, d - low) - ln(n, d))
+
+            def step(acc: Column, k: Column) -> Column:
+                p = acc["p"] * (g - acc["k"]) * (d - acc["k"]) / ((acc["k"] + 1) * (n - g - d + acc["k"] + 1))
+                return F.when((acc["sum"] >= x["u"]) | (acc["k"] >= high), acc).otherwise(F.struct((acc["k"] + 1).alias("k"), p.alias("p"), (acc["sum"] + p).alias("sum")))
+
+            start = _let(first, lambda p: F.struct(low.alias("k"), p.alias("p"), p.alias("sum")))
+            return F.aggregate(F.sequence(F.lit(0), F.greatest(high - low, F.lit(0.0)).cast("int")), start, step, lambda acc: acc["k"].cast("long"))
+
+        found = _let(bounds(x), inverted)
+        return F.when((x["g"] <= 0) | (x["d"] <= 0), F.lit(0).cast("long")).when(x["d"] >= x["n"], x["g"].cast("long")).otherwise(found)
+
+    return _let(F.struct(good.cast("double").alias("g"), F.greatest(all_, F.lit(1)).cast("double").alias("n"), drawn.cast("double").alias("d"), u.alias("u")), search)
 
 
 def shard_quotas(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -109,11 +130,9 @@ def shard_quotas(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
             lambda acc, i: _take(acc, i, F.get("q", i), level),
             lambda acc: acc["out"],
         )
-        split = node.select("node", "names", "q", left.alias("l"))
-        node = split.select((2 * F.col("node")).alias("node"), "names", F.col("l").alias("q")).union(
-            split.select((2 * F.col("node") + 1).alias("node"), "names", F.zip_with("q", "l", lambda a, b: a - b).alias("q"))
-        )
-        node = as_table(node)
+        half = lambda bit, q: F.struct((2 * F.col("node") + bit).alias("node"), q.alias("q"))
+        halves = _let(left, lambda one: F.array(half(0, one), half(1, F.zip_with("q", one, lambda a, b: a - b))))
+        node = as_table(node.select("names", F.explode(halves).alias("h")).select("h.node", "names", "h.q"))
     each = node.select("node", F.explode(F.arrays_zip(F.col("names").alias("source"), F.col("q").alias("n"))).alias("x")).select("node", F.col("x.source").alias("source"), F.col("x.n").alias("n"))
     runs = each.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("a"))
     ends = F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.aggregate(F.slice("a", 1, i), F.lit(0).cast("long"), lambda t, x: t + x["n"]))
@@ -122,7 +141,7 @@ def shard_quotas(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def _take(acc: Column, i: Column, have: Column, level: int) -> Column:
     got = hypergeometric(have, acc["rest"], acc["need"], _uniform(F.col("node"), level, i))
-    return F.struct(F.concat(acc["out"], F.array(got)).alias("out"), (acc["rest"] - have).alias("rest"), (acc["need"] - got).alias("need"))
+    return _let(got, lambda n: F.struct(F.concat(acc["out"], F.array(n)).alias("out"), (acc["rest"] - have).alias("rest"), (acc["need"] - n).alias("need")))
 
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
@@ -172,7 +191,9 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
         return F.size(F.filter("bounds", lambda b: b <= draw))
 
     def piece(b: Column) -> Column:
-        at = permuted(b, F.col("blocks"), F.xxhash64("source"))
+        return _let(permuted(b, F.col("blocks"), F.xxhash64("source")), lambda at: placed(b, at))
+
+    def placed(b: Column, at: Column) -> Column:
         drawn_before = at * block - F.when(F.col("tail_at") < at, block - F.col("tail")).otherwise(0)
         length = F.when(b == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block))
         taken = F.greatest(F.least(F.col("rest") - drawn_before, length), F.lit(0))  # of the block, from its first word on
@@ -183,7 +204,8 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
     docs = docs.withColumn("pieces", pieces)
     extra = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     home = permuted(first, F.col("blocks"), F.xxhash64("source"))  # a whole text goes where the block of its first word goes
-    whole = F.when((F.col("epochs") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("epochs") - 1, F.lit(0).cast("long"))), lambda e: shard_of(e * F.col("blocks") + home))).otherwise(F.array().cast("array<int>"))
+    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("epochs") - 1, F.lit(0).cast("long")))
+    whole = F.when((F.col("epochs") > 0) & (F.col("size") > 0), _let(home, lambda at: F.transform(epochs, lambda e: shard_of(e * F.col("blocks") + at)))).otherwise(F.array().cast("array<int>"))
     docs = docs.withColumn("whole", whole)
     return docs.select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).alias("taken"), "epochs", "pieces", "whole",
