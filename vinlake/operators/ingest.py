@@ -95,7 +95,8 @@ def merged_snapshots(existing: DataFrame, batch: DataFrame, keys: Sequence[str],
 
 def newest_vehicle(records: DataFrame, key: str, ts: str, fields: Sequence[str], ties: Sequence[str], km: str = "km", country: str = "country") -> DataFrame:
     """One row per vehicle from all its records (E7): of each field the newest value that is not blank, the largest odometer reading, and the country by the rule that
-    an assumed South Korea gives way to a trusted origin. A fold in time order gives the same: a newer value replaces, an older one only fills."""
+    an assumed South Korea gives way to a trusted origin. A fold in time order gives the same: a newer value replaces, an older one only fills. Records without a time
+    of their own only fill gaps: a null time stands before all others."""
     stamp = F.struct(F.col(ts), *(F.col(t) for t in ties))
     filled = lambda f: F.nullif(F.trim(F.col(f).cast("string")), F.lit(""))
     named = geo.country(F.col(country))

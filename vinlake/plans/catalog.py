@@ -154,3 +154,97 @@ def provider_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda p: F.bool_or(d.rlike(f"(?i){p}"))
     e = D.events(spark, sf_dir).groupBy("provider_id").agg(has("accident").alias("a"), has("final price").alias("f"), has("inspection").alias("i"))
     return e.select("provider_id", F.when(F.col("a") & F.col("f"), "auction").when(F.col("i"), "inspection").otherwise("unknown").alias("inferred"))
+
+
+_DRIVE = ("полный привод", "передний", "AWD (4x4)", "Цена 100 полный", "Rear-wheel", "unknown", "some very long text about the drive", "магия", "Chain")
+
+
+@query(
+    f"""SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'AWD' WHEN 1 THEN 'FWD' WHEN 2 THEN 'AWD' WHEN 4 THEN 'RWD' WHEN 8 THEN 'Chain' END AS drive, CASE WHEN p_size % 5 > 0 THEN (p_size % 5) || '.0 L' END AS engine FROM part"""
+)
+def clean_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specification values without debris, foreign scripts and stand-ins."""
+    from vinlake.functions import specs
+
+    p, k = D.table(spark, sf_dir, "part"), F.col("p_partkey")
+    raw = F.get(F.array(*map(F.lit, _DRIVE)), (k % len(_DRIVE)).cast("int"))
+    return p.select(k.alias("id"), specs.english(raw, specs.DRIVES).alias("drive"), specs.displacement(F.concat((F.col("p_size") % 5).cast("string"), F.lit(".0 L"))).alias("engine"))
+
+
+@query(
+    f"""{D.with_tables("vehicles")} SELECT id, CASE WHEN id % 2 = 0 THEN 'F1' || id % 10 WHEN id % 3 = 0 THEN 'W2' || 10 + id % 7 END AS chassis, CASE WHEN id % 2 = 0 THEN '528i ' || trim WHEN id % 3 = 0 THEN 'E220d' END AS after_code, trim AS remainder FROM vehicles"""
+)
+def title_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation and trim as titles state them."""
+    from vinlake.functions import specs
+
+    k = F.col("id")
+    coded = (
+        F.when(k % 2 == 0, F.concat(F.lit("[BMW]  5 Series (f1"), (k % 10).cast("string"), F.lit(") 528i "), "trim")).when(k % 3 == 0, F.concat(F.lit("[Mercedes] E-Class w2"), (10 + k % 7).cast("string"), F.lit(" - E220d"))).otherwise(F.lit("plain title"))
+    )
+    plain = F.concat_ws(" ", F.col("year").cast("string"), F.upper("make"), "model", "trim")
+    return D.vehicles(spark, sf_dir).select("id", specs.chassis_code(coded).alias("chassis"), specs.trim_after_code(coded).alias("after_code"), specs.trim_remainder(plain, F.col("year"), F.col("make"), F.col("model")).alias("remainder"))
+
+
+@query(
+    """SELECT l_orderkey || '-' || l_linenumber AS source_id, count(*) AS n, CAST(sum(CASE WHEN l_quantity > 1 THEN l_quantity * CASE l_linenumber % 4 WHEN 0 THEN 1 ELSE 100 END END) AS BIGINT) AS km FROM lineitem GROUP BY 1"""
+)
+def mileage_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings from the listing itself, metadata, a payload's tree or the title."""
+    from vinlake.functions.walks import salvaged_mileage
+
+    q, way = F.col("l_quantity"), F.col("l_linenumber") % 4
+    digits = (q * 100).cast("long").cast("string")
+    metadata = F.when(way == 1, F.to_json(F.struct(F.struct((q * 100).cast("long").alias("value")).alias("odometer"))))
+    payload = F.when(way == 2, F.concat(F.lit('{"a": [{"b": {"Mileage": "'), digits, F.lit(' km"}}]}')))
+    title = F.when(way == 3, F.concat(F.lit("nice car, "), digits, F.lit("km")))
+    km = salvaged_mileage(F.when(way == 0, q), metadata, payload, title, F.lit(None).cast("string"))
+    rows = D.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_id"), F.when(q > 1, km).alias("km"))
+    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("km").cast("long").alias("km"))
+
+
+@query(
+    f"""{D.with_tables("events")} SELECT vehicle_id, order_id, line, m_date AS day, m_currency AS currency, NULL AS source FROM vehicle_events"""
+)
+def public_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the public sees them: metadata without what tells their source."""
+    from vinlake.functions import meta
+    from vinlake.operators.projections import public_events as shown
+
+    m = F.col("metadata")
+    return shown(D.events(spark, sf_dir)).select("vehicle_id", "order_id", "line", meta.text(m, "date").alias("day"), meta.text(m, "currency").alias("currency"), meta.text(m, "source").alias("source"))
+
+
+@query(
+    """SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'thrifty' WHEN 'SMALL' THEN 'little' ELSE p_type END AS trim FROM part"""
+)
+def translated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by a dictionary of words (J14): broadcast only when its size is counted."""
+    from vinlake.functions.specs import translated
+
+    words = spark.createDataFrame([("economy", "thrifty"), (" Small", "little"), ("car", "auto")], "word string, meaning string")
+    return translated(D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("trim")), "trim", words)
+
+
+@query(
+    f"""{D.with_tables("vehicles", "listings", "providers")} SELECT internal_name AS value, count(DISTINCT vehicle_id) AS n FROM listings JOIN providers ON provider_id = providers.id AND enabled JOIN vehicles ON vehicle_id = vehicles.id WHERE year >= 2010 GROUP BY 1 ORDER BY n DESC, value LIMIT 80"""
+)
+def provider_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles by provider (A16): listings of enabled providers, each vehicle once a provider."""
+    x = D.listings(spark, sf_dir).select("vehicle_id", "provider_id").distinct()
+    p = D.providers(spark, sf_dir).filter("enabled").select(F.col("id").alias("provider_id"), F.col("internal_name").alias("value"))
+    v = D.vehicles(spark, sf_dir).filter("year >= 2010").select(F.col("id").alias("vehicle_id"))
+    n = x.join(v, "vehicle_id", "left_semi").groupBy("provider_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(p, "provider_id").orderBy(F.col("n").desc(), "value").limit(80).select("value", "n")
+
+
+@query(
+    f"""{D.with_tables("vehicles", "listings")} SELECT make, id, vehicle_id IS NOT NULL AS listed FROM (SELECT v.make, v.id, l.vehicle_id, row_number() OVER (PARTITION BY make ORDER BY coalesce(n, 0) DESC, id) AS r FROM vehicles v LEFT JOIN (SELECT vehicle_id, count(*) AS n FROM listings GROUP BY 1) l ON l.vehicle_id = v.id) WHERE r <= 4"""
+)
+def top_vehicles_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four vehicles of each make, the most listed first."""
+    from vinlake.operators.windows import cap_per_key
+
+    n = D.listings(spark, sf_dir).groupBy(F.col("vehicle_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = D.vehicles(spark, sf_dir).select("make", "id").join(n, "id", "left")
+    return cap_per_key(rows, ["make"], [F.coalesce("n", F.lit(0)).desc(), "id"], 4).select("make", "id", F.col("n").isNotNull().alias("listed"))
