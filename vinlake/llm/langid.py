@@ -20,6 +20,8 @@ from vinlake.llm.common import draw_order, learns, map_texts
 DOCS, EXCERPT, CHARS = 240, 250, 20_000
 #: Text is parsed in blocks of so many characters, each from a new phrase on, so that many blocks go through an automaton side by side.
 BLOCK = 512
+#: Blocks that are parsed at once.
+WIDE = 2048
 #: Character classes: the most frequent characters have one each; class 0 is all others.
 CLASSES = 64
 NONE, ROOT, DEAD = 0, 1, 2
@@ -129,8 +131,8 @@ class Model:
             within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             begin, length = starts[owner] + within * BLOCK, np.minimum(BLOCK, sizes[owner] - within * BLOCK)
             total = np.zeros((len(texts), len(self.automata)))
-            for at in range(0, len(owner), 8192):  # bounds memory for very long texts
-                o = np.argsort(-length[at : at + 8192], kind="stable") + at
+            for at in range(0, len(owner), WIDE):  # bounds memory for very long texts
+                o = np.argsort(-length[at : at + WIDE], kind="stable") + at
                 grid = codes[np.minimum(begin[o][None, :] + np.arange(BLOCK)[:, None], len(codes) - 1)]
                 for k, a in enumerate(self.automata):
                     np.add.at(total[:, k], owner[o], a.phrases(grid, length[o]))

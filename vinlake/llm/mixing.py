@@ -217,9 +217,10 @@ def mixed(planned: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
     """(shard, text_col, then keep): the rows of the mix, from plan(..., carry=(text_col, *keep)): a row for each whole text taken, and one for each piece of a text
     (with the white space between its words). Each shard's rows stand in a pseudo-random order within one partition."""
     word = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-    whole = planned.select(F.explode("whole").alias("shard"), F.col(text_col).alias("t"), *keep)
-    part = planned.filter(F.size("pieces") > 0).select(F.explode("pieces").alias("p"), F.col(text_col).alias("t"), "size", *keep)
-    cut = F.when(F.col("p.words") == F.col("size"), F.col("t")).otherwise(F.ltrim(F.array_join(F.slice(F.regexp_extract_all("t", F.lit(word), 0), (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), "")))
-    rows = whole.union(part.select(F.col("p.shard").alias("shard"), cut.alias("t"), *keep))
+    # Whole texts and pieces come out of one array, so texts are planned and shuffled once.
+    taken = F.concat(F.transform("whole", lambda s: F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words"), s.alias("shard"))), "pieces")
+    rows = planned.select(F.explode(taken).alias("p"), F.col(text_col).alias("t"), "size", *keep)
+    part = F.ltrim(F.array_join(F.slice(F.regexp_extract_all("t", F.lit(word), 0), (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), ""))
+    rows = rows.select(F.col("p.shard").alias("shard"), F.when(F.col("p.words") == F.col("size"), F.col("t")).otherwise(part).alias("t"), *keep)
     rows = rows.select("shard", F.col("t").alias(text_col), *keep)
     return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(_SEED), *(F.col(c) for c in (text_col, *keep))))
