@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, log, log2
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ LISTED = (
     "free-bets.example.com", "free-bets.example.net", "free-bets.example.org", "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
 )
 #: Bits of all levels together that are sent to the executors at most; beyond that, sorted keys are joined.
-MAX_BYTES = 64 << 20
+MAX_BYTES = 8 << 20
 
 
 def url_host(url: Column) -> Column:
@@ -48,39 +47,35 @@ def parents(host: Column) -> Column:
 
 
 class Level:
-    """A Bloom filter as bits in a literal of longs."""
+    """A Bloom filter. Its bits go to the executors as one binary literal."""
 
     def __init__(self, number: int, n: int, rate: float):
         self.number = number
         self.bits = 64 * max(1, ceil(max(n, 1) * log(1 / rate) / log(2) ** 2 / 64))
         self.hashes = max(1, round(self.bits / max(n, 1) * log(2))) if n else 1
         self.hashes = min(self.hashes, 24)
-        self.words = np.zeros(self.bits // 64, np.int64)
+        self.raw = bytearray(self.bits // 8)
 
     def places(self, key: Column) -> list[Column]:
         one, two = F.xxhash64(F.lit(2 * self.number), key), F.xxhash64(F.lit(2 * self.number + 1), key)
         return [F.pmod(F.pmod(one, F.lit(self.bits)) + F.lit(j) * F.pmod(two, F.lit(self.bits)), F.lit(self.bits)) for j in range(self.hashes)]
 
     def fill(self, keys: DataFrame) -> Level:
-        """Bits are or-ed by word in Spark; at most self.bits / 64 rows come back."""
+        """Bits are or-ed by word in Spark; at most self.bits / 64 rows come back, a million of them for the largest cascade."""
         at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("p"))
         words = at.groupBy((F.shiftright("p", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
         for w, b in words.collect():
-            self.words[w] = b
+            self.raw[8 * w : 8 * w + 8] = b.to_bytes(8, "little", signed=True)
         return self
 
     def holds(self, key: Column) -> Column:
-        words = F.lit(self.words)
-        out = F.lit(True)
+        raw, out = F.lit(bytes(self.raw)), F.lit(True)
         for p in self.places(key):
-            out = out & (F.expr("1L").bitwiseAND(_shift_right(F.get(words, F.shiftright(p, 6)), p)) == 1)
+            byte = F.conv(F.hex(F.substring(raw, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            out = out & (F.call_function("shiftright", byte, p.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return out
 
 
-def _shift_right(word: Column, place: Column) -> Column:
-    return F.call_function("shiftrightunsigned", word, place.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-
-
 class Cascade:
     """Exact membership of listed keys in a key universe. keys: DataFrame(key, listed boolean), each key once."""
 
@@ -94,7 +89,7 @@ class Cascade:
             # The usual rates: the first level takes what makes the cascade smallest, later ones one half.
             rate = min(0.5, max(1e-6, n_in / max(1, n_out) / log2(4))) if not self.levels else 0.5
             level = Level(len(self.levels), n_in, rate)
-            if 8 * (sum(len(x.words) for x in self.levels) + len(level.words)) > max_bytes:
+            if sum(len(x.raw) for x in self.levels) + len(level.raw) > max_bytes:
                 self.levels, self.listed = [], yes
                 return
             self.levels.append(level.fill(inside))
