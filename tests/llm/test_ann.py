@@ -48,3 +48,16 @@ def test_odd_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_many_vectors_of_one_string(spark, monkeypatch):
+    """Near copies that share their hash strings: their segment is dealt out, and nothing is lost."""
+    monkeypatch.setattr(ann, "SEGMENT", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(1000 + i, (np.ones(8) + 1e-7 * rng.standard_normal(8)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = brute(rows), {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0"), trees=4).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    dense = [q for q in want if q >= 1000]
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in dense) >= 0.97 * 10 * len(dense)  # sums of squares round apart

@@ -5,7 +5,8 @@ the strings that share its longest prefix, and then up all trees together, one b
 are enough. Those are compared by their exact distance.
 
 In Spark a sorted array is cut into segments of some thousand strings. Queries meet only the segments that their prefix ranges touch. Equal vectors are one entry,
-with the smallest ids that can matter, so a vector that a third of all rows repeat costs no more than any other.
+with the smallest ids that can matter, so a vector that a third of all rows repeat costs no more than any other. Different vectors of one string can't be told apart by
+a cut; a segment that they make too large is dealt out in parts by hash, and queries meet every part.
 """
 
 from __future__ import annotations
@@ -119,21 +120,33 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
     index = classes.mapInArrow(hashes(["id", "key", "vec"], fences), "id long, key long, vec binary, tree int, h long, seg int")
     counts = {r.seg: r["count"] for r in classes.mapInArrow(hashes(["dim"], fences), "dim int, tree int, h long, seg int").groupBy("seg").count().collect()}
     sizes = spark.sparkContext.broadcast(counts)
+    # (segment, parts) of those that hold several times their share; few, as each holds more than 4 * SEGMENT strings.
+    large = spark.createDataFrame([(seg, ceil(c / SEGMENT)) for seg, c in counts.items() if c > 4 * max(SEGMENT, n / cut)], "seg int, parts int")
+    large = F.broadcast(large)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows of the index in the parts of their segment."""
+        return rows.join(large, "seg", "left").withColumn("part", F.coalesce(F.pmod("key", F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+
+    def everywhere(rows: DataFrame) -> DataFrame:
+        """Rows of queries in every part of the segment that they meet."""
+        return rows.join(large, "seg", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
 
     # Down: in its home segment each query counts the strings that share each length of prefix; beyond the segment whole segments count, and parts of them by their share.
     homes = ask.mapInArrow(hashes(["q", "dim"], fences), "q long, dim int, tree int, h long, seg int")
-    strings = index.select("seg", "h")
+    index = dealt(index)
+    strings = index.select("seg", "part", "h")
 
     def down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return pd.DataFrame({"q": [], "dim": [], "tree": [], "h": [], "n": []}, dtype=object)
         h = np.sort(left["h"].to_numpy(np.int64))
         out = []
-        for q, dim, t, x in zip(right["q"], right["dim"], right["tree"], right["h"]):
-            out.append((q, dim, t, x, fences.value.counts(int(dim), int(t), int(x), h, sizes.value)))
+        for q, dim, t, x, part in zip(right["q"], right["dim"], right["tree"], right["h"], right["part"]):
+            out.append((q, dim, t, x, fences.value.counts(int(dim), int(t), int(x), h, {} if part else sizes.value)))  # other segments count once
         return pd.DataFrame(out, columns=["q", "dim", "tree", "h", "n"])
 
-    counted = as_table(strings.groupBy("seg").cogroup(homes.groupBy("seg")).applyInPandas(down, "q long, dim int, tree int, h long, n array<double>"))
+    counted = as_table(strings.groupBy("seg", "part").cogroup(everywhere(homes).groupBy("seg", "part")).applyInPandas(down, "q long, dim int, tree int, h long, n array<double>"))
     level_of = _tune(classes, ask, counted, planes, k, aim)
 
     # Up, all trees together: the longest prefix that enough strings share.
@@ -147,7 +160,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
             many = np.repeat(np.arange(b.num_rows), [len(w) for w in where])
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(many)) for c in ("q", "h", "bits", "vec")), pa.array(np.concatenate([*where, np.zeros(0, np.int32)]).astype(np.int32))], names=["q", "h", "bits", "vec", "seg"])
 
-    routed = counted.select("q", "dim", "tree", "h").join(level, ["q", "dim"]).join(ask, ["q", "dim"]).select("q", "dim", "tree", "h", "bits", "vec")
+    routed = counted.select("q", "dim", "tree", "h").distinct().join(level, ["q", "dim"]).join(ask, ["q", "dim"]).select("q", "dim", "tree", "h", "bits", "vec")
     routed = routed.mapInArrow(touch, "q long, h long, bits int, vec binary, seg int")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +182,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
                     out.append(pd.DataFrame({"q": q, "key": keys[a:b][near], "score": d[near]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "key": [], "score": []})
 
-    hits = index.groupBy("seg").cogroup(routed.groupBy("seg")).applyInPandas(nearest, "q long, key long, score double")
+    hits = index.groupBy("seg", "part").cogroup(everywhere(routed).groupBy("seg", "part")).applyInPandas(nearest, "q long, key long, score double")
     hits = hits.groupBy("q", "key").agg(F.min("score").alias("score"))
     rows = hits.join(classes.select("key", "ids"), "key").select("q", "score", F.explode("ids").alias("vec_id")).filter("q != vec_id").groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
