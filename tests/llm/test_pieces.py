@@ -35,6 +35,11 @@ def test_best_paths_and_round_trips(spark):
     with open(pieces.MODEL, "rb") as f:
         p = pieces.Pieces(f.read())
     byte = set(p.bytes)
+    assert p.ranks
+    texts = [d.text or "" for d in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()] + ["日本語 🚗 テスト", "  two  spaces", "\ttab\n\n", "é ü ñ ß", "x" * 3000, "aaaaaaaab" * 50]
+    assert all(p.encode(t).tolist() == sp.encode(t) for t in texts)  # merging, as the library does it
+    p.clear()
+    p.ranks = False  # from here on scores decide
     for d in spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(30).collect():
         text = (d.text or "")[:400]
         ids = p.encode(text).tolist()

@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding.
 
 An Aho-Corasick automaton over the pieces reads a text once. At each position it reports the pieces that end there, the longest first and then along output links,
-and each relaxes the best score of that position: a Viterbi search in a single pass. Characters without a piece of their own cost a penalty and become byte pieces.
+and each relaxes that position: a Viterbi search in a single pass. Characters without a piece of their own become byte pieces.
+
+What relaxing means depends on the model. In a unigram model scores are log probabilities: the best sum wins. In a BPE model they are ranks of merges, and their best sum
+is not what SentencePiece returns. There the winner of a position is the one piece that merging would leave beside the winner of the position where the piece begins: a
+sequence of pieces is the result of merging exactly if each two neighbours are the result of merging their own text.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character scores below the least piece.
 PENALTY = 10.0
+#: Pairs of pieces that a task remembers at most.
+PAIRS = 1_000_000
 #: Segmentations that a task remembers at most, of chunks of so many characters at most.
 MEMO, MEMO_CHARS = 200_000, 48
 
@@ -35,6 +41,8 @@ class Pieces(dict):
         self.automaton = ahocorasick.Automaton()
         self.bytes = [0] * 256
         self.text: list[bytes] = []
+        self.scores: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         least, inner = 0.0, False
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -45,14 +53,53 @@ class Pieces(dict):
                 self.text.append(b"")
             else:
                 self.automaton.add_word(piece, (len(piece), i, sp.get_score(i)))
+                self.scores[piece] = sp.get_score(i)
                 self.text.append(piece.replace(SPACE, " ").encode())
                 least = min(least, sp.get_score(i))
                 inner |= SPACE in piece.lstrip(SPACE) or "\n" in piece or "\0" in piece
         self.automaton.make_automaton()
+        self.ranks = all(x <= 0 and x == int(x) for x in self.scores.values())  # a BPE model
         self.unknown = least - PENALTY
         # No piece runs over a space that follows something else, or over a line's end: a text falls into chunks there, and each has its own best path.
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n\0]+|{SPACE}+|\n|\0").findall if not inner else (lambda text: [text] if text else [])
 
+    def merged(self, text: str) -> list[str]:
+        """Merging, for two pieces' text: the neighbours of the best score, the leftmost of equals, again and again."""
+        parts = list(text)
+        while True:
+            best = max((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.scores), key=lambda i: (self.scores[parts[i] + parts[i + 1]], -i), default=None)
+            if best is None:
+                return parts
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+
+    def neighbours(self, a: str, b: str) -> bool:
+        """Whether merging leaves these two pieces beside each other."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a, b] = a + b not in self.scores and self.merged(a + b) == [a, b]
+        return known
+
+    def merging(self, chunk: str) -> array:
+        """The ids that merging gives, in one pass: winner[end] is the length of the last piece of the chunk's first `end` characters, 0 for an unknown one."""
+        n = len(chunk)
+        winner, ids = [0] * (n + 1), [-1] * (n + 1)
+        at = 0  # positions up to `at` are decided, or hold an unknown character
+        for end, (length, i, _) in self.automaton.iter(chunk):
+            end += 1
+            if end == at:
+                continue
+            start = end - length
+            before = winner[start]
+            if not before or self.neighbours(chunk[start - before : start], chunk[start:end]):
+                winner[end], ids[end], at = length, i, end
+        out, at = [], n
+        while at:
+            out.append(ids[at] if winner[at] else chunk[at - 1])
+            at -= winner[at] or 1
+        return self._ids(out)
+
     def viterbi(self, chunk: str) -> array:
         """The ids of the best path over the whole chunk. Of equal scores the path with the longer last piece is taken."""
         n, unknown = len(chunk), self.unknown
@@ -79,6 +126,10 @@ class Pieces(dict):
             length, i = back[at]
             out.append(i if i >= 0 else chunk[at - 1])
             at -= length
+        return self._ids(out)
+
+    def _ids(self, out: list[int | str]) -> array:
+        """Ids in order, from a path that is given backwards, with the bytes of unknown characters."""
         ids = array("i")
         for x in reversed(out):
             if isinstance(x, int):
@@ -88,7 +139,7 @@ class Pieces(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.viterbi(chunk).tobytes()
+        ids = (self.merging(chunk) if self.ranks else self.viterbi(chunk)).tobytes()
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
