@@ -215,7 +215,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     """The pairs (a, b, j) of classes with the Jaccard similarity of their sets of word shingles, if it is at least `similarity`. docs: (th, t), texts and their hashes; classes: (c, th), the hash
     of one text of each class."""
     pairs = as_table(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     some = as_table(classes.join(broadcast_if_small(ids, MAX_BROADCAST), "c", "left_semi").select("c", "th"))
     found = docs.join(broadcast_if_small(some.select("th"), MAX_BROADCAST), "th", "left_semi").dropDuplicates(["th"])
     some = as_table(found.join(some, "th").select("c", "t"))
