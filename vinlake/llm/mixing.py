@@ -11,6 +11,7 @@ All of it is DataFrame functions, without Python on rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Words of a block, shards of the mix (a power of two) and rounds of the block permutation.
 BLOCK, SHARDS, ROUNDS = 4096, 32, 24
+#: Words of a shard's rows that one task sorts; larger shards are dealt out in parts by hash.
+PART_WORDS = 2_000_000
 #: Parts of a source's order that are summed apart, so that no task gets a whole source.
 PARTS = 4096
 #: Sources that are broadcast at most.
@@ -155,11 +158,11 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
 
 
 def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, epochs, pieces, shards) of every row, then the columns of carry.
+    """(doc_id, size, source_size, target, taken, epochs, pieces, whole, shards, parts) of every row, then the columns of carry.
 
     size: words of the text; target: the words that the mix should hold of the row's source; taken: those that it holds of this row, repeats counted. epochs: how
     often the whole text is taken; pieces: what is taken of it in one more epoch, as (first word, words, shard) with words counted from 0; shards: those that hold
-    a part of the row. A source's taken words differ from its target by the rounding to a word alone.
+    a part of the row; whole: the shard of each whole text; parts: in how many parts each shard is shuffled. A source's taken words differ from its target by the rounding to a word alone.
 
     Null and empty texts have size 0 and nothing is taken of them. Null sources are one source, the last. Null ids, repeated ids and repeated rows are rows like any
     other. Reruns agree: the order of a source follows from hashes of ids and texts.
@@ -179,6 +182,8 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
     goal = goal.withColumn("tail", F.col("source_size") - (F.col("blocks") - 1) * block)  # words of the last block
     goal = goal.withColumn("tail_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("source")))
     goal = as_table(goal.withColumn("draws", F.when(F.col("source_size") == 0, 0).otherwise(F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long")))
+    total = goal.agg(F.sum("target")).first()[0] or 0  # one row a source
+    parts_of_shard = max(1, ceil(total / (shards * PART_WORDS)))
     goal = goal.select(F.col("source").alias("s3"), "source_size", "target", "epochs", "blocks", "rest", "tail", "tail_at").join(shard_quotas(goal.select("source", "draws"), shards).withColumnRenamed("source", "s4"), F.col("s3").eqNullSafe(F.col("s4")), "left").drop("s4")
     goal = broadcast_if_small(as_table(goal), MAX_BROADCAST)
     inside = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -209,18 +214,20 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
     docs = docs.withColumn("whole", whole)
     return docs.select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).alias("taken"), "epochs", "pieces", "whole",
-        F.array_sort(F.array_distinct(F.concat("whole", F.transform("pieces", lambda p: p["shard"])))).alias("shards"), *(F.col(n).alias(c) for c, n in zip(carry, names)),
+        F.array_sort(F.array_distinct(F.concat("whole", F.transform("pieces", lambda p: p["shard"])))).alias("shards"), F.lit(parts_of_shard).alias("parts"),
+        *(F.col(n).alias(c) for c, n in zip(carry, names)),
     )
 
 
 def mixed(planned: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(shard, text_col, then keep): the rows of the mix, from plan(..., carry=(text_col, *keep)): a row for each whole text taken, and one for each piece of a text
-    (with the white space between its words). Each shard's rows stand in a pseudo-random order within one partition."""
+    (with the white space between its words). A shard's rows are dealt out by hash into its parts, and stand in a pseudo-random order within each."""
     word = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
     # Whole texts and pieces come out of one array, so texts are planned and shuffled once.
     taken = F.concat(F.transform("whole", lambda s: F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words"), s.alias("shard"))), "pieces")
-    rows = planned.select(F.explode(taken).alias("p"), F.col(text_col).alias("t"), "size", *keep)
+    rows = planned.select(F.explode(taken).alias("p"), F.col(text_col).alias("t"), "size", "parts", *keep)
     part = F.ltrim(F.array_join(F.slice(F.regexp_extract_all("t", F.lit(word), 0), (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), ""))
-    rows = rows.select(F.col("p.shard").alias("shard"), F.when(F.col("p.words") == F.col("size"), F.col("t")).otherwise(part).alias("t"), *keep)
-    rows = rows.select("shard", F.col("t").alias(text_col), *keep)
-    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(_SEED), *(F.col(c) for c in (text_col, *keep))))
+    rows = rows.select(F.col("p.shard").alias("shard"), F.when(F.col("p.words") == F.col("size"), F.col("t")).otherwise(part).alias(text_col), F.col("parts").alias("_parts"), *keep)
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(_SEED), *(F.col(c) for c in (text_col, *keep))))
+    rows = rows.withColumn("_part", F.pmod("_h", F.col("_parts"))).repartition("shard", "_part")
+    return rows.sortWithinPartitions("shard", "_part", "_h").select("shard", text_col, *keep)
