@@ -28,7 +28,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, internal_name, country, type, enabled): suppliers, their nation and region."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    out = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations, 5 regions
+    out = s.join(n, s.s_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return out.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("internal_name"), F.col("n_name").alias("country"), F.col("r_name").alias("type"), (F.col("s_suppkey") % 7 != 0).alias("enabled"))
 
 
