@@ -204,7 +204,7 @@ def mileage_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{D.with_tables("events")} SELECT vehicle_id, order_id, line, m_date AS day, m_currency AS currency, NULL AS source FROM vehicle_events"""
+    f"""{D.with_tables("events")} SELECT vehicle_id, order_id, line, m_date AS day, m_currency AS currency, CAST(NULL AS VARCHAR) AS source FROM vehicle_events"""
 )
 def public_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the public sees them: metadata without what tells their source."""

@@ -50,7 +50,7 @@ owners AS (SELECT e.vehicle_id, coalesce(m_date, strftime(occurred_at, '%Y-%m-%d
 days AS (SELECT vehicle_id, day, bool_or(plated) AS has_plate, arg_max(source, CASE WHEN plated THEN 4 ELSE 0 END + CASE WHEN km IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN source = 'registry' THEN 3 ELSE 0 END) AS source FROM owners GROUP BY 1, 2)"""
 
 
-@query(f"""{D.with_tables("events")}, {_OWNER} SELECT vehicle_id, day, has_plate, source, row_number() OVER (PARTITION BY vehicle_id ORDER BY day) AS sequence FROM days""")
+@query(f"""{D.with_tables("events")}, {_OWNER} SELECT vehicle_id, day, has_plate, source, CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY day) AS INT) AS sequence FROM days""")
 def owner_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of owner, one a day, numbered."""
     out = H.owner_changes(_events(spark, sf_dir), TIES)

@@ -177,7 +177,7 @@ def galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{D.with_tables("photos")}, {_USABLE}, u AS (SELECT vehicle_id, CASE WHEN listing_id % 2 = 0 THEN 'mirrored' ELSE 'source' END AS bucket, replace(picture, 'cdn.example.com', CASE WHEN listing_id % 2 = 0 THEN 'img.mirror.example' ELSE 'cdn.example.com' END) AS picture, min(CAST(regexp_extract(source_url, 'frame_(\\d+)', 1) AS INT)) AS fr FROM usable GROUP BY 1, 2, 3)
-SELECT vehicle_id, bucket, picture, row_number() OVER (PARTITION BY vehicle_id, bucket ORDER BY fr NULLS LAST, picture) AS place FROM u"""
+SELECT vehicle_id, bucket, picture, CAST(row_number() OVER (PARTITION BY vehicle_id, bucket ORDER BY fr NULLS LAST, picture) AS INT) AS place FROM u"""
 )
 def photo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirrored pictures and those at their source, in frame order."""
@@ -187,7 +187,7 @@ def photo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{D.with_tables("photos")}, {_USABLE}, a AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, listing_id ORDER BY is_primary DESC, sort_order, source_url, photo_group) AS rn FROM usable),
-b AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY rn, listing_id, is_primary DESC, sort_order, source_url, photo_group) AS place FROM a) SELECT vehicle_id, listing_id, source_url, place FROM b WHERE place <= 8"""
+b AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY rn, listing_id, is_primary DESC, sort_order, source_url, photo_group) AS place FROM a) SELECT vehicle_id, listing_id, source_url, CAST(place AS INT) AS place FROM b WHERE place <= 8"""
 )
 def round_robin_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight pictures a vehicle, one of each listing in turn."""
