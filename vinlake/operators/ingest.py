@@ -164,3 +164,11 @@ def unchanged(known: DataFrame, hints: DataFrame) -> DataFrame:
         (F.length("vin") == 17) & M.usable(F.col("_m")) & F.col("price").eqNullSafe(F.col("_p")) & F.col("mileage").eqNullSafe(F.col("_m"))
         & (F.col("modified_at").isNull() | (F.col("modified_at") <= F.col("last_seen_at") + F.expr("INTERVAL 2 SECONDS")))
     ).select(*hints.columns)
+
+
+def recently_seen(known: DataFrame, hints: DataFrame, as_of: str, hours: int, photos: int = 2) -> DataFrame:
+    """Hints of listings that were seen within so many hours, are complete and have enough photos (E29): they need no fetch. known: provider_id, source_id, vin, mileage,
+    last_seen_at, n_photos."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    done = (F.length("vin") == 17) & M.usable(F.col("mileage")) & (F.col("n_photos") >= photos) & (F.col("last_seen_at") > now - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    return hints.join(known.filter(done).select("provider_id", "source_id").distinct(), ["provider_id", "source_id"], "left_semi")

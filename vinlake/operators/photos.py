@@ -58,3 +58,16 @@ def split_by_host(photos: DataFrame, cdn: str) -> DataFrame:
     rows = identified(photos).withColumns({"bucket": F.when(F.endswith(urls.host(F.col("source_url")), F.lit(cdn)), "mirrored").otherwise("source"), "frame": urls.frame(F.col("source_url"))})
     one = rows.groupBy("vehicle_id", "bucket", "picture").agg(F.min("frame").alias("frame"))
     return one.withColumn("place", F.row_number().over(Window.partitionBy("vehicle_id", "bucket").orderBy(F.col("frame").asc_nulls_last(), "picture"))).drop("frame")
+
+
+def of_own_lot(photos: DataFrame, lot: str, pattern: str = r"/lots?/(\d+)(?:/|$)") -> DataFrame:
+    """Photos whose address names no lot, or the lot in column `lot` (E15): foreign lots' pictures get onto pages as recommendations. A null lot keeps all."""
+    named = F.nullif(F.regexp_extract(urls.plain(F.col("source_url")), pattern, 1), F.lit(""))
+    return photos.filter(named.isNull() | F.col(lot).isNull() | (named == F.col(lot).cast("string")))
+
+
+def without_orphan_frames(photos: DataFrame) -> DataFrame:
+    """Photos without exterior and interior frames of listings that have no still (E15, J18): frames alone can't be shown."""
+    stills = photos.filter("photo_group = 'gallery'").select("vehicle_id", "listing_id").distinct()
+    frames = photos.filter("photo_group <> 'gallery'").join(stills, ["vehicle_id", "listing_id"], "left_semi")
+    return photos.filter("photo_group = 'gallery'").unionByName(frames.select(*photos.columns))

@@ -256,3 +256,30 @@ def mileage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, m = D.listings(spark, sf_dir), F.col("mileage")
     said = M.in_text(F.concat(F.lit("clean, "), F.format_number("mileage", 0), F.when(F.col("mileage_unit") == "mi", " Miles").otherwise("KM, one owner")))
     return x.groupBy("mileage_unit").agg(F.count_if(M.usable(m)).alias("usable"), F.sum(M.to_km(F.when(M.usable(m), m), F.col("mileage_unit"))).alias("km"), F.sum(said).cast("long").alias("stated"))
+
+
+@query(
+    f"""{D.with_tables("photos")}, p AS (SELECT vehicle_id, listing_id, photo_group, CASE WHEN listing_id % 11 = 0 THEN replace(source_url, '/lot/' || vehicle_id, '/lot/' || vehicle_id + 1) ELSE source_url END AS source_url FROM photos),
+k AS (SELECT * FROM p WHERE nullif(regexp_extract(source_url, '/lots?/([0-9]+)/', 1), '') IS NULL OR regexp_extract(source_url, '/lots?/([0-9]+)/', 1) = CAST(vehicle_id AS VARCHAR))
+SELECT vehicle_id, photo_group, count(*) AS n FROM k WHERE photo_group = 'gallery' OR EXISTS (SELECT 1 FROM k s WHERE s.vehicle_id = k.vehicle_id AND s.listing_id = k.listing_id AND s.photo_group = 'gallery') GROUP BY 1, 2"""
+)
+def photo_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of foreign lots and frames without stills left out."""
+    x, v = D.photos(spark, sf_dir), F.col("vehicle_id").cast("string")
+    odd = F.replace("source_url", F.concat(F.lit("/lot/"), v), F.concat(F.lit("/lot/"), (F.col("vehicle_id") + 1).cast("string")))
+    x = x.withColumn("source_url", F.when(F.col("listing_id") % 11 == 0, odd).otherwise(F.col("source_url")))
+    return P.without_orphan_frames(P.of_own_lot(x, "vehicle_id")).groupBy("vehicle_id", "photo_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""{D.with_tables("listings", "vehicles", "photos")}, n AS (SELECT vehicle_id, count(*) AS n_photos FROM photos GROUP BY 1),
+k AS (SELECT DISTINCT provider_id, source_id FROM listings l JOIN vehicles v ON l.vehicle_id = v.id JOIN n ON n.vehicle_id = v.id WHERE length(vin) = 17 AND mileage > 1 AND n_photos >= 25 AND seen_at > TIMESTAMP '2001-11-05' - INTERVAL 9000 HOUR)
+SELECT provider_id, source_id, count(*) AS hints FROM listings JOIN k USING (provider_id, source_id) GROUP BY 1, 2"""
+)
+def recent_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of listings that were seen a short while ago."""
+    x, v = D.listings(spark, sf_dir), D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "vin")
+    n = D.photos(spark, sf_dir).groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n_photos"))
+    known = x.join(v, "vehicle_id").join(n, "vehicle_id").select("provider_id", "source_id", "vin", "mileage", F.col("seen_at").alias("last_seen_at"), "n_photos")
+    out = I.recently_seen(known, x.select("provider_id", "source_id"), "2001-11-05 00:00:00", 9000, photos=25)
+    return out.groupBy("provider_id", "source_id").agg(F.count(F.lit(1)).alias("hints"))
