@@ -243,3 +243,18 @@ def test_snapshots_and_appends(spark, tmp_path):
     K.append(df.withColumn("d", F.lit("x")), str(tmp_path / "a"), "d")
     K.append(df.withColumn("d", F.lit("y")), str(tmp_path / "a"), "d")
     assert spark.read.parquet(str(tmp_path / "a")).groupBy("d").count().count() == 2
+
+
+def test_inspections_and_diagnoses(spark):
+    from vinlake.operators.registry_records import diagnosis_events, inspection_events
+
+    title = lambda t, s=None, *c: {"type": {"title": t}, "statusType": {"title": s} if s else None, "children": list(c)}
+    report = {"recordNo": "R1", "issueDate": "20200102", "mileage": "60,000 km", "outers": [title("Hood ( )", "Scratch"), title("Doors", None, title("Front/left", "Replacement", title("Hinge", "Rust")))], "inners": [title("Frame", "Good"), {"type": {"title": "Pillar"}, "statusTypes": [{"title": "Welded"}]}]}
+    got = inspection_events(spark.createDataFrame([(1, json.dumps(report)), (2, "broken"), (3, "{}")], "vehicle_id long, raw string")).withColumn("pos", F.lit(1))
+    assert [(r.vehicle_id, str(r.occurred_at.date())) for r in got.collect()] == [(1, "2020-01-02")]
+    assert as_set(H.body_panels(got, ["pos"]), "label", "legend") == {("Hood", "C"), ("Front left", "Z"), ("Hinge", "R"), ("Pillar", "W")}
+    assert as_set(H.event_readings(got), "day", "km", "kind") == {("2020-01-02", 60000, "inspection")}
+    items = [{"name": "HOOD", "resultCode": "NORMAL"}, {"partName": "DOOR", "resultCode": "REPLACEMENT", "result": "exchanged"}, {"name": "CHECKER_COMMENT", "result": "fine"}]
+    out = diagnosis_events(spark.createDataFrame([(1, json.dumps({"items": items, "diagnosisDate": "2020-05-05"})), (2, json.dumps({"items": items[:1]})), (3, None)], "vehicle_id long, raw string")).withColumn("pos", F.lit(1))
+    assert {(r.vehicle_id, json.loads(r.metadata)["allClear"]) for r in out.collect()} == {(1, False), (2, True)}
+    assert as_set(H.body_panels(out, ["pos"]), "label", "legend") == {("DOOR", "Z")}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinlake.functions import dates
+from vinlake.functions import dates, text
 
 RECORD = "firstDate string, carInfoChanges array<struct<date:string,carNo:string>>, ownerChanges array<string>, accidents array<struct<date:string,type:string,partCost:double,laborCost:double,paintingCost:double,insuranceBenefit:double>>, totalLossCnt int, totalLossDate string, floodTotalLossCnt int, floodPartLossCnt int, floodDate string, robberCnt int, business string, government string, loan string, notJoinDate1 string, notJoinDate2 string, notJoinDate3 string"
 
@@ -44,3 +44,52 @@ def record_events(df: DataFrame, key: str = "vehicle_id", raw: str = "raw") -> D
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def _node(depth: int) -> str:
+    """The schema of an inspection's node with so many levels below it."""
+    below = f", children:array<{_node(depth - 1)}>" if depth else ""
+    return f"struct<type:struct<title:string>, statusType:struct<title:string>, statusTypes:array<struct<title:string>>{below}>"
+
+
+LEVELS = 3
+INSPECTION = f"recordNo string, issueDate string, validityStartDate string, validityEndDate string, mileage string, outers array<{_node(LEVELS)}>, inners array<{_node(LEVELS)}>"
+DIAGNOSIS = "diagnosisNo string, realDiagnosisDate string, diagnosisDate string, items array<struct<name:string, partName:string, resultCode:string, result:string>>"
+#: Items of a diagnosis that hold remarks instead of panels.
+REMARKS = ("CHECKER_COMMENT", "OUTER_PANEL_COMMENT")
+
+
+def _panel_json(label: Column, code: Column, result: Column, area: Column) -> Column:
+    return F.struct(label.alias("label"), code.alias("resultCode"), result.alias("result"), area.alias("area"))
+
+
+def inspection_events(df: DataFrame, key: str = "vehicle_id", raw: str = "raw") -> DataFrame:
+    """(key, event_type, description, metadata, occurred_at): an inspection event for each report that is JSON text (E36), with the marked panels of its tree in its
+    metadata (outers outside, inners inside, LEVELS levels of children), its number, dates and reading. Broken JSON and reports without a number or date give none."""
+    r = df.select(F.col(key).alias(key), F.from_json(raw, INSPECTION).alias("r")).filter("r.recordNo IS NOT NULL OR r.issueDate IS NOT NULL")
+
+    def panels(nodes: Column, area: str, depth: int) -> Column:
+        def one(x: Column) -> Column:
+            label = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x["type"]["title"], r"\(\s*\)", ""), r"[/|\s]+", " ")), F.lit(""))
+            return _panel_json(label, F.lit(None).cast("string"), F.coalesce(x["statusType"]["title"], F.get(x["statusTypes"], F.lit(0))["title"]), F.lit(area))
+
+        here = F.transform(F.coalesce(nodes, F.array().cast(f"array<{_node(depth)}>")), one)
+        return here if not depth else F.concat(here, panels(F.flatten(F.filter(F.transform(F.coalesce(nodes, F.array().cast(f"array<{_node(depth)}>")), lambda x: x["children"]), lambda c: c.isNotNull())), area, depth - 1))
+
+    found = F.filter(F.concat(panels(F.col("r.outers"), "exterior", LEVELS), panels(F.col("r.inners"), "interior", LEVELS)), lambda p: p["label"].isNotNull() & text.mark(F.lit(None).cast("string"), p["result"]).isNotNull())
+    meta = F.to_json(F.struct(F.lit("inspection").alias("source"), *(F.col(f"r.{n}").alias(n) for n in ("recordNo", "issueDate", "validityStartDate", "validityEndDate")), F.regexp_replace("r.mileage", r"[^\d.]", "").try_cast("double").alias("mileageKm"), found.alias("panels")))
+    at = F.to_timestamp_ntz(F.coalesce(dates.day(F.col("r.issueDate")), dates.day(F.col("r.validityStartDate"))), F.lit("yyyy-MM-dd"))
+    return r.select(key, F.lit("inspection").alias("event_type"), F.concat_ws(" ", F.lit("Inspection report"), "r.recordNo").alias("description"), meta.alias("metadata"), at.alias("occurred_at"))
+
+
+def diagnosis_events(df: DataFrame, key: str = "vehicle_id", raw: str = "raw") -> DataFrame:
+    """(key, event_type, description, metadata, occurred_at): a diagnosis event for each report with items (E36): marked panels and remarks in its metadata, and allClear
+    if all its panels are well."""
+    r = df.select(F.col(key).alias(key), F.from_json(raw, DIAGNOSIS).alias("r")).filter(F.size("r.items") > 0)
+    name = lambda x: F.coalesce(x["name"], x["partName"])
+    items = F.filter("r.items", lambda x: name(x).isNotNull() & ~name(x).isin(*REMARKS))
+    marked = F.transform(F.filter(items, lambda x: text.mark(x["resultCode"], x["result"]).isNotNull()), lambda x: _panel_json(name(x), x["resultCode"], x["result"], F.lit("exterior")))
+    remarks = F.transform(F.filter("r.items", lambda x: name(x).isin(*REMARKS) & x["result"].isNotNull()), lambda x: x["result"])
+    meta = F.to_json(F.struct(F.lit("diagnosis").alias("source"), F.col("r.diagnosisNo").alias("diagnosisNo"), marked.alias("panels"), remarks.alias("comments"), ((F.size(items) > 0) & (F.size(marked) == 0)).alias("allClear")))
+    at = F.to_timestamp_ntz(dates.day(F.coalesce("r.realDiagnosisDate", "r.diagnosisDate")), F.lit("yyyy-MM-dd"))
+    return r.select(key, F.lit("inspection").alias("event_type"), F.lit("Diagnosis").alias("description"), meta.alias("metadata"), at.alias("occurred_at"))
