@@ -42,7 +42,7 @@ class Pieces(dict):
         self.bytes = [0] * 256
         self.text: list[bytes] = []
         self.scores: dict[str, float] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         least, inner = 0.0, False
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -74,30 +74,32 @@ class Pieces(dict):
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether merging leaves these two pieces beside each other."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = a + b not in self.scores and self.merged(a + b) == [a, b]
-        return known
+        return a + b not in self.scores and self.merged(a + b) == [a, b]
 
     def merging(self, chunk: str) -> array:
-        """The ids that merging gives, in one pass: winner[end] is the length of the last piece of the chunk's first `end` characters, 0 for an unknown one."""
-        n = len(chunk)
-        winner, ids = [0] * (n + 1), [-1] * (n + 1)
-        at = 0  # positions up to `at` are decided, or hold an unknown character
-        for end, (length, i, _) in self.automaton.iter(chunk):
+        """The ids that merging gives, in one pass: length[end] is that of the last piece of the chunk's first `end` characters, 0 for an unknown one."""
+        n, pairs = len(chunk), self.pairs
+        length, ids = [0] * (n + 1), [-1] * (n + 1)
+        decided = 0
+        for end, (size, i, _) in self.automaton.iter(chunk):
             end += 1
-            if end == at:
+            if end == decided:
                 continue
-            start = end - length
-            before = winner[start]
-            if not before or self.neighbours(chunk[start - before : start], chunk[start:end]):
-                winner[end], ids[end], at = length, i, end
+            start = end - size
+            before = ids[start]
+            if before >= 0:  # else the chunk or the piece after an unknown character begins here
+                known = pairs.get(before << 32 | i)
+                if known is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    known = pairs[before << 32 | i] = self.neighbours(chunk[start - length[start] : start], chunk[start:end])
+                if not known:
+                    continue
+            length[end], ids[end], decided = size, i, end
         out, at = [], n
         while at:
-            out.append(ids[at] if winner[at] else chunk[at - 1])
-            at -= winner[at] or 1
+            out.append(ids[at] if length[at] else chunk[at - 1])
+            at -= length[at] or 1
         return self._ids(out)
 
     def viterbi(self, chunk: str) -> array:
