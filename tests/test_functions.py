@@ -76,7 +76,8 @@ def test_metadata(spark):
     rows = ['{"km": "60,000 km", "n": "12", "s": " x ", "b": true, "e": ""}', "[1]", "broken {", None, '{"n": 1.5, "b": "yes"}']
     m = F.col("x")
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").orderBy("i")
-    got = df.select(meta.loose_number(m, "q", "km").alias("a"), meta.number(m, "km", "n").alias("b"), meta.text(m, "e", "s").alias("c"), meta.flag(m, "b").alias("d")).collect()
+    p = meta.parsed(m)
+    got = df.select(meta.loose_number(p, "q", "km").alias("a"), meta.number(p, "km", "n").alias("b"), meta.text(p, "e", "s").alias("c"), meta.flag(p, "b").alias("d")).collect()
     assert [tuple(r) for r in got] == [(60000.0, 12.0, "x", True), (None,) * 4, (None,) * 4, (None,) * 4, (None, 1.5, None, None)]
     changed = df.select(meta.with_fields(m, F.create_map(F.lit("n"), F.lit("9"))).alias("y")).collect()
     assert '"n":"9"' in changed[0].y and changed[3].y == '{"n":"9"}'

@@ -88,7 +88,7 @@ def title_parts(title: Column, makes: list[str]) -> tuple[Column, Column, Column
     """(year, make, model) that a listing's title states: a year from 1980 to 2035, the longest of `makes` that it begins with (after the year), and the next word that
     is neither junk nor a machine-made token."""
     text = tidy(title)
-    year = F.regexp_extract(text, r"(?:^|[^0-9])((?:19|20)\d{2})(?:$|[^0-9])", 1).try_cast("int")
+    year = F.nullif(F.regexp_extract(text, r"(?:^|[^0-9])((?:19|20)\d{2})(?:$|[^0-9])", 1), F.lit("")).try_cast("int")
     rest = tidy(F.regexp_replace(text, r"(?:^|(?<=[^0-9]))(?:19|20)\d{2}(?=$|[^0-9])", " "))
     make = F.lit(None).cast("string")
     for name in sorted(makes, key=len):  # the longest stands outside and wins

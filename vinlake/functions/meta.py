@@ -1,40 +1,52 @@
-"""Metadata that is kept as JSON text. Broken JSON and other values than objects count as empty."""
+"""Metadata that is kept as JSON text. Broken JSON and other values than objects count as empty.
+
+A text is parsed once, into a map; the getters take that map. Keep it as a column of its own where several fields are read: Spark then doesn't parse again for each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vinlake.functions.numbers import blank_to_null, plain_number
+from vinlake.functions.numbers import plain_number
+
+
+def parsed(raw: Column) -> Column:
+    """The object as a map from field to text; numbers and nested values as they are written. Null for broken JSON and anything but an object."""
+    return F.from_json(raw, "map<string,string>")
+
+
+def field(m: Column, name: str) -> Column:
+    return F.try_element_at(m, F.lit(name))
 
 
-def text(meta: Column, *names: str) -> Column:
-    """The first of the fields that holds more than white space."""
-    return F.coalesce(*(blank_to_null(F.get_json_object(meta, f"$.{n}")) for n in names))
+def text(m: Column, *names: str) -> Column:
+    """The first of the fields that holds more than white space, without it at the ends."""
+    return F.coalesce(*(F.nullif(F.btrim(field(m, n), F.lit(" \t\n\r\u00a0")), F.lit("")) for n in names))
 
 
-def number(meta: Column, *names: str) -> Column:
+def number(m: Column, *names: str) -> Column:
     """The first of the fields that holds a number, or a text that is one."""
-    return F.coalesce(*(plain_number(F.get_json_object(meta, f"$.{n}")) for n in names))
+    return F.coalesce(*(plain_number(field(m, n)) for n in names))
 
 
-def loose_number(meta: Column, *names: str) -> Column:
+def loose_number(m: Column, *names: str) -> Column:
     """The first of the fields with a number once all but digits and points is left out: "60,000 km" is one."""
-    return F.coalesce(*(F.regexp_replace(F.get_json_object(meta, f"$.{n}"), r"[^\d.]", "").try_cast("double") for n in names))
+    return F.coalesce(*(F.nullif(F.regexp_replace(field(m, n), r"[^\d.]", ""), F.lit("")).try_cast("double") for n in names))
 
 
-def flag(meta: Column, name: str) -> Column:
+def flag(m: Column, name: str) -> Column:
     """true or false; null where the field holds anything else."""
-    x = F.get_json_object(meta, f"$.{name}")
+    x = field(m, name)
     return F.when(x == "true", True).when(x == "false", False)
 
 
-def with_fields(meta: Column, fields: Column) -> Column:
-    """The object with more fields (a map of texts); a field of the same name is replaced. Numbers and nested values of the object become text."""
-    old = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
+def with_fields(raw: Column, fields: Column) -> Column:
+    """The JSON object with more fields (a map of texts); a field of the same name is replaced. Numbers and nested values of the object become text."""
+    old = F.coalesce(parsed(raw), F.create_map().cast("map<string,string>"))
     return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(fields), k)), fields))
 
 
-def without(meta: Column, *names: str) -> Column:
-    """The object without internal fields."""
-    return F.to_json(F.map_filter(F.from_json(meta, "map<string,string>"), lambda k, _: ~k.isin(*names)))
+def without(raw: Column, *names: str) -> Column:
+    """The JSON object without internal fields."""
+    return F.to_json(F.map_filter(parsed(raw), lambda k, _: ~k.isin(*names)))

@@ -39,11 +39,12 @@ def to_miles(km: Column) -> Column:
 
 def in_text(text: Column) -> Column:
     """The first usable reading that a text states, by the forms in order, as written (no unit applied)."""
-    found = [F.replace(F.regexp_extract(text, form, 1), F.lit(","), F.lit("")).try_cast("double") for form in TEXT_FORMS]
-    return F.coalesce(*(F.when(usable(x), x) for x in found))
+    # An empty text is made null first: a cast that fails costs far more than one that is not tried.
+    found = F.array(*(F.nullif(F.replace(F.regexp_extract(text, form, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("double") for form in TEXT_FORMS))
+    return F.when(text.rlike("[0-9]"), F.get(F.filter(found, usable), F.lit(0)))  # each form is tried once
 
 
 def coerce(raw: Column) -> Column:
     """A reading in a text of any form: a stated one, else the digits that are left."""
-    left = F.regexp_replace(raw, r"[^\d.]", "").try_cast("double")
+    left = F.nullif(F.regexp_replace(raw, r"[^\d.]", ""), F.lit("")).try_cast("double")
     return F.coalesce(in_text(raw), F.when(usable(left), half_up(left).cast("double")))

@@ -38,7 +38,7 @@ def plain_number(text: Column) -> Column:
 
 def digits_number(text: Column) -> Column:
     """The number that is left of a text without all but digits and points; null if none or not above 0."""
-    left = F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
+    left = F.nullif(F.regexp_replace(text, r"[^\d.]", ""), F.lit("")).try_cast("double")
     return F.when(left > 0, left)
 
 

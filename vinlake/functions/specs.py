@@ -24,7 +24,7 @@ def value(raw: Column) -> Column:
 def displacement(raw: Column) -> Column:
     """A tidy displacement; null without a number above 0."""
     text = F.nullif(tidy(raw), F.lit(""))
-    return F.when(F.regexp_replace(text, r"[^\d.]", "").try_cast("double") > 0, text)
+    return F.when(F.nullif(F.regexp_replace(text, r"[^\d.]", ""), F.lit("")).try_cast("double") > 0, text)
 
 
 def english(raw: Column, rules: tuple[tuple[str, str], ...]) -> Column:

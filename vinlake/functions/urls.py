@@ -25,7 +25,7 @@ def picture(url: Column) -> Column:
 
 def frame(url: Column) -> Column:
     """The number of a picture in its gallery, as its name states: the last digits before the ending; null without."""
-    return F.regexp_extract(plain(url), r"(\d{1,5})\.[A-Za-z]{3,4}$", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(plain(url), r"(\d{1,5})\.[A-Za-z]{3,4}$", 1), F.lit("")).try_cast("int")
 
 
 def junk_picture(url: Column) -> Column:

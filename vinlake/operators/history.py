@@ -20,13 +20,21 @@ KIND_RANK = {"inspection": 6, "owner": 5, "accident": 4, "sale": 3, "listing": 2
 SPEC_FIELDS = ("condition", "secondary_damage", "primary_damage", "loss_type", "airbags", "keys", "seats", "doors", "color", "engine", "location")
 
 
-def _meta_km(m: Column, desc: Column) -> Column:
-    """The reading that an event states, in km (E18): kilometres, miles, a number in the unit given or inferred, then the description."""
+def with_meta(events: DataFrame) -> DataFrame:
+    """Events with their metadata parsed once, as the map _m."""
+    return events.withColumn("_m", meta.parsed(F.col("metadata")))
+
+
+def with_km(events: DataFrame) -> DataFrame:
+    """Events (with _m) with _km: the reading that each states (E18): kilometres, miles, a number in the unit given or inferred, then the description. Each candidate is
+    a column before it is tested, so none is computed twice, and descriptions are searched only where metadata has no reading."""
+    m = F.col("_m")
     unit = F.coalesce(meta.text(m, "mileageUnit", "unit", "odometerType", "odometer_type"), F.when(meta.text(m, "source").rlike("(?i)auction"), "mi").otherwise("km"))
-    usable = lambda x: F.when(M.usable(x), x)
-    km, mi = usable(meta.loose_number(m, "mileageKm")), usable(meta.loose_number(m, "mileageMiles"))
-    raw, miles = usable(meta.loose_number(m, "mileage", "odometer", "odometerValue", "odometer_value", "km")), usable(meta.loose_number(m, "miles"))
-    return F.coalesce(M.to_km(km, F.lit("km")), M.to_km(mi, F.lit("mi")), M.to_km(raw, unit), M.to_km(miles, F.lit("mi")), M.to_km(M.in_text(desc), unit))
+    rows = events.withColumns({"_k": meta.loose_number(m, "mileageKm"), "_i": meta.loose_number(m, "mileageMiles"), "_x": meta.loose_number(m, "mileage", "odometer", "odometerValue", "odometer_value", "km"), "_y": meta.loose_number(m, "miles"), "_u": unit})
+    ok = lambda c: F.when(M.usable(F.col(c)), F.col(c))
+    stated = F.coalesce(M.to_km(ok("_k"), F.lit("km")), M.to_km(ok("_i"), F.lit("mi")), M.to_km(ok("_x"), F.col("_u")), M.to_km(ok("_y"), F.lit("mi")))
+    rows = rows.withColumn("_stated", stated).withColumn("_said", F.when(F.col("_stated").isNull(), M.in_text(F.col("description"))))
+    return rows.withColumn("_km", F.coalesce("_stated", M.to_km(F.col("_said"), F.col("_u")))).drop("_k", "_i", "_x", "_y", "_u", "_stated", "_said")
 
 
 def reading_day(m: Column, occurred: Column) -> Column:
@@ -36,14 +44,16 @@ def reading_day(m: Column, occurred: Column) -> Column:
 
 
 def event_readings(events: DataFrame) -> DataFrame:
-    """(vehicle_id, day, km, kind, source) of events that state a reading."""
-    m, kind = F.col("metadata"), F.lower("event_type")
-    source = F.coalesce(meta.text(m, "source"), F.col("event_type"), F.lit("event"))
+    """(vehicle_id, day, km, kind, source) of events; km is null for those that state no reading. They are not filtered here: a filter would be pushed below the columns
+    that it tests and compute them twice."""
+    m, kind = F.col("_m"), F.lower("event_type")
+    source = F.col("_source")
     what = (
         F.when(kind == "owner_change", "owner").when(kind.isin("accident", "flood_damage"), "accident").when((kind == "inspection") | source.rlike("(?i)inspection|diagnosis"), "inspection")
         .when(kind == "sale", "sale").when(kind == "title_status", "salvage").otherwise("other")
     )
-    return events.select("vehicle_id", reading_day(m, F.col("occurred_at")).alias("day"), _meta_km(m, F.col("description")).alias("km"), what.alias("kind"), source.alias("source"))
+    rows = with_km(with_meta(events)).withColumn("_source", F.coalesce(meta.text(m, "source"), F.col("event_type"), F.lit("event")))
+    return rows.select("vehicle_id", reading_day(m, F.col("occurred_at")).alias("day"), F.col("_km").alias("km"), what.alias("kind"), source.alias("source"))
 
 
 def observation_readings(observations: DataFrame, day: Column, source: Column) -> DataFrame:
@@ -59,8 +69,10 @@ def mileage_history(*readings: DataFrame) -> DataFrame:
     for more in readings[1:]:
         rows = rows.unionByName(more)
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair)), F.col("kind"))
-    rows = rows.filter(F.col("day").isNotNull() & M.usable(F.col("km")))
-    rows = rows.groupBy("vehicle_id", "day", "km").agg(F.max_by("kind", rank).alias("kind"), F.collect_set("source").alias("sources"))
+    # Rows without a reading meet in one group a vehicle, which goes by a maximum: Spark can't push that filter down and compute readings twice.
+    rows = rows.withColumn("day", F.when(F.col("km").isNotNull(), F.col("day")))
+    rows = rows.groupBy("vehicle_id", "day", "km").agg(F.max_by("kind", rank).alias("kind"), F.collect_set("source").alias("sources"), F.max(F.when(F.col("day").isNotNull(), F.col("km"))).alias("_k"))
+    rows = rows.filter(M.usable(F.col("_k"))).drop("_k")
     order = ["day", "km"]
     w = run_window(["vehicle_id"], order)
     runs = with_runs(rows, ["vehicle_id"], order, (F.col("kind") == "listing") & (F.lag("kind").over(w) == "listing") & (F.lag("km").over(w) == F.col("km")))
@@ -80,14 +92,14 @@ def is_accident(kind: Column) -> Column:
 
 def accidents(events: DataFrame) -> DataFrame:
     """(vehicle_id, day, type, category, damage, repair_total, currency, source, km): a row for each accident that says anything."""
-    m, kind = F.col("metadata"), F.lower("event_type")
+    m, kind = F.col("_m"), F.lower("event_type")
     part, labor, paint = (meta.number(m, n) for n in ("partCost", "laborCost", "paintingCost"))
     total = F.when(F.coalesce(part, labor, paint).isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in (part, labor, paint)), F.lit(0.0)))
     what = F.when(kind == "flood_damage", "flood_damage").otherwise("accident")
     category = F.when(kind == "flood_damage", "flood").when(kind == "total_loss", "total_loss").otherwise(meta.text(m, "type", "rawType"))
-    rows = events.filter(is_accident(F.col("event_type"))).select(
+    rows = with_km(with_meta(events.filter(is_accident(F.col("event_type"))))).select(
         "vehicle_id", F.coalesce(meta.text(m, "date"), dates.day_of(F.col("occurred_at")), F.lit("Unknown date")).alias("day"), what.alias("type"), category.alias("category"), meta.text(m, "value", "damage").alias("damage"),
-        F.coalesce(meta.number(m, "repairTotal"), total).alias("repair_total"), meta.text(m, "currency").alias("currency"), meta.text(m, "source").alias("source"), _meta_km(m, F.col("description")).alias("km"),
+        F.coalesce(meta.number(m, "repairTotal"), total).alias("repair_total"), meta.text(m, "currency").alias("currency"), meta.text(m, "source").alias("source"), F.col("_km").alias("km"),
         F.col("description").alias("_d"),
     )
     return rows.filter(F.coalesce("damage", "category", F.nullif(F.trim("_d"), F.lit(""))).isNotNull() | (F.col("repair_total") > 0)).drop("_d")
@@ -96,7 +108,7 @@ def accidents(events: DataFrame) -> DataFrame:
 def owner_changes(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, day, sequence, info, plate, km, source): one change of owner a day (E20). A row's fields come from the day's best row, gaps from the next best;
     a plate may come from any event of that day."""
-    m = F.col("metadata")
+    events, m = with_meta(events), F.col("_m")
     plate = meta.text(m, "plate", "carNo")
     plates = events.select("vehicle_id", dates.day_of(F.col("occurred_at")).alias("_pd"), plate.alias("_p"), F.struct("occurred_at", *ties).alias("_o")).filter("_p IS NOT NULL")
     plates = plates.groupBy("vehicle_id", "_pd").agg(F.max_by("_p", "_o").alias("_day_plate"))
@@ -121,10 +133,10 @@ def auction_sales(events: DataFrame, observations: DataFrame, ties: Sequence[Col
     Events come first, merged by day and amount. A sold observation (vehicle_id, day, amount, currency) is covered by the vehicle's sale of the same amount or, where
     either amount is missing, of the same day (J13), and then gives an amount that the first such sale lacks; others become sales of their own, merged alike. That is
     two phases: an observation that only an earlier observation's row would cover is merged by day and amount alone."""
-    m = F.col("metadata")
+    events, m = with_meta(events.filter("event_type = 'sale'")), F.col("_m")
     stated = F.regexp_extract("description", r"(?i)(?:Final price|Buy now|Sold for)\s*:?\s*\$?\s*([\d,]+(?:\.\d+)?)", 1)
     amount = F.coalesce(meta.number(m, "priceAmount", "amount", "finalPrice", "buyNowPrice", "auctionPrice"), F.replace(stated, F.lit(","), F.lit("")).try_cast("double"))
-    sales = events.filter("event_type = 'sale'").select(
+    sales = events.select(
         "vehicle_id", F.coalesce(meta.text(m, "soldDate"), dates.day_of(F.col("occurred_at"))).alias("day"), amount.alias("amount"), meta.text(m, "priceCurrency", "currency").alias("currency"), F.struct("occurred_at", *ties).alias("_o"),
     ).filter("day IS NOT NULL")
     sales = sales.groupBy("vehicle_id", "day", "amount").agg(F.min_by("currency", F.when(F.col("currency").isNotNull(), F.col("_o"))).alias("currency"), F.min("_o").alias("_o"))
@@ -144,7 +156,8 @@ def auction_sales(events: DataFrame, observations: DataFrame, ties: Sequence[Col
 def salvage_records(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, salvage, title, state, status, day, source): one row for each vehicle with title or loss events (E22). salvage: any event flags it; the other
     fields are the first in the order that say anything. Counts of zero losses are no signal."""
-    m, kind, desc = F.col("metadata"), F.lower("event_type"), F.coalesce("description", F.lit(""))
+    events = with_meta(events)
+    m, kind, desc = F.col("_m"), F.lower("event_type"), F.coalesce("description", F.lit(""))
     value = meta.text(m, "value", "title", "damageClass")
     field = F.lower(F.coalesce(meta.text(m, "field"), F.lit("")))
     count = F.coalesce(meta.number(m, "totalLossCnt", "floodTotalLossCnt"), F.when(field.isin("total_loss", "totalloss", "total_loss_count", "flood_loss_count"), meta.number(m, "value")))
@@ -184,7 +197,7 @@ def body_panels(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 def extra_specs(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, key, value, day): specifications, each key and value once with its first day (E24); of first registrations only the most precise."""
-    m = F.col("metadata")
+    events, m = with_meta(events), F.col("_m")
     field = F.lower(F.regexp_replace(meta.text(m, "field"), "[^A-Za-z0-9]+", "_"))
     first = is_first_registration(F.col("event_type"), F.col("description"), m)
     key = F.when(first, "first_registration").otherwise(field)
@@ -197,16 +210,16 @@ def extra_specs(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return one.withColumn("_n", n).filter("_n = 1").drop("_n", "o")
 
 
-def same_day_identity(kind: Column, desc: Column, metadata: Column) -> Column:
+def same_day_identity(kind: Column, desc: Column, m: Column) -> Column:
     """What events of a day must share to be the same thing (E25): handoffs of a new vehicle, completed inspections, registration changes, repairs, insurance by wording
     and amount; else type and normal wording."""
-    what = F.lower(F.coalesce(meta.text(metadata, "type"), F.lit("")))
+    what = F.lower(F.coalesce(meta.text(m, "type"), F.lit("")))
     d = F.coalesce(desc, F.lit(""))
     insurance = F.regexp_replace(F.regexp_replace(F.lower(d), "[^a-z0-9]+", "_"), "^_|_$", "")
     return (
-        F.when(is_first_registration(kind, desc, metadata) | (what == "new_car_delivery"), "new_vehicle_start").when((what == "inspection") | d.rlike(r"(?i)^(car|automobile)\s+inspection\s+completed\b"), "inspection_completed")
+        F.when(is_first_registration(kind, desc, m) | (what == "new_car_delivery"), "new_vehicle_start").when((what == "inspection") | d.rlike(r"(?i)^(car|automobile)\s+inspection\s+completed\b"), "inspection_completed")
         .when((what == "registration_change") | d.rlike(r"(?i)^change\s+registration\b"), "registration_change").when(d.rlike(r"(?i)maintenance\s*/?\s*repair\s+history"), "maintenance_repair")
-        .when((what == "insurance_event") | d.rlike(r"(?i)^(?:insurance\s+processing|no\s+car\s+insurance)\b"), F.concat_ws("|", F.lit("insurance"), insurance, F.coalesce(meta.text(metadata, "amount"), F.lit(""))))
+        .when((what == "insurance_event") | d.rlike(r"(?i)^(?:insurance\s+processing|no\s+car\s+insurance)\b"), F.concat_ws("|", F.lit("insurance"), insurance, F.coalesce(meta.text(m, "amount"), F.lit(""))))
         .otherwise(F.concat_ws("|", F.lower(F.coalesce(kind, F.lit("other"))), text.same_day_text(d)))
     )
 
@@ -214,25 +227,31 @@ def same_day_identity(kind: Column, desc: Column, metadata: Column) -> Column:
 def timeline(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, day, event_type, description, occurred_at): the events of the timeline (E25, W3). Accidents, sales, title and loss events have tables of their own;
     of first registrations the best stays, of owner changes one a day, of insurance gaps one a field, and of the same thing on one day the richest."""
-    m, desc = F.col("metadata"), F.coalesce("description", F.lit(""))
+    m, desc = F.col("_m"), F.coalesce("description", F.lit(""))
     kind = F.lower("event_type")
-    rows = events.filter(~is_accident(F.col("event_type")) & ~kind.isin("sale", "title_status", "total_loss") & ~text.salvage(desc))
-    first = is_first_registration(F.col("event_type"), F.col("description"), m)
-    gap = F.coalesce(meta.text(m, "field").rlike(r"(?i)^notJoinDate\d+$") | desc.rlike(r"(?i)^insurance coverage gap\s*:"), F.lit(False))
-    owner = kind == "owner_change"
-    day = F.coalesce(dates.day_of(F.col("occurred_at")), dates.day(meta.text(m, "date")), F.lit("unknown"))
+    rows = with_meta(events.filter(~is_accident(F.col("event_type")) & ~kind.isin("sale", "title_status", "total_loss") & ~text.salvage(desc)))
+    # What several expressions need is a column first, so that it is computed once.
+    rows = rows.withColumns({
+        "_first": is_first_registration(F.col("event_type"), F.col("description"), m), "_field": F.coalesce(meta.text(m, "field"), F.lit("")), "_value": meta.text(m, "value"), "_source": meta.text(m, "source"), "_date": meta.text(m, "date"),
+        "_read": meta.text(m, "mileageKm", "mileage").isNotNull(), "_odo": meta.text(m, "odometer").isNotNull(), "_seq": meta.text(m, "sequence").isNotNull(), "_plate": meta.text(m, "plate", "carNo").isNotNull(), "_amount": meta.text(m, "amount").isNotNull(),
+        "_id": same_day_identity(F.col("event_type"), F.col("description"), m),
+    }).drop("_m")
+    first, owner, points = F.col("_first"), kind == "owner_change", lambda c, n: F.when(c, n).otherwise(0)
+    gap = F.col("_field").rlike(r"(?i)^notJoinDate\d+$") | desc.rlike(r"(?i)^insurance coverage gap\s*:")
+    day = F.coalesce(dates.day_of(F.col("occurred_at")), dates.day(F.col("_date")), F.lit("unknown"))
     owner_score = (
-        F.when(meta.text(m, "mileageKm", "mileage").isNotNull(), 50).otherwise(0) + F.when(desc.rlike(r"(?i)\d[\d,]*\s*km"), 40).otherwise(0) + F.when(desc.rlike(r"(?i)owner change\s+\d+\s+of\s+\d+"), 30).otherwise(0)
-        + F.when(meta.text(m, "sequence").isNotNull(), 10).otherwise(0) + F.when(meta.text(m, "plate", "carNo").isNotNull(), 8).otherwise(0) - F.when(desc.rlike("(?i)^ownership$"), 5).when(desc.rlike("(?i)^owner change$"), 3).otherwise(0)
+        points(F.col("_read"), 50) + points(desc.rlike(r"(?i)\d[\d,]*\s*km"), 40) + points(desc.rlike(r"(?i)owner change\s+\d+\s+of\s+\d+"), 30)
+        + points(F.col("_seq"), 10) + points(F.col("_plate"), 8) - F.when(desc.rlike("(?i)^ownership$"), 5).when(desc.rlike("(?i)^owner change$"), 3).otherwise(0)
     )
     gap_score = F.when(desc.rlike(r"\d{4}-\d{2}\s+to\s+\d{4}-\d{2}"), 100).when(desc.rlike(r"\d{6}\s+to\s+\d{6}"), 40).otherwise(0) + F.least(F.length(desc), F.lit(80))
     rich = (
-        F.length(desc) + F.when(desc.rlike(r"(?i)new\s*car\s*delivery"), 80).when(desc.rlike(r"(?i)new\s*car\s*shipment"), 40).otherwise(0) + F.when(meta.text(m, "mileageKm", "mileage", "odometer").isNotNull(), 50).otherwise(0)
-        + F.when(meta.text(m, "amount").isNotNull(), 20).otherwise(0) + F.when(meta.text(m, "source") == "registry", 30).otherwise(0) + F.when(kind == "delivery", 25).otherwise(0)
+        F.length(desc) + F.when(desc.rlike(r"(?i)new\s*car\s*delivery"), 80).when(desc.rlike(r"(?i)new\s*car\s*shipment"), 40).otherwise(0) + points(F.col("_read") | F.col("_odo"), 50)
+        + points(F.col("_amount"), 20) + points(F.col("_source") == "registry", 30) + points(kind == "delivery", 25)
     )
-    group = F.when(first, F.lit("first")).when(owner, F.concat(F.lit("owner|"), F.coalesce(meta.text(m, "date"), day))).when(gap, F.concat(F.lit("gap|"), F.coalesce(meta.text(m, "field"), F.lit("")))).otherwise(F.concat_ws("|", F.lit("day"), day, same_day_identity(F.col("event_type"), F.col("description"), m)))
-    score = F.when(first, first_registration_score(meta.text(m, "value"), meta.text(m, "source"))).when(owner, owner_score).when(gap, gap_score).otherwise(rich)
-    rows = rows.withColumns({"_g": group, "_s": score, "day": day, "_id": same_day_identity(F.col("event_type"), F.col("description"), m), "_r": rich})
+    rows = rows.withColumns({"day": day, "_r": rich, "_gap": gap})
+    group = F.when(first, F.lit("first")).when(owner, F.concat(F.lit("owner|"), F.coalesce("_date", "day"))).when(F.col("_gap"), F.concat(F.lit("gap|"), "_field")).otherwise(F.concat_ws("|", F.lit("day"), "day", "_id"))
+    score = F.when(first, first_registration_score(F.col("_value"), F.col("_source"))).when(owner, owner_score).when(F.col("_gap"), gap_score).otherwise(F.col("_r"))
+    rows = rows.withColumns({"_g": group, "_s": score}).select("vehicle_id", "day", "event_type", "description", "occurred_at", "_id", "_r", "_g", "_s", *(t for t in ties if t not in ("event_type", "description", "occurred_at")))
     rows = first_per_key(rows, ["vehicle_id", "_g"], [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
     rows = first_per_key(rows, ["vehicle_id", "day", "_id"], [F.col("_r").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
     return rows.select("vehicle_id", "day", "event_type", "description", "occurred_at")

@@ -127,8 +127,9 @@ def distinct_events(events: DataFrame, order: Sequence[Column | str]) -> DataFra
     return first_per_key(keyed, ["vehicle_id", "event_type", "_day", "_desc"], order).drop("_day", "_desc")
 
 
-def is_first_registration(kind: Column, desc: Column, metadata: Column) -> Column:
-    field = F.coalesce(meta.text(metadata, "field", "kind"), F.lit(""))
+def is_first_registration(kind: Column, desc: Column, m: Column) -> Column:
+    """m: parsed metadata."""
+    field = F.coalesce(meta.text(m, "field", "kind"), F.lit(""))
     return F.coalesce(field.isin("firstDate", "firstRegistration", "firstRegistrationDate") | ((F.lower(kind) == "delivery") & desc.rlike(FIRST_REGISTRATION)), F.lit(False))
 
 
@@ -140,8 +141,8 @@ def first_registration_score(value: Column, source: Column) -> Column:
 
 def best_first_registrations(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, value, source, score, occurred_at): each vehicle's most precise first registration; the earliest of equals."""
-    m = F.col("metadata")
-    some = events.filter(is_first_registration(F.col("event_type"), F.col("description"), m))
+    m = F.col("_m")
+    some = events.withColumn("_m", meta.parsed(F.col("metadata"))).filter(is_first_registration(F.col("event_type"), F.col("description"), m))
     some = some.withColumns({"value": meta.text(m, "value"), "source": meta.text(m, "source")})
     some = some.withColumn("score", first_registration_score(F.col("value"), F.col("source")))
     best = richest_per_key(some, ["vehicle_id"], F.col("score"), [F.col("occurred_at").asc_nulls_last(), *ties])

@@ -211,8 +211,8 @@ def public_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vinlake.functions import meta
     from vinlake.operators.projections import public_events as shown
 
-    m = F.col("metadata")
-    return shown(D.events(spark, sf_dir)).select("vehicle_id", "order_id", "line", meta.text(m, "date").alias("day"), meta.text(m, "currency").alias("currency"), meta.text(m, "source").alias("source"))
+    m = F.col("m")
+    return shown(D.events(spark, sf_dir)).withColumn("m", meta.parsed(F.col("metadata"))).select("vehicle_id", "order_id", "line", meta.text(m, "date").alias("day"), meta.text(m, "currency").alias("currency"), meta.text(m, "source").alias("source"))
 
 
 @query(

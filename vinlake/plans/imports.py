@@ -83,7 +83,7 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), (F.col("l_quantity") * 10).alias("insuranceBenefit"), F.lit("1").alias("type")))).alias("accidents"),
     )).alias("raw"))
     out = record_events(raw)
-    benefit = meta.number(F.col("metadata"), "insuranceBenefit")
+    benefit = meta.number(meta.parsed(F.col("metadata")), "insuranceBenefit")
     return out.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "owner_change").alias("owners"), F.count_if(F.col("event_type") == "accident").alias("accidents"), F.sum(benefit).alias("cost"))
 
 

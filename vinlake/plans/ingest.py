@@ -116,7 +116,7 @@ def sale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sale events of sold listings; their metadata is read back."""
     from vinlake.functions import meta
 
-    out, m = I.sale_events(D.listings(spark, sf_dir)), F.col("metadata")
+    out, m = I.sale_events(D.listings(spark, sf_dir)).withColumn("m", meta.parsed(F.col("metadata"))), F.col("m")
     return out.select("vehicle_id", "description", meta.number(m, "priceAmount").cast("long").alias("price_amount"), meta.text(m, "soldDate").alias("sold_date"))
 
 

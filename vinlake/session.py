@@ -1,4 +1,4 @@
-"""Spark sessions with the settings that results depend on."""
+"""Spark sessions with the settings that results and speed depend on."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM compiles no method of over 8,000 bytes: beyond that, generated code in many small methods is faster than one that stays interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
