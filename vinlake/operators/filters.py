@@ -29,27 +29,30 @@ class Search:
     provider: int | None = None
 
 
-def vehicle_conditions(s: Search, omit: str | None = None) -> Column:
-    """Conditions on vehicle columns, with one dimension left out for its own facet (F1-F7). Prices and providers stand on listings and are not among them."""
-    parts: list[Column] = [F.lit(True)]
+def by_dimension(s: Search) -> dict[str, Column]:
+    """Conditions on vehicle columns, by the dimension that they limit; only those that the search gives."""
+    out: dict[str, Column] = {}
     if s.search:
         q = s.search.strip()
         if re.fullmatch(r"(?i)[A-HJ-NPR-Z0-9]{11,17}", q):  # shaped like an identifier: a prefix, which a scan can skip by
-            parts.append(F.startswith(F.col("vin"), F.lit(q.upper())))
+            out["search"] = F.startswith(F.col("vin"), F.lit(q.upper()))
         else:
-            parts.append(reduce(Column.__or__, (F.contains(F.lower(c), F.lit(q.lower())) for c in ("vin", "make", "model"))))
-    if s.make and omit != "make":
-        parts.append(F.lower("make") == s.make.lower())
-    if s.model and omit != "model":
-        parts.append(F.lower("model").isin(labels.model_spellings(s.model)))
-    if s.fuel and omit != "fuel":
-        parts.append(labels.fuel(F.col("fuel_type")) == s.fuel)
-    if s.country and omit != "country":
-        parts.append(geo.key(F.col("country")).isin(geo.spellings(s.country)))
-    if omit != "year":
-        parts += [F.col("year") >= s.year_from] if s.year_from is not None else []
-        parts += [F.col("year") <= s.year_to] if s.year_to is not None else []
-    return reduce(Column.__and__, parts)
+            out["search"] = reduce(Column.__or__, (F.contains(F.lower(c), F.lit(q.lower())) for c in ("vin", "make", "model")))
+    if s.make:
+        out["make"] = F.lower("make") == s.make.lower()
+    if s.model:
+        out["model"] = F.lower("model").isin(labels.model_spellings(s.model))
+    if s.fuel:
+        out["fuel"] = labels.fuel(F.col("fuel_type")) == s.fuel
+    if s.country:
+        out["country"] = geo.key(F.col("country")).isin(geo.spellings(s.country))
+    years = ([F.col("year") >= s.year_from] if s.year_from is not None else []) + ([F.col("year") <= s.year_to] if s.year_to is not None else [])
+    return out | ({"year": reduce(Column.__and__, years)} if years else {})
+
+
+def vehicle_conditions(s: Search, omit: str | None = None) -> Column:
+    """All of them, with one dimension left out for its own facet. Prices and providers stand on listings and are not among them."""
+    return reduce(Column.__and__, (c for d, c in by_dimension(s).items() if d != omit), F.lit(True))
 
 
 def listing_conditions(s: Search) -> Column | None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vinlake.functions import geo, labels
 from vinlake.functions.money import SAMPLE_RATES, effective_usd
-from vinlake.operators.filters import Search, listing_conditions, missing, vehicle_conditions
+from vinlake.operators.filters import Search, by_dimension, listing_conditions, missing, vehicle_conditions
 from vinlake.operators.windows import first_per_key
 from vinlake.plans.registry import query
 from vinlake.sources import domain as D
@@ -24,11 +26,26 @@ def found(vehicles: DataFrame, listings: DataFrame, s: Search, omit: str | None
     return out if on is None else out.join(listings.filter(on).select(F.col("vehicle_id").alias("id")), "id", "left_semi")
 
 
-def facet(df: DataFrame, name: str) -> DataFrame:
-    """(value, n): canonical labels are counted, so rows need no merging afterwards."""
-    value = {"fuel": F.coalesce(labels.fuel(F.col("fuel_type")), F.trim("fuel_type")), "model": labels.model(F.col("model")), "country": geo.country(F.col("country")), "transmission": F.col("trim")}.get(name, F.col(name).cast("string"))
-    rows = df.select(value.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return rows.orderBy(F.col("n").desc(), "value").limit(FACETS[name])
+def facets(vehicles: DataFrame, listings: DataFrame, s: Search) -> DataFrame:
+    """(facet, value, n): for each facet its most frequent values among vehicles that fit all conditions but those of its own dimension.
+
+    One scan and one semi-join serve all facets: each vehicle is tested once by each dimension, gives a row for each facet that it counts for, and those are summed up
+    within tasks before the shuffle. Canonical labels are counted, so nothing has to be merged afterwards."""
+    on, dims = listing_conditions(s), by_dimension(s)
+    rows = vehicles if on is None else vehicles.join(listings.filter(on).select(F.col("vehicle_id").alias("id")), "id", "left_semi")
+    fuel = F.coalesce(labels.fuel(F.col("fuel_type")), F.trim("fuel_type"))
+    values = {"fuel": fuel, "make": F.col("make"), "model": labels.model(F.col("model")), "country": geo.country(F.col("country")), "year": F.col("year").cast("string"), "transmission": F.col("trim")}
+    rows = rows.select(*(c.alias(f"ok_{d}") for d, c in dims.items()), *(values[name].alias(name) for name in FACETS))
+
+    def entry(name: str) -> Column:
+        fits = reduce(Column.__and__, (F.coalesce(F.col(f"ok_{d}"), F.lit(False)) for d in dims if d != name), F.lit(True))
+        return F.when(fits & F.col(name).isNotNull(), F.struct(F.lit(name).alias("facet"), F.col(name).alias("value")))
+
+    each = rows.select(F.explode(F.filter(F.array(*map(entry, FACETS)), lambda x: x.isNotNull())).alias("x")).select("x.facet", "x.value")
+    counts = each.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    most = F.element_at(F.create_map(*(F.lit(x) for pair in FACETS.items() for x in pair)), F.col("facet"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "value"))
+    return counts.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
 
 
 _FUELS = "CASE fuel_type " + " ".join(f"WHEN '{raw}' THEN '{out}'" for raw, out in zip(D.FUELS, ("Diesel", "Gasoline", "Plug-in Hybrid", "Diesel", "Diesel", "Hybrid", "Electric", "LPG", "Other"))) + " END"
@@ -45,13 +62,8 @@ def _facet_sql(name: str) -> str:
 
 @query(f"""{D.with_tables("vehicles", "listings")} {" UNION ALL ".join(map(_facet_sql, FACETS))}""")
 def vehicle_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six facets of one search, each without its own condition (A16). The semi-join's keys are computed once and shared by all of them: Spark reuses the exchange."""
-    v, x = D.vehicles(spark, sf_dir), D.listings(spark, sf_dir)
-    out = None
-    for name in FACETS:
-        one = facet(found(v, x, SEARCH, omit=name), name).select(F.lit(name).alias("facet"), "value", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Six facets of one search, each without its own condition."""
+    return facets(D.vehicles(spark, sf_dir), D.listings(spark, sf_dir), SEARCH)
 
 
 @query(
@@ -98,8 +110,6 @@ FROM latest JOIN vehicles ON vehicle_id = vehicles.id JOIN providers ON provider
 )
 def listing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a CSV export: the latest snapshot of each listing with dollars, euros and miles."""
-    from pyspark.sql import Window
-
     x = D.listings(spark, sf_dir).withColumn("first_seen_at", F.min("seen_at").over(Window.partitionBy("provider_id", "source_id")))
     x = first_per_key(x, ["provider_id", "source_id"], latest_first()).withColumn("last_seen_at", F.col("seen_at"))
     out = export_rows(x, D.vehicles(spark, sf_dir), D.providers(spark, sf_dir))
