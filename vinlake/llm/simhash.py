@@ -212,8 +212,8 @@ def _keys(more: int) -> list[Column]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, j) of classes with the Jaccard similarity of their sets of word shingles, if it is at least `similarity`. docs: (th, t), texts and their hashes; classes: (c, th), the hash
-    of one text of each class."""
+    """The pairs (a, b, j) of classes with the Jaccard similarity of their sets of word shingles, if it is at least `similarity`. docs: (th, t), texts and their hashes;
+    classes: (c, th), the hash of one text of each class."""
     pairs = as_table(pairs.distinct())
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     some = as_table(classes.join(broadcast_if_small(ids, MAX_BROADCAST), "c", "left_semi").select("c", "th"))
@@ -274,6 +274,7 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     classes = as_table(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("n").alias("n"), *(F.min(F.get("f", F.lit(r))).alias(f"f{r}") for r in range(FAMILIES))))
     prints = classes.select("c", "n", F.array(*(f"f{r}" for r in range(FAMILIES))).alias("f"))
     docs = docs.select("th", "t")
+
     def close(one: str, two: str) -> Column:
         """Numbers of shingles that allow the similarity."""
         return F.least(one, two) >= similarity * F.greatest(one, two)
