@@ -30,11 +30,15 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that of the smallest id (of rows that repeat it, one)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that of the smallest id, then of the smallest text hash; a null id
+    comes last. Of rows that repeat an id and a text the one of the smallest other columns stays. Rows that only share an id are documents of their own."""
     found = simhash.similar_texts(docs, width=5, similarity=0.8)
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(heads, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th")))
+    heads = found.groupBy("root_id").agg(first.alias("first")).select("first.id", "first.th")
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")), "left_semi")
+    one = kept.groupBy("doc_id", "text_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

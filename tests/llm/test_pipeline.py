@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tests.conftest import SF_DIR
+from tests.llm.odd import TEXTS, odd_docs
 from vinlake.llm import pieces
 
 
@@ -17,3 +18,28 @@ def test_stages_and_rows(spark):
     assert final.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and final.filter("not round_trip").isEmpty() and final.count() > 0
     first = pieces.decode(final.limit(5)).collect()
     assert all(r.text for r in first)
+
+
+def test_near_dedup_keeps_null_and_repeated_ids(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    def rows(docs):
+        return sorted((tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()), key=repr)
+
+    given = [
+        (None, text("a"), "en", "s1"), (None, text("b"), "en", "s1"), (None, text("b") + " more", "en", "s2"),  # no id at all: two groups
+        (1, text("c"), "en", "s1"), (None, text("c"), "en", "s1"),  # a copy without an id
+        (5, text("c") + " more", "en", "s1"), (5, text("d"), "en", "s1"), (5, text("e"), "en", "s1"),  # one id: a near copy of 1 and two clean texts
+        (7, text("f"), "fr", "s2"), (7, text("f"), "en", "s3"), (7, text("f"), "en", "s2"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(docs)
+    kept = {(r[0], r[1]) for r in got}
+    assert len(got) == len(kept) == 6 and all(len(r[1]) == r[4] for r in got)
+    assert kept - {(None, text("b")), (None, text("b") + " more")} == {(None, text("a")), (1, text("c")), (5, text("d")), (5, text("e")), (7, text("f"))}
+    assert [r[2:4] for r in got if r[0] == 7] == [("en", "s2")]
+    assert rows(docs.orderBy("text", ascending=False)) == rows(docs.repartition(5)) == got
+
+    odd = {(r[0], r[1]) for r in rows(odd_docs(spark))}
+    assert {(None, "an id that is null"), (3, "another text"), (3, TEXTS[3])} <= odd and not {6, 12} & {i for i, _ in odd}

@@ -244,13 +244,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, component_id) of every row of df: texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity` are linked.
+    """(doc_id, class_id, component_id, text_hash, root_id) of every row of df: texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity` are linked.
 
     Texts of equal words (A-Z in lower case, ASCII white space between them) are one class, named by a hash. A class has FAMILIES fingerprints of its shingles. Candidates
     share a whole segment of one of them and then stay within the ring's budget of RING_BITS over CHECKED fingerprints from there on; each is compared in full by its
     shingles. Pairs that the filter misses are few (the README has the figures). component_id: the smallest id that is reachable over links, the row's own included.
     Null, empty and blank texts are one class. A null id is no component_id unless all ids of its component are null. Repeated rows each return a row; other columns
-    are left out.
+    are left out. text_hash: xxhash64 of the text. root_id: the class that names the component, never null, so components without an id or with the same one stay apart.
 
     No group is paired off in full. First each class meets the oldest class of the blocks of longer keys that hold it. The components of those links are then left
     alone: only classes of different components are compared. And as the Jaccard distance is a metric, two classes that were both compared with a third can be alike
@@ -309,5 +309,6 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     star = connected(first.union(second))
     rooted = classes.select("c", "least").join(star, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(component, "root").select("c", "component_id")
-    return rows.select("doc_id", "c").join(named, "c").select("doc_id", F.lower(F.hex("c")).alias("class_id"), "component_id")
+    named = rooted.join(component, "root").select("c", "component_id", "root")
+    rows = rows.select("doc_id", "c", "th").join(named, "c")
+    return rows.select("doc_id", F.lower(F.hex("c")).alias("class_id"), "component_id", F.col("th").alias("text_hash"), F.lower(F.hex("root")).alias("root_id"))
