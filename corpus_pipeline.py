@@ -18,9 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or without a letter (`und`) go. A missing lang gets the predicted one."""
-    found = langid.identify(docs, langid.fit(docs), carry=("text", "lang", "source", "n_chars"))
-    return found.filter("lang_pred != 'und'").select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    """Documents with a language: those without text or without a letter, and those that no learnt language explains (`und`) go. lang becomes the predicted one where it
+    is missing or the prediction is confident; a given lang stands against a prediction that isn't."""
+    found = langid.identify(docs, langid.fit(docs, purge=True), carry=("text", "lang", "source", "n_chars"), reject=True)
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= langid.CONFIDENT), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.filter("lang_pred != 'und'").select("doc_id", "text", lang.alias("lang"), "source", "n_chars")
 
 
 def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

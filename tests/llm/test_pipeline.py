@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.odd import TEXTS, odd_docs
@@ -43,3 +45,28 @@ def test_near_dedup_keeps_null_and_repeated_ids(spark):
 
     odd = {(r[0], r[1]) for r in rows(odd_docs(spark))}
     assert {(None, "an id that is null"), (3, "another text"), (3, TEXTS[3])} <= odd and not {6, 12} & {i for i, _ in odd}
+
+
+def test_language_decides(spark):
+    """Wrong tags are overruled, text of no learnt language goes, and all else stays as it was."""
+    words = {
+        "en": "the of and to in that was his with as had this from they not which have were their there been would when who will more said what about up out them".split(),
+        "de": "der die und in den von zu das mit sich des auf nicht eine als auch es an werden aus er hat dass sie nach wird bei einer um noch wie einem über".split(),
+        "fr": "le de un être et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous comme leur si même".split(),
+    }
+    rng = random.Random(11)
+
+    def text(lang, n=60):
+        at = rng.randrange(40)  # words follow each other in some order, as they do in sentences
+        return " ".join(words[lang][(at := at + rng.choice((1, 1, 1, 2))) % len(words[lang])] for _ in range(n))
+
+    clean = [(i, text(x), x, "s", 0) for i, x in enumerate(x for x in words for _ in range(60))]
+    tagged = [(1000 + i, text(x), y, "s", 0) for i, (x, y) in enumerate([("de", "en"), ("fr", "de"), ("en", None)])]
+    noise = "".join(rng.choice("bcdfghjklmnpqrstvwxyz ") for _ in range(400))
+    strange = [(2000, noise, "en", "s", 0), (2001, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 4, "en", "s", 0), (2002, noise, None, "s", 0)]
+    short = [(3000, "the", "en", "s", 0), (3001, "+49 30 1234567 und", "de", "s", 0)]
+    docs = spark.createDataFrame(clean + tagged + strange + short, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, SF_DIR).collect()}
+    assert [got.pop(1000 + i, None) for i in range(3)] == ["de", "fr", "en"]
+    assert not {2000, 2001, 2002} & set(got)
+    assert got == {r[0]: r[2] for r in clean + short}
