@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF_DIR
 from tests.llm.odd import odd_docs
 from vinlake.llm import quality_rules
@@ -45,3 +47,11 @@ def test_frequent_lines_and_odd_rows(spark):
     odd = quality_rules.rule_quality(odd_docs(spark))
     assert odd.count() == odd_docs(spark).count() and all(r.base_failed for r in odd.collect() if r.n_words == 0)
     assert quality_rules.rule_quality(odd_docs(spark, 0)).count() == 0
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    line = "menu of this site " * 10
+    text = F.when(F.col("doc_id") < 51, F.concat(F.lit(line + "\n"), F.col("doc_id").cast("string"))).when(F.col("doc_id") < 101, F.concat(F.lit("rarer " + line + "\n"), F.col("doc_id").cast("string")))
+    df = spark.range(60_000).select(F.col("id").alias("doc_id")).select("doc_id", F.coalesce(text, F.concat(F.lit("w"), "doc_id")).alias("text"), F.lit("a").alias("source"))
+    got = {r.doc_id: r.n_cut_words for r in quality_rules.rule_quality(df).filter("n_cut_words > 0 or doc_id < 101").collect()}
+    assert got == {i: 40 if i < 51 else 0 for i in range(101)}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from vinlake.llm.common import as_table, broadcast_if_small, map_texts
 
-#: A line of a host is boilerplate if more documents of the host than LIMIT hold it, and more than SHARE of the host's rows.
-LIMIT, SHARE = 50, 0.001
+#: A line of a host is boilerplate if more documents of the host than LIMIT hold it, however large the host is.
+LIMIT = 50
 #: A document is depleted if less than this share of its words is in lines that stay.
 LEAST_LEFT = 0.3
 #: Rows (of a host and a hash) that are broadcast at most.
@@ -72,13 +72,13 @@ def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
 
 def rule_quality(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, share: float = SHARE, least_left: float = LEAST_LEFT
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_cut_words, kept) of every row.
 
     Words are runs of other than ASCII white space. n_dup_lines: lines with a word that equal an earlier one; n_repeat_words: words inside 3-word windows that are
     found twice or more. base_failed: under 50 words, or over half of them repeated. n_cut_words: words in lines that more than `limit` distinct documents of the
-    host hold, and more than `share` of its rows. kept: not base_failed, and at least least_left of the words are in other lines.
+    host hold. kept: not base_failed, and at least least_left of the words are in other lines.
 
     A null or empty text has no words and fails. Rows with a null host form a host of their own; a null id counts as no document; rows that repeat an id, text and
     host get the same result, each as a row. Other columns are left out.
@@ -88,8 +88,6 @@ def rule_quality(
     # One row for each document and line, and then the documents of each host and line: each step sums within tasks before its shuffle.
     held = all_lines.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).filter("doc_id is not null")
     often = held.groupBy("host", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > limit)
-    hosts = df.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count(F.lit(1)).alias("n_rows"))
-    often = often.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > share * F.col("n_rows"))
     often = broadcast_if_small(as_table(often.select(F.col("host").alias("h2"), F.col("line").alias("l2"))), MAX_BROADCAST)
     # Where these are too many to broadcast, the rows of a hot line meet in one partition, which adaptive execution splits.
     cut = all_lines.join(often, F.col("host").eqNullSafe(F.col("h2")) & (F.col("line") == F.col("l2")), "left_semi")
