@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
+import duckdb
 
 from tests.conftest import SF_DIR
 from tests.llm.odd import odd_docs
@@ -18,20 +18,38 @@ def test_held_out_accuracy(spark):
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, t or ""))) for r, t in ((got[d.doc_id], d.text) for d in docs))
 
 
-def test_phrases_are_the_longest_matches():
-    rng = random.Random(1)
-    text = [rng.randrange(1, 4) for _ in range(300)]
-    a = langid.Automaton(text)
-    whole = "".join(map(chr, text))
-    for n in (1, 5, 80):
-        s = [rng.randrange(1, 5) for _ in range(n)]
-        count, at = 0, 0
-        while at < n:
-            length = 0
-            while at + length < n and "".join(map(chr, s[at : at + length + 1])) in whole:
-                length += 1
-            count, at = count + 1, at + max(1, length)
-        assert a.phrases(np.array(s)[:, None], np.array([n]))[0] == count
+def plain_parse(sample, text):
+    """Phrases by looking for ever longer parts in the sample."""
+    count, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n <= len(text) and text[at : at + n] in sample:
+            n += 1
+        count, at = count + 1, at + max(1, n - 1)
+    return count
+
+
+def test_counts_are_those_of_one_parse(monkeypatch):
+    """Whole texts over many blocks, characters that no sample has, and texts that the sample holds from end to end, so that a phrase runs over whole blocks."""
+    docs = duckdb.sql(f"SELECT text, lang FROM '{SF_DIR.replace('sf0.001', 'sf0.01')}/documents.parquet' WHERE text <> '' ORDER BY doc_id").fetchall()
+    texts = [langid.normal(t) for t, _ in docs if any(map(str.isalpha, t))]
+    samples = {"a": " ".join(texts[:4]), "b": " ".join(texts[4:7])}
+    for block in (langid.BLOCK, 16):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        given = [*texts[7:110], *texts[:4], samples["b"], "xy" + texts[2], "日本語 text", *(t[3:] for t in texts[100:200])]
+        found = langid.Model(samples).counter()(given)[0]
+        assert len(given) >= 200 and found.tolist() == [[plain_parse(samples[x], t) for x in "ab"] for t in given]
+
+
+def test_large_alphabets(spark):
+    """Two languages of 1,500 letters each, which share none, and a third of few letters."""
+    rng = random.Random(4)
+    alphabets = {"x": [chr(0x4E00 + i) for i in range(1500)], "y": [chr(0xAC00 + i) for i in range(1500)], "z": list("abcdefgh")}
+    rows = [(i, "".join(rng.choices(alphabets[x], k=300)), x) for i, x in enumerate(list("xyz") * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(held) > 20 and all(got[i].lang_pred == x for i, _, x in rows)
 
 
 def test_odd_rows(spark):

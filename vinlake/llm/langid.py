@@ -2,12 +2,12 @@
 
 For each language a suffix automaton of sample text is built. A text is parsed against each automaton into phrases, each the longest match that starts where the
 last phrase ended. Few phrases mean that the language's text explains this one; the phrase count times log2 of the sample's length, a character, estimates the
-cross entropy, and the smallest wins.
+cross entropy, and the smallest wins. A character that a sample doesn't hold is a phrase that also has to be spelt out, at LITERAL bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from math import log2
 
 import numpy as np
@@ -16,171 +16,237 @@ from pyspark.sql import functions as F
 
 from vinlake.llm.common import draw_order, learns, map_texts
 
-#: Bounds of the sample that is learnt from: documents a language and leading characters of each, and then characters a language.
-DOCS, EXCERPT, CHARS = 240, 250, 20_000
-#: Text is parsed in blocks of so many characters, each from a new phrase on, so that many blocks go through an automaton side by side.
+#: Bound of the sample that is learnt from: documents a language, each as a whole.
+DOCS = 20
+#: Texts are parsed in blocks of so many characters side by side; what a block's parse takes over from the block before is then put right, so that counts are those of one parse.
 BLOCK = 512
 #: Blocks that are parsed at once.
-WIDE = 2048
-#: Character classes: the most frequent characters have one each; class 0 is all others.
-CLASSES = 64
+WIDE = 8192
 #: No language explains a text that takes more than FAR times the phrases of held-in text (its worse tenth), and ALLOWED more: in a short text a number or a name weighs much.
-#: USUAL bits a character are granted at least, so that templates that fill a sample don't turn free text away.
-FAR, ALLOWED, USUAL = 1.75, 20, 3.5
-#: Score from which on a predicted language overrules the given one. In sf0.1 12 of 10,000 predictions differ from lang; the wrong ones among them score 0.21 at most.
-CONFIDENT = 0.25
-NONE, ROOT, DEAD = 0, 1, 2
+#: USUAL bits a character are granted at least, so that templates that fill a sample don't turn free text away. Held-in text is measured in pieces of PIECE characters.
+FAR, ALLOWED, USUAL, PIECE = 1.75, 20, 3.5, 250
+#: Bits that name one of all characters.
+LITERAL = 20
+#: Score from which on a predicted language overrules the given one.
+CONFIDENT = 0.45
 
 
 def normal(text: str) -> str:
-    """Lower case, with each run of white space or digits as one space or 0."""
-    return " ".join(text.lower().translate(_DIGITS).split())
-
-
-_DIGITS = {ord(c): "0" for c in "123456789"}
-
-
-class Automaton:
-    """A suffix automaton as a table: next state by state and character class; 0 where there is none. DEAD has no way on, so each next character starts a phrase."""
-
-    def __init__(self, codes: list[int]):
-        maps: list[dict[int, int]] = [{}, {}, {}]
-        link, length, last = [0, 0, 0], [0, 0, 0], ROOT
-        for c in codes:
-            if not c:  # an unknown character: no match runs across it
-                last = ROOT
-                continue
-            p, q = last, maps[last].get(c)
-            if q is not None and length[q] == length[p] + 1:  # seen before, after a break
-                last = q
-                continue
-            if q is not None:
+    """Lower case, with each run of characters that are no letters as one space: marks, digits and markup tell templates apart, not languages."""
+    return _OTHER.sub(" ", text.lower()).strip()
+
+
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The states' ways on, by character code; state 0 is the root."""
+    maps: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in codes:
+        new, p = len(maps), last
+        maps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and c not in maps[p]:
+            maps[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = maps[p][c]
+            if length[q] > length[p] + 1:
                 clone = len(maps)
                 maps.append(dict(maps[q]))
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p and maps[p].get(c) == q:
+                while p >= 0 and maps[p].get(c) == q:
                     maps[p][c] = clone
                     p = link[p]
-                link[q] = clone
-                last = clone
-                continue
-            new = len(maps)
-            maps.append({})
-            link.append(ROOT)
-            length.append(length[last] + 1)
-            while p and c not in maps[p]:
-                maps[p][c] = new
-                p = link[p]
-            if p:
-                q = maps[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    clone = len(maps)
-                    maps.append(dict(maps[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p and maps[p].get(c) == q:
-                        maps[p][c] = clone
-                        p = link[p]
-                    link[q] = link[new] = clone
-            last = new
-        self.table = np.zeros((len(maps), CLASSES), np.uint16 if len(maps) < 65_536 else np.int32)
+                link[q] = q = clone
+            link[new] = q
+        last = new
+    return maps
+
+
+class Automaton:
+    """A suffix automaton as one sparse array. Each state is a number of its own such that its way on by code c stands at `state + c`, as (state, next state) in 64
+    bits; a place that another state owns, or none, means that there is no way. So any alphabet fits, at the size of the ways there are. Code 0, a character that no
+    sample has, leads nowhere. DEAD has no way on: after it each next character starts a phrase."""
+
+    def __init__(self, codes: list[int], alphabet: int):
+        maps = suffix_automaton(codes)
+        number = [0] * len(maps)
+        owner: list[int] = [-1] * (4 * len(maps) + 4 * alphabet)
+        taken, last = {0}, 0  # 0 is DEAD
+        upto = [0] * (alphabet + 1)  # states of as many ways look for their places from here on: each place is tried once, at the cost of some that stay free
+        for s in sorted(range(len(maps)), key=lambda s: -len(maps[s])):
+            ways = sorted(maps[s])
+            if not ways:
+                continue  # as DEAD
+            at = max(upto[len(ways)], ways[0] + 1)
+            while owner[at] >= 0 or at - ways[0] in taken or any(owner[at - ways[0] + c] >= 0 for c in ways[1:]):
+                at += 1
+                if at + alphabet >= len(owner):
+                    owner += [-1] * len(owner)
+            number[s] = at - ways[0]
+            upto[len(ways)] = at
+            taken.add(number[s])
+            for c in ways:
+                owner[number[s] + c] = s
+            last = max(last, number[s])
+        self.ways = np.full(last + alphabet + 1, -1, np.int64)
         for s, m in enumerate(maps):
             for c, t in m.items():
-                self.table[s, c] = t
-        self.start = np.where(self.table[ROOT] == NONE, DEAD, self.table[ROOT]).astype(self.table.dtype)
-
-    def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each column of codes (block length x blocks, longest blocks first)."""
-        flat, state = self.table.ravel(), np.full(len(lengths), DEAD, np.int64)
-        found = np.zeros(len(lengths), np.int64)
-        alive = len(lengths)
-        for t in range(int(lengths[0]) if alive else 0):
+                self.ways[number[s] + c] = number[s] << 32 | number[t]
+        self.start, self.holds = np.zeros(alphabet + 1, np.int64), np.zeros(alphabet + 1, bool)
+        for c, t in maps[0].items():
+            self.start[c], self.holds[c] = number[t], True
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins."""
+        way = self.ways[state + c]
+        new = (way >> 32) != state
+        return np.where(new, self.start[c], way & 0xFFFFFFFF), new
+
+    def phrases(self, grid: np.ndarray, length: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block. grid: codes, a column a block; length: of each block; follows: the block before in the same text, -1 for a text's first block.
+
+        Every block is parsed as if a phrase began with it. Then the phrase that runs into a block is followed until one begins where one begins in the block's own parse,
+        from where on both agree. A block in which they never meet hands its new state on to the block after it.
+        """
+        n = len(length)
+        order = np.argsort(-length, kind="stable")
+        lengths, codes = length[order], grid[:, order]
+        begins = np.zeros((int(length.max(initial=0)), n), bool)
+        state, alive = np.zeros(n, np.int64), n
+        for t in range(len(begins)):
             while lengths[alive - 1] <= t:
                 alive -= 1
-            c = codes[t, :alive]
-            to = flat[state[:alive] * CLASSES + c]
-            ends = np.flatnonzero(to == NONE)
-            found[ends] += 1
-            to[ends] = self.start[c[ends]]
-            state[:alive] = to
-        return found
+            state[:alive], begins[t, :alive] = self.step(state[:alive], codes[t, :alive])
+        back = np.argsort(order, kind="stable")
+        begins, end = begins[:, back], state[back]
+        own, own_end = begins.sum(axis=0), end.copy()
+        count, todo = own.copy(), np.flatnonzero(follows >= 0)
+        next_of = np.full(n, -1)
+        next_of[follows[todo]] = todo
+        while len(todo):
+            at, s, more, t = todo, end[follows[todo]], np.zeros(len(todo), np.int64), 0
+            changed = []
+            behind = np.zeros(len(todo), np.int64)  # phrases of the block's own parse up to here
+            while len(at):
+                over = t >= length[at]
+                if over.any():  # the block ends before the parses meet
+                    count[at[over]] = more[over]
+                    moved = at[over][end[at[over]] != s[over]]
+                    end[at[over]] = s[over]
+                    changed.append(moved)
+                    at, s, more, behind = at[~over], s[~over], more[~over], behind[~over]
+                    if not len(at):
+                        break
+                s, new = self.step(s, grid[t, at])
+                both = new & begins[t, at]
+                count[at[both]] = more[both] + own[at[both]] - behind[both]
+                changed.append(at[both][end[at[both]] != own_end[at[both]]])
+                end[at[both]] = own_end[at[both]]
+                more, behind = more + new, behind + begins[t, at]
+                at, s, more, behind = at[~both], s[~both], more[~both], behind[~both]
+                t += 1
+            todo = next_of[np.concatenate([*changed, np.zeros(0, np.int64)]).astype(np.int64)]
+            todo = todo[todo >= 0]
+        return count
 
 
 class Model:
     """The languages' automata. samples: language to sample text."""
 
     def __init__(self, samples: dict[str, str]):
-        counts = Counter()
-        for text in samples.values():
-            counts.update(text)
-        self.classes = {ch: i + 1 for i, (ch, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 1])}
+        self.codes = {ch: i + 1 for i, ch in enumerate(sorted(set().union(*samples.values())))}
         self.languages = sorted(samples)
-        self.automata = [Automaton([self.classes.get(ch, 0) for ch in samples[x]]) for x in self.languages]
+        self.automata = [Automaton(self._coded(samples[x]), len(self.codes)) for x in self.languages]
         self.bits = np.array([log2(max(2, len(samples[x]))) for x in self.languages])
         self.usual = np.array([self._usual(samples[x]) for x in self.languages])
 
+    def _coded(self, text: str) -> list[int]:
+        return [self.codes[ch] for ch in text]
+
     def _usual(self, sample: str) -> float:
-        """Bits a character of held-in text: excerpts of a sample's second half by the automaton of its first half, the worse tenth; USUAL at least. Infinite if the sample is too short."""
-        codes = np.array([self.classes.get(ch, 0) for ch in sample], np.int64)
+        """Bits a character of held-in text: pieces of a sample's second half by the automaton of its first half, the worse tenth; USUAL at least. Infinite if the sample is too short."""
+        codes = self._coded(sample)
         half = len(codes) // 2
-        n = (len(codes) - half) // EXCERPT
+        n = (len(codes) - half) // PIECE
         if not n:
             return np.inf
-        grid = codes[half : half + n * EXCERPT].reshape(n, EXCERPT).T
-        found = Automaton(codes[:half].tolist()).phrases(grid, np.full(n, EXCERPT))
-        return max(USUAL, float(np.quantile(found, 0.9)) * log2(max(2, half)) / EXCERPT)
+        grid = np.array(codes[half : half + n * PIECE]).reshape(n, PIECE).T
+        found = Automaton(codes[:half], len(self.codes)).phrases(grid, np.full(n, PIECE), np.full(n, -1))
+        return max(USUAL, float(np.quantile(found, 0.9)) * log2(max(2, half)) / PIECE)
 
     def strange(self, best: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of texts with their best language, its bits a character and their length: which ones it does not explain."""
         return low * sizes > FAR * self.usual[best] * sizes + ALLOWED * self.bits[best]
 
-    def scorer(self):
-        lookup = np.zeros(0x110000, np.uint8)
-        for ch, i in self.classes.items():
+    def counter(self):
+        """A function from (normal, not empty) texts to their phrases by language, and to the characters that a language's sample doesn't hold."""
+        lookup = np.zeros(0x110000, np.int32)
+        for ch, i in self.codes.items():
             lookup[ord(ch)] = i
 
-        def rates(texts: list[str]) -> np.ndarray:
-            """Bits a character of each (normal, not empty) text by language."""
+        def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            total, new = np.zeros((len(texts), len(self.automata))), np.zeros((len(texts), len(self.automata)))
+            # A run of texts at once, of some WIDE blocks; the blocks of one text stay together.
+            ends = np.cumsum([-(-len(t) // BLOCK) for t in texts])
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + WIDE, side="right")))
+                total[first:last], new[first:last] = some(texts[first:last])
+                first = last
+            return total, new
+
+        def some(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             sizes = np.array([len(t) for t in texts], np.int64)
             codes = lookup[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             blocks = -(-sizes // BLOCK)
             owner = np.repeat(np.arange(len(texts)), blocks)
             within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            begin, length = starts[owner] + within * BLOCK, np.minimum(BLOCK, sizes[owner] - within * BLOCK)
-            total = np.zeros((len(texts), len(self.automata)))
-            for at in range(0, len(owner), WIDE):  # bounds memory for very long texts
-                o = np.argsort(-length[at : at + WIDE], kind="stable") + at
-                grid = codes[np.minimum(begin[o][None, :] + np.arange(BLOCK)[:, None], len(codes) - 1)]
-                for k, a in enumerate(self.automata):
-                    np.add.at(total[:, k], owner[o], a.phrases(grid, length[o]))
-            return total * self.bits / sizes[:, None]
+            begin, length = (np.cumsum(sizes) - sizes)[owner] + within * BLOCK, np.minimum(BLOCK, sizes[owner] - within * BLOCK)
+            follows = np.where(within > 0, np.arange(len(owner)) - 1, -1)
+            grid = codes[np.minimum(begin[None, :] + np.arange(int(length.max()))[:, None], len(codes) - 1)]
+            new = [np.add.reduceat(~a.holds[codes], np.cumsum(sizes) - sizes, dtype=np.int64) for a in self.automata]
+            return np.stack([np.bincount(owner, a.phrases(grid, length, follows), len(texts)) for a in self.automata], axis=1), np.stack(new, axis=1)
+
+        return counts
+
+    def scorer(self):
+        """A function from (normal, not empty) texts to their bits a character by language."""
+        counts = self.counter()
+
+        def rates(texts: list[str]) -> np.ndarray:
+            found, new = counts(texts)
+            return (found * self.bits + new * LITERAL) / np.array([len(t) for t in texts])[:, None]
 
         return rates
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", purge: bool = False) -> Model:
-    """Learn from rows with a language and a text whose id may teach (crc32 mod 5 is not 0), at most DOCS of each language (the first in a fixed pseudo-random
-    order), EXCERPT characters of each and CHARS characters a language. Only these excerpts reach the driver; their number is bounded by that of the languages.
-    purge: leave out excerpts that contradict their language or that none explains, so that no text speaks for itself."""
+    """Learn from rows with a language and a text whose id may teach (crc32 mod 5 is not 0): whole texts, at most DOCS of each language (the first in a fixed
+    pseudo-random order; repeated ones count once). Only these texts reach the driver; their number is bounded by that of the languages. purge: leave out texts that
+    contradict their language or that none explains, so that no text speaks for itself."""
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
-    rows = rows.filter(learns(F.col("i"), 5, 0) & F.col("l").isNotNull() & F.col("t").isNotNull()).select("l", "i", F.substring("t", 1, EXCERPT).alias("t"))
-    nth = F.row_number().over(Window.partitionBy("l").orderBy(*draw_order("i", "t")))
+    rows = rows.filter(learns(F.col("i"), 5, 0) & F.col("l").isNotNull() & F.col("t").isNotNull())
+    # The rank is taken over short rows; texts are fetched for the few that it leaves.
+    short = rows.select("l", "i", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(*draw_order("i", "h"))))
+    drawn = F.broadcast(short.filter(F.col("n") <= DOCS).select(F.col("l").alias("l2"), F.col("i").alias("i2"), F.col("h").alias("h2"), "n"))
+    found = rows.join(drawn, (F.col("l") == F.col("l2")) & (F.col("i") == F.col("i2")) & (F.xxhash64("t") == F.col("h2"))).select("l", "n", "t").distinct()
     samples: dict[str, list[str]] = {}
-    for lang, text in rows.select("l", "t", nth.alias("n")).filter(F.col("n") <= DOCS).orderBy("l", "n").select("l", "t").collect():
+    for lang, _, text in sorted(found.collect()):
         text = normal(text)
         if any(ch.isalpha() for ch in text) and text not in samples.setdefault(lang, []):
             samples[lang].append(text)
     samples = _purged(samples) if purge else samples
-    return Model({lang: " ".join(parts)[:CHARS] for lang, parts in samples.items() if parts})
+    return Model({lang: " ".join(parts) for lang, parts in samples.items() if parts})
 
 
 def _purged(samples: dict[str, list[str]]) -> dict[str, list[str]]:
-    """The excerpts without those that the other half of all excerpts doesn't explain, or confidently gives to another language."""
-    halves = [Model({lang: " ".join(parts[k::2])[:CHARS] for lang, parts in samples.items() if parts[k::2]}) for k in (0, 1)]
+    """The texts without those that the other half of all texts doesn't explain, or confidently gives to another language."""
+    halves = [Model({lang: " ".join(parts[k::2]) for lang, parts in samples.items() if parts[k::2]}) for k in (0, 1)]
     out = {lang: list(parts) for lang, parts in samples.items()}
     for k, other in enumerate(reversed(halves)):
         rates = other.scorer()
@@ -203,7 +269,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     with `reject`, also if no language explains the text: the winner takes more phrases than FAR and ALLOWED let it.
     score: by how much of it the runner-up's entropy exceeds the winner's, from 0 to 1. held_out: crc32 of the id mod 5 is 0; a null id is held out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: at most 2 * CHARS states of CLASSES entries a language
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: at most 3 ways on for each character of DOCS texts a language
     names = [f"c{i}" for i in range(len(carry))]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (~learns(F.col(id_col), 5, 0)).alias("held_out"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
 
@@ -232,5 +298,5 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {n} {kinds[n]}" for n in names)
-    out = map_texts(rows, make, schema, rows=512)
+    out = map_texts(rows, make, schema, rows=1024)
     return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(n).alias(c) for c, n in zip(carry, names)))
