@@ -38,9 +38,9 @@ def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(300):
-        terms = np.sort(rng.choice(60, rng.integers(1, 12), replace=False))
+        terms = np.sort(rng.choice(60, rng.integers(0, 12), replace=False))
         w = rng.random(len(terms))
-        vectors.append((terms, w / np.sqrt((w * w).sum())))
+        vectors.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
     index = toxicity.Index(vectors, list(range(300)), rng.integers(0, 2, 300).tolist(), 60)
     dense = np.zeros((300, 60))
     for p, i in enumerate(index.ids):
@@ -50,7 +50,33 @@ def test_nearest_examples_are_exact():
         q[terms] = w
         cosine = dense @ q
         found, score = index.nearest(terms, w, 15)
-        assert np.allclose(score, np.sort(cosine)[::-1][:15]) and np.allclose(cosine[found], score)
+        want = np.sort(cosine[cosine > 0])[::-1][:15]
+        assert np.allclose(score, want) and np.allclose(cosine[found], score)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Cosines over all words of whole texts, with document frequencies counted here, for every held-out document."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = {r.doc_id: toxicity.words_of(r.text) for r in docs.collect()}
+    words, index = list(model.space.place), model.index
+    examples = [rows[i] for i in index.ids.tolist()]
+    assert set(words) == set().union(*examples)
+    df = np.array([sum(w in x for x in rows.values()) for w in words])
+    weight = (np.log((1 + len(rows)) / (1 + df)) + 1e-3) * toxicity.tells(words, examples, index.labels.tolist())
+
+    def vector(x):
+        v = np.array([(1 + np.log(x[w])) if w in x else 0.0 for w in words]) * weight
+        return v / max(1e-300, np.sqrt((v * v).sum()))
+
+    dense = np.stack([vector(x) for x in examples])
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).filter("held_out").collect()}
+    for i, r in got.items():
+        cosine = dense @ vector(rows[i])
+        near = [p for p in np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12))) if cosine[p] > 0][: toxicity.NEIGHBOURS]
+        assert abs(r.score - model.score(model.vote(np.array(near, int), cosine[near]))) < 1e-6
+        assert np.allclose(sorted(cosine[[index.ids.tolist().index(e) for e in r.evidence]]), sorted(cosine[near[:3]]))
+        assert bool(r.evidence) == bool(set(words) & set(rows[i]))
 
 
 def test_odd_rows(spark):
