@@ -34,6 +34,42 @@ def test_quality(spark):
     assert auc(pairs) > 0.75 and all(r.predicted == (r.score >= 0.3) for r in got.values())
 
 
+def test_risk_against_a_plain_loop():
+    """Both branches of the non-negative risk, its slopes by small differences, and gradients of rows by their dense form."""
+    rng = np.random.default_rng(5)
+    plain = lambda g, y: np.log(1 + np.exp(-g if y else g))
+    for shift, prior in ((0.0, 0.4), (3.0, 0.9)):
+        gp, gu = rng.normal(shift, 1, 7), rng.normal(-shift, 1, 9)
+        minus = lambda p, u: sum(plain(g, 0) for g in u) / 9 - prior * sum(plain(g, 0) for g in p) / 7  # noqa: B023, E731
+        plus = lambda p: prior * sum(plain(g, 1) for g in p) / 7  # noqa: B023, E731
+        got = quality_model.risk(gp, gu, prior)
+        assert np.allclose(got[:2], (plus(gp), minus(gp, gu)))
+        assert (got[1] < 0) == (shift > 0)  # both branches are met
+        goal = (lambda p, u: plus(p) + minus(p, u)) if shift == 0 else (lambda p, u: -minus(p, u))  # noqa: B023
+        for g, slopes, of in ((gp, got[2], lambda x: goal(x, gu)), (gu, got[3], lambda x: goal(gp, x))):  # noqa: B023
+            for i in range(len(g)):
+                up, down = g.copy(), g.copy()
+                up[i], down[i] = g[i] + 1e-5, g[i] - 1e-5
+                assert abs((of(up) - of(down)) / 2e-5 - slopes[i]) < 1e-6
+    rows = quality_model.Rows(np.array([[0, 3], [1, 2], [0, 2]]), [[5, 9], [], [9]], 4)
+    dense = np.zeros((3, 4 + quality_model.BUCKETS))
+    for i, (cells, words) in enumerate((((0, 3), (5, 9)), ((1, 2), ()), ((0, 2), (9,)))):
+        dense[i, list(cells)] = 1
+        dense[i, [4 + w for w in words]] = 1 / np.sqrt(max(1, len(words)))
+    w, by_row = rng.normal(size=dense.shape[1]), rng.normal(size=3)
+    assert np.allclose(rows.margin(w), dense @ w) and np.allclose(rows.gradient(by_row), by_row @ dense)
+    assert np.allclose(rows.half(0).margin(w), (dense @ w)[[0, 2]])
+
+
+def test_prior_and_labels_of_zero(spark):
+    """The prior is found without labelled negatives, whose labels change nothing, nor does the layout of rows."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    one = quality_model.fit(docs, labels)
+    two = quality_model.fit(docs.repartition(7, "text"), labels.filter("quality = 1").repartition(3))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias and np.array_equal(one.levels, two.levels)
+    assert abs(one.prior - np.mean([r.quality for r in labels.collect()])) < 0.08
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     vectors = []
