@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from vinlake.llm.common import as_table, broadcast_if_small, map_texts
 
 #: A line of a host is boilerplate if more documents of the host than LIMIT hold it, however large the host is.
-LIMIT = 50
+LIMIT = 3
 #: A document is depleted if less than this share of its words is in lines that stay.
-LEAST_LEFT = 0.3
+LEAST_LEFT = 0.5
 #: Rows (of a host and a hash) that are broadcast at most.
 MAX_BROADCAST = 100_000
 _SYMBOLS = "#*$%&|<>"
@@ -100,3 +100,40 @@ def rule_quality(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_cut.alias("n_cut_words"),
         (~F.col("base_failed") & (F.col("n_words") - n_cut >= least_left * F.col("n_words"))).alias("kept"),
     )
+
+
+def oracle_sql() -> str:
+    """The same by DuckDB, over whole lines and words instead of their hashes."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM d
+), n AS (
+  SELECT doc_id, source, raw, translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
+  FROM l WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+), often AS (
+  SELECT source, line FROM n GROUP BY ALL HAVING count(DISTINCT doc_id) > {LIMIT}
+), cut AS (
+  SELECT n.doc_id, sum(len(string_split(n.line, ' '))) AS n_cut FROM n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line GROUP BY n.doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup FROM n GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, w[i:i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_rep FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_cut_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_cut_words >= {LEAST_LEFT} * n_words AS kept
+FROM f
+"""
+
+
+ORACLE_SQL = oracle_sql()

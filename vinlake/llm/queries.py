@@ -61,4 +61,4 @@ QUERIES = {
     for f in (op1_toxicity, op2_nearest_vectors, op3_line_dedup, op4_simhash, op5_mixing, op6_sentencepiece, op7_quality_model, op8_url_filter, op9_language, op10_quality_rules)
 }
 
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
