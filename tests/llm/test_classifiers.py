@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tests.conftest import SF_DIR
 from tests.llm.odd import odd_docs
@@ -70,7 +71,9 @@ def test_prior_and_labels_of_zero(spark):
     assert abs(one.prior - np.mean([r.quality for r in labels.collect()])) < 0.08
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("hot", [0, 8, 512])
+def test_nearest_examples_are_exact(hot, monkeypatch):
+    monkeypatch.setattr(toxicity, "HOT", hot)
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(300):

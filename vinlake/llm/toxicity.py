@@ -20,17 +20,20 @@ from vinlake.llm.common import draw_order, learns, map_texts
 #: Bound of what is learnt from: examples of each label (the first in a fixed pseudo-random order), each as a whole.
 EXAMPLES = 1_000
 BLOCK, NEIGHBOURS = 32, 15
+#: The words that the most examples hold. All blocks have them, so their largest weights rule nothing out: their weights stand in whole rows instead of postings.
+HOT = 512
 #: A word's weight is its TF-IDF times how well its presence tells the examples' labels apart: chi-square over chi-square + LEAST_CHI (chance, even among a million
 #: words), and FLOOR at least, so that no word is without weight.
 LEAST_CHI, FLOOR = 26.0, 0.02
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
-def words_of(text: str | None) -> Counter:
+def words_of(text: str | None) -> dict[str, int]:
     """The words of a text in lower case, without marks around them, with their numbers."""
-    out: Counter = Counter()
+    out: dict[str, int] = {}
     for w, n in Counter((text or "").lower().split()).items():
-        out[w.strip(_STRIP)] += n
+        w = w.strip(_STRIP)
+        out[w] = out.get(w, 0) + n
     out.pop("", None)
     return out
 
@@ -41,7 +44,8 @@ def _runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """A block-max inverted index of examples' unit vectors. Both levels are sparse: a word has an entry for each block that holds it, an entry its postings."""
+    """A block-max inverted index of examples' unit vectors. Both levels are sparse: a word has an entry for each block that holds it, an entry its postings. The HOT
+    words' weights are a matrix, so what they add to the cosines of many texts is one product."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], n_terms: int):
         # Examples of like heavy words stand together, so that a block's largest weights are close to its examples' own.
@@ -51,6 +55,13 @@ class Index:
         terms = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)]).astype(np.int64)
         weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
         owner = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        hot = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:HOT]
+        self.row = np.full(n_terms, -1)
+        self.row[hot] = np.arange(len(hot))
+        is_hot = self.row[terms] >= 0
+        self.rows = np.zeros((len(hot), self.n))
+        self.rows[self.row[terms[is_hot]], owner[is_hot]] = weights[is_hot]
+        terms, weights, owner = terms[~is_hot], weights[~is_hot], owner[~is_hot]
         by = np.lexsort((owner, terms))
         self.owner, self.weight = owner[by].astype(np.int32), weights[by]
         cell = terms[by] * max(1, self.blocks) + self.owner // BLOCK
@@ -60,33 +71,49 @@ class Index:
         self.postings = np.append(first, len(cell)).astype(np.int32)
         self.entries = np.searchsorted(terms[by][first], np.arange(n_terms + 1)).astype(np.int32)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine (ties: the smaller place), all with a word in common if fewer. without: an example that is left out."""
+    def hot(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the HOT words add to the cosine of each vector with each example."""
+        query = np.zeros((len(vectors), len(self.rows)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            query[i, row[row >= 0]] = weights[row >= 0]
+        return query @ self.rows
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosine (ties: the smaller place), all with a word in common if fewer. without: an example that is left out; hot: from hot()."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        hot = self.hot([(terms, weights)])[0] if hot is None else hot
         begin = self.entries[terms]
         many = self.entries[terms + 1] - begin
         entry, weight = _runs(begin, many), np.repeat(weights, many)
         block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.blocks)
+        starts = np.arange(0, self.n, BLOCK)
+        bound = np.maximum.reduceat(hot, starts) + np.bincount(block, weight * self.most[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        best, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
         while at < len(order):
             if len(score) >= k and bound[order[at]] < score[k - 1] - 1e-12:
                 break
             wanted = np.zeros(self.blocks, bool)
             wanted[order[at : at + step]] = True
-            some = wanted[block]
-            length = self.postings[entry[some] + 1] - self.postings[entry[some]]
-            place = _runs(self.postings[entry[some]], length)
-            cosine = np.bincount(self.owner[place], self.weight[place] * np.repeat(weight[some], length), self.n)
+            some = np.flatnonzero(wanted[block])
+            first = self.postings[entry[some]]
+            length = self.postings[entry[some] + 1] - first
+            place = _runs(first, length)
+            cosine = hot + np.bincount(self.owner[place], self.weight[place] * np.repeat(weight[some], length), self.n)
             if without >= 0:
                 cosine[without] = 0
-            found = np.flatnonzero(cosine > 0)
+            found = np.flatnonzero(np.repeat(wanted, BLOCK)[: self.n] & (cosine > 0))
             best, score = np.concatenate((best, found)), np.concatenate((score, cosine[found]))
+            if len(score) > 4 * k:  # only what reaches the k-th best need be put in order
+                some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                best, score = best[some], score[some]
             rank = np.lexsort((best, -score))[:k]
             best, score = best[rank], score[rank]
             at += step
-            step *= 4
+            step = len(order)  # bounds that the nearest few blocks don't rule out are seldom ruled out by more
         return best, score
 
 
@@ -97,10 +124,11 @@ class Space:
         self.place, self.weights = {w: i for i, w in enumerate(words)}, weights
 
     def unit(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The places of the words that are known, in order, and their weights (1 + ln tf) * weight, scaled to length 1."""
-        known = sorted((self.place[w], n) for w, n in counts.items() if w in self.place)
-        terms = np.array([t for t, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], float))) * self.weights[terms]
+        """The places of the words that are known, and their weights (1 + ln tf) * weight, scaled to length 1."""
+        place = self.place.get
+        terms, n = np.array([place(w, -1) for w in counts], np.int64), np.array(list(counts.values()), float)
+        terms, n = terms[terms >= 0], n[terms >= 0]
+        w = (1 + np.log(n)) * self.weights[terms]
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
@@ -180,7 +208,8 @@ def document_frequencies(df: DataFrame, words: list[str], text_col: str = "text"
             rows += batch.num_rows
             for at in range(0, batch.num_rows, 256):
                 for text in batch.slice(at, 256).column(0).to_pylist():
-                    n[[place[w] for w in words_of(text) if w in place]] += 1
+                    words = {w.strip(_STRIP) for w in set((text or "").lower().split())}
+                    n[[place[w] for w in words if w in place]] += 1
         held = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(n[held], rows))], names=["term", "n"])
 
@@ -233,7 +262,8 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", t
         def fn(ids, held_out, texts):
             if not model:
                 return [ids, held_out, [0.0] * len(ids), [[]] * len(ids)]
-            near = [model.index.nearest(*model.space.unit(words_of(t)), NEIGHBOURS) for t in texts]
+            vectors = [model.space.unit(words_of(t)) for t in texts]
+            near = [model.index.nearest(*v, NEIGHBOURS, hot=h) for v, h in zip(vectors, model.index.hot(vectors))]
             return [ids, held_out, [model.score(model.vote(*x)) for x in near], [model.index.ids[f[:3]].tolist() for f, _ in near]]
 
         return fn
