@@ -31,7 +31,7 @@ CASES = [
     (labels.engine_cc, ["2.0 L", "1998cc", "1,998", "x", None], [2000, 1998, 1998, None, None]),
     (geo.country, ["kr", "S. Korea", "u.s.a.", "DEUTSCHLAND", "south_korea", "Atlantis ", " ", None], ["South Korea", "South Korea", "United States", "Germany", "South Korea", "Atlantis", None, None]),
     (geo.slug, ["KR", "u.s.", "Bosnia"], ["south_korea", "united_states", "bosnia_and_herzegovina"]),
-    (text.salvage, ["Title-Salvaged", "CERT OF TITLE-SALVAGE", "Total loss: 0", "total_loss", "전손", "전손: 0", "rebuilt", "junkyard", "clean", None], [True, True, False, True, True, False, True, False, False, False]),
+    (text.salvage, ["Title-Salvaged", "CERT OF TITLE-SALVAGE", "Total loss: 0", "Vehicle total loss count: 0", "Salvage, total loss count: 0, 3 owners", "total_loss", "전손", "전손: 0", "rebuilt", "junkyard", "clean", None], [True, True, False, False, True, True, True, False, True, False, False, False]),
     (text.title_state, ["TX - Salvage", "ca – Clear", "Salvage", None], ["TX", "CA", None, None]),
     (text.looks_like_page, ["<!DOCTYPE html><html>", " <html lang=en>", '{"a": 1}', "<b>bold</b>", None], [True, True, False, False, False]),
     (dates.day, ["2023-08-29T10:00", "20230829", "2023-08", None], ["2023-08-29", "2023-08-29", None, None]),

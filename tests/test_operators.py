@@ -35,7 +35,7 @@ def as_set(df, *cols):
 
 def test_mileage_plateaus(spark):
     rows = [(1, f"2020-01-0{i}", 50_000, "listing", f"s{i}") for i in range(1, 6)] + [(1, "2020-01-03", 50_000, "owner", "o"), (1, "2020-02-01", 60_000, "listing", "s"), (1, "2020-02-01", 60_000, "inspection", "i"), (1, None, 1, "listing", "x"), (1, "2020-03-01", 1, "other", "x"), (2, "2020-01-01", 9, "other", "x")]
-    df = spark.createDataFrame(rows, "vehicle_id long, day string, km long, kind string, source string")
+    df = spark.createDataFrame(rows, "vehicle_id long, day string, km long, kind string, source string").withColumn("of_event", F.col("kind") != "listing")
     got = H.mileage_history(df.limit(3), df)
     assert as_set(got.filter("vehicle_id = 1"), "day", "km", "kind", "sources", "latest") == {
         ("2020-01-01", 50_000, "listing", ("s1", "s2"), False), ("2020-01-02", 50_000, "listing", ("s1", "s2"), False), ("2020-01-03", 50_000, "owner", ("o", "s3"), False),
@@ -92,6 +92,22 @@ def test_timeline(spark):
     assert as_set(H.timeline(e.orderBy(F.rand(3)), ["pos"]), "day", "description") == want
 
 
+def test_timeline_of_diagnoses_inspections_and_sticky_rows(spark):
+    d, i = {"source": "x_diagnosis"}, {"source": "x_inspection"}
+    e = events(
+        spark, (1, "other", "X diagnosis — all panels normal", d | {"diagnosisNo": 7, "allClear": True, "comments": ["Fine  car", "Outer-panel replacement vehicle"]}, "2020-01-01"), (1, "other", "diagnosis: no leaks / fine car.", d, "2020-01-01"),
+        (1, "other", "No leaks", d | {"comments": ["X diagnosis: no leaks"]}, "2020-01-02"), (1, "inspection", "X performance inspection, 5 km", i | {"recordNo": "9"}, "2020-02-01"), (1, "other", "Comments: none at all, and a long text beside", i, "2020-02-01"),
+        (1, "other", "Inspection findings: hood", {"source": "x_inspection_panels"}, "2020-02-01"), (1, "inspection", "X performance inspection", i | {"recordNo": "9"}, "2020-03-01"), (1, "other", "Odometer: 7", i, "2020-04-01"),
+        (1, "other", "Steering: left", {"field": "steeringType"}, "2020-05-02"), (1, "other", "steering: LEFT", {"field": "steeringType"}, "2020-05-01"), (1, "other", "Note", {"sticky": True}, "2020-05-03"), (1, "other", "Note", {}, "2020-05-04"),
+    )
+    want = {
+        ("2020-01-01", "Diagnosis — all panels normal. Fine  car / Diagnosis: no leaks".replace("  ", " ")), ("2020-01-02", "No leaks"), ("2020-02-01", "X performance inspection, 5 km"), ("2020-04-01", "Odometer: 7"),
+        ("2020-05-01", "steering: LEFT"), ("2020-05-03", "Note"), ("2020-05-04", "Note"),
+    }
+    assert as_set(H.timeline(e, ["pos"]), "day", "description") == want
+    assert as_set(H.timeline(e.orderBy(F.rand(3)), ["pos"]), "day", "description") == want
+
+
 def test_body_panels(spark):
     e = events(spark, (1, "x", None, {"panels": [{"label": "Hood", "result": "scratch"}, {"panel": "Hood", "status": "replacement"}, {"name": "Roof", "result": "normal"}, {"key": "d", "label": "Door", "legend": "R"}]}, "2020-01-01"), (1, "x", None, {"panels": ["Trunk: dent", "Trunk: crack"]}, "2020-01-02"), (2, "x", None, "not json", None))
     assert as_set(H.body_panels(e, ["pos"]), "key", "label", "legend") == {("hood", "Hood", "Z"), ("d", "Door", "R"), ("trunk", "Trunk", "P")}

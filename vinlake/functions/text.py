@@ -11,6 +11,7 @@ from vinlake.functions.numbers import tidy
 _A, _Z = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
 SALVAGE = rf"salvage[ds]?{_Z}|{_A}slvg{_Z}|{_A}junk{_Z}|non[- ]?repairable|certificate of destruction|{_A}cod{_Z}|{_A}rebuilt{_Z}|parts only|{_A}total[_\s-]*loss{_Z}|전손|총손실|총손"
 ZERO_LOSS = rf"^(?:total[_\s-]*loss(?:\s+from\s+flooding)?|전손|총손실|총손)\s*:\s*0{_Z}"
+ZERO_COUNT, SOME_COUNT = rf"total[_\s-]*loss[^:\d]{{0,40}}:\s*0{_Z}", rf"{_A}[1-9][0-9]*{_Z}"
 #: Condition marks in the order of their tests; the first that fits decides, and a text that says all is well has none.
 WELL = r"NORMAL|GOOD|NONE|N/A|NOT APPLICABLE|ABSENT"
 MARKS = (
@@ -28,7 +29,12 @@ OUTCOMES = ((400, "Invalid VIN"), (401, "Auth / blocked"), (403, "Auth / blocked
 def salvage(raw: Column) -> Column:
     """Whether a text speaks of salvage or a total loss; a count of zero losses doesn't. False for null."""
     t = tidy(raw)
-    return F.coalesce(t.rlike(f"(?iu){SALVAGE}") & ~t.rlike(f"(?iu){ZERO_LOSS}"), F.lit(False))
+    return F.coalesce(t.rlike(f"(?iu){SALVAGE}") & ~zero_losses(t), F.lit(False))
+
+
+def zero_losses(t: Column) -> Column:
+    """Whether a text counts zero losses: it begins so, or says so somewhere and holds no other number."""
+    return t.rlike(f"(?iu){ZERO_LOSS}") | (t.rlike(f"(?iu){ZERO_COUNT}") & ~t.rlike(SOME_COUNT))
 
 
 def title_state(raw: Column) -> Column:

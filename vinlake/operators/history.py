@@ -17,17 +17,21 @@ from vinlake.operators.windows import first_per_key, run_window, with_runs
 
 # Which kind of reading wins when several state the same day and distance.
 KIND_RANK = {"inspection": 6, "owner": 5, "accident": 4, "sale": 3, "listing": 2, "salvage": 1, "other": 0}
+#: The source whose records weigh more, unless another is named.
+TRUSTED = "registry"
 SPEC_FIELDS = ("condition", "secondary_damage", "primary_damage", "loss_type", "airbags", "keys", "seats", "doors", "color", "engine", "location")
 
 
 def with_meta(events: DataFrame) -> DataFrame:
-    """Events with their metadata parsed once, as the map _m."""
-    return events.withColumn("_m", meta.parsed(F.col("metadata")))
+    """Events with their metadata parsed once, as the map _m; as they are if they have it."""
+    return events if "_m" in events.columns else events.withColumn("_m", meta.parsed(F.col("metadata")))
 
 
 def with_km(events: DataFrame) -> DataFrame:
     """Events (with _m) with _km: the reading that each states (E18): kilometres, miles, a number in the unit given or inferred, then the description. Each candidate is
-    a column before it is tested, so none is computed twice, and descriptions are searched only where metadata has no reading."""
+    a column before it is tested, so none is computed twice, and descriptions are searched only where metadata has no reading. Events that have _km stay as they are."""
+    if "_km" in events.columns:
+        return events
     m = F.col("_m")
     unit = F.coalesce(meta.text(m, "mileageUnit", "unit", "odometerType", "odometer_type"), F.when(meta.text(m, "source").rlike("(?i)auction"), "mi").otherwise("km"))
     rows = events.withColumns({"_k": meta.loose_number(m, "mileageKm"), "_i": meta.loose_number(m, "mileageMiles"), "_x": meta.loose_number(m, "mileage", "odometer", "odometerValue", "odometer_value", "km"), "_y": meta.loose_number(m, "miles"), "_u": unit})
@@ -44,7 +48,7 @@ def reading_day(m: Column, occurred: Column) -> Column:
 
 
 def event_readings(events: DataFrame) -> DataFrame:
-    """(vehicle_id, day, km, kind, source) of events; km is null for those that state no reading. They are not filtered here: a filter would be pushed below the columns
+    """(vehicle_id, day, km, kind, source, of_event) of events; km is null for those that state no reading. They are not filtered here: a filter would be pushed below the columns
     that it tests and compute them twice."""
     m, kind = F.col("_m"), F.lower("event_type")
     source = F.col("_source")
@@ -53,36 +57,36 @@ def event_readings(events: DataFrame) -> DataFrame:
         .when(kind == "sale", "sale").when(kind == "title_status", "salvage").otherwise("other")
     )
     rows = with_km(with_meta(events)).withColumn("_source", F.coalesce(meta.text(m, "source"), F.col("event_type"), F.lit("event")))
-    return rows.select("vehicle_id", reading_day(m, F.col("occurred_at")).alias("day"), F.col("_km").alias("km"), what.alias("kind"), source.alias("source"))
+    return rows.select("vehicle_id", reading_day(m, F.col("occurred_at")).alias("day"), F.col("_km").alias("km"), what.alias("kind"), source.alias("source"), F.lit(True).alias("of_event"))
 
 
 def observation_readings(observations: DataFrame, day: Column, source: Column) -> DataFrame:
-    return observations.select("vehicle_id", day.alias("day"), M.to_km(F.when(M.usable(F.col("mileage")), F.col("mileage")), F.col("mileage_unit")).alias("km"), F.lit("listing").alias("kind"), source.alias("source"))
+    return observations.select("vehicle_id", day.alias("day"), M.to_km(F.when(M.usable(F.col("mileage")), F.col("mileage")), F.col("mileage_unit")).alias("km"), F.lit("listing").alias("kind"), source.alias("source"), F.lit(False).alias("of_event"))
 
 
 def mileage_history(*readings: DataFrame) -> DataFrame:
-    """(vehicle_id, day, km, miles, kind, sources, latest) from readings (vehicle_id, day, km, kind, source).
+    """(vehicle_id, day, km, miles, kind, sources, latest, of_event) from readings (vehicle_id, day, km, kind, source, of_event).
 
     One row per vehicle, day and distance, of the highest kind, with its sources in order. Of a run of listing rows with one distance the first and last stay and carry
-    the run's sources. The vehicle's last row is the latest."""
+    the run's sources. The vehicle's last row is the latest. of_event: an event states this day and distance."""
     rows = readings[0]
     for more in readings[1:]:
         rows = rows.unionByName(more)
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair)), F.col("kind"))
     # Rows without a reading meet in one group a vehicle, which goes by a maximum: Spark can't push that filter down and compute readings twice.
     rows = rows.withColumn("day", F.when(F.col("km").isNotNull(), F.col("day")))
-    rows = rows.groupBy("vehicle_id", "day", "km").agg(F.max_by("kind", rank).alias("kind"), F.collect_set("source").alias("sources"), F.max(F.when(F.col("day").isNotNull(), F.col("km"))).alias("_k"))
+    rows = rows.groupBy("vehicle_id", "day", "km").agg(F.max_by("kind", rank).alias("kind"), F.collect_set("source").alias("sources"), F.bool_or("of_event").alias("of_event"), F.max(F.when(F.col("day").isNotNull(), F.col("km"))).alias("_k"))
     rows = rows.filter(M.usable(F.col("_k"))).drop("_k")
     order = ["day", "km"]
     w = run_window(["vehicle_id"], order)
     runs = with_runs(rows, ["vehicle_id"], order, (F.col("kind") == "listing") & (F.lag("kind").over(w) == "listing") & (F.lag("km").over(w) == F.col("km")))
     r = Window.partitionBy("vehicle_id", "run")
     runs = runs.select(
-        "vehicle_id", "day", "km", "kind", F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources").over(r)))).alias("sources"), F.min("day").over(r).alias("_a"), F.max("day").over(r).alias("_b"),
+        "vehicle_id", "day", "km", "kind", "of_event", F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources").over(r)))).alias("sources"), F.min("day").over(r).alias("_a"), F.max("day").over(r).alias("_b"),
         F.max(F.struct("day", "km")).over(Window.partitionBy("vehicle_id")).alias("_last"),
     )
     kept = runs.filter((F.col("day") == F.col("_a")) | (F.col("day") == F.col("_b")))
-    return kept.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", "sources", (F.struct("day", "km") == F.col("_last")).alias("latest"))
+    return kept.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", "sources", (F.struct("day", "km") == F.col("_last")).alias("latest"), "of_event")
 
 
 def is_accident(kind: Column) -> Column:
@@ -105,9 +109,9 @@ def accidents(events: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("damage", "category", F.nullif(F.trim("_d"), F.lit(""))).isNotNull() | (F.col("repair_total") > 0)).drop("_d")
 
 
-def owner_changes(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
+def owner_changes(events: DataFrame, ties: Sequence[Column | str], trusted: str = TRUSTED) -> DataFrame:
     """(vehicle_id, day, sequence, info, plate, km, source): one change of owner a day (E20). A row's fields come from the day's best row, gaps from the next best;
-    a plate may come from any event of that day."""
+    a plate may come from any event of that day. trusted: the source whose rows score three more."""
     events, m = with_meta(events), F.col("_m")
     plate = meta.text(m, "plate", "carNo")
     plates = events.select("vehicle_id", dates.day_of(F.col("occurred_at")).alias("_pd"), plate.alias("_p"), F.struct("occurred_at", *ties).alias("_o")).filter("_p IS NOT NULL")
@@ -119,7 +123,7 @@ def owner_changes(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
         "vehicle_id", F.coalesce(meta.text(m, "date"), F.col("_pd"), F.lit("Unknown date")).alias("date"), F.when(~generic, info).alias("info"), F.coalesce(plate, F.col("_day_plate")).alias("plate"),
         meta.number(m, "mileageKm", "mileage", "odometer", "km").alias("km"), F.coalesce(meta.text(m, "source"), F.lit("registry")).alias("source"), F.struct("occurred_at", *ties).alias("_o"),
     )
-    score = F.when(F.col("plate").isNotNull(), 4).otherwise(0) + F.when(F.col("info").isNotNull(), 2).otherwise(0) + F.when(F.col("km").isNotNull(), 1).otherwise(0) + F.when(F.col("source") == "registry", 3).otherwise(0)
+    score = F.when(F.col("plate").isNotNull(), 4).otherwise(0) + F.when(F.col("info").isNotNull(), 2).otherwise(0) + F.when(F.col("km").isNotNull(), 1).otherwise(0) + F.when(F.col("source") == trusted, 3).otherwise(0)
     rows = rows.withColumns({"day": F.substring("date", 1, 10), "_s": score})
     w = Window.partitionBy("vehicle_id", "day").orderBy(F.col("_s").desc(), "_o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = F.row_number().over(Window.partitionBy("vehicle_id", "day").orderBy(F.col("_s").desc(), "_o"))
@@ -161,7 +165,7 @@ def salvage_records(events: DataFrame, order: Sequence[Column | str]) -> DataFra
     value = meta.text(m, "value", "title", "damageClass")
     field = F.lower(F.coalesce(meta.text(m, "field"), F.lit("")))
     count = F.coalesce(meta.number(m, "totalLossCnt", "floodTotalLossCnt"), F.when(field.isin("total_loss", "totalloss", "total_loss_count", "flood_loss_count"), meta.number(m, "value")))
-    zero = desc.rlike(f"(?iu){text.ZERO_LOSS}") | (F.coalesce(count, F.lit(1)) <= 0)
+    zero = text.zero_losses(F.trim(desc)) | (F.coalesce(count, F.lit(1)) <= 0)
     flagged = (meta.flag(m, "salvage") == True) | (kind == "total_loss") | (meta.number(m, "floodTotalLossCnt") > 0) | text.salvage(value) | text.salvage(desc)  # noqa: E712
     flagged = F.coalesce(flagged, F.lit(False))
     signal = flagged | kind.isin("title_status", "total_loss") | meta.flag(m, "salvage").isNotNull() | field.isin("title", "title_code", "detailed_title", "vehicle_title")
@@ -224,42 +228,105 @@ def same_day_identity(kind: Column, desc: Column, m: Column) -> Column:
     )
 
 
-def timeline(events: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
+def _clauses(said: Column) -> Column:
+    """A diagnosis' clauses (an array of texts): white space tidied, names of the diagnosis at their beginnings alike, and the clause that all is well left out."""
+    t = F.transform(said, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"(?i)^(?:[a-z]+ )?diagnosis\s*:\s*", "Diagnosis: ")))
+    return F.filter(t, lambda x: (x != "") & ~x.rlike(r"(?i)^(?:[a-z]+ )?diagnosis\s*[—–-]"))
+
+
+def _merged_diagnosis(group: str) -> Column:
+    """The description of the diagnoses of one day, as windows over `group`: the best row's beginning (or that all panels are well), and every different clause."""
+    w = Window.partitionBy("vehicle_id", group).orderBy(F.col("_s").desc(), "occurred_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    clear = F.when(F.bool_or(F.col("_clear")).over(w), True).when(F.bool_or(~F.col("_clear")).over(w), False)
+    every = F.flatten(F.collect_list("_clauses").over(w))
+    alike = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[—–−-]+", "-"), r"[/.|,;:\s]+", " "))
+    outer = F.exists(every, lambda x: x.rlike("(?i)outer-panel replacement vehicle"))
+    kept = F.filter(every, lambda x: F.when(F.coalesce(clear, F.lit(False)), ~x.rlike("(?i)outer-panel replacement vehicle")).otherwise(~(outer & x.rlike("(?i)no outer-panel replacements"))))
+    keys = F.transform(kept, alike)
+    once = F.filter(kept, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    own = F.first("description").over(w)
+    head = F.when(clear, "Diagnosis — all panels normal").when(own.rlike(r"(?i)^(?:[a-z]+ )?diagnosis\s*[—–-]"), F.regexp_replace(own, r"(?i)^[a-z]+ (?=diagnosis)", ""))
+    tail = F.when(F.size(once) > 0, F.array_join(once, " / "))
+    return F.coalesce(F.concat(head, F.lit(". "), tail), head, tail, own, F.lit("Diagnosis"))
+
+
+# Fields that stick to a vehicle, and those that are details of an inspection.
+STICKY = ("inspectionReportUploaded", "odometerCheck", "hasInsuranceHistory", "steeringType")
+DETAIL = r"(?i)^(?:inspection )?(?:valid from|valid until|issue date|comments?|odometer|warranty|record (?:no|number))\b.*:"
+
+
+def timeline(events: DataFrame, ties: Sequence[Column | str], trusted: str = TRUSTED) -> DataFrame:
     """(vehicle_id, day, event_type, description, occurred_at): the events of the timeline (E25, W3). Accidents, sales, title and loss events have tables of their own;
-    of first registrations the best stays, of owner changes one a day, of insurance gaps one a field, and of the same thing on one day the richest."""
+    of first registrations the best stays, of owner changes one a day, of insurance gaps one a field, of rows that stick to a vehicle the oldest of each wording, of an
+    inspection's rows one a day (its summary, if there is one) and a record number, and of the same thing on one day the richest. Diagnoses of a day become one row
+    with every different clause. trusted: the source whose rows are richer.
+
+    Sources of diagnoses and inspections are those that end in _diagnosis, _inspection and _inspection_panels."""
     m, desc = F.col("_m"), F.coalesce("description", F.lit(""))
     kind = F.lower("event_type")
     rows = with_meta(events.filter(~is_accident(F.col("event_type")) & ~kind.isin("sale", "title_status", "total_loss") & ~text.salvage(desc)))
     # What several expressions need is a column first, so that it is computed once.
     rows = rows.withColumns({
-        "_first": is_first_registration(F.col("event_type"), F.col("description"), m), "_field": F.coalesce(meta.text(m, "field"), F.lit("")), "_value": meta.text(m, "value"), "_source": meta.text(m, "source"), "_date": meta.text(m, "date"),
+        "_first": is_first_registration(F.col("event_type"), F.col("description"), m), "_field": F.coalesce(meta.text(m, "field"), F.lit("")), "_value": meta.text(m, "value"), "_source": F.coalesce(meta.text(m, "source"), F.lit("")), "_date": meta.text(m, "date"),
         "_read": meta.text(m, "mileageKm", "mileage").isNotNull(), "_odo": meta.text(m, "odometer").isNotNull(), "_seq": meta.text(m, "sequence").isNotNull(), "_plate": meta.text(m, "plate", "carNo").isNotNull(), "_amount": meta.text(m, "amount").isNotNull(),
-        "_id": same_day_identity(F.col("event_type"), F.col("description"), m),
+        "_id": same_day_identity(F.col("event_type"), F.col("description"), m), "_no": meta.text(m, "diagnosisNo"), "_body": F.coalesce(meta.flag(m, "bodyCondition"), F.lit(False)), "_clear": meta.flag(m, "allClear"),
+        "_panels": F.size(F.from_json(meta.field(m, "panels"), "array<string>")), "_comments": F.from_json(meta.field(m, "comments"), "array<string>"), "_record": meta.text(m, "recordNo"), "_valid": meta.text(m, "validityStartDate", "validityEndDate").isNotNull(),
+        "_issued": meta.text(m, "issueDate"), "_sticky": F.coalesce(meta.flag(m, "sticky"), F.lit(False)), "_born": dates.day(meta.text(m, "firstRegistrationDate")),
     }).drop("_m")
     first, owner, points = F.col("_first"), kind == "owner_change", lambda c, n: F.when(c, n).otherwise(0)
     gap = F.col("_field").rlike(r"(?i)^notJoinDate\d+$") | desc.rlike(r"(?i)^insurance coverage gap\s*:")
-    day = F.coalesce(dates.day_of(F.col("occurred_at")), dates.day(F.col("_date")), F.lit("unknown"))
+    source = F.lower("_source")
+    diagnosis = F.endswith(source, F.lit("_diagnosis")) | F.col("_body") | F.col("_no").isNotNull() | desc.rlike(r"(?i)^(?:[a-z]+ )?diagnosis\b")
+    panel = F.endswith(source, F.lit("_inspection_panels")) | desc.rlike(r"(?i)^inspection (?:findings|panel notes)\b")
+    summary = ~panel & desc.rlike(r"(?i)^(?:[a-z]+ )?performance inspection\b") | (~panel & (kind == "inspection") & F.endswith(source, F.lit("_inspection")) & ~desc.rlike(DETAIL))
+    detail = desc.rlike(DETAIL) & F.endswith(source, F.lit("_inspection"))
+    own_day = dates.day_of(F.col("occurred_at"))
+    day = F.coalesce(own_day, dates.day(F.col("_date")), F.lit("unknown"))
+    inspected = F.coalesce(F.when(F.col("_born").isNull() | (own_day != F.col("_born")), own_day), F.col("_issued"), F.col("_date"), F.lit("unknown"))
     owner_score = (
         points(F.col("_read"), 50) + points(desc.rlike(r"(?i)\d[\d,]*\s*km"), 40) + points(desc.rlike(r"(?i)owner change\s+\d+\s+of\s+\d+"), 30)
         + points(F.col("_seq"), 10) + points(F.col("_plate"), 8) - F.when(desc.rlike("(?i)^ownership$"), 5).when(desc.rlike("(?i)^owner change$"), 3).otherwise(0)
     )
     gap_score = F.when(desc.rlike(r"\d{4}-\d{2}\s+to\s+\d{4}-\d{2}"), 100).when(desc.rlike(r"\d{6}\s+to\s+\d{6}"), 40).otherwise(0) + F.least(F.length(desc), F.lit(80))
+    diagnosis_score = (
+        points(F.col("_no").isNotNull(), 100) + points(F.col("_body"), 40) + points(F.col("_clear"), 30) + F.when(F.col("_panels") >= 0, 20 + F.least("_panels", F.lit(10))).otherwise(0) + points(F.col("_comments").isNotNull(), 15)
+        + points(kind == "inspection", 25) + points(desc.rlike("(?i)all panels normal"), 10) + F.least(F.length(desc), F.lit(200)) / 20
+    )
+    inspection_score = (
+        F.length(desc) + points(summary, 10_000) + points(desc.rlike(r"(?i)^[a-z]+ performance inspection\b"), 500) + points(F.col("_read"), 50) + points(F.col("_record").isNotNull(), 40) + points(F.col("_comments").isNotNull(), 30) + points(F.col("_valid"), 20)
+    )
     rich = (
         F.length(desc) + F.when(desc.rlike(r"(?i)new\s*car\s*delivery"), 80).when(desc.rlike(r"(?i)new\s*car\s*shipment"), 40).otherwise(0) + points(F.col("_read") | F.col("_odo"), 50)
-        + points(F.col("_amount"), 20) + points(F.col("_source") == "registry", 30) + points(kind == "delivery", 25)
+        + points(F.col("_amount"), 20) + points(F.col("_source") == trusted, 30) + points(kind == "delivery", 25)
+    )
+    rows = rows.withColumns({"day": day, "_r": rich, "_gap": gap, "_diag": diagnosis & ~first & ~owner, "_insp": (summary | panel | detail) & ~first & ~owner, "_stick": F.col("_sticky") | F.col("_field").isin(*STICKY)})
+    group = (
+        F.when(first, F.lit("first")).when(F.col("_insp"), F.concat(F.lit("inspection|"), inspected)).when(owner, F.concat(F.lit("owner|"), F.coalesce("_date", "day"))).when(F.col("_diag"), F.concat(F.lit("diagnosis|"), "day"))
+        .when(F.col("_gap"), F.concat(F.lit("gap|"), "_field")).when(F.col("_stick"), F.concat_ws("|", F.lit("sticky"), kind, F.lower(desc))).otherwise(F.concat_ws("|", F.lit("day"), "day", "_id"))
+    )
+    score = (
+        F.when(first, first_registration_score(F.col("_value"), F.col("_source"))).when(F.col("_insp"), inspection_score).when(owner, owner_score).when(F.col("_diag"), diagnosis_score).when(F.col("_gap"), gap_score)
+        .when(F.col("_stick"), 0).otherwise(F.col("_r"))
     )
-    rows = rows.withColumns({"day": day, "_r": rich, "_gap": gap})
-    group = F.when(first, F.lit("first")).when(owner, F.concat(F.lit("owner|"), F.coalesce("_date", "day"))).when(F.col("_gap"), F.concat(F.lit("gap|"), "_field")).otherwise(F.concat_ws("|", F.lit("day"), "day", "_id"))
-    score = F.when(first, first_registration_score(F.col("_value"), F.col("_source"))).when(owner, owner_score).when(F.col("_gap"), gap_score).otherwise(F.col("_r"))
-    rows = rows.withColumns({"_g": group, "_s": score}).select("vehicle_id", "day", "event_type", "description", "occurred_at", "_id", "_r", "_g", "_s", *(t for t in ties if t not in ("event_type", "description", "occurred_at")))
+    clauses = F.when(F.col("_diag"), _clauses(F.concat(F.coalesce("_comments", F.array().cast("array<string>")), F.split(desc, r"\s*/\s*"))))
+    record = F.when(F.col("_insp") & F.col("_record").isNotNull(), F.concat(F.lit("record|"), "_record"))
+    rows = rows.withColumns({"_g": group, "_s": score.cast("double"), "_clauses": clauses, "_again": record})
+    others = [t for t in ties if t not in ("event_type", "description", "occurred_at")]
+    rows = rows.select("vehicle_id", "day", "event_type", "description", "occurred_at", "_id", "_r", "_g", "_s", "_diag", "_clear", "_clauses", "_again", *others)
+    many = F.count(F.lit(1)).over(Window.partitionBy("vehicle_id", "_g")) > 1
+    rows = rows.withColumn("description", F.when(F.col("_diag") & many, _merged_diagnosis("_g")).otherwise(F.col("description"))).drop("_clear", "_clauses")
     rows = first_per_key(rows, ["vehicle_id", "_g"], [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
-    rows = first_per_key(rows, ["vehicle_id", "day", "_id"], [F.col("_r").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
+    rows = rows.withColumn("_again", F.coalesce("_again", "_g"))
+    rows = first_per_key(rows, ["vehicle_id", "_again"], [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
+    # Rows of one day that say the same. Diagnoses and inspections are one a day already; their words are not compared.
+    same = F.when(F.col("_diag") | F.startswith("_g", F.lit("inspection|")), F.col("_g")).otherwise(F.col("_id"))
+    rows = first_per_key(rows.withColumn("_same", same), ["vehicle_id", "day", "_same"], [F.col("_r").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
     return rows.select("vehicle_id", "day", "event_type", "description", "occurred_at")
 
 
-def with_readings(line: DataFrame, history: DataFrame, covered: DataFrame) -> DataFrame:
-    """The timeline and an entry for each odometer reading that no event of the same day and distance covers (E26, U7). covered: (vehicle_id, day, km)."""
-    more = history.join(covered.filter("km IS NOT NULL").select("vehicle_id", "day", "km").distinct(), ["vehicle_id", "day", "km"], "left_anti")
+def with_readings(line: DataFrame, history: DataFrame) -> DataFrame:
+    """The timeline and an entry for each odometer reading that no event of the same day and distance covers (E26, U7): the history says which are."""
+    more = history.filter(~F.col("of_event"))
     desc = F.concat(F.lit("Odometer reading: "), F.format_number("km", 0), F.lit(" km"))
     rows = more.select("vehicle_id", "day", F.lit("mileage").alias("event_type"), desc.alias("description"), F.to_timestamp_ntz("day", F.lit("yyyy-MM-dd")).alias("occurred_at"))
     return line.unionByName(rows)

@@ -9,6 +9,7 @@ from vinlake.functions import dates
 from vinlake.operators import history as H
 from vinlake.plans.registry import query
 from vinlake.sources import domain as D
+from vinlake.sources.writers import staged
 
 TIES = ("order_id", "line", "provider_id", "metadata")
 _KM = "CASE WHEN event_type IN ('inspection', 'owner_change') THEN CASE WHEN m_km > 1 AND m_km <= 2000000 THEN m_km END WHEN event_type = 'accident' THEN CASE WHEN q * 1000 > 1 THEN CASE WHEN m_source = 'auction' THEN CAST(floor(q * 1000 / 0.621371::DOUBLE + 0.5) AS BIGINT) ELSE q * 1000 END END WHEN event_type = 'sale' THEN CASE WHEN m_source = 'auction' THEN CAST(floor(q * 1000 / 0.621371::DOUBLE + 0.5) AS BIGINT) ELSE q * 1000 END END"
@@ -25,16 +26,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.events(spark, sf_dir)
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with metadata and reading parsed, written once for the several sections that read them."""
+    return staged(H.with_km(H.with_meta(_events(spark, sf_dir))))
+
+
+def _history(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     x = D.listings(spark, sf_dir)
     seen = H.observation_readings(x, dates.day_of(F.col("seen_at")), F.concat(F.lit("p"), (F.col("provider_id") % 3).cast("string")))
-    return H.mileage_history(seen, H.event_readings(_events(spark, sf_dir)))
+    return H.mileage_history(seen, H.event_readings(_events(spark, sf_dir) if events is None else events))
 
 
 @query(f"""{D.with_tables("listings", "events")}, {_READINGS} SELECT vehicle_id, day, km, miles, kind, array_to_string(sources, ',') AS sources, latest FROM history""")
 def mileage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odometer readings from listings and events, plateaus thinned."""
-    return _history(spark, sf_dir).withColumn("sources", F.array_join("sources", ","))
+    return _history(spark, sf_dir).withColumn("sources", F.array_join("sources", ",")).drop("of_event")
 
 
 @query(
@@ -126,8 +132,8 @@ SELECT vehicle_id, day, event_type, count(*) AS n FROM (SELECT vehicle_id, day,
 )
 def timeline_with_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline with entries for readings that no event covers."""
-    e = _events(spark, sf_dir)
-    out = H.with_readings(H.timeline(e, ["order_id", "line", "provider_id", "metadata"]), _history(spark, sf_dir), H.event_readings(e))
+    e = _parsed(spark, sf_dir)
+    out = H.with_readings(H.timeline(e, ["order_id", "line", "provider_id", "metadata"]), _history(spark, sf_dir, e))
     return out.groupBy("vehicle_id", "day", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vinlake.functions import mileage as M
 from vinlake.functions.money import with_usd_eur
+from vinlake.session import scratch
 
 # The columns of a CSV export, in order.
 CSV_COLUMNS = (
@@ -25,9 +26,14 @@ def export_rows(listings: DataFrame, vehicles: DataFrame, providers: DataFrame)
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in CSV_COLUMNS))
 
 
+#: The mark by which spreadsheets know UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV parts with a header each; quotes only where they are needed, doubled within."""
-    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", mode="overwrite")
+    """CSV parts with a header each, which begins with the byte order mark; quotes only where they are needed, doubled within."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, BYTE_ORDER_MARK + first).write.csv(path, header=True, quote='"', escape='"', emptyValue="", mode="overwrite")
 
 
 def nested(listings: DataFrame, children: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -39,9 +45,14 @@ def nested(listings: DataFrame, children: dict[str, DataFrame], keys: list[str])
     return out
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """A JSON object a line."""
-    df.write.json(path, mode="overwrite")
+def in_envelope(df: DataFrame, kind: str, version: int, at: str, name: str = "listing") -> DataFrame:
+    """Rows in an export's envelope (K7): format, version, exportedAt and the row as a struct under `name`."""
+    return df.select(F.lit(kind).alias("format"), F.lit(version).alias("version"), F.lit(at).alias("exportedAt"), F.struct(*(F.col(c) for c in df.columns)).alias(name))
+
+
+def write_json(df: DataFrame, path: str, kind: str | None = None, version: int = 1, at: str | None = None) -> None:
+    """A JSON object a line; with `kind` each in its envelope, so that every part can be read by itself."""
+    (in_envelope(df, kind, version, at) if kind else df).write.json(path, mode="overwrite")
 
 
 def append(df: DataFrame, path: str, *by: str) -> None:
@@ -50,6 +61,13 @@ def append(df: DataFrame, path: str, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read again: what several branches of a query need isn't computed for each."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def snapshot(df: DataFrame, base: str, version: int) -> str:
     """Writes a new version of a table beside the last one and returns its path: readers of the old version aren't disturbed (K2, K3)."""
     path = f"{base.rstrip('/')}/v={version:08d}"
