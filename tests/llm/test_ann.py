@@ -50,6 +50,24 @@ def test_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_counts_by_sums():
+    """Strings that share a prefix, from sums over segments: exact within the own segment and over whole segments."""
+    rng = np.random.default_rng(8)
+    h = np.sort(rng.integers(0, 1 << ann.BITS, 4000))
+    at = h[::100][1:].tolist()
+    fences = ann.Fences({(8, 0): [1 << 39], (8, 1): at})
+    home = fences.home(8, 1, h)
+    sizes = {int(s): int((home == s).sum()) for s in np.unique(home)}
+    sums = fences.sums(sizes)
+    for x in h[::371]:
+        own = h[home == fences.home(8, 1, np.array([x]))[0]]
+        got, alone = fences.counts(8, 1, int(x), own, sums), fences.counts(8, 1, int(x), own, None)
+        for bits in range(ann.BITS + 1):
+            want = np.count_nonzero(h >> (ann.BITS - bits) == x >> (ann.BITS - bits)) if bits else 4000
+            inside = alone[bits] == want  # the range ends within the own segment
+            assert alone[bits] <= want and (abs(got[bits] - want) < 1e-6 if inside or not bits else abs(got[bits] - want) <= 200)  # two segments that are cut
+
+
 def test_many_vectors_of_one_string(spark, monkeypatch):
     """Near copies that share their hash strings: their segment is dealt out, and nothing is lost."""
     monkeypatch.setattr(ann, "SEGMENT", 64)

@@ -22,6 +22,29 @@ def test_stages_and_rows(spark):
     assert all(r.text for r in first)
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated ids and rows, ties, clashing columns: what each stage keeps, by plain rules."""
+    given = odd_docs(spark)
+    rows = [tuple(r) for r in given.select(*corpus_pipeline.COLUMNS).collect()]
+    by_language = [tuple(r) for r in corpus_pipeline.language_id(spark, given, SF_DIR).collect()]
+    assert sorted([r[:2] for r in by_language], key=repr) == sorted([r[:2] for r in rows if any(map(str.isalpha, r[1] or ""))], key=repr)
+    seen = spark.createDataFrame(by_language, given.select(*corpus_pipeline.COLUMNS).schema)
+    spread = [tuple(r) for r in corpus_pipeline.line_spread(spark, seen, SF_DIR).collect()]
+    assert sorted(r[:2] for r in spread if r[0] is not None) == sorted(r[:2] for r in by_language if r[0] is not None)  # no line is on ten sites
+    words = lambda t: " ".join(t.encode().lower().decode().split())
+    near = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(spread, seen.schema), SF_DIR).collect()]
+    # Of these texts only those of equal words are alike.
+    want = {w: min((r[0] is None, r[0] or 0) for r in spread if words(r[1]) == w) for w in {words(r[1]) for r in spread}}
+    assert len(near) == len(want) and {words(r[1]): (r[0] is None, r[0] or 0) for r in near} == want
+    mixed = [tuple(r) for r in corpus_pipeline.mix(spark, spark.createDataFrame(near, seen.schema), SF_DIR).collect()]
+    assert {r[0] for r in mixed} <= {r[0] for r in near} and abs(sum(len(r[1].split()) for r in mixed) - sum(len(r[1].split()) for r in near)) <= 10
+    ids = corpus_pipeline.tokens(spark, spark.createDataFrame(mixed, seen.schema), SF_DIR).collect()
+    assert len(ids) == len(mixed) and all(r.round_trip for r in ids)
+    empty = odd_docs(spark, 0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF_DIR).count() == 0, name
+
+
 def test_near_dedup_keeps_null_and_repeated_ids(spark):
     def text(name):
         return " ".join(f"{name}{i}" for i in range(40))

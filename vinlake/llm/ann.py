@@ -57,23 +57,30 @@ def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BITS - np.frexp((a ^ b).astype(float))[1]
 
 
-def classes_of(df: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """(id, ids, vec, dim): each different usable vector with the smallest of its ids and its k + 1 smallest ids; vec as bytes of doubles."""
+def _packed(batches):
+    """Column v, the last one, as bytes of doubles, and its length."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        vec = pa.array([np.array(x, "<f8").tobytes() for x in lists.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], vec, pa.array([len(x) for x in lists], pa.int32())], names=[*b.schema.names[:-1], "vec", "dim"])
+
+
+def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(v, id): each pair of a usable vector and an id once."""
     v = F.col(vec_col).cast("array<double>")
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable)
+    return rows.groupBy("v", "id").agg(F.lit(1).alias("one")).drop("one")
+
+
+def classes_of(df: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """(id, ids, vec, dim): each different usable vector with the smallest of its ids and its k + 1 smallest ids; vec as bytes of doubles."""
+    rows = _usable(df, id_col, vec_col)
     # The rank limit holds within each task first, so a task sends k + 1 rows of a vector at most, whichever way it is repeated.
-    rows = rows.groupBy("v", "id").agg(F.lit(1).alias("one"))
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     some = rows.select("v", "id", nth.alias("n")).filter(F.col("n") <= k + 1)
     one = some.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
-
-    def pack(batches):
-        for b in batches:
-            lists = b.column("v")
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array([np.array(x, "<f8").tobytes() for x in lists.to_pylist()], pa.binary()), pa.array([len(x) for x in lists], pa.int32())], names=["id", "ids", "vec", "dim"])
-
-    return one.select("id", "ids", "v").mapInArrow(pack, "id long, ids array<long>, vec binary, dim int")
+    return one.select("id", "ids", "v").mapInArrow(_packed, "id long, ids array<long>, vec binary, dim int")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding", aim: float = AIM) -> DataFrame:
@@ -85,7 +92,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
     """
     spark = df.sparkSession
     classes = as_table(classes_of(df, k, id_col, vec_col).withColumn("key", F.xxhash64("vec", "id")))
-    ask = as_table(classes_of(queries, 1 << 20, id_col, vec_col).select(F.explode("ids").alias("q"), "vec", "dim"))
+    ask = as_table(_usable(queries, id_col, vec_col).select(F.col("id").alias("q"), "v").mapInArrow(_packed, "q long, vec binary, dim int"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = classes.count()
     if not n or ask.isEmpty():
@@ -119,7 +126,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
     fences = spark.sparkContext.broadcast(Fences(found))
     index = classes.mapInArrow(hashes(["id", "key", "vec"], fences), "id long, key long, vec binary, tree int, h long, seg int")
     counts = {r.seg: r["count"] for r in classes.mapInArrow(hashes(["dim"], fences), "dim int, tree int, h long, seg int").groupBy("seg").count().collect()}
-    sizes = spark.sparkContext.broadcast(counts)
+    sizes = spark.sparkContext.broadcast(fences.value.sums(counts))
     # (segment, parts) of those that hold several times their share; few, as each holds more than 4 * SEGMENT strings.
     large = spark.createDataFrame([(seg, ceil(c / SEGMENT)) for seg, c in counts.items() if c > 4 * max(SEGMENT, n / cut)], "seg int, parts int")
     large = F.broadcast(large)
@@ -143,7 +150,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, i
         h = np.sort(left["h"].to_numpy(np.int64))
         out = []
         for q, dim, t, x, part in zip(right["q"], right["dim"], right["tree"], right["h"], right["part"]):
-            out.append((q, dim, t, x, fences.value.counts(int(dim), int(t), int(x), h, {} if part else sizes.value)))  # other segments count once
+            out.append((q, dim, t, x, fences.value.counts(int(dim), int(t), int(x), h, None if part else sizes.value)))  # other segments count once
         return pd.DataFrame(out, columns=["q", "dim", "tree", "h", "n"])
 
     counted = as_table(strings.groupBy("seg", "part").cogroup(everywhere(homes).groupBy("seg", "part")).applyInPandas(down, "q long, dim int, tree int, h long, n array<double>"))
@@ -210,22 +217,24 @@ class Fences:
         a, b = self.home(dim, tree, np.array([low, low + (1 << (BITS - bits)) - 1]))
         return np.arange(a, b + 1, dtype=np.int32)
 
-    def counts(self, dim: int, tree: int, h: int, own: np.ndarray, sizes: dict[int, int]) -> list[float]:
-        """How many strings share 0, 1, ... BITS bits with h: exact within its own segment; of others the share of their range that lies in the prefix's."""
-        home, out = int(self.home(dim, tree, np.array([h]))[0]), []
-        at, first = self.at.get((dim, tree), np.zeros(0, np.int64)), self.first.get((dim, tree), 0)
-        for bits in range(BITS + 1):
-            low = (h >> (BITS - bits)) << (BITS - bits)
-            high = low + (1 << (BITS - bits))
-            a, b = np.searchsorted(own, [low, high])
-            n = float(b - a)
-            for seg in self.touched(dim, tree, h, bits):
-                if seg != home:
-                    i = seg - first
-                    begin, end = int(at[i - 1]) if i else 0, int(at[i]) if i < len(at) else 1 << BITS
-                    n += sizes.get(int(seg), 0) * max(0, min(high, end) - max(low, begin)) / max(1, end - begin)
-            out.append(n)
-        return out
+    def sums(self, sizes: dict[int, int]) -> dict[tuple[int, int], np.ndarray]:
+        """By dimension and tree: the strings before each segment, and all of them."""
+        return {k: np.concatenate(([0], np.cumsum([sizes.get(self.first[k] + i, 0) for i in range(len(at) + 1)]))) for k, at in self.at.items()}
+
+    def counts(self, dim: int, tree: int, h: int, own: np.ndarray, sums: dict[tuple[int, int], np.ndarray] | None) -> np.ndarray:
+        """How many strings share 0, 1, ... BITS bits with h: exact within its own segment (the sorted strings `own`); of others the share of their range that lies in
+        the prefix's, by sums up to either end. Without sums only the own segment counts."""
+        free = BITS - np.arange(BITS + 1, dtype=np.int64)
+        low = (np.int64(h) >> free) << free
+        high = low + (np.int64(1) << free)
+        inside = np.searchsorted(own, high) - np.searchsorted(own, low).astype(float)
+        if sums is None or (dim, tree) not in self.at:
+            return inside
+        edges = np.concatenate(([0], self.at[dim, tree], [1 << BITS])).astype(float)
+        home = int(np.searchsorted(self.at[dim, tree], h, side="right"))
+        below = lambda x: np.interp(x.astype(float), edges, sums[dim, tree])
+        mine = below(np.minimum(high, edges[home + 1])) - below(np.maximum(low, edges[home]))
+        return inside + below(high) - below(low) - mine
 
 
 def _tune(classes: DataFrame, ask: DataFrame, counted: DataFrame, planes, k: int, aim: float) -> float:

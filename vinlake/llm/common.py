@@ -71,3 +71,9 @@ def learns(doc_id: Column, mod: int, held: int) -> Column:
 def draw_order(*cols: str) -> list[Column]:
     """A fixed pseudo-random order of rows: by a hash of the columns, then by the columns."""
     return [F.xxhash64(*(F.col(c) for c in cols)), *(F.col(c) for c in cols)]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a written folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -184,6 +184,10 @@ def _model_bytes(path: str) -> bytes:
 def encode(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) of every row's whole text.
 
+    For a BPE model, as the given one is, this departs from the best path by score, which is not what such a model means: each position, reached along the automaton's
+    output links in the same single pass, is settled by what merging leaves beside the piece before it. Ids are the library's. A unigram model's positions are relaxed by
+    score.
+
     round_trip: decoding the ids gives the text again, exactly. A null text has null ids and no token, an empty one an empty list; both are true round trips. Null
     and repeated ids and repeated rows each return a row. Other columns are left out. The driver reads the model file and broadcasts it.
     """

@@ -15,6 +15,7 @@ at a similarity of 0.8 one fingerprint of 64 bits misses most pairs that any usa
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log2
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,9 @@ BITS = 64
 BLOCK = 65_536
 #: Of similar_texts: fingerprints of a text, each of SEGMENTS segments; the ring that is checked in full spans CHECKED fingerprints, of which RING_BITS bits may differ.
 FAMILIES, SEGMENTS, CHECKED, RING_BITS = 10, 4, 4, 48
+#: Texts up to which a key of one segment keeps blocks small. Beyond it keys take bits of the next segment too, one for each doubling, and there are MORE times the
+#: fingerprints for each bit, so that as many pairs of similarity 0.8 (of which some nine bits in 64 differ) share a key.
+SHORT_KEYS, MORE = 10_000_000, 1.165
 #: Class ids that are broadcast at most.
 MAX_BROADCAST = 200_000
 
@@ -211,6 +215,12 @@ def _keys(more: int) -> list[Column]:
     return out
 
 
+def _layout(texts: int) -> tuple[int, int]:
+    """For so many texts: how many fingerprints each has, and how many bits of the next segment a key takes."""
+    more = min(BITS // SEGMENTS - 8, max(0, ceil(log2(max(1, texts) / SHORT_KEYS))))
+    return ceil(FAMILIES * MORE**more), more
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b, j) of classes with the Jaccard similarity of their sets of word shingles, if it is at least `similarity`. docs: (th, t), texts and their hashes;
     classes: (c, th), the hash of one text of each class."""
@@ -257,6 +267,7 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     only if their distances from it differ by no more than theirs may.
     """
 
+    families, more = _layout(df.count())
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
@@ -266,13 +277,13 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
         def fn(ids, hashes, texts):
             words = [shingles.words(t) for t in texts]
             sets = [shingles.of(w, width) for w in words]
-            return [ids, hashes, [_class(w) for w in words], [len(x) for x in sets], [_families(x, FAMILIES) for x in sets]]
+            return [ids, hashes, [_class(w) for w in words], [len(x) for x in sets], [_families(x, families) for x in sets]]
 
         return fn
 
     rows = as_table(map_texts(docs, make, "doc_id long, th long, c long, n int, f array<long>"))
-    classes = as_table(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("n").alias("n"), *(F.min(F.get("f", F.lit(r))).alias(f"f{r}") for r in range(FAMILIES))))
-    prints = classes.select("c", "n", F.array(*(f"f{r}" for r in range(FAMILIES))).alias("f"))
+    classes = as_table(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("n").alias("n"), *(F.min(F.get("f", F.lit(r))).alias(f"f{r}") for r in range(families))))
+    prints = classes.select("c", "n", F.array(*(f"f{r}" for r in range(families))).alias("f"))
     docs = docs.select("th", "t")
 
     def close(one: str, two: str) -> Column:
@@ -281,7 +292,7 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
 
     # Longer keys: a segment and half of the next. Few share one by chance, so a block's oldest class is mostly the origin of its copies.
     prints = prints.join(classes.select("c", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least")), "c")
-    long = prints.select("c", "n", "least", F.posexplode("f").alias("r", "f")).select("c", "n", "f", "least", F.explode(F.array(*_keys(8))).alias("key"))
+    long = prints.select("c", "n", "least", F.posexplode("f").alias("r", "f")).select("c", "n", "f", "least", F.explode(F.array(*_keys(more + 8))).alias("key"))
     heads = long.groupBy("key").agg(F.min(F.struct("least", "c", "n", "f")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     heads = broadcast_if_small(as_table(heads.select("key", F.col("h.c").alias("b"), F.col("h.n").alias("nb"), F.col("h.f").alias("fb"))), MAX_BROADCAST)
     within = F.bit_count(F.col("f").bitwiseXOR(F.col("fb"))) <= RING_BITS // CHECKED + 8
@@ -297,8 +308,8 @@ def similar_texts(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     far = far.select(F.col("a").alias("c2"), F.col("x.h").alias("h"), F.col("x.d").alias("d"))
     tagged = prints.join(named, F.col("c") == F.col("node"), "left").join(far, F.col("c") == F.col("c2"), "left").select("c", "n", "f", F.coalesce("root", "c").alias("g"), "h", "d")
     tagged = as_table(tagged)
-    ring = [F.get("all", (F.col("r") + i) % FAMILIES).alias(f"f{i}") for i in range(1, CHECKED)]
-    short = tagged.select("c", "n", "g", "h", "d", F.col("f").alias("all"), F.posexplode("f").alias("r", "f")).select("c", "n", "g", "h", "d", F.col("f").alias("f0"), *ring, F.explode(F.array(*_keys(0))).alias("key"))
+    ring = [F.get("all", (F.col("r") + i) % families).alias(f"f{i}") for i in range(1, CHECKED)]
+    short = tagged.select("c", "n", "g", "h", "d", F.col("f").alias("all"), F.posexplode("f").alias("r", "f")).select("c", "n", "g", "h", "d", F.col("f").alias("f0"), *ring, F.explode(F.array(*_keys(more))).alias("key"))
     a, b = short.alias("a"), short.hint("shuffle_hash").alias("b")
     bits = [F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}"))) for i in range(CHECKED)]
     chain = reduce(Column.__and__, (sum(bits[1 : i + 1], bits[0]) <= (i + 1) * RING_BITS // CHECKED + (4 if i + 1 < CHECKED else 0) for i in range(CHECKED)))
