@@ -13,6 +13,7 @@ from tests.conftest import SF_DIR
 from vinlake.operators import history as H
 from vinlake.operators import ingest as I
 from vinlake.operators import joins as J
+from vinlake.operators.filters import LiveSearch, live_conditions
 from vinlake.operators import limits as L
 from vinlake.operators import photos as P
 from vinlake.operators import windows as W
@@ -167,22 +168,41 @@ def test_galleries(spark):
         assert r.shown <= (5 if r.photo_group == "gallery" else 72) and r.places == r.n == r.pictures and r.lead == (r.photo_group == "gallery")
 
 
+def test_canonical_listings(spark):
+    rows = [(1, 10, "https://a.example/1.jpg"), (1, 10, "https://a.example/2.jpg"), (1, 11, "https://mirror.example/1.jpg"), (1, 12, "https://b.example/1.jpg"), (2, 20, "https://a.example/1.jpg"), (3, 30, "https://mirror.example/x"), (3, 31, "https://b.example/x")]
+    photos = spark.createDataFrame(rows, "vehicle_id long, listing_id long, source_url string")
+    meta = spark.createDataFrame([(10, "catalog:7", True), (11, "lot/5", True), (12, "123456", False), (30, "lot/9", True), (31, "x", False)], "listing_id long, source_id string, is_active boolean")
+    hosts = ((r"(?i)b\.example", 120), (r"(?i)mirror\.example", -250))
+    pick = lambda **k: as_set(P.canonical_listings(photos, meta, hosts=hosts, **k), "vehicle_id", "canonical")
+    assert pick() == {(1, 12), (2, 20), (3, 31)}
+    wish = lambda *x: spark.createDataFrame(x, "vehicle_id long, preferred long")
+    assert pick(preferred=wish((1, 10), (3, 30))) == {(1, 12), (2, 20), (3, 31)}  # mirrors and catalogs don't lead where another is
+    plain = spark.createDataFrame([(10, "a", False), (11, "b", False), (12, "c", False)], "listing_id long, source_id string, is_active boolean")
+    assert as_set(P.canonical_listings(photos.filter("vehicle_id = 1"), plain, preferred=wish((1, 11))), "canonical") == {(11,)}
+
+
+def test_live_conditions(spark):
+    rows = [(1, "BMW", "320i", 2010, 50_000.0, "2.0 L", "Diesel", 9000.0), (2, "BMW", "X5", None, None, None, None, None), (3, "Audi", "A4", 2015, 90_000.0, "1,998 cc", "Petrol", 20_000.0)]
+    df = spark.createDataFrame(rows, "id long, make string, model string, year int, mileage double, engine_displacement string, fuel string, usd double")
+    got = lambda **k: {r.id for r in df.filter(live_conditions(LiveSearch(**k), df.columns)).collect()}
+    assert got() == {1, 2, 3} and got(year_from=2000) == {1, 3} and got(year_to=2012) == {1} and got(mileage_from=0) == {1, 2, 3} and got(mileage_to=60_000) == {1}
+    assert got(engine_from=1990, engine_to=2000) == {1, 3} and got(engine_to=1999) == {3} and got(make="bm") == {1, 2} and got(texts={"fuel": "dies"}) == {1} and got(usd_to=10_000) == {1} and got(search="a4") == {3}
+
+
 def test_near_vins_and_duplicates(spark):
     vins = [("A" * 16 + "B",), ("A" * 16 + "C",), ("B" + "A" * 15 + "B",), ("A" * 16 + "B",), ("short",)]
     got = as_set(J.near_vins(spark.createDataFrame(vins, "vin string")), "a", "b")
     assert got == {("A" * 16 + "B", "A" * 16 + "C"), ("A" * 16 + "B", "B" + "A" * 15 + "B")}
 
 
-def test_cache_outcomes_against_a_loop(spark):
+def test_cache_lives_against_a_loop(spark):
     logs = D.request_logs(spark, SF_DIR)
-    got = {r.id: r.outcome for r in L.cache_outcomes(logs, ["path"], "requested_at", 10800, 43200, "id").collect()}
-    made, want = {}, {}
-    for r in sorted(logs.collect(), key=lambda r: (r.requested_at, r.id)):
-        age = (r.requested_at - made[r.path]).total_seconds() if r.path in made else None
-        want[r.id] = "miss" if age is None or age >= 43200 else "fresh" if age < 10800 else "stale"
-        if want[r.id] != "fresh":
-            made[r.path] = r.requested_at
-    assert got == want
+    got = {(r.path, r.began): (r.requests, r.hits) for r in L.cache_lives(logs, ["path"], "requested_at", "3 hours").collect()}
+    want = {}
+    for r in logs.collect():
+        at = (r.path, r.requested_at.replace(hour=r.requested_at.hour // 3 * 3, minute=0, second=0, microsecond=0))
+        want[at] = want.get(at, 0) + 1
+    assert got == {k: (n, n - 1) for k, n in want.items()}
 
 
 def test_shards_are_disjoint_and_bounded(spark):
@@ -240,15 +260,13 @@ def test_csv_import_and_export(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True, escape='"').count() == out.count()
 
 
-def test_pages_and_feed(spark):
+def test_pages_and_references(spark):
     html = '<!DOCTYPE html><html lang="de"><title> A\n b </title><table><tr><th>Fuel</th><td><b>Diesel</b></td></tr><tr><td>Year</td><td>2015</td></tr></table><dl><dt>Color</dt><dd>red</dd></dl><a href="?page=2">2</a><a href="?page=14">x</a><script type="application/ld+json">{"a":1}</script></html>'
     df = spark.createDataFrame([("u", html), ("v", None)], "url string, html string")
     row = {r.url: r for r in R.ADAPTERS["generic"](df).collect()}
     assert (row["u"].title, row["u"].lang, row["u"].last_page, row["u"].data, row["u"].is_page) == ("A b", "de", 14, '{"a":1}', True) and row["v"].is_page is False
     assert as_set(R.ADAPTERS["specs"](df), "name", "value") == {("Fuel", "Diesel"), ("Year", "2015"), ("Color", "red")}
-    spark.dataSource.register(R.FeedSource)
-    feed = spark.read.format("vinlake_feed").option("pages", 3).option("size", 4).load()
-    assert feed.rdd.getNumPartitions() == 3 and feed.select("source_id").distinct().count() == 12
+    feed = spark.range(12).select((F.col("id") % 3).alias("page"), "id", F.col("id").alias("pos"), F.concat(F.lit("ref-"), "id").alias("source_id"))
     assert R.newest_refs(feed.union(feed)).count() == 12
 
 

@@ -14,7 +14,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"sample_estimate"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_and_no_row_python(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text)

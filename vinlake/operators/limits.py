@@ -67,20 +67,11 @@ def sessions(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return out.drop("session_window")
 
 
-def cache_outcomes(requests: DataFrame, key: Sequence[str], ts: str, ttl: int, stale: int, order: str) -> DataFrame:
-    """Requests with `outcome` (T4): miss, fresh (within `ttl` seconds after the entry was made) or stale (within `stale` seconds: served, and refreshed at once). A miss
-    and a stale hit make a new entry. State runs along each key's requests, so a fold over their times in order decides; a key's times are numbers alone."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    groups = requests.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(order).alias("id")))).alias("r"))
-    kind = "struct<at:bigint,out:array<struct<id:bigint,outcome:string>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        age = x["t"] - acc["at"]
-        what = F.when(acc["at"].isNull() | (age >= stale * 1_000_000), "miss").when(age < ttl * 1_000_000, "fresh").otherwise("stale")
-        return F.struct(F.when(what == "fresh", acc["at"]).otherwise(x["t"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), what.alias("outcome")))).alias("out"))
-
-    empty = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<struct<id:bigint,outcome:string>>").alias("out")).cast(kind)
-    return groups.select(F.explode(F.aggregate("r", empty, step, lambda acc: acc["out"])).alias("x")).select(F.col("x.id").alias(order), "x.outcome")
+def cache_lives(requests: DataFrame, key: Sequence[str], ts: str, life: str) -> DataFrame:
+    """(key, began, requests, hits): what a cache saves whose entries live for a span of a fixed grid (T4): of a key's requests in a span all but the first are hits.
+    Counts are summed up within tasks first, so a path that a third of all requests share is no load."""
+    out = requests.groupBy(*key, F.window(F.col(ts).cast("timestamp"), life).alias("w")).agg(F.count(F.lit(1)).alias("requests"))
+    return out.select(*key, F.col("w.start").cast("timestamp_ntz").alias("began"), "requests", (F.col("requests") - 1).alias("hits"))
 
 
 def claimed(jobs: DataFrame, rank: Column, slots: int, ties: Sequence[Column | str]) -> DataFrame:

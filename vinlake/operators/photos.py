@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,24 @@ def set_hashes(photos: DataFrame, key: str) -> DataFrame:
     return one.select(key, F.size("p").cast("long").alias("pictures"), F.substring(F.sha2(F.array_join("p", "|").cast("binary"), 256), 1, 32).alias("set_hash"))
 
 
-def canonical_listings(photos: DataFrame, listings: DataFrame | None = None) -> DataFrame:
-    """(vehicle_id, canonical): the listing whose gallery leads (E14): ten points a picture, 100 if it is active, 120 for a numeric source id, minus 350 for a mirror;
-    of equals the smaller id. listings: (listing_id, source_id, is_active), optional."""
-    n = photos.filter("listing_id IS NOT NULL").groupBy("vehicle_id", "listing_id").agg(F.count(F.lit(1)).alias("n"))
-    score = 10 * F.col("n")
-    if listings is not None:
-        n = n.join(listings, "listing_id", "left")
-        sid = F.coalesce("source_id", F.lit(""))
-        score = score + F.when(F.col("is_active"), 100).otherwise(0) + F.when(sid.rlike(r"^\d{5,}$"), 120).otherwise(0) - F.when(sid.rlike(r"(?i)^(?:lot|listing)/"), 350).otherwise(0)
-    return n.groupBy("vehicle_id").agg(F.min_by("listing_id", F.struct(-score, "listing_id")).alias("canonical"))
+def canonical_listings(photos: DataFrame, listings: DataFrame | None = None, hosts: Sequence[tuple[str, int]] = (), preferred: DataFrame | None = None) -> DataFrame:
+    """(vehicle_id, canonical): the listing whose gallery leads (E14): ten points a picture, 100 if it is active, 120 for a numeric source id, minus 350 for a mirror
+    (lot/..., listing/...) and 500 for a catalog (catalog:...), the points of each of `hosts` (pattern, points) that one of its addresses fits, and 400 if it is
+    preferred; of equals the smaller id. listings: (listing_id, source_id, is_active). preferred: (vehicle_id, preferred): it counts for nothing if it is a mirror or
+    catalog and the vehicle has another listing that is neither, or if its hosts' points are below zero and another listing has over 50 more."""
+    fits = [F.bool_or(F.coalesce(F.col("source_url").rlike(p), F.lit(False))) for p, _ in hosts]
+    points = sum((F.when(f, n).otherwise(0) for f, (_, n) in zip(fits, hosts)), F.lit(0))
+    rows = photos.filter("listing_id IS NOT NULL").groupBy("vehicle_id", "listing_id").agg(F.count(F.lit(1)).alias("n"), points.alias("host"))
+    rows = rows.join(listings.select("listing_id", "source_id", "is_active"), "listing_id", "left") if listings is not None else rows.withColumns({"source_id": F.lit(None).cast("string"), "is_active": F.lit(False)})
+    sid = F.coalesce("source_id", F.lit(""))
+    rows = rows.withColumns({"catalog": sid.rlike("(?i)^catalog:"), "mirror": sid.rlike(r"(?i)^(?:lot|listing)/")})
+    score = 10 * F.col("n") + F.col("host") + F.when(F.col("is_active"), 100).otherwise(0) + F.when(sid.rlike(r"^\d{5,}$"), 120).otherwise(0) - F.when(F.col("mirror"), 350).otherwise(0) - F.when(F.col("catalog"), 500).otherwise(0)
+    if preferred is not None:
+        w = Window.partitionBy("vehicle_id")
+        mine, foreign = F.col("listing_id") == F.col("preferred"), F.col("mirror") | F.col("catalog")
+        rows = rows.join(preferred, "vehicle_id", "left").withColumns({"others": F.max(F.when(~foreign & ~F.coalesce(mine, F.lit(False)), 1)).over(w), "best": F.max("host").over(w)})
+        score = score + F.when(mine & ~(foreign & F.col("others").isNotNull()) & ~((F.col("host") < 0) & (F.col("best") > F.col("host") + 50)), 400).otherwise(0)
+    return rows.groupBy("vehicle_id").agg(F.min_by("listing_id", F.struct(-score, "listing_id")).alias("canonical"))
 
 
 def galleries(photos: DataFrame, canonical: DataFrame, most: int = MOST_GALLERY, frames: int = MOST_FRAMES) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vinlake.functions import geo, labels
 from vinlake.operators import joins as J
 from vinlake.operators import sets as S
+from vinlake.operators.filters import LiveSearch, live_conditions
 from vinlake.plans.registry import query
 from vinlake.plans.search import _FUELS, _MODELS, _PLACES
 from vinlake.sources import domain as D
@@ -62,19 +63,19 @@ def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{D.with_tables("vehicles", "listings")}, l AS (SELECT 'a' AS source, vehicle_id || '-a' AS listing_id, vehicle_id, price_amount, price_currency, mileage FROM listings WHERE provider_id % 2 = 0 AND seen_at >= TIMESTAMP '2001-06-01' UNION ALL SELECT 'b', vehicle_id || '-b', vehicle_id, price_amount, price_currency, NULL FROM listings WHERE provider_id % 2 = 1 AND seen_at >= TIMESTAMP '2001-06-01'),
+    f"""{D.with_tables("vehicles", "listings")}, l AS (SELECT 'a' AS source, vehicle_id || '-a' AS listing_id, vehicle_id, price_amount, price_currency, mileage FROM listings WHERE provider_id % 2 = 0 UNION ALL SELECT 'b', vehicle_id || '-b', vehicle_id, price_amount, price_currency, NULL FROM listings WHERE provider_id % 2 = 1),
 u AS (SELECT l.*, year, CASE price_currency WHEN 'USD' THEN CAST(price_amount AS DOUBLE) WHEN 'EUR' THEN price_amount / 0.92::DOUBLE ELSE price_amount / 1400.0::DOUBLE END AS p FROM l JOIN vehicles ON vehicle_id = id)
-SELECT source, listing_id, floor(p * 100 + 0.5) / 100 AS usd, mileage FROM u WHERE coalesce(year, 0) >= 2000 AND coalesce(mileage, 0) <= 40000 AND floor(p * 100 + 0.5) / 100 >= 1 ORDER BY usd NULLS LAST, listing_id, mileage NULLS FIRST, source, vehicle_id LIMIT 50"""
+SELECT source, listing_id, floor(p * 100 + 0.5) / 100 AS usd, mileage FROM u WHERE coalesce(year, 0) >= 2000 AND floor(p * 100 + 0.5) / 100 >= 1 ORDER BY usd NULLS LAST, listing_id, mileage NULLS FIRST, source, vehicle_id LIMIT 50"""
 )
 def live_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two feeds with different columns in one (U1): filtered again after the union (F19), sorted with nulls last (O7), one page."""
     from vinlake.functions.money import with_usd_eur
 
-    x, v = D.listings(spark, sf_dir).filter(F.col("seen_at") >= F.lit("2001-06-01").cast("timestamp_ntz")), D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "year")
+    x, v = D.listings(spark, sf_dir), D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "year")
     base = ["vehicle_id", "price_amount", "price_currency"]
     feeds = {name: x.filter(F.col("provider_id") % 2 == k).select(F.concat_ws("-", F.col("vehicle_id").cast("string"), F.lit(name)).alias("listing_id"), *base, *more) for k, name, more in ((0, "a", ["mileage"]), (1, "b", []))}
     rows = with_usd_eur(S.tagged_union(feeds).join(v, "vehicle_id"), "price_amount", "price_currency")
-    rows = rows.filter((F.coalesce("year", F.lit(0)) >= 2000) & (F.coalesce("mileage", F.lit(0)) <= 40000) & (F.col("usd") >= 1))
+    rows = rows.filter(live_conditions(LiveSearch(year_from=2000, usd_from=1), rows.columns))
     return rows.orderBy(F.col("usd").asc_nulls_last(), "listing_id", F.col("mileage").asc_nulls_first(), "source", "vehicle_id").limit(50).select("source", "listing_id", "usd", "mileage")
 
 
@@ -135,8 +136,9 @@ def database_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count estimated from a hashed sample beside the exact one."""
     x = D.listings(spark, sf_dir)
-    some = R.sampled(x, "source_id", 100).agg(F.count_if(F.col("listing_status") == "Sold").alias("n"), F.count(F.lit(1)).alias("m"))
-    return some.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("listing_status") == "Sold").alias("exact"))), F.lit(True)).select(R.scaled_up(F.col("n"), F.col("total"), F.col("m")).alias("estimate"), "exact", "total")  # two rows of one
+    sold, some = F.col("listing_status") == "Sold", R.in_sample("source_id", 100)
+    counts = x.agg(F.count_if(sold & some).alias("n"), F.count_if(some).alias("m"), F.count(F.lit(1)).alias("total"), F.count_if(sold).alias("exact"))
+    return counts.select(R.scaled_up(F.col("n"), F.col("total"), F.col("m")).alias("estimate"), "exact", "total")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 40""")
@@ -248,3 +250,44 @@ def top_vehicles_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = D.listings(spark, sf_dir).groupBy(F.col("vehicle_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     rows = D.vehicles(spark, sf_dir).select("make", "id").join(n, "id", "left")
     return cap_per_key(rows, ["make"], [F.coalesce("n", F.lit(0)).desc(), "id"], 4).select("make", "id", F.col("n").isNotNull().alias("listed"))
+
+
+_ENGINE = "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN (id % 6 + 1) || '.5 L' WHEN 2 THEN CAST(800 + id % 3000 AS VARCHAR) ELSE '1,' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ' cc' END"
+
+
+@query(
+    f"""{D.with_tables("vehicles", "listings")}, e AS (SELECT *, {_ENGINE} AS engine FROM vehicles),
+c AS (SELECT *, CASE id % 4 WHEN 1 THEN (id % 6 + 1) * 1000 + 500 WHEN 2 THEN 800 + id % 3000 WHEN 3 THEN 1000 + id % 1000 END AS cc FROM e),
+u AS (SELECT c.id, c.make, c.cc, l.mileage, floor(CASE price_currency WHEN 'USD' THEN CAST(price_amount AS DOUBLE) WHEN 'EUR' THEN price_amount / 0.92::DOUBLE ELSE price_amount / 1400.0::DOUBLE END * 100 + 0.5) / 100 AS usd, c.year, c.trim FROM listings l JOIN c ON l.vehicle_id = c.id)
+SELECT id, count(*) AS n, max(usd) AS usd FROM u WHERE cc BETWEEN 1200 AND 3500 AND coalesce(year, 0) >= 1995 AND coalesce(year, 9999) <= 2020 AND mileage <= 40000 AND usd <= 60 AND contains(lower(make), 'brand#1') AND contains(lower(trim), 'steel') GROUP BY id"""
+)
+def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that the combined live filter lets through, with ranges of year, mileage, displacement and dollars."""
+    from vinlake.functions.money import with_usd_eur
+
+    k = F.col("id")
+    engine = F.when(k % 4 == 1, F.concat((k % 6 + 1).cast("string"), F.lit(".5 L"))).when(k % 4 == 2, (800 + k % 3000).cast("string")).when(k % 4 == 3, F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" cc")))
+    v = D.vehicles(spark, sf_dir).withColumn("engine_displacement", engine)
+    rows = with_usd_eur(D.listings(spark, sf_dir).join(v, F.col("vehicle_id") == k), "price_amount", "price_currency")
+    want = LiveSearch(year_from=1995, year_to=2020, mileage_to=40_000, engine_from=1200, engine_to=3500, usd_to=60, make="Brand#1", texts={"trim": "STEEL"})
+    return rows.filter(live_conditions(want, rows.columns)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("usd").alias("usd"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 10 AND 400 OR o_orderkey BETWEEN 1000 AND 1100 OR o_orderkey BETWEEN 9000 AND 12000""")
+def id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of some ranges of a key."""
+    return R.id_windows(D.table(spark, sf_dir, "orders"), "o_orderkey", ((10, 400), (1000, 1100), (9000, 12_000))).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT p_partkey AS id, r.name FROM part JOIN (VALUES (1, 'one'), (2, 'two'), (7, 'seven')) AS r(size, name) ON p_size = r.size""")
+def literal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table beside rows that a query itself spells out as JSON."""
+    names = R.literal_rows(spark, '[{"size": 1, "name": "one"}, {"size": 2, "name": "two"}, {"size": 7, "name": "seven"}]', "size:int,name:string")
+    return D.table(spark, sf_dir, "part").join(names, F.col("p_size") == F.col("size")).select(F.col("p_partkey").alias("id"), "name")
+
+
+@query("""SELECT DISTINCT ON (l_partkey) CAST(l_partkey AS VARCHAR) AS source_id, l_orderkey AS page, l_linenumber AS pos FROM lineitem ORDER BY l_partkey, l_orderkey, l_linenumber""")
+def newest_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of several pages, each once at its first place."""
+    x = D.table(spark, sf_dir, "lineitem")
+    return R.newest_refs(x.select(F.col("l_partkey").cast("string").alias("source_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("pos")))

@@ -9,9 +9,10 @@ from vinlake.functions import dates, meta, text
 from vinlake.operators import ingest as I
 from vinlake.operators.registry_records import record_events
 from vinlake.plans.registry import query
+from vinlake.session import scratch
 from vinlake.sources import domain as D
 from vinlake.sources import readers as R
-from vinlake.sources.writers import nested
+from vinlake.sources.writers import append, export_rows, nested, write_csv, write_json
 
 
 @query(
@@ -100,7 +101,7 @@ def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{D.with_tables("listings", "vehicles")}, k AS (SELECT provider_id, source_id, max(vin) AS vin, max(price_amount) AS price_amount, max(mileage) AS mileage, max(seen_at) AS last_seen_at FROM listings JOIN vehicles ON vehicle_id = id GROUP BY 1, 2),
-h AS (SELECT provider_id, source_id, price_amount AS price, mileage, seen_at AS modified_at FROM listings WHERE seen_at >= TIMESTAMP '2000-01-01')
+h AS (SELECT provider_id, source_id, price_amount AS price, mileage, seen_at AS modified_at FROM listings)
 SELECT h.* FROM h JOIN k USING (provider_id, source_id) WHERE length(vin) = 17 AND k.mileage > 1 AND h.price IS NOT DISTINCT FROM k.price_amount AND h.mileage IS NOT DISTINCT FROM k.mileage AND h.modified_at <= k.last_seen_at + INTERVAL 2 SECOND"""
 )
 def unchanged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +109,78 @@ def unchanged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = D.listings(spark, sf_dir)
     v = D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "vin")
     known = x.join(v, "vehicle_id").groupBy("provider_id", "source_id").agg(*(F.max(c).alias(c) for c in ("vin", "price_amount", "mileage")), F.max("seen_at").alias("last_seen_at"))
-    hints = x.filter(F.col("seen_at") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("provider_id", "source_id", F.col("price_amount").alias("price"), "mileage", F.col("seen_at").alias("modified_at"))
+    hints = x.select("provider_id", "source_id", F.col("price_amount").alias("price"), "mileage", F.col("seen_at").alias("modified_at"))
     return I.unchanged(known, hints)
+
+
+@query(
+    f"""{D.with_tables("vehicles", "listings", "providers")} SELECT upper(vin) AS vin, internal_name AS provider, source_id, CAST(price_amount AS DOUBLE) AS price, price_currency AS currency, lower(trim(listing_status)) = 'active' AS active
+FROM listings JOIN vehicles ON vehicle_id = vehicles.id JOIN providers ON provider_id = providers.id"""
+)
+def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings written as CSV parts with their byte order mark, and imported again."""
+    x = D.listings(spark, sf_dir).withColumns({"first_seen_at": F.col("seen_at"), "last_seen_at": F.col("seen_at")})
+    path = scratch(spark)
+    write_csv(export_rows(x, D.vehicles(spark, sf_dir), D.providers(spark, sf_dir)), path)
+    return R.read_listings_csv(spark, path).select("vin", "provider", "source_id", "price", "currency", "active")
+
+
+@query(
+    f"""{D.with_tables("vehicles", "listings")} SELECT upper(vin) AS vin, make, CAST(provider_id AS VARCHAR) AS provider, source_id, CAST(price_amount AS DOUBLE) AS price FROM listings JOIN vehicles ON vehicle_id = id"""
+)
+def imported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles with nested listings written as lines of JSON, and imported flat."""
+    x = D.listings(spark, sf_dir).select("vehicle_id", F.col("provider_id").cast("string").alias("provider"), "source_id", F.col("price_amount").cast("double").alias("price"))
+    v = D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "vin", "make")
+    cars = nested(v.join(x.select("vehicle_id").distinct(), "vehicle_id", "left_semi"), {"listings": x}, ["vehicle_id"])
+    path = scratch(spark)
+    write_json(cars.select(F.array(F.struct("vin", "make", "listings")).alias("vehicles")), path)
+    return R.read_listings_json(spark, path, lines=True).select("vin", "make", "provider", "source_id", "price")
+
+
+@query("""SELECT o_orderkey AS order_id, 'vehicle-export' AS format, 2 AS version, '2024-01-31' AS "exportedAt", o_orderstatus AS status FROM orders""")
+def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested export in its envelope, read again (K7)."""
+    path = scratch(spark)
+    write_json(D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), path, "vehicle-export", 2, "2024-01-31")
+    rows = spark.read.schema("format string, version int, exportedAt string, listing struct<id:bigint,status:string>").json(path)
+    return rows.select(F.col("listing.id").alias("order_id"), "format", "version", "exportedAt", F.col("listing.status").alias("status"))
+
+
+@query("""SELECT o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS least FROM orders GROUP BY 1""")
+def appended_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to folders by a column, read as one table (K9)."""
+    o, path = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), scratch(spark)
+    append(o.filter("id % 2 = 0"), path, "status")
+    append(o.filter("id % 2 = 1"), path, "status")
+    return spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+
+
+@query(
+    """SELECT l_orderkey AS order_id, l_linenumber AS line, l_suppkey AS supplier, l_partkey AS part, l_linestatus = 'F' AND l_shipdate >= TIMESTAMP '1990-01-01' AS sold,
+ CASE WHEN l_linestatus = 'F' AND l_suppkey % 3 > 0 THEN l_shipdate WHEN l_partkey % 2 = 0 THEN o_orderdate WHEN l_partkey % 5 = 0 THEN l_shipdate + INTERVAL 1 DAY ELSE TIMESTAMP '2024-01-31' END AS observed_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
+def observation_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When an observation happened, from what its listing says of it."""
+    x, o = D.table(spark, sf_dir, "lineitem"), D.table(spark, sf_dir, "orders")
+    rows = x.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    when = lambda c, t: F.when(c, t)
+    at = I.observed_at(
+        when(F.col("l_linestatus") == "F", F.lit("Sold")), when(F.col("l_suppkey") % 3 > 0, F.col("l_shipdate")), when(F.col("l_partkey") % 2 == 0, F.col("o_orderdate")),
+        when(F.col("l_partkey") % 5 == 0, F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")), F.lit(D.AS_OF).cast("timestamp_ntz"),
+    )
+    return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), ((F.col("l_linestatus") == "F") & (F.year("l_shipdate") >= 1990)).alias("sold"), at.alias("observed_at"))
+
+
+@query(
+    """SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, CASE l_partkey % 6 WHEN 0 THEN true WHEN 2 THEN true WHEN 3 THEN l_quantity >= 1 WHEN 4 THEN l_suppkey % 3 > 0 ELSE false END AS salvage FROM lineitem"""
+)
+def loss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that speak of losses, and those that count none of them."""
+    x, k = D.table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    q, n = F.col("l_quantity").cast("long").cast("string"), (F.col("l_suppkey") % 3).cast("string")
+    said = (
+        F.when(k % 6 == 0, F.concat(F.lit("Salvage title, lot "), q)).when(k % 6 == 1, "Total loss from flooding: 0").when(k % 6 == 2, F.concat(F.lit("Vehicle total loss count: 0, owners: "), q))
+        .when(k % 6 == 3, F.concat(F.lit("rebuilt after "), q)).when(k % 6 == 4, F.concat(F.lit("Vehicle total_loss count: "), n)).otherwise("Vehicle total-loss record: 0")
+    )
+    return x.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), k.alias("part"), text.salvage(said).alias("salvage"))

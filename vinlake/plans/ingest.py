@@ -175,6 +175,23 @@ def galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.galleries(photos, P.canonical_listings(photos), most=12)
 
 
+@query(
+    f"""{D.with_tables("photos")}, g AS (SELECT vehicle_id, listing_id, count(*) AS n, max(CASE WHEN contains(source_url, '640x480') THEN 120 ELSE 0 END) + min(CASE WHEN contains(source_url, 'logo') THEN -250 ELSE 0 END) AS host FROM photos GROUP BY 1, 2),
+m AS (SELECT *, listing_id % 11 = 3 AS catalog, listing_id % 7 = 2 AND listing_id % 11 <> 3 AS mirror, vehicle_id % 3 = 0 AND listing_id = min(listing_id) OVER (PARTITION BY vehicle_id) AS mine FROM g),
+w AS (SELECT *, coalesce(bool_or(NOT catalog AND NOT mirror AND NOT mine) OVER (PARTITION BY vehicle_id), false) AS others, max(host) OVER (PARTITION BY vehicle_id) AS best FROM m),
+s AS (SELECT vehicle_id, listing_id, 10 * n + host + CASE WHEN listing_id % 2 = 0 THEN 100 ELSE 0 END + CASE WHEN NOT catalog AND NOT mirror AND listing_id % 5 = 0 THEN 120 ELSE 0 END - CASE WHEN mirror THEN 350 ELSE 0 END - CASE WHEN catalog THEN 500 ELSE 0 END
+  + CASE WHEN mine AND NOT ((catalog OR mirror) AND others) AND NOT (host < 0 AND best > host + 50) THEN 400 ELSE 0 END AS score FROM w)
+SELECT vehicle_id, listing_id AS canonical FROM s QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY score DESC, listing_id) = 1"""
+)
+def gallery_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which listing leads each vehicle's gallery, by its pictures, its kind, its hosts and a preference."""
+    photos, k = D.photos(spark, sf_dir), F.col("listing_id")
+    sid = F.when(k % 11 == 3, F.concat(F.lit("catalog:"), k.cast("string"))).when(k % 7 == 2, F.concat(F.lit("lot/"), k.cast("string"))).when(k % 5 == 0, F.lpad(k.cast("string"), 7, "9")).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    listings = photos.select("listing_id").distinct().select("listing_id", sid.alias("source_id"), (k % 2 == 0).alias("is_active"))
+    preferred = photos.filter("vehicle_id % 3 = 0").groupBy("vehicle_id").agg(F.min("listing_id").alias("preferred"))
+    return P.canonical_listings(photos, listings, hosts=(("640x480", 120), ("logo", -250)), preferred=preferred)
+
+
 @query(
     f"""{D.with_tables("photos")}, {_USABLE}, u AS (SELECT vehicle_id, CASE WHEN listing_id % 2 = 0 THEN 'mirrored' ELSE 'source' END AS bucket, replace(picture, 'cdn.example.com', CASE WHEN listing_id % 2 = 0 THEN 'img.mirror.example' ELSE 'cdn.example.com' END) AS picture, min(CAST(regexp_extract(source_url, 'frame_(\\d+)', 1) AS INT)) AS fr FROM usable GROUP BY 1, 2, 3)
 SELECT vehicle_id, bucket, picture, CAST(row_number() OVER (PARTITION BY vehicle_id, bucket ORDER BY fr NULLS LAST, picture) AS INT) AS place FROM u"""

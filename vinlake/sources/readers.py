@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vinlake.functions.numbers import tidy
 from vinlake.functions.text import looks_like_page
@@ -18,10 +17,10 @@ FILE = f"{LISTING}, listings array<struct<{LISTING.replace(' string', ':string')
 NAMES = [x.split()[0] for x in LISTING.split(", ")]
 
 
-def read_listings_json(spark: SparkSession, path: str) -> DataFrame:
-    """Listings of JSON files in any of the shapes of FILE, as a flat table (S11). A vehicle's fields fill those that its listings lack. Rows without a vin or provider
-    are dropped; without a source id they get import:<vin>."""
-    files = spark.read.schema(FILE).json(path, multiLine=True)
+def read_listings_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Listings of JSON files in any of the shapes of FILE, as a flat table (S11); lines: each line is such an object, so that large files can be split. A vehicle's fields
+    fill those that its listings lack. Rows without a vin or provider are dropped; without a source id they get import:<vin>."""
+    files = spark.read.schema(FILE).json(path, multiLine=not lines)
     bare = files.filter("listings IS NULL AND vehicles IS NULL").select(*NAMES)
     direct = files.select(F.inline("listings"))
     cars = files.select(F.explode("vehicles").alias("v"))
@@ -73,9 +72,14 @@ def batch_after(df: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
     return df.filter(F.col(key) > cursor).orderBy(key).limit(size)
 
 
+def in_sample(key: str, per_thousand: int) -> Column:
+    """Whether a key's hash falls into a share (S7): the same rows on every run. As a condition it can stand in aggregates beside those of all rows."""
+    return F.pmod(F.xxhash64(key), F.lit(1000)) < per_thousand
+
+
 def sampled(df: DataFrame, key: str, per_thousand: int) -> DataFrame:
-    """Rows whose key's hash falls into a share (S7): the same rows on every run."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1000)) < per_thousand)
+    """The rows in the sample."""
+    return df.filter(in_sample(key, per_thousand))
 
 
 def scaled_up(sample_count: Column, total: Column, sample_total: Column) -> Column:
@@ -130,36 +134,3 @@ def generic_pages(pages: DataFrame) -> DataFrame:
 def spec_pages(pages: DataFrame) -> DataFrame:
     """(url, pos, name, value)"""
     return spec_table(pages, "html", "url")
-
-
-class _Shard(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
-
-
-class _FeedReader(DataSourceReader):
-    def __init__(self, options):
-        self.pages, self.size, self.retries = int(options.get("pages", 1)), int(options.get("size", 10)), int(options.get("retries", 6))
-
-    def partitions(self):
-        return [_Shard(p) for p in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i in range(self.size):
-            n = partition.page * self.size + i
-            yield partition.page, i, f"ref-{n}", f"https://feed.example.com/item/{n}"
-
-
-class FeedSource(DataSource):
-    """A paged feed as a Spark data source (S1, S3, S4): each page is a partition, so pages are fetched side by side and a lost one again. This one makes its own rows
-    (page, pos, source_id, url); options: pages, size. A feed on a network overrides read."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "vinlake_feed"
-
-    def schema(self) -> str:
-        return "page int, pos int, source_id string, url string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _FeedReader(self.options)
