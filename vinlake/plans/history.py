@@ -137,14 +137,60 @@ def timeline_with_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("vehicle_id", "day", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The domain tables of enabled providers alone.
+_ENABLED = D.with_tables("vehicles", "listings", "events").replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 7 <> 0)").replace("ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_suppkey % 7 <> 0)")
+
+
 @query(
-    f"""{D.with_tables("vehicles", "listings", "events")}, {_READINGS}, {_OWNER},
-h AS (SELECT vehicle_id, count(*) AS readings, max(km) FILTER (latest) AS latest_km FROM history GROUP BY 1), a AS (SELECT vehicle_id, count(*) AS accidents FROM vehicle_events WHERE event_type = 'accident' GROUP BY 1), w AS (SELECT vehicle_id, count(*) AS owners FROM days GROUP BY 1)
-SELECT vin, coalesce(readings, 0) AS readings, latest_km, coalesce(accidents, 0) AS accidents, coalesce(owners, 0) AS owners FROM vehicles v LEFT JOIN h ON v.id = h.vehicle_id LEFT JOIN a ON v.id = a.vehicle_id LEFT JOIN w ON v.id = w.vehicle_id"""
+    f"""{_ENABLED}, {_READINGS}, {_OWNER}, {_LINE},
+h AS (SELECT vehicle_id, count(*) AS readings, max(km) FILTER (latest) AS latest_km, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM history GROUP BY 1), a AS (SELECT vehicle_id, count(*) AS accidents FROM vehicle_events WHERE event_type = 'accident' GROUP BY 1), w AS (SELECT vehicle_id, count(*) AS owners FROM days GROUP BY 1),
+s AS (SELECT vehicle_id, strftime(occurred_at, '%Y-%m-%d') AS day, CAST(coalesce(m_price, q * 100) AS DOUBLE) AS amount FROM vehicle_events WHERE event_type = 'sale' GROUP BY 1, 2, 3),
+o AS (SELECT vehicle_id, strftime(seen_at, '%Y-%m-%d') AS day, CAST(price_amount AS DOUBLE) AS amount FROM listings WHERE listing_status = 'Sold' GROUP BY 1, 2, 3),
+f AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.vehicle_id = o.vehicle_id AND (s.amount = o.amount OR (s.day = o.day AND (o.amount IS NULL OR s.amount IS NULL))))),
+x AS (SELECT vehicle_id, count(*) AS sales FROM (SELECT vehicle_id FROM s UNION ALL SELECT vehicle_id FROM f) GROUP BY 1), p AS (SELECT vehicle_id, 1 AS specs FROM vehicle_events WHERE event_type = 'delivery' GROUP BY 1),
+l AS (SELECT vehicle_id, day FROM line UNION ALL SELECT vehicle_id, day FROM history h WHERE NOT EXISTS (SELECT 1 FROM vehicle_events e WHERE e.vehicle_id = h.vehicle_id AND coalesce(m_date, strftime(occurred_at, '%Y-%m-%d')) = h.day AND {_KM} = h.km)),
+t AS (SELECT vehicle_id, count(*) AS timeline FROM l GROUP BY 1)
+SELECT vin, coalesce(readings, 0) AS readings, latest_km, coalesce(array_to_string(sources, ','), '') AS sources, coalesce(accidents, 0) AS accidents, coalesce(owners, 0) AS owners, coalesce(sales, 0) AS sales, CAST(coalesce(specs, 0) AS BIGINT) AS specs, coalesce(timeline, 0) AS timeline, CAST(0 AS BIGINT) AS titles, CAST(0 AS BIGINT) AS panels
+FROM vehicles v LEFT JOIN h ON v.id = h.vehicle_id LEFT JOIN a ON v.id = a.vehicle_id LEFT JOIN w ON v.id = w.vehicle_id LEFT JOIN x ON v.id = x.vehicle_id LEFT JOIN p ON v.id = p.vehicle_id LEFT JOIN t ON v.id = t.vehicle_id"""
 )
 def vehicle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vehicle's report with nested sections, summed up."""
-    e = _events(spark, sf_dir)
-    full = H.report(D.vehicles(spark, sf_dir).select("id", "vin"), {"mileage": _history(spark, sf_dir), "accidents": H.accidents(e), "owners": H.owner_changes(e, TIES)})
-    last = F.get(F.filter("mileage", lambda x: x["latest"]), F.lit(0))["km"]
-    return full.select("vin", F.coalesce(F.size("mileage"), F.lit(0)).cast("long").alias("readings"), last.alias("latest_km"), F.coalesce(F.size("accidents"), F.lit(0)).cast("long").alias("accidents"), F.coalesce(F.size("owners"), F.lit(0)).cast("long").alias("owners"))
+    """Every vehicle's report with nested sections, from enabled providers alone, summed up (E27, A10): readings with their sources, accidents, owners, sales, titles,
+    panels, specifications and the timeline."""
+    on = D.table(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("provider_id"))
+    e = staged(H.with_km(H.with_meta(_events(spark, sf_dir).join(on, "provider_id", "left_semi"))))
+    x = D.listings(spark, sf_dir).join(on, "provider_id", "left_semi")
+    seen = H.observation_readings(x, dates.day_of(F.col("seen_at")), F.concat(F.lit("p"), (F.col("provider_id") % 3).cast("string")))
+    history = staged(H.mileage_history(seen, H.event_readings(e)))
+    order = ["occurred_at", "order_id", "line", "provider_id"]
+    sections = {
+        "mileage": history, "accidents": H.accidents(e), "owners": H.owner_changes(e, TIES), "sales": H.auction_sales(e, H.sold_observations(x), TIES), "titles": H.salvage_records(e, order), "panels": H.body_panels(e, order),
+        "specs": H.extra_specs(e, order), "timeline": H.with_readings(H.timeline(e, ["order_id", "line", "provider_id", "metadata"]), history),
+    }
+    full = H.report(D.vehicles(spark, sf_dir).select("id", "vin"), sections)
+    last = F.get(F.filter("mileage", lambda r: r["latest"]), F.lit(0))["km"]
+    names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("mileage", lambda r: r["sources"])))), ",")
+    counts = {("readings" if n == "mileage" else n): F.coalesce(F.size(n), F.lit(0)).cast("long") for n in sections}
+    return full.select("vin", *(c.alias(n) for n, c in counts.items()), last.alias("latest_km"), F.coalesce(names, F.lit("")).alias("sources"))
+
+
+@query(
+    f"""{D.with_tables("events")}, e AS (SELECT *, strftime(occurred_at, '%Y-%m-%d') AS own_day FROM vehicle_events WHERE event_type = 'inspection'),
+d AS (SELECT DISTINCT vehicle_id, own_day AS day FROM e WHERE line % 3 = 0),
+s AS (SELECT vehicle_id, min(own_day) AS day FROM e WHERE line % 3 = 1 GROUP BY vehicle_id, line % 2),
+i0 AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, own_day ORDER BY q % 5 DESC, order_id, line, provider_id) AS r FROM e WHERE line % 3 = 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, provider_id % 3 ORDER BY q % 5 DESC, occurred_at, order_id, line, provider_id) AS k FROM i0 WHERE r = 1)
+SELECT vehicle_id, day, 'diagnosis' AS kind, count(*) AS n FROM d GROUP BY 1, 2 UNION ALL SELECT vehicle_id, day, 'sticky', count(*) FROM s GROUP BY 1, 2 UNION ALL SELECT vehicle_id, own_day, 'inspection', count(*) FROM i WHERE k = 1 GROUP BY 1, 2"""
+)
+def timeline_collapses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnoses of a day, an inspection's rows and rows that stick to a vehicle, each collapsed as the timeline does."""
+    k, line = F.get_json_object("metadata", "$.mileageKm").cast("long") / 900, F.col("line")
+    text = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
+    diagnosis = text(source=F.lit("shop_diagnosis"), allClear=line % 2 == 0, comments=F.array(F.lit("No leaks"), F.concat(F.lit("Lot "), F.col("provider_id").cast("string"))))
+    inspection = text(source=F.lit("shop_inspection"), recordNo=F.concat(F.lit("r"), (F.col("provider_id") % 3).cast("string")))
+    e = _events(spark, sf_dir).filter("event_type = 'inspection'").withColumn("q", k.cast("long"))
+    e = e.withColumns({
+        "metadata": F.when(line % 3 == 0, diagnosis).when(line % 3 == 1, text(field=F.lit("odometerCheck"))).otherwise(inspection), "event_type": F.when(line % 3 == 2, "inspection").otherwise("other"),
+        "description": F.when(line % 3 == 0, "Diagnosis — checked").when(line % 3 == 1, F.concat(F.lit("Odometer check "), (line % 2).cast("string"))).otherwise(F.concat(F.lit("Shop performance inspection"), F.repeat(F.lit("+"), (F.col("q") % 5).cast("int")))),
+    })
+    kind = F.when(F.col("description").like("Odometer%"), "sticky").when(F.col("description").like("Shop%"), "inspection").otherwise("diagnosis")
+    return H.timeline(e, ["order_id", "line", "provider_id", "metadata"]).groupBy("vehicle_id", "day", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -76,8 +76,9 @@ def vehicle_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, x = D.vehicles(spark, sf_dir), D.listings(spark, sf_dir)
     enabled = D.providers(spark, sf_dir).filter("enabled").select(F.col("id").alias("provider_id"), "internal_name")
     usd = effective_usd(F.lit(None).cast("double"), F.col("price_amount"), F.col("price_currency"))
-    per = x.join(enabled, "provider_id").groupBy(F.col("vehicle_id").alias("id")).agg(F.min(usd).alias("min_usd"), F.count(F.lit(1)).alias("n_listings"), F.array_join(F.array_sort(F.collect_set("internal_name")), ", ").alias("providers"))
-    page = found(v, x, SEARCH).join(per, "id").orderBy(F.col("min_usd").asc_nulls_last(), "id").offset(20).limit(20)
+    wanted = found(v, x, SEARCH)  # only listings of the vehicles searched for are summed up
+    per = x.join(wanted.select(F.col("id").alias("vehicle_id")), "vehicle_id", "left_semi").join(enabled, "provider_id").groupBy(F.col("vehicle_id").alias("id")).agg(F.min(usd).alias("min_usd"), F.count(F.lit(1)).alias("n_listings"), F.array_join(F.array_sort(F.collect_set("internal_name")), ", ").alias("providers"))
+    page = wanted.join(per, "id").orderBy(F.col("min_usd").asc_nulls_last(), "id").offset(20).limit(20)
     return page.select("id", "vin", "year", "min_usd", "n_listings", "providers")
 
 

@@ -72,8 +72,13 @@ SELECT client_id, id, nd < 2 AS allowed, CAST(nd AS BIGINT) AS used FROM n"""
 )
 def stream_daily_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily limit of two successes, with state by client."""
+    rows, path = _staged(D.request_logs(spark, sf_dir), "requested_at", ["2024-01-11", "2024-01-21"])
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
-    rows, path = _staged(D.request_logs(spark, sf_dir), "requested_at", ["2024-01-11", "2024-01-21"])
-    out = _result(P.daily_limits(P.stream(spark, path, rows.schema, "requested_at", "40 days", 1), 2), "append")
+    try:
+        out = _result(P.daily_limits(P.stream(spark, path, rows.schema, "requested_at", "40 days", 1), 2), "append")
+    finally:  # the setting is this stream's alone
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return out.select("client_id", "id", "allowed", "used")
