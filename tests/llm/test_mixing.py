@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from math import comb
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
@@ -54,6 +55,22 @@ def test_odd_rows_and_text_of_the_mix(spark):
     assert mixing.plan(df.limit(0)).count() == 0
 
 
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    rows = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    assert mixing.plan(rows.filter("doc_id < 3")).count() == 3
+    with pytest.raises(ValueError, match="sources"):
+        mixing.plan(rows)
+
+
+def test_parts_change_nothing_but_the_order(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    sums = lambda: {tuple(r) for r in mixing.plan(docs, carry=("source",)).groupBy("source", "source_size", "target").agg(F.sum("taken")).collect()}
+    one = sums()
+    monkeypatch.setattr(mixing, "PARTS", 7)
+    assert sums() == one
+
+
 def test_draws(spark):
     df = spark.createDataFrame([(g, n, d, u) for g, n, d in ((3, 10, 4), (50, 100, 37), (1, 5, 5), (0, 4, 2), (900, 1000, 500)) for u in (0.01, 0.3, 0.47, 0.9, 0.999)], "g long, n long, d long, u double")
     for r in df.withColumn("k", mixing.hypergeometric(F.col("g"), F.col("n"), F.col("d"), F.col("u"))).collect():

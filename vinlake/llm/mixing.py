@@ -26,8 +26,10 @@ MOST = 3
 BLOCK, SHARDS, ROUNDS = 4096, 32, 24
 #: Words of a shard's rows that one task sorts; larger shards are dealt out in parts by hash.
 PART_WORDS = 2_000_000
-#: Parts of a source's order that are summed apart, so that no task gets a whole source.
-PARTS = 4096
+#: Parts of a source's order that are summed apart, so that no task gets a whole source; more of them from PARTS * PART_ROWS rows on, so that parts don't grow.
+PARTS, PART_ROWS = 4096, 100_000
+#: Sources stand in one row (of sums, not of documents): a list that somebody sets weights for. A table with more of them, such as one of hosts, is refused.
+SOURCES = 10_000
 #: Sources that are broadcast at most.
 MAX_BROADCAST = 50_000
 _SEED = 20_011
@@ -170,11 +172,14 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
     names = [f"c{i}" for i in range(len(carry))]
     t = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), sizes(t).alias("size"), F.xxhash64(F.lit(_SEED), F.col(id_col), t).alias("h"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
-    docs = docs.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+    docs = docs.withColumn("part", F.pmod("h", F.lit(max(PARTS, df.count() // PART_ROWS))).cast("int"))
     parts = as_table(docs.groupBy("source", "part").agg(F.sum("size").alias("n")))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = as_table(parts.select(F.col("source").alias("s2"), F.col("part").alias("p2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n"))
-    goal = targets(parts.groupBy(F.col("s2").alias("source")).agg(F.sum("n").alias("source_size")), weights, most)
+    sources = as_table(parts.groupBy(F.col("s2").alias("source")).agg(F.sum("n").alias("source_size")))
+    if sources.limit(SOURCES + 1).count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: give sources that weights are set for")
+    goal = targets(sources, weights, most)
     words = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     n = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
