@@ -36,9 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def as_table(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder as Parquet and read again: small on disk, and Spark knows its size."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+def new_path(spark: SparkSession) -> str:
+    """A folder of the shared one that nothing has used yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def as_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder as Parquet and read again: small on disk, and Spark knows its size. A path is for those who remove it later."""
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
