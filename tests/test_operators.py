@@ -74,12 +74,84 @@ def test_sales_cover(spark):
     assert as_set(H.auction_sales(e.orderBy(F.rand(1)), o.orderBy(F.rand(2)), ["pos"]), "day", "amount", "from_event") == want
 
 
+def fold_of_sales(sales, seen):
+    """A vehicle's list of sales, one observation after the other."""
+    rows = [dict(r) for r in sales]
+    for o in seen:
+        for r in rows:
+            same = lambda c: o[c] is not None and r[c] == o[c]  # noqa: B023, E731
+            if same("source_id") or same("amount") or (r["day"] == o["day"] and None in (r["amount"], o["amount"])):
+                names = [x for x in (o["provider"], r["provider"]) if x]
+                r["provider"] = next((x for x in names if x != "mirror"), names[0] if names else None)
+                for c in ("amount", "usd", "eur", "source_id"):
+                    r[c] = r[c] if r[c] is not None else o[c]
+                break
+        else:
+            rows.append(dict(o, source="observation"))
+    return rows
+
+
+def test_sales_fold_against_a_loop(spark):
+    """Chains: a sale takes an observation's source id or amount and then covers others by it, in the order of days; repeated rows change nothing."""
+    rng, cols = random.Random(8), ("day", "amount", "usd", "eur", "provider", "source_id")
+    e_rows, o_rows, want = [], [], set()
+    for v in range(60):
+        seen, sales, done = [], [], set()
+        for pos in range(rng.randrange(4)):
+            day, amount = f"2020-01-0{rng.randint(1, 5)}", rng.choice([None, 1.0, 2.0, 3.0])
+            m = {"soldDate": day, "amount": amount, "sourceListingId": rng.choice([None, "s1", "s2"]), "provider": rng.choice([None, "mirror", "p1"]), "currency": "EUR", "source": "x"}
+            e_rows.append((v, "sale", None, m, f"2020-01-{10 + pos}"))
+            if (day, amount) not in done:  # the loop gets one event for each day and amount
+                done.add((day, amount))
+                sales.append({"day": day, "amount": amount, "usd": None, "eur": None, "provider": {None: "x", "mirror": None, "p1": "p1"}[m["provider"]], "source_id": m["sourceListingId"], "source": "x"})
+            else:
+                e_rows.pop()
+        for at in range(rng.randrange(9)):
+            o = {"day": f"2020-01-0{rng.randint(1, 5)}", "amount": rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0]), "usd": rng.choice([None, 9.0]), "eur": rng.choice([None, 8.0]), "provider": rng.choice([None, "mirror", "p2", "p3"]), "source_id": rng.choice([None, "s1", "s2", "s3", "s4"])}
+            seen += [o] * rng.choice([1, 1, 3])
+        seen.sort(key=lambda o: o["day"])
+        seen = [dict(o, n=n) for n, o in enumerate(seen)]
+        o_rows += [(v, *(o[c] for c in cols), o["n"]) for o in seen]
+        want |= {(v, *(r[c] for c in cols), r["source"] != "observation") for r in fold_of_sales(sales, seen)}
+    e = events(spark, *e_rows)
+    o = spark.createDataFrame(o_rows, "vehicle_id long, day string, amount double, usd double, eur double, provider string, source_id string, n int")
+    for _ in range(2):
+        out = H.auction_sales(e, o, ["pos"], ["n"])
+        assert as_set(out, "vehicle_id", *cols, "from_event") == want and out.count() == len(want)
+        e, o = e.orderBy(F.rand(1)), o.orderBy(F.rand(2))
+
+
+def test_sale_events_and_registrations(spark):
+    e = events(
+        spark, (1, "sale", "Sold for: $1,200", {"field": "final_price", "value": 900}, "2020-01-01"), (2, "sale", None, {"finalPrice": 500, "registered": "2001"}, "2020-01-01"), (3, "sale", None, {"amount": 70, "provider": "iaa"}, "2020-01-01"),
+        (4, "sale", None, {"amount": 70, "source": "kmarket"}, "2020-01-01"), (4, "delivery", "First registration: 2009", {"field": "firstRegistration"}, "2009-01-01"), (4, "delivery", "New car delivery", {"kind": "firstDate", "value": "2009-05-04T00:00"}, "2010-01-01"),
+        (5, "sale", None, {"amount": 1, "registered": None}, "2020-01-01"), (5, "sale", None, {"amount": 1, "registered": "2003-02", "soldDate": "2020-01-01"}, "2020-01-02"), (5, "other", "First registration: x", {"field": "firstDate", "datePrecision": "month"}, "2004-03-01"),
+        (6, "sale", None, {"amount": 1}, None), (7, "sale", None, {"finalPrice": 600000}, "2020-01-01"),
+    )
+    got = as_set(H.auction_sales(e, spark.createDataFrame([], "vehicle_id long, day string, amount double, currency string"), ["pos"], won="kmarket"), "vehicle_id", "amount", "currency", "usd", "registered", "provider", "source")
+    assert got == {
+        (1, 900.0, "USD", None, None, None, "sale_event"), (2, 500.0, "USD", 500.0, "2001", None, "sale_event"), (3, 70.0, "USD", 70.0, None, "iaa", "sale_event"), (4, 70.0, "KRW", None, "2009-05-04", "kmarket", "kmarket"),
+        (5, 1.0, "USD", None, "2004-03", None, "sale_event"), (7, 600000.0, "USD", None, None, None, "sale_event"),
+    }
+
+
+def test_salvage_rules(spark):
+    """Counts belong to fields of counts: a title or a flood that also states zero losses stays; hyphens are underscores; a description can state a title."""
+    e = events(
+        spark, (1, "title_status", None, {"salvage": True, "totalLossCnt": 0}, "2020-01-01"), (2, "flood_damage", "Flood", {"totalLossCnt": 0, "floodTotalLossCnt": 2}, "2020-01-01"), (3, "other", None, {"field": "total-loss", "value": 0}, "2020-01-01"),
+        (4, "other", "Title: Clear", None, "2020-01-01"), (5, "other", None, {"field": "vehicle-category", "value": "car"}, "2020-01-01"), (6, "other", None, {"field": "total_loss_count", "value": 2}, "2020-01-01"), (7, "title_status", None, {"field": "title", "value": 7}, "2020-01-01"),
+        (8, "other", "listed as salvage today", {"salvage": "true"}, "2020-01-01"), (9, "title_status", None, {"value": "0", "salvage": False}, "2020-01-01"), (10, "other", "seen", {"source": "wreckers"}, "2020-01-01"), (11, "flood_damage", None, {"floodTotalLossCnt": "2"}, None),
+    )
+    got = as_set(H.salvage_records(e, ["pos"], always="wreck"), "vehicle_id", "salvage", "title", "detailed_title", "source")
+    assert got == {(1, True, None, None, None), (2, True, "Flood", None, None), (4, False, None, None, None), (8, True, "Salvage", None, None), (9, False, None, None, None), (10, True, "Salvage", None, "wreckers")} - {(4, False, None, None, None)}
+
+
 def test_salvage(spark):
     e = events(
         spark, (1, "title_status", None, {"field": "title", "value": "TX - Salvage", "status": "final"}, "2020-01-01"), (1, "total_loss", "Total loss", {"date": "2019-05-05"}, "2020-01-02"), (2, "other", "Total loss: 0", {"field": "total_loss_count", "value": 0}, "2020-01-01"),
         (3, "title_status", None, {"salvage": False, "value": "CA - Clear"}, "2020-01-01"), (4, "other", "nothing", {}, None), (5, "flood_damage", None, {"floodTotalLossCnt": 1}, None),
     )
-    assert as_set(H.salvage_records(e, ["pos"]), "vehicle_id", "salvage", "title", "state", "status", "day") == {(1, True, "TX - Salvage", "TX", "final", "2020-01-01"), (3, False, "CA - Clear", "CA", None, "2020-01-01"), (5, True, None, None, None, None)}
+    assert as_set(H.salvage_records(e, ["pos"]), "vehicle_id", "salvage", "title", "state", "status", "day") == {(1, True, "TX - Salvage", "TX", "final", "2020-01-01"), (3, False, None, "CA", None, "2020-01-01"), (5, True, None, None, None, None)}  # a value names a title only in a title's field, or where it flags
 
 
 def test_timeline(spark):

@@ -50,3 +50,8 @@ def with_fields(raw: Column, fields: Column) -> Column:
 def without(raw: Column, *names: str) -> Column:
     """The JSON object without internal fields."""
     return F.to_json(F.map_filter(parsed(raw), lambda k, _: ~k.isin(*names)))
+
+
+def kind(raw: Column, name: str) -> Column:
+    """What a field of the JSON text is: STRING, BOOLEAN, BIGINT, OBJECT and so on; null if it isn't there. The map holds all as text and can't tell."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant"))

@@ -37,6 +37,26 @@ def zero_losses(t: Column) -> Column:
     return t.rlike(f"(?iu){ZERO_LOSS}") | (t.rlike(f"(?iu){ZERO_COUNT}") & ~t.rlike(SOME_COUNT))
 
 
+#: How a description states a title, and short forms of loss texts.
+TITLE_TEXT = r"(?i)^(?:vehicle title|detailed title|title(?:\s*(?:code|type|status|name))?)\s*:"
+LOSS_LABELS = ((r"(?i)^(?:total[_\s-]*loss|전손|총손실|총손)$", "Total loss"), (r"(?i)listed as salvage", "Salvage"), (r"(?i)^salvage record$", "Salvage record"), (r"(?i)^total-?loss record$", "Total loss"))
+
+
+def said_title(desc: Column) -> Column:
+    """The title that a description such as "Title: Clear" states, else null."""
+    return F.nullif(F.trim(F.regexp_extract(F.trim(desc), TITLE_TEXT + r"\s*(.+)$", 1)), F.lit(""))
+
+
+def loss_label(raw: Column) -> Column:
+    """A loss text's short form, or what follows "Damage:"; the text itself where there is none."""
+    t = F.trim(raw)
+    out, rest = t, F.trim(F.regexp_replace(t, r"(?i)^damage:\s*", ""))
+    for pattern, label in reversed(LOSS_LABELS):
+        out = F.when(t.rlike(pattern), label).otherwise(out)
+    of_damage = F.when(rest.rlike(r"(?i)total[_\s-]*loss|전손|총손"), "Total loss").when(rest != "", rest).otherwise(t)
+    return F.when(t.rlike(r"(?i)^damage:"), of_damage).otherwise(out)
+
+
 def title_state(raw: Column) -> Column:
     """The two letters that a title text such as "TX - Salvage" begins with."""
     return F.nullif(F.upper(F.regexp_extract(F.trim(raw), r"^([A-Za-z]{2})\s*[-–—]\s+", 1)), F.lit(""))

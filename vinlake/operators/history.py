@@ -131,53 +131,174 @@ def owner_changes(events: DataFrame, ties: Sequence[Column | str], trusted: str
     return one.withColumn("sequence", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("day")))
 
 
-def auction_sales(events: DataFrame, observations: DataFrame, ties: Sequence[Column | str]) -> DataFrame:
-    """(vehicle_id, day, amount, currency, from_event): sales by day and amount (E21), newest first by day.
+#: Auction houses that sell in dollars. Labels of mirror sites, which give way to an auction house's name, and of sources that aren't shown are parameters.
+DOLLAR_HOUSES = ("iaa", "copart")
+MIRRORS, HIDDEN = ("mirror",), ("aggregator",)
+_SALE = "struct<day:string,amount:double,currency:string,usd:double,eur:double,registered:string,provider:string,source_id:string,source:string,later:string>"
 
-    Events come first, merged by day and amount. A sold observation (vehicle_id, day, amount, currency) is covered by the vehicle's sale of the same amount or, where
-    either amount is missing, of the same day (J13), and then gives an amount that the first such sale lacks; others become sales of their own, merged alike. That is
-    two phases: an observation that only an earlier observation's row would cover is merged by day and amount alone."""
+
+def sale_events(events: DataFrame, ties: Sequence[Column | str], houses: Sequence[str] = DOLLAR_HOUSES, mirrors: Sequence[str] = MIRRORS, hidden: Sequence[str] = HIDDEN, won: str | None = None) -> DataFrame:
+    """(vehicle_id, day, amount, currency, usd, eur, registered, provider, source_id, source, later, _o): the sales that events state, one for each day and amount.
+
+    Of several events with one day and amount each field is the first that says anything in the order (occurred_at, *ties); registered is the first event's, later that of
+    any. An amount without a currency that is stated as a
+    final, buy-now or auction price below 500,000 is in dollars, and so is the price of a dollar house. won: sources (a pattern) whose other prices are in won."""
     events, m = with_meta(events.filter("event_type = 'sale'")), F.col("_m")
     stated = F.regexp_extract("description", r"(?i)(?:Final price|Buy now|Sold for)\s*:?\s*\$?\s*([\d,]+(?:\.\d+)?)", 1)
-    amount = F.coalesce(meta.number(m, "priceAmount", "amount", "finalPrice", "buyNowPrice", "auctionPrice"), F.replace(stated, F.lit(","), F.lit("")).try_cast("double"))
-    sales = events.select(
-        "vehicle_id", F.coalesce(meta.text(m, "soldDate"), dates.day_of(F.col("occurred_at"))).alias("day"), amount.alias("amount"), meta.text(m, "priceCurrency", "currency").alias("currency"), F.struct("occurred_at", *ties).alias("_o"),
+    named = F.when(meta.text(m, "field").isin("final_price", "buy_now"), meta.number(m, "value"))
+    amount = F.coalesce(meta.number(m, "priceAmount", "amount", "finalPrice", "buyNowPrice", "auctionPrice"), named, F.replace(stated, F.lit(","), F.lit("")).try_cast("double"))
+    source, said = meta.text(m, "source"), meta.text(m, "provider", "source")
+    provider = F.when(~F.lower(said).isin(*(x.lower() for x in (*mirrors, *hidden))), said)
+    bid = meta.number(m, "finalPrice", "buyNowPrice", "auctionPrice", "openingBid")
+    rows = events.select(
+        "vehicle_id", F.coalesce(meta.text(m, "soldDate"), dates.day_of(F.col("occurred_at"))).alias("day"), amount.alias("amount"), meta.text(m, "priceCurrency", "currency").alias("_c"), (bid.isNotNull()).alias("_bid"),
+        meta.number(m, "priceUsd").alias("_usd"), meta.number(m, "priceEur").alias("eur"), meta.text(m, "registered").alias("registered"), provider.alias("provider"), meta.text(m, "sourceListingId").alias("source_id"),
+        source.alias("_s"), F.struct("occurred_at", *ties).alias("_o"),
     ).filter("day IS NOT NULL")
-    sales = sales.groupBy("vehicle_id", "day", "amount").agg(F.min_by("currency", F.when(F.col("currency").isNotNull(), F.col("_o"))).alias("currency"), F.min("_o").alias("_o"))
-    seen = observations.filter("day IS NOT NULL").groupBy("vehicle_id", "day", "amount").agg(F.min("currency").alias("currency"))
-    s, o = sales.alias("s"), seen.alias("o")
-    by_amount = o.join(s, (F.col("o.vehicle_id") == F.col("s.vehicle_id")) & (F.col("o.amount") == F.col("s.amount")))
-    by_day = o.join(s, (F.col("o.vehicle_id") == F.col("s.vehicle_id")) & (F.col("o.day") == F.col("s.day")) & (F.col("o.amount").isNull() | F.col("s.amount").isNull()))
-    pick = [F.col("o.vehicle_id").alias("vehicle_id"), F.col("o.day").alias("day"), F.col("o.amount").alias("amount"), F.col("s.day").alias("sale_day"), F.col("s.amount").alias("sale_amount"), F.col("s._o").alias("_o")]
-    covers = first_per_key(by_amount.select(*pick).unionByName(by_day.select(*pick)), ["vehicle_id", "day", "amount"], ["_o", "sale_day", F.col("sale_amount").asc_nulls_last()])
-    given = covers.filter("sale_amount IS NULL AND amount IS NOT NULL").groupBy("vehicle_id", F.col("sale_day").alias("day")).agg(F.min("amount").alias("_given"))
-    known = sales.join(given, ["vehicle_id", "day"], "left").withColumn("amount", F.coalesce("amount", "_given"))
-    same = (F.col("n.vehicle_id") == F.col("c.vehicle_id")) & (F.col("n.day") == F.col("c.day")) & F.col("n.amount").eqNullSafe(F.col("c.amount"))
-    fresh = seen.alias("n").join(covers.alias("c"), same, "left_anti")
-    return known.select("vehicle_id", "day", "amount", "currency", F.lit(True).alias("from_event")).unionByName(fresh.select("n.vehicle_id", "n.day", "n.amount", "n.currency", F.lit(False).alias("from_event")))
-
-
-def salvage_records(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """(vehicle_id, salvage, title, state, status, day, source): one row for each vehicle with title or loss events (E22). salvage: any event flags it; the other
-    fields are the first in the order that say anything. Counts of zero losses are no signal."""
+    dollars = F.col("_c").isNull() & F.col("_bid") & (F.col("amount") > 0) & (F.col("amount") < 500_000)
+    house = F.coalesce(F.col("provider").isin(*houses), F.lit(False)) | F.coalesce(F.col("_s").isin(*houses), F.lit(False))
+    rows = rows.withColumns({
+        "currency": F.coalesce("_c", F.when(dollars, "USD"), _sale_currency(F.col("provider"), F.col("_s"), won)), "usd": F.coalesce("_usd", F.when(dollars | house, F.col("amount"))),
+    })
+    pick = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c)
+    one = rows.groupBy("vehicle_id", "day", "amount").agg(
+        *map(pick, ("currency", "usd", "eur", "provider", "source_id")), F.min_by("registered", "_o").alias("registered"), F.min_by("registered", F.when(F.col("registered").isNotNull(), F.col("_o"))).alias("later"),
+        F.min("_o").alias("_o"), F.min_by("_s", "_o").alias("_s"), F.count(F.lit(1)).alias("_n"),
+    )
+    # A sale that one event states carries that event's source; merged ones are "sale_event".
+    return one.withColumn("source", F.coalesce(F.when(F.col("_n") == 1, F.col("_s")), F.lit("sale_event"))).drop("_s", "_n")
+
+
+def _sale_currency(provider: Column, source: Column, won: str | None) -> Column:
+    blob = F.lower(F.concat_ws(" ", F.coalesce(provider, F.lit("")), F.coalesce(source, F.lit(""))))
+    return F.when(blob.rlike(won), "KRW").otherwise("USD") if won else F.lit("USD")
+
+
+def auction_sales(
+    events: DataFrame, observations: DataFrame, ties: Sequence[Column | str], seen_ties: Sequence[Column | str] = (), houses: Sequence[str] = DOLLAR_HOUSES, mirrors: Sequence[str] = MIRRORS, hidden: Sequence[str] = HIDDEN, won: str | None = None
+) -> DataFrame:
+    """(vehicle_id, day, amount, currency, usd, eur, registered, provider, source_id, source, from_event): the sales of every vehicle.
+
+    Sales that events state come first, in order. Then each sold observation (vehicle_id, day, amount, currency, usd, eur, provider, source_id and seen_ties, in the order
+    of day and seen_ties) meets the list so far: the first sale that covers it (J13: the same source id, the same amount, or the same day where either amount is missing)
+    takes what it lacks from the observation, and the observation's provider unless that is a mirror's label; without one the observation is the next sale of the list,
+    and can itself cover later ones. registered: the event's own, else the vehicle's most precise first registration.
+
+    A vehicle's list depends on all before, so it is a fold over one array a vehicle. What the array holds is small: sales are merged before, and of observations that repeat
+    the one before them in the order the first alone goes in, as the others would be covered by the same sale and add nothing."""
     events = with_meta(events)
-    m, kind, desc = F.col("_m"), F.lower("event_type"), F.coalesce("description", F.lit(""))
-    value = meta.text(m, "value", "title", "damageClass")
-    field = F.lower(F.coalesce(meta.text(m, "field"), F.lit("")))
-    count = F.coalesce(meta.number(m, "totalLossCnt", "floodTotalLossCnt"), F.when(field.isin("total_loss", "totalloss", "total_loss_count", "flood_loss_count"), meta.number(m, "value")))
-    zero = text.zero_losses(F.trim(desc)) | (F.coalesce(count, F.lit(1)) <= 0)
-    flagged = (meta.flag(m, "salvage") == True) | (kind == "total_loss") | (meta.number(m, "floodTotalLossCnt") > 0) | text.salvage(value) | text.salvage(desc)  # noqa: E712
-    flagged = F.coalesce(flagged, F.lit(False))
-    signal = flagged | kind.isin("title_status", "total_loss") | meta.flag(m, "salvage").isNotNull() | field.isin("title", "title_code", "detailed_title", "vehicle_title")
-    rows = events.filter(signal & ~F.coalesce(zero, F.lit(False)))
-    title = F.when(~value.rlike("(?i)^(0|none|n/?a|-)$"), value)
-    title = F.coalesce(title, F.when(kind == "total_loss", "Total loss"), F.when(flagged, F.nullif(F.trim(desc), F.lit(""))))
-    rows = rows.select(
-        "vehicle_id", flagged.alias("f"), title.alias("title"), F.coalesce(meta.text(m, "state"), text.title_state(value)).alias("state"), meta.text(m, "status").alias("status"),
-        F.coalesce(meta.text(m, "date"), dates.day_of(F.col("occurred_at"))).alias("day"), meta.text(m, "source").alias("source"), F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("o"),
+    sales = sale_events(events, ties, houses, mirrors, hidden, won)
+    order = Window.partitionBy("vehicle_id").orderBy("day", *seen_ties, *_SEEN)
+    known = [c for c in observations.columns if c in _SEEN]
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    seen = observations.select("vehicle_id", blank(F.col("day")).alias("day"), *(F.col(c) if c in known else F.lit(None).cast(kind).alias(c) for c, kind in _SEEN.items()), *seen_ties).filter("day IS NOT NULL")
+    seen = seen.withColumns({"source_id": blank(F.col("source_id")), "provider": blank(F.col("provider")), "_at": F.row_number().over(order), "_before": F.lag(F.struct("day", *_SEEN)).over(order)})
+    seen = seen.filter(~F.struct("day", *_SEEN).eqNullSafe(F.col("_before")))
+    firsts = registered_labels(events)
+    as_sale = F.struct(*(F.col(c) for c in ("day", "amount", "currency", "usd", "eur", "registered", "provider", "source_id", "source", "later"))).cast(_SALE)
+    of_events = sales.select("vehicle_id", F.struct("_o", as_sale.alias("r")).alias("e"), F.lit(None).cast(f"struct<_at:int,r:{_SALE}>").alias("o"))
+    currency = F.coalesce(F.col("currency"), _sale_currency(F.col("provider"), F.lit(None), won))
+    as_seen = F.struct(F.col("day"), F.col("amount"), currency.alias("currency"), F.col("usd"), F.col("eur"), F.lit(None).cast("string").alias("registered"), F.col("provider"), F.col("source_id"), F.lit("observation").alias("source"), F.lit(None).cast("string").alias("later")).cast(_SALE)
+    of_seen = seen.select("vehicle_id", F.lit(None).cast(of_events.schema["e"].dataType).alias("e"), F.struct("_at", as_seen.alias("r")).alias("o"))
+    lists = of_events.unionByName(of_seen).groupBy("vehicle_id").agg(F.array_sort(F.collect_list("e")).alias("e"), F.array_sort(F.collect_list("o")).alias("o"))
+    lists = lists.join(firsts, "vehicle_id", "left").withColumn("sales", F.aggregate("o", F.transform("e", lambda x: x["r"]), lambda rows, o: _with_observation(rows, o["r"], mirrors)))
+    out = lists.select("vehicle_id", "first", F.explode("sales").alias("r")).select("vehicle_id", "first", "r.*")
+    return out.withColumns({"registered": F.coalesce("registered", "first", "later"), "from_event": F.col("source") != "observation"}).drop("first", "later")
+
+
+#: Columns of an observation beside vehicle_id and day; those that are not given are null.
+_SEEN = {"amount": "double", "currency": "string", "usd": "double", "eur": "double", "provider": "string", "source_id": "string"}
+
+
+def _with_observation(rows: Column, o: Column, mirrors: Sequence[str]) -> Column:
+    """The list of sales after an observation: one step of the fold."""
+
+    def covers(r: Column) -> Column:
+        same_day = (r["day"] == o["day"]) & (r["amount"].isNull() | o["amount"].isNull())
+        return F.coalesce(r["source_id"] == o["source_id"], F.lit(False)) | F.coalesce(r["amount"] == o["amount"], F.lit(False)) | same_day
+
+    def filled(r: Column) -> Column:
+        mirror = lambda c: F.lower(c).isin(*(x.lower() for x in mirrors))
+        provider = F.coalesce(F.when(~mirror(o["provider"]), o["provider"]), F.when(~mirror(r["provider"]), r["provider"]), o["provider"], r["provider"])
+        first = [F.coalesce(r[c], o[c]).alias(c) for c in ("amount", "currency", "usd", "eur")]
+        return F.struct(r["day"].alias("day"), *first, r["registered"].alias("registered"), provider.alias("provider"), F.coalesce(r["source_id"], o["source_id"]).alias("source_id"), r["source"].alias("source"), r["later"].alias("later"))
+
+    def put(at: Column) -> Column:
+        return F.when(at == 0, F.concat(rows, F.array(o))).otherwise(F.transform(rows, lambda r, i: F.when(i == at - 1, filled(r)).otherwise(r)))
+
+    # The place is bound by an array of one, or it would be sought again for each sale.
+    return F.get(F.transform(F.array(F.coalesce(F.array_position(F.transform(rows, covers), True), F.lit(0))), lambda at: put(at)), F.lit(0))
+
+
+def registered_labels(events: DataFrame) -> DataFrame:
+    """(vehicle_id, first): the most precise first registration of each vehicle, as people would write it: a value as it is (a day without its time), else the event's own day,
+    cut to the year or month if that is all that is known (E21, E11)."""
+    events, m = with_meta(events), F.col("_m")
+    said = F.regexp_extract("description", r"(?i)First registration:\s*(.+)$", 1)
+    rows = events.filter(is_first_registration(F.col("event_type"), F.col("description"), m) | (said != ""))
+    value, day, unit = meta.text(m, "value"), dates.day_of(F.col("occurred_at")), F.lower(meta.text(m, "datePrecision"))
+    source = F.coalesce(meta.text(m, "source"), F.lit(""))
+    of_year = (unit == "year") | (source == "productionYear") | (F.trim(said).rlike(r"^\d{4}$") & F.endswith(day, F.lit("-01-01")))
+    label = F.coalesce(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(value, 1, 10)).otherwise(value), F.when(F.coalesce(of_year, F.lit(False)), F.substring(day, 1, 4)).when(unit == "month", F.substring(day, 1, 7)).otherwise(day), F.nullif(F.substring(F.trim(said), 1, 10), F.lit("")))
+    score = first_registration_score(F.substring(F.coalesce(value, F.trim(said), F.lit("")), 1, 10), source)
+    # Of the same score the earliest, then the smaller label.
+    return rows.select("vehicle_id", label.alias("l"), score.alias("s"), F.col("occurred_at").alias("at")).filter("l IS NOT NULL").groupBy("vehicle_id").agg(F.min(F.struct(-F.col("s"), F.col("at").isNull(), "at", "l"))["l"].alias("first"))
+
+
+# Fields of title rows, of flags, and of counts whose zero is no loss.
+TITLE_FIELDS = ("title", "vehicle_title", "detailed_title", "title_code", "title_type", "title_status", "title_name", "doc_type")
+FLAG_FIELDS = ("totalloss", "salvagerecord", "salvage", "vehiclecategory", "damage", "damageclass")
+COUNT_FIELDS = ("total_loss_count", "flood_loss_count", "total_loss", "totalloss")
+
+
+def salvage_records(events: DataFrame, order: Sequence[Column | str], always: str | None = None) -> DataFrame:
+    """(vehicle_id, salvage, title, detailed_title, state, status, day, source): one row for each vehicle with title or loss events that say anything.
+
+    salvage: any event flags it; the other fields are the first in the order that say anything. Counts of zero losses are no signal, but a count is looked for only in
+    fields of counts, so a salvage title that also states zero losses stays, as does a flood's own count. always: sources (a pattern) whose vehicles are all salvage."""
+    events = with_meta(events)
+    m, raw, no = F.col("_m"), F.col("metadata"), F.lit(False)
+    field = F.coalesce(F.lower(meta.text(m, "field")), F.lit(""))
+    # In layers, so that no expression is computed twice. There is no filter, which Spark would push below them with all that it needs: rows without a signal have no order.
+    rows = events.select(
+        "vehicle_id", F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("o"), F.lower(F.coalesce("event_type", F.lit(""))).alias("kind"), F.trim(F.coalesce("description", F.lit(""))).alias("desc"),
+        F.when(meta.kind(raw, "value") == "STRING", meta.text(m, "value")).alias("value"), meta.text(m, "title").alias("named"), meta.text(m, "damageClass").alias("damage"), field.alias("field"),
+        F.when(meta.kind(raw, "salvage") == "BOOLEAN", meta.flag(m, "salvage")).alias("flag"), meta.number(m, "totalLossCnt").alias("losses"), meta.number(m, "floodTotalLossCnt").alias("floods"), meta.number(m, "value").alias("n"),
+        meta.kind(raw, "floodTotalLossCnt").rlike("INT|DOUBLE|FLOAT|DECIMAL").alias("flood_number"), meta.text(m, "state").alias("state"), meta.text(m, "status").alias("status"), F.coalesce(meta.text(m, "date"), dates.day_of(F.col("occurred_at"))).alias("day"),
+        meta.text(m, "source").alias("source"),
     )
+    rows = rows.withColumns({
+        "field": F.replace("field", F.lit("-"), F.lit("_")), "bare": F.regexp_replace("field", "[-_]", ""), "of_value": text.salvage(F.col("value")), "of_desc": text.salvage(F.col("desc")), "of_damage": text.salvage(F.col("damage")),
+        "zero": text.zero_losses(F.col("desc")), "stated": F.coalesce("value", "named", "damage", text.said_title(F.col("desc"))), "marked": F.coalesce(F.col("source").rlike(always), no) if always else no,
+    })
+    kind, name, bare = F.col("kind"), F.col("field"), F.col("bare")
+    zero = F.col("zero") | F.coalesce(F.when(name.isin(*COUNT_FIELDS), F.coalesce("losses", "floods", "n")) <= 0, no)
+    signal = (
+        F.when(zero, False).when(kind.isin("title_status", "total_loss") | F.col("flag").isNotNull() | name.isin(*TITLE_FIELDS), True).when(bare == "vehiclecategory", F.col("of_value") | F.col("of_desc"))
+        .when(F.when(bare == "totalloss", F.coalesce("losses", "n")) <= 0, False).when(bare.isin(*FLAG_FIELDS), True)
+        .otherwise(F.col("of_damage") | F.col("of_value") | F.col("of_desc") | F.col("desc").rlike(text.TITLE_TEXT) | F.coalesce((kind == "flood_damage") & (F.col("floods") > 0), no))
+    )
+    flagged = F.coalesce("flag", no) | (kind == "total_loss") | F.coalesce((F.col("floods") > 0) & F.col("flood_number"), no) | text.salvage(F.col("stated")) | F.col("of_desc") | F.col("of_damage")
+    rows = rows.withColumns({"signal": signal, "f": flagged, "usable": F.when(~F.col("stated").rlike("(?i)^(0|none|n/?a|-)$"), F.col("stated"))})
+    is_loss, is_title = (kind == "total_loss") | name.isin("totalloss", "total_loss"), name.isin(*TITLE_FIELDS) | F.startswith(name, F.lit("title"))
+    labelled = F.nullif(text.loss_label(F.coalesce("usable", "desc")), F.lit(""))
+    title = (
+        F.when(F.col("usable").isNull(), F.when(kind == "total_loss", "Total loss").when(F.col("f"), labelled)).when(name == "detailed_title", None).when(is_loss, labelled).when(is_title, F.col("usable")).when(F.col("f"), labelled)
+    )
+    rows = rows.withColumns({
+        "title": title, "detailed_title": F.when(name == "detailed_title", F.col("usable")), "state": F.coalesce("state", text.title_state(F.col("stated"))), "says": F.col("f") | F.col("stated").isNotNull() | F.col("flag").isNotNull(),
+        "o": F.when(F.col("signal"), F.col("o")),
+    })
     pick = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o"))).alias(c)
-    return rows.groupBy("vehicle_id").agg(F.bool_or("f").alias("salvage"), *(pick(c) for c in ("title", "state", "status", "day", "source")))
+    of_signals = lambda n, c: F.coalesce(F.bool_or(F.when(F.col("signal"), c)), no).alias(n)
+    one = rows.groupBy("vehicle_id").agg(
+        of_signals("f", F.col("f")), of_signals("stands", F.col("flag").isNotNull()), of_signals("says", F.col("says")), F.bool_or("marked").alias("marked"), F.min(F.when(F.col("marked"), F.col("source"))).alias("by"),
+        *(pick(c) for c in ("title", "detailed_title", "state", "status", "day", "source")),
+    )
+    titled, marked = F.coalesce("title", "detailed_title").isNotNull(), F.col("marked")
+    there = marked | ((titled | F.col("status").isNotNull() | F.col("f") | F.col("stands")) & (F.col("says") | titled))
+    title, source = F.coalesce("title", F.when(marked, F.lit("Salvage"))), F.coalesce("source", F.when(marked, F.col("by")))
+    return one.filter(there).select("vehicle_id", (F.col("f") | marked).alias("salvage"), title.alias("title"), "detailed_title", "state", "status", "day", source.alias("source"))
 
 
 PANEL = "array<struct<key:string,label:string,panel:string,name:string,resultCode:string,result:string,status:string,legend:string,area:string>>"
@@ -343,6 +464,8 @@ def report(vehicles: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def sold_observations(listings: DataFrame) -> DataFrame:
-    """(vehicle_id, day, amount, currency) of listings whose status is sold, for auction_sales."""
-    return listings.filter(status_key(F.col("listing_status")) == "sold").select("vehicle_id", dates.day_of(F.col("seen_at")).alias("day"), F.col("price_amount").cast("double").alias("amount"), F.col("price_currency").alias("currency"))
+def sold_observations(listings: DataFrame, *ties: str) -> DataFrame:
+    """Listings whose status is sold, as auction_sales takes them, with the columns source_id, provider, price_usd and price_eur if they are there, and those of ties."""
+    more = {"source_id": "source_id", "provider": "provider", "price_usd": "usd", "price_eur": "eur"}
+    given = [F.col(c).alias(n) for c, n in more.items() if c in listings.columns]
+    return listings.filter(status_key(F.col("listing_status")) == "sold").select("vehicle_id", dates.day_of(F.col("seen_at")).alias("day"), F.col("price_amount").cast("double").alias("amount"), F.col("price_currency").alias("currency"), *given, *ties)

@@ -63,30 +63,92 @@ def owner_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vehicle_id", "day", F.col("plate").isNotNull().alias("has_plate"), "source", "sequence")
 
 
+#: The fold of a vehicle's sales: from s (vehicle_id, r, o: sales as structs and their order) and seen (vehicle_id, n, r: sold observations, numbered) to sales (vehicle_id, r).
+_FOLD = """start AS (SELECT vehicle_id, 0 AS n, coalesce(list(r ORDER BY o) FILTER (o IS NOT NULL), []) AS rows FROM (SELECT vehicle_id, r, o FROM s UNION ALL SELECT vehicle_id, r, NULL FROM seen) GROUP BY vehicle_id),
+fold AS (SELECT * FROM start UNION ALL
+  SELECT vehicle_id, n + 1, CASE WHEN k IS NULL OR k = 0 THEN list_append(rows, x) ELSE [CASE WHEN i <> k THEN y ELSE {'day': y.day, 'amount': coalesce(y.amount, x.amount), 'usd': coalesce(y.usd, x.usd),
+    'provider': CASE WHEN x.provider <> 'mirror' THEN x.provider WHEN y.provider <> 'mirror' THEN y.provider ELSE coalesce(x.provider, y.provider) END, 'source_id': coalesce(y.source_id, x.source_id), 'currency': y.currency, 'source': y.source} END FOR y, i IN rows] END
+  FROM (SELECT f.vehicle_id, f.n, f.rows, o.r AS x, list_position([coalesce(y.source_id = o.r.source_id, false) OR coalesce(y.amount = o.r.amount, false) OR (y.day = o.r.day AND (y.amount IS NULL OR o.r.amount IS NULL)) FOR y IN f.rows], true) AS k
+    FROM fold f JOIN seen o ON o.vehicle_id = f.vehicle_id AND o.n = f.n + 1)),
+sales AS (SELECT vehicle_id, unnest(rows) AS r FROM (SELECT vehicle_id, arg_max(rows, n) AS rows FROM fold GROUP BY vehicle_id))"""
+_ROW = "{'day': day, 'amount': amount, 'usd': usd, 'provider': provider, 'source_id': source_id, 'currency': currency, 'source': source}"
+_FIRSTS = "firsts AS (SELECT vehicle_id, arg_min(m_value, (CASE WHEN length(m_value) = 10 THEN -100 ELSE -10 END - CASE WHEN m_source = 'registry' THEN 25 ELSE 0 END, occurred_at, m_value)) AS first FROM vehicle_events WHERE event_type = 'delivery' GROUP BY 1)"
+
+
 @query(
-    f"""{D.with_tables("events", "listings")}, s AS (SELECT vehicle_id, strftime(occurred_at, '%Y-%m-%d') AS day, CAST(coalesce(m_price, q * 100) AS DOUBLE) AS amount, arg_min(m_currency, (occurred_at, order_id, line, provider_id)) AS currency FROM vehicle_events WHERE event_type = 'sale' GROUP BY 1, 2, 3),
-o AS (SELECT vehicle_id, strftime(seen_at, '%Y-%m-%d') AS day, CAST(price_amount AS DOUBLE) AS amount FROM listings WHERE listing_status = 'Sold' GROUP BY 1, 2, 3),
-f AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.vehicle_id = o.vehicle_id AND (s.amount = o.amount OR (s.day = o.day AND (o.amount IS NULL OR s.amount IS NULL)))))
-SELECT vehicle_id, day, amount, true AS from_event FROM s UNION ALL SELECT vehicle_id, day, amount, false FROM f"""
+    f"""{D.with_tables("events", "listings").replace("WITH ", "WITH RECURSIVE ", 1)}, {_FIRSTS},
+e AS (SELECT vehicle_id, (occurred_at, order_id, line, provider_id) AS o, CASE WHEN line = 3 AND m_date IS NOT NULL THEN m_date ELSE strftime(occurred_at, '%Y-%m-%d') END AS day, CASE WHEN line <> 3 THEN CAST(q AS DOUBLE) END AS amount,
+  CASE WHEN line % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN line = 1 THEN CAST(q AS DOUBLE) WHEN provider_id % 5 = 1 AND line <> 3 THEN CAST(q AS DOUBLE) END AS usd, CASE WHEN line % 2 = 0 THEN 'lot' || (order_id + provider_id) % 40 END AS source_id,
+  CASE provider_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'iaa' ELSE 'house' || provider_id % 5 END AS provider, CASE provider_id % 5 WHEN 0 THEN 'mirror' WHEN 1 THEN 'iaa' ELSE 'house' || provider_id % 5 END AS source FROM vehicle_events WHERE event_type = 'sale'),
+s AS (SELECT vehicle_id, o, {_ROW} AS r FROM (SELECT vehicle_id, day, amount, arg_min(usd, o) FILTER (usd IS NOT NULL) AS usd, arg_min(provider, o) FILTER (provider IS NOT NULL) AS provider, arg_min(source_id, o) FILTER (source_id IS NOT NULL) AS source_id, arg_min(currency, o) AS currency,
+  CASE WHEN count(*) = 1 THEN min(source) ELSE 'sale_event' END AS source, min(o) AS o FROM e GROUP BY vehicle_id, day, amount)),
+seen AS (SELECT vehicle_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY day, l_source, amount NULLS FIRST, currency) AS n, {_ROW} AS r FROM (SELECT vehicle_id, strftime(seen_at, '%Y-%m-%d') AS day, CAST(price_amount AS DOUBLE) AS amount,
+  CASE WHEN provider_id % 2 = 0 THEN CAST(price_amount AS DOUBLE) END AS usd, CASE provider_id % 4 WHEN 0 THEN 'mirror' ELSE 'yard' || provider_id % 4 END AS provider, CASE WHEN provider_id % 3 > 0 THEN 'lot' || (CAST(split_part(source_id, '-', 1) AS BIGINT) + provider_id) % 40 END AS source_id,
+  price_currency AS currency, 'observation' AS source, source_id AS l_source FROM listings WHERE listing_status = 'Sold')), {_FOLD}
+SELECT vehicle_id, r.day AS day, r.amount AS amount, r.currency AS currency, r.usd AS usd, first AS registered, r.provider AS provider, r.source_id AS source_id, r.source AS source, r.source <> 'observation' AS from_event FROM sales LEFT JOIN firsts USING (vehicle_id)"""
 )
 def auction_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales from events, and from sold observations that no sale covers."""
-    seen = H.sold_observations(D.listings(spark, sf_dir))
-    return H.auction_sales(_events(spark, sf_dir), seen, TIES).drop("currency")
+    """Sales from events, and from sold observations that no sale before them covers: by source id, by amount, or by day where an amount is missing."""
+    e, line, house = _events(spark, sf_dir), F.col("line"), F.col("provider_id") % 5
+    q = F.regexp_extract("description", r"\$(\d+)00$", 1).cast("long")
+    named = F.when(house == 0, "mirror").when(house == 1, "iaa").otherwise(F.concat(F.lit("house"), house.cast("string")))
+    lot = lambda order: F.concat(F.lit("lot"), ((order + F.col("provider_id")) % 40).cast("string"))
+    sale = F.to_json(F.struct(
+        F.when(line == 3, F.get_json_object("metadata", "$.date")).alias("soldDate"), F.when(line == 1, q).alias("finalPrice"), F.when(~line.isin(1, 3), q).alias("priceAmount"), F.when(line % 2 == 0, "EUR").alias("currency"),
+        F.when(line % 2 == 0, lot(F.col("order_id"))).alias("sourceListingId"), named.alias("source"),
+    ))
+    is_sale = F.col("event_type") == "sale"
+    e = e.withColumns({"metadata": F.when(is_sale, sale).otherwise(F.col("metadata")), "description": F.when(~is_sale, F.col("description"))})
+    x, yard = D.listings(spark, sf_dir), F.col("provider_id") % 4
+    x = x.withColumns({
+        "l_source": F.col("source_id"), "source_id": F.when(F.col("provider_id") % 3 > 0, lot(F.split_part("source_id", F.lit("-"), F.lit(1)).cast("long"))), "provider": F.when(yard == 0, "mirror").otherwise(F.concat(F.lit("yard"), yard.cast("string"))),
+        "price_usd": F.when(F.col("provider_id") % 2 == 0, F.col("price_amount").cast("double")),
+    })
+    out = H.auction_sales(e, H.sold_observations(x, "l_source"), ["order_id", "line", "provider_id"], ["l_source"])
+    return out.select("vehicle_id", "day", "amount", "currency", "usd", "registered", "provider", "source_id", "source", "from_event")
+
+
+#: Kinds of title and loss events by number: event type, description, metadata, and what the rules make of them: signal, flagged, title, detailed title, state, status.
+TITLES = (
+    ("title_status", None, '{"field":"title","value":"TX - Salvage","status":"final"}', True, True, "TX - Salvage", None, "TX", "final"),
+    ("title_status", None, '{"salvage":true,"totalLossCnt":0}', True, True, None, None, None, None),
+    ("flood_damage", "Flood", '{"totalLossCnt":0,"floodTotalLossCnt":2}', True, True, "Flood", None, None, None),
+    ("other", "Registry", '{"field":"total-loss","value":0}', False, False, None, None, None, None),
+    ("other", "Title: Clear", "{}", True, False, None, None, None, None),
+    ("other", "Total loss: 3", '{"field":"total_loss_count","totalLossCnt":3,"value":3}', True, True, "Total loss: 3", None, None, None),
+    ("other", "Total loss: 0", "{}", False, False, None, None, None, None),
+    ("other", "Category", '{"field":"vehicle-category","value":"Passenger"}', False, False, None, None, None, None),
+    ("other", "Category", '{"field":"vehicleCategory","value":"Salvage certificate"}', True, True, "Salvage certificate", None, None, None),
+    ("other", None, '{"damageClass":"junk"}', True, True, "junk", None, None, None),
+    ("other", None, '{"field":"detailed_title","value":"CA - Rebuilt"}', True, True, None, "CA - Rebuilt", "CA", None),
+    ("inspection", None, '{"salvage":false,"state":"NV"}', True, False, None, None, "NV", None),
+    ("total_loss", "Total loss", '{"value":"total-loss"}', True, True, "Total loss", None, None, None),
+    ("other", "Damage: hail", '{"field":"damage","value":"Damage: parts only"}', True, True, "parts only", None, None, None),
+    ("title_status", None, '{"field":"title_code","value":"ON - Clear"}', True, False, "ON - Clear", None, "ON", None),
+    ("other", "Nothing to say", '{"value":"fine"}', False, False, None, None, None, None),
+)
+_lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool) else "'" + x + "'"
+_TITLES = "kinds(k, signal, flagged, title, detailed_title, state, status) AS (VALUES " + ", ".join(f"({k}, {', '.join(map(_lit, t[3:]))})" for k, t in enumerate(TITLES)) + ")"
+#: The kind of an event: vehicles have a few kinds each, or none.
+_KIND = "(vehicle_id * 3 + line) % 40"
 
 
-@query(
-    f"""{D.with_tables("events")}, t AS (SELECT *, CASE WHEN q < 5 THEN 'TX - Salvage' WHEN q < 10 THEN 'Total loss: 0' WHEN q < 15 THEN 'CA - Clear' END AS title FROM vehicle_events WHERE event_type = 'inspection' AND q < 15), k AS (SELECT * FROM t WHERE title <> 'Total loss: 0')
-SELECT vehicle_id, bool_or(title LIKE '%Salvage') AS salvage, arg_min(title, o) AS title, arg_min(substr(title, 1, 2), o) AS state, arg_min(coalesce(m_date, strftime(occurred_at, '%Y-%m-%d')), o) AS day FROM (SELECT *, (occurred_at, order_id, line, provider_id, q, coalesce(m_date, '')) AS o FROM k) GROUP BY vehicle_id"""
-)
+def _title_events(e: DataFrame) -> DataFrame:
+    k = (F.col("vehicle_id") * 3 + F.col("line")) % 40
+    of = lambda i, rest: F.coalesce(F.get(F.array(*(F.lit(t[i]) for t in TITLES)), k.cast("int")), rest)
+    known = k < len(TITLES)
+    return e.withColumns({"event_type": of(0, F.lit("delivery")), "description": F.when(known, of(1, F.lit(""))).otherwise("Shipped"), "metadata": of(2, F.lit("{}"))})
+
+
+_SALVAGE = f"""{_TITLES}, tk AS (SELECT e.vehicle_id, (occurred_at, order_id, line, provider_id) AS o, strftime(occurred_at, '%Y-%m-%d') AS own_day, kinds.* FROM vehicle_events e JOIN kinds ON k = {_KIND} WHERE signal),
+titles AS (SELECT vehicle_id, bool_or(flagged) AS salvage, arg_min(title, o) FILTER (title IS NOT NULL) AS title, arg_min(detailed_title, o) FILTER (detailed_title IS NOT NULL) AS detailed_title, arg_min(state, o) FILTER (state IS NOT NULL) AS state,
+  arg_min(status, o) FILTER (status IS NOT NULL) AS status, min(own_day) AS day FROM tk GROUP BY vehicle_id HAVING bool_or(flagged) OR count(title) + count(detailed_title) > 0 OR bool_or(k = 11))"""
+
+
+@query(f"""{D.with_tables("events")}, {_SALVAGE} SELECT vehicle_id, salvage, title, detailed_title, state, status, day FROM titles""")
 def salvage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title records; counts of zero losses are none."""
-    e, km = _events(spark, sf_dir), F.get_json_object("metadata", "$.mileageKm").cast("long") / 900
-    title = F.when(km < 5, "TX - Salvage").when(km < 10, "Total loss: 0").when(km < 15, "CA - Clear")
-    day = F.get_json_object("metadata", "$.date")
-    e = e.filter((F.col("event_type") == "inspection") & (km < 15)).withColumns({"q": km.cast("long"), "d": F.coalesce(day, F.lit("")), "event_type": F.when(km.between(5, 9), "other").otherwise("title_status")})
-    e = e.withColumns({"description": title, "metadata": F.to_json(F.struct(F.when(~km.between(5, 9), title).alias("value"), day.alias("date")))})
-    return H.salvage_records(e, ["occurred_at", "order_id", "line", "provider_id", "q", "d"]).select("vehicle_id", "salvage", "title", "state", "day")
+    """Title and loss records: titles, flags, counts (those of zero are none), floods, categories and texts."""
+    return H.salvage_records(_title_events(_events(spark, sf_dir)), ["occurred_at", "order_id", "line", "provider_id"]).drop("source")
 
 
 @query(
@@ -137,17 +199,17 @@ def timeline_with_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("vehicle_id", "day", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PLAIN = "{{'day': {day}, 'amount': {amount}, 'usd': CAST(NULL AS DOUBLE), 'provider': CAST(NULL AS VARCHAR), 'source_id': CAST({source_id} AS VARCHAR), 'currency': '', 'source': {source}}}"
 #: The domain tables of enabled providers alone.
-_ENABLED = D.with_tables("vehicles", "listings", "events").replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 7 <> 0)").replace("ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_suppkey % 7 <> 0)")
+_ENABLED = D.with_tables("vehicles", "listings", "events").replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 7 <> 0)").replace("ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_suppkey % 7 <> 0)")
 
 
 @query(
     f"""{_ENABLED}, {_READINGS}, {_OWNER}, {_LINE},
 h AS (SELECT vehicle_id, count(*) AS readings, max(km) FILTER (latest) AS latest_km, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM history GROUP BY 1), a AS (SELECT vehicle_id, count(*) AS accidents FROM vehicle_events WHERE event_type = 'accident' GROUP BY 1), w AS (SELECT vehicle_id, count(*) AS owners FROM days GROUP BY 1),
-s AS (SELECT vehicle_id, strftime(occurred_at, '%Y-%m-%d') AS day, CAST(coalesce(m_price, q * 100) AS DOUBLE) AS amount FROM vehicle_events WHERE event_type = 'sale' GROUP BY 1, 2, 3),
-o AS (SELECT vehicle_id, strftime(seen_at, '%Y-%m-%d') AS day, CAST(price_amount AS DOUBLE) AS amount FROM listings WHERE listing_status = 'Sold' GROUP BY 1, 2, 3),
-f AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.vehicle_id = o.vehicle_id AND (s.amount = o.amount OR (s.day = o.day AND (o.amount IS NULL OR s.amount IS NULL))))),
-x AS (SELECT vehicle_id, count(*) AS sales FROM (SELECT vehicle_id FROM s UNION ALL SELECT vehicle_id FROM f) GROUP BY 1), p AS (SELECT vehicle_id, 1 AS specs FROM vehicle_events WHERE event_type = 'delivery' GROUP BY 1),
+s AS (SELECT vehicle_id, min((occurred_at, order_id, line, provider_id)) AS o, {_PLAIN.format(day="strftime(occurred_at, '%Y-%m-%d')", amount="CAST(coalesce(m_price, q * 100) AS DOUBLE)", source_id="NULL", source="'sale'")} AS r FROM vehicle_events WHERE event_type = 'sale' GROUP BY vehicle_id, strftime(occurred_at, '%Y-%m-%d'), CAST(coalesce(m_price, q * 100) AS DOUBLE)),
+seen AS (SELECT vehicle_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY strftime(seen_at, '%Y-%m-%d'), price_amount NULLS FIRST, price_currency, source_id) AS n, {_PLAIN.format(day="strftime(seen_at, '%Y-%m-%d')", amount="CAST(price_amount AS DOUBLE)", source_id="source_id", source="'observation'")} AS r FROM listings WHERE listing_status = 'Sold'), {_FOLD},
+x AS (SELECT vehicle_id, count(*) AS sales FROM sales GROUP BY 1), p AS (SELECT vehicle_id, 1 AS specs FROM vehicle_events WHERE event_type = 'delivery' GROUP BY 1),
 l AS (SELECT vehicle_id, day FROM line UNION ALL SELECT vehicle_id, day FROM history h WHERE NOT EXISTS (SELECT 1 FROM vehicle_events e WHERE e.vehicle_id = h.vehicle_id AND coalesce(m_date, strftime(occurred_at, '%Y-%m-%d')) = h.day AND {_KM} = h.km)),
 t AS (SELECT vehicle_id, count(*) AS timeline FROM l GROUP BY 1)
 SELECT vin, coalesce(readings, 0) AS readings, latest_km, coalesce(array_to_string(sources, ','), '') AS sources, coalesce(accidents, 0) AS accidents, coalesce(owners, 0) AS owners, coalesce(sales, 0) AS sales, CAST(coalesce(specs, 0) AS BIGINT) AS specs, coalesce(timeline, 0) AS timeline, CAST(0 AS BIGINT) AS titles, CAST(0 AS BIGINT) AS panels
