@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 from vinlake.operators import limits as L
 from vinlake.sources import domain as D
+from vinlake.streaming import merging as M
 from vinlake.streaming import pipelines as P
 
 
@@ -63,3 +67,62 @@ def test_daily_limit(spark, logs, tmp_path):
     clients = logs[0].select(F.col("client_id").alias("id")).distinct().select("id", F.lit(2).alias("per_day"), F.lit(None).cast("long").alias("per_month"), F.lit(None).cast("long").alias("per_vin"))
     want = {r.id: r.verdict == "allowed" for r in L.rate_verdicts(logs[0], clients).collect()}
     assert got == want
+
+
+KEYS = ("k",)
+
+
+def states(spark, rows):
+    raw = spark.createDataFrame(rows, "k string, listed_at timestamp_ntz, updated_at timestamp_ntz, observed_at timestamp_ntz, source_id string")
+    return M.observation_states(raw, KEYS, "2024-01-31 00:00:00", ["source_id"])
+
+
+def some_rows(rng, n):
+    at = lambda: rng.choice([None, dt.datetime(1980, 1, 1), dt.datetime(2050, 1, 1), dt.datetime(2020, 1, 1) + dt.timedelta(hours=rng.randrange(900))])
+    return [(f"k{rng.randrange(12)}" if rng.random() > 0.05 else None, at(), at(), dt.datetime(2020, 1, 5) + dt.timedelta(hours=rng.randrange(900)), f"s{rng.randrange(50)}") for _ in range(n)]
+
+
+def test_merging_stream_in_any_order_and_replayed(spark, tmp_path):
+    """The target equals one merge of all rows, whatever the batches' order, with batches run twice, and rows that come again."""
+    rng = random.Random(3)
+    batches = [some_rows(rng, 25) for _ in range(4)]
+    batches.append(batches[1][:10])
+    whole = M.merged_states(KEYS)(states(spark, [r for b in batches for r in b]))
+    want = sorted(map(tuple, M.observations_of(whole, KEYS).collect()), key=repr)
+    for trial in range(3):
+        path = str(tmp_path / f"t{trial}")
+        order = rng.sample(range(5), 5)
+        for n, b in enumerate(order):
+            for _ in range(1 + (trial == 1 and n % 2)):  # run again, as after a failure
+                M.merge_batch(states(spark, batches[b]), n, path, KEYS, M.merged_states(KEYS), buckets=4)
+        got = M.current(spark, path, whole.schema)
+        assert sorted(map(tuple, M.observations_of(got, KEYS).collect()), key=repr) == want
+        assert all(len(vs) <= 2 for vs in M.versions(spark, path).values())
+
+
+def test_merge_touches_only_its_buckets_and_shows_whole_batches(spark, tmp_path):
+    path, merge = str(tmp_path / "t"), M.merged_states(KEYS)
+    day = dt.datetime(2020, 1, 1)
+    M.merge_batch(states(spark, [(f"k{i}", day, day, day, "s") for i in range(40)]), 0, path, KEYS, merge, buckets=8)
+    M.merge_batch(states(spark, [("k1", dt.datetime(2019, 1, 1), None, day, "r")]), 1, path, KEYS, merge, buckets=8)
+    changed = [b for b, vs in M.versions(spark, path).items() if vs == [0, 1]]
+    assert len(changed) == 1 and len(M.versions(spark, path)) == 8
+    schema = states(spark, []).schema
+    one = M.current(spark, path, schema, KEYS, spark.createDataFrame([("k1",)], "k string"))
+    assert len(one.inputFiles()) == 1 and [tuple(r) for r in M.observations_of(one.filter("k = 'k1'"), KEYS).collect()] == [("k1", dt.datetime(2019, 1, 1), day, dt.datetime(2019, 1, 1), "r")]
+    # A batch that failed before its end: some of its buckets are written, but nobody sees them, and the second try isn't disturbed.
+    late = states(spark, [("k2", None, dt.datetime(2021, 1, 1), day, "q")])
+    M.merge_batch(late, 2, path, KEYS, merge, buckets=8)
+    (tmp_path / "t" / "_done" / "2").unlink()
+    seen = {r.k: r.updated_at for r in M.current(spark, path, schema).collect()}
+    assert seen["k2"] == day and len(seen) == 40
+    M.merge_batch(late, 2, path, KEYS, merge, buckets=8)
+    assert {r.k: r.updated_at for r in M.current(spark, path, schema).collect()}["k2"] == dt.datetime(2021, 1, 1)
+    with pytest.raises(ValueError):
+        M.merge_batch(late, 3, path, KEYS, merge, buckets=16)
+
+
+def test_merged_target_of_no_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    M.merge_batch(states(spark, []), 0, path, KEYS, M.merged_states(KEYS), buckets=4)
+    assert M.last_batch(spark, path) == 0 and M.current(spark, path, states(spark, []).schema).count() == 0

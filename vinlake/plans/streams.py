@@ -10,6 +10,7 @@ from vinlake.plans.control import client_sessions, intake_monitor, rate_limits
 from vinlake.plans.registry import ORACLE_SQL, query
 from vinlake.session import scratch
 from vinlake.sources import domain as D
+from vinlake.streaming import merging as M
 from vinlake.streaming import pipelines as P
 
 #: The provider that keeps large state on disk.
@@ -66,6 +67,27 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
 
 
+MERGED = ("vehicle_id", "price_amount", "status_key")
+
+
+@query(
+    f"""{D.with_tables("listings")}, k AS (SELECT vehicle_id, price_amount, lower(trim(listing_status)) AS status_key, CASE WHEN seen_at >= TIMESTAMP '1993-01-01' THEN seen_at END AS listed_at, seen_at + INTERVAL 1 DAY * (mileage // 5000) AS updated_at, seen_at + INTERVAL 1 DAY * (mileage // 10000) AS seen, source_id FROM listings)
+SELECT vehicle_id, price_amount, status_key, min(listed_at) AS listed_at, max(updated_at) AS updated_at, CASE WHEN coalesce(min(listed_at), max(updated_at)) + INTERVAL 24 HOUR < min(seen) THEN coalesce(min(listed_at), max(updated_at)) ELSE min(seen) END AS observed_at, arg_min(source_id, (seen, source_id)) AS source_id FROM k GROUP BY 1, 2, 3"""
+)
+def stream_merged_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations whose dates a stream changes (T5, T6, K2): batches in no order of time, each listing once more in a later batch."""
+    days = lambda d: F.col("seen_at") + F.expr(f"make_dt_interval(cast(mileage div {d} as int))")
+    x = D.listings(spark, sf_dir).withColumns({"status_key": F.lower(F.trim("listing_status")), "listed_at": F.when(F.col("seen_at") >= F.lit("1993-01-01").cast("timestamp_ntz"), F.col("seen_at")), "updated_at": days(5000), "observed_at": days(10000)})
+    x = x.select(*MERGED, "listed_at", "updated_at", "observed_at", "source_id")
+    path, part = scratch(spark), F.pmod(F.xxhash64("source_id"), F.lit(3))
+    for batch in range(4):  # rows of a part come again with the next
+        x.filter(part.isin(batch % 3, (batch + 1) % 3)).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    states, out = M.observation_states(rows, MERGED, D.AS_OF, ["source_id"]), scratch(spark)
+    M.merge_stream(states, out, scratch(spark), MERGED, M.merged_states(MERGED), buckets=8).awaitTermination()
+    return M.observations_of(M.current(spark, out, states.schema), MERGED)
+
+
 @query(
     f"""{D.with_tables("logs")}, n AS (SELECT *, coalesce(sum(CAST(status_code BETWEEN 200 AND 299 AS INT)) OVER (PARTITION BY client_id, CAST(requested_at AS DATE) ORDER BY requested_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nd FROM logs)
 SELECT client_id, id, nd < 2 AS allowed, CAST(nd AS BIGINT) AS used FROM n"""

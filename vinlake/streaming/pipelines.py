@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from vinlake.operators.ingest import CONTENT, status_key
+from vinlake.streaming import merging
 
 
 def stream(spark: SparkSession, path: str, schema: StructType, ts: str, late: str, files: int = 8) -> DataFrame:
@@ -45,22 +46,25 @@ def once_only(observations: DataFrame) -> DataFrame:
     return observations.withColumn("status_key", status_key(F.col("listing_status"))).dropDuplicatesWithinWatermark(list(CONTENT))
 
 
-def append_new(observations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends observations that a history folder lacks (T5, K1). A batch that is run again after a failure writes the same folder again, so nothing is doubled."""
+def append_new(observations: DataFrame, path: str, checkpoint: str, buckets: int = merging.BUCKETS) -> StreamingQuery:
+    """Appends observations that a history folder lacks (T5, K1), in folders by the hash of their content. A batch reads of the history only the folders that its rows can be
+    in, and there only what earlier batches wrote; run again after a failure it writes the same folders again, so nothing is doubled."""
+    root = path.rstrip("/")
 
     def put(batch: DataFrame, number: int) -> None:
-        spark, target = batch.sparkSession, f"{path.rstrip('/')}/batch={number:08d}"
-        fresh = batch.dropDuplicates(list(CONTENT))
+        spark = batch.sparkSession
+        fresh = merging.with_bucket(batch.dropDuplicates(list(CONTENT)), CONTENT, buckets).persist()
         try:
-            known = spark.read.parquet(path).filter(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        if known is not None:
-            old = known.select(*(F.col(c).alias(f"_{c}") for c in CONTENT)).distinct()
-            fresh = fresh.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTENT], "left_anti")
-        fresh.write.mode("overwrite").parquet(target)
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets
+            parts = [f"{root}/bucket={b}/batch={v}" for b, vs in merging.versions(spark, root, touched).items() for v in vs if v < number]
+            new = fresh
+            if parts:
+                old = spark.read.schema(batch.schema).parquet(*parts).select(*(F.col(c).alias(f"_{c}") for c in CONTENT))
+                new = fresh.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTENT], "left_anti")
+            new = new.withColumn("batch", F.lit(number)).repartition("bucket")
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(root)
+        finally:
+            fresh.unpersist()
 
     return observations.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
