@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from vinlake.functions import dates, geo, labels, meta, mileage, money, numbers, text, urls
+from vinlake.functions import dates, geo, labels, meta, mileage, money, numbers, phrases, states, text, urls
 from vinlake.functions import vin as V
 
 
@@ -106,3 +108,93 @@ def test_schedule_hash(spark):
     names = ["encore", "a", "", "supplier#000001"]
     assert apply(spark, text.poly_hash, names) == [want(n) for n in names]
     assert apply(spark, lambda x: text.poly_hash(x, 17), names) == [want(n, 17) for n in names]
+
+
+def test_balanced_and_states_against_a_json_reader(spark):
+    """Objects of any nesting with brackets, quotes and escapes in their strings: what a JSON reader takes from their beginning."""
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind < 2:
+            return "".join(rng.choice('ab{}[]"\\/= \n;é') for _ in range(rng.randrange(8)))
+        if kind < 4:
+            return rng.choice([0, -1.5, True, None, 10**6])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 4 else {rng.choice("abc{}\\") + str(i): value(depth - 1) for i in range(rng.randrange(4))}
+
+    rows = []
+    for i in range(200):
+        whole = json.dumps(rng.choice([[value(3)], {"k": value(3)}]), ensure_ascii=rng.random() < 0.5)
+        rows.append((i, whole + rng.choice(["", "; var x = 1;", "}]", ' "']), len(whole)))
+        rows.append((1000 + i, whole[:-1], None))  # cut off
+    df = spark.createDataFrame(rows + [(5000, "text", None), (5001, "", None), (5002, None, None), (5003, '{"a" 1}', 7)], "i int, t string, n int")
+    assert df.filter(~states.balanced_length(F.col("t")).eqNullSafe(F.col("n"))).count() == 0
+    pages = [(r[0], f"<html><script>window.a = 1; self['S{r[0]}']= {r[1]}</script><script type=text/x>y={{}}</script></html>") for r in rows if r[2] and "</script" not in r[1]]
+    got = {(r.i, r.name): json.loads(r.state) for r in states.page_states(spark.createDataFrame(pages, "i int, html string"), "html", "i").collect()}
+    want = {(i, n): v for i, t, k in rows if k for n, v in ((f"S{i}", json.loads(t[:k])), ("y", {}))}
+    assert got == want
+
+
+def test_states_of_odd_pages(spark):
+    pages = [
+        (1, '<script id="__NEXT_DATA__" type="application/json">\n {"a": "x = {1}"} </script>'), (2, 'no script'), (3, None), (4, ''), (5, '<script>var a = {"s": "b = {\\"c\\": [1]}"}, d = [2]; e = {f: 1}</script>'),
+        (6, '<SCRIPT type="application/ld+json">[{"@type": "Car"}]</SCRIPT>'), (7, '<script>if (a == b) { c = [1, 2 }</script>'), (8, '<script>s = {"t": "' + "[" * 200_000 + '"}</script>'),
+    ]
+    found = states.page_states(spark.createDataFrame(pages, "i int, html string"), "html", "i")
+    got = {(r.i, r.name, r.pos): r.state for r in found.collect()}
+    assert got.keys() == {(1, "__NEXT_DATA__", 0), (5, "a", 0), (5, "d", 2), (6, "application/ld+json", 0), (8, "s", 0)} and got[5, "d", 2] == "[2]"
+    assert [tuple(r) for r in found.filter("i in (1, 6)").select("i", states.at_path(F.col("state"), "a"), states.at_path(F.col("state"), "0.@type")).orderBy("i").collect()] == [(1, "x = {1}", None), (6, None, "Car")]
+
+
+def test_harvested_pictures(spark):
+    html = """<img src="//a.com/p/320x240/one.jpg?x=1"><img src='https://a.com/p/1024x768/one.jpg'><script>{"u":"https:\\/\\/b.com\\/two_thumb.png","v":"https:\\u002F\\u002Fb.com\\u002Ftwo.png"}</script><img src="https://a.com/logo.png"> http://c.com/three.webp"""
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "i int, html string")
+    got = [tuple(r) for r in states.harvested_pictures(df, "html", "i").orderBy("i", "pos").collect()]
+    assert got == [(1, 0, "https://a.com/p/1024x768/one.jpg"), (1, 1, "https://b.com/two.png"), (1, 2, "http://c.com/three.webp")]
+    assert [r.url for r in states.harvested_pictures(df, "html", "i", hint="B.com").collect()] == ["https://b.com/two.png"]
+    assert states.harvested_pictures(df, "html", "i", most=1).count() == 1
+
+
+def plain_replaced(text, meanings, whole_words=False):
+    """The longest phrase at each place, by trying all of them."""
+    out, at = [], 0
+    inside = lambda i: 0 <= i < len(text) and text[i].isalnum()
+    while at < len(text):
+        fits = [p for p in meanings if text.startswith(p, at) and not (whole_words and (inside(at - 1) or inside(at + len(p))))]
+        p = max(fits, key=len, default=None)
+        out.append(meanings[p] if p else text[at])
+        at += len(p) if p else 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("whole_words", [False, True])
+def test_phrases_against_a_plain_loop(spark, whole_words):
+    rng = random.Random(6)
+    letters = "ab전손 .$(é\U0001f600"
+    meanings = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): rng.choice(["", "X", "ab", "$1", "\\"]) for _ in range(60)}
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "ab " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9999, None)], "i int, t string")
+    want = {i: plain_replaced(t, meanings, whole_words) for i, t in enumerate(texts)} | {9999: None}
+    words = spark.createDataFrame([*meanings.items(), ("", "no"), (None, "no")], "word string, meaning string")
+    assert {r.i: r.t for r in phrases.replaced(df, "t", words, whole_words).collect()} == want
+    one = words.filter("word != ''")
+    assert {r.i: r.t for r in phrases.replaced_by_table(df, "t", one, "i", whole_words).collect()} == want
+    assert phrases.replaced(df, "t", words.limit(0)).exceptAll(df).count() == 0
+
+
+def test_a_large_dictionary(spark):
+    """Beyond MOST phrases the dictionary is joined, and gives the same."""
+    meanings = {f"w{i}": f"m{i}" for i in range(phrases.MOST + 10)}
+    df = spark.createDataFrame([(1, "w1 w12 w123 w1234, w99999 x"), (2, "none")], "i int, t string")
+    words = spark.createDataFrame(list(meanings.items()), "word string, meaning string")
+    assert {r.i: r.t for r in phrases.replaced(df, "t", words, key="i").collect()} == {i: plain_replaced(t, {k: v for k, v in meanings.items() if k in t}) for i, t in ((1, "w1 w12 w123 w1234, w99999 x"), (2, "none"))}
+    with pytest.raises(ValueError):
+        phrases.replaced(df, "t", words)
+
+
+def test_phrases_in_json(spark):
+    d = phrases.Phrases({"a": "1", "ab": 'q"\\', "é": "e"})
+    raws = ['{"ab": "xab", "n": [{"a": "a\\u00e9\\"", "b": 1.50}, "é", null, true], "e": ""}', '"ab"', "[]", '{"ab": "a"', "ab", None, '{"k" : "a"}']
+    got = apply(spark, d.replaced_in_json, raws)
+    assert [json.loads(got[0]), json.loads(got[1])] == [{"ab": 'xq"\\', "n": [{"a": '1e"', "b": 1.5}, "e", None, True], "e": ""}, 'q"\\']
+    assert "1.50" in got[0] and got[2:] == ["[]", '{"ab": "a"', "ab", None, '{"k" : "1"}']

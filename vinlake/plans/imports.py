@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinlake.functions import dates, meta, text
+from vinlake.functions import phrases as X
+from vinlake.functions import states as T
 from vinlake.operators import ingest as I
 from vinlake.operators.registry_records import record_events
 from vinlake.plans.registry import query
@@ -25,6 +27,44 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", *(fields[n].alias(n) for n in ("title", "lang", "n_links", "n_paragraphs")))
 
 
+def _with_state(pages: DataFrame) -> DataFrame:
+    """Pages with their own title and links in script states, as shops write them: an assignment, data of a framework, and one that is cut off."""
+    fields, html = R.page_fields(F.col("html")), F.col("html")
+    links = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)
+    note = F.concat(F.lit('x = {"a": [1}; } ] \\ " '), F.coalesce(fields["title"], F.lit("")))
+    state = F.to_json(F.struct(note.alias("note"), F.struct(fields["title"].alias("title"), F.transform(links, lambda x: F.struct(x.alias("href"))).alias("links")).alias("page")))
+    data = F.to_json(F.struct(F.struct(F.struct(F.col("page_id").alias("id"), F.array(F.col("page_id") % 7, F.size(links)).alias("counts")).alias("pageProps")).alias("props")))
+    pictures = F.concat(*(F.concat(F.lit(f'"https:\\/\\/cdn.example.com\\/lot\\/{size}\\/'), F.col("page_id").cast("string"), F.lit(f'-{k}.jpg?w=1",')) for size in ("640x480", "1024x768") for k in (1, 2)))
+    scripts = F.concat(
+        F.lit("<script>window.__STATE__ = "), state, F.lit('; window.later={"ok":true};</script><script id="__NEXT_DATA__" type="application/json">'), data, F.lit('</script><script>var cut = {"a": [1, 2;</script><script>var shots = ['), pictures,
+        F.lit('"https://cdn.example.com/logo.png"];</script></head>'),
+    )
+    at = F.locate("</head>", html)
+    return pages.withColumn("html", F.concat(F.substr(html, F.lit(1), at - 1), scripts, F.substr(html, at + 7)))
+
+
+_TITLE = r"nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\s\x{00A0}]+', ' ', 'g')), '')"
+_LINKS = r"""regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)"""
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_TITLE} AS title, {_LINKS} AS links FROM pages WHERE contains(html, '</head>'))
+SELECT page_id, '__STATE__' AS name, title, links[1] AS first_link, NULL AS id, NULL AS n_links FROM p UNION ALL SELECT page_id, 'later', NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT page_id, '__NEXT_DATA__', NULL, NULL, page_id, CAST(len(links) AS BIGINT) FROM p UNION ALL SELECT page_id, 'shots', NULL, NULL, NULL, NULL FROM p"""
+)
+def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages hold in the state objects of their scripts: titles, links and numbers, with brackets and quotes inside strings."""
+    found = T.page_states(_with_state(D.table(spark, sf_dir, "pages")), "html", "page_id")
+    at = lambda path, kind="string": T.at_path(F.col("state"), path, kind)
+    return found.select("page_id", "name", at("page.title").alias("title"), at("page.links.0.href").alias("first_link"), at("props.pageProps.id", "bigint").alias("id"), at("props.pageProps.counts.1", "bigint").alias("n_links"))
+
+
+@query("""SELECT page_id, CAST(k - 1 AS INT) AS pos, 'https://cdn.example.com/lot/1024x768/' || page_id || '-' || k || '.jpg' AS url FROM pages, (SELECT unnest([1, 2]) AS k) WHERE contains(html, '</head>')""")
+def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that pages name in scripts, each shot once in its largest size, logos left out."""
+    return T.harvested_pictures(_with_state(D.table(spark, sf_dir, "pages")), "html", "page_id")
+
+
 @query(
     r"""WITH r AS (SELECT page_id, page_id % 10 AS provider_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS source_id, CASE WHEN page_id % 3 = 0 THEN html ELSE CAST(json_object('id', page_id % 7) AS VARCHAR) END AS raw FROM pages)
 SELECT DISTINCT provider_id, source_id, sha256(raw) AS content_hash FROM r WHERE NOT starts_with(raw, '<') AND page_id >= 50 AND NOT EXISTS (SELECT 1 FROM r k WHERE k.page_id < 50 AND k.provider_id = r.provider_id AND k.source_id = r.source_id AND k.raw = r.raw)"""
@@ -184,3 +224,30 @@ def loss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 3, F.concat(F.lit("rebuilt after "), q)).when(k % 6 == 4, F.concat(F.lit("Vehicle total_loss count: "), n)).otherwise("Vehicle total-loss record: 0")
     )
     return x.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), k.alias("part"), text.salvage(said).alias("salvage"))
+
+
+#: A dictionary with phrases that begin alike, overlap and hold one another.
+WORDS = {"the": "le", "the of": "le du", "the of the": "le du le", "of the in": "du le dans", "in": "dans", "in the": "dans le", "and": "et", "th": "z", "und": "and", "und der": "and the", "der die": "the she", "de la": "of the", "de": "of", "la que": "which", "que": "that", "ción": "tion", "y": "&", "é": "e"}
+_SORTED = sorted(WORDS, key=len, reverse=True)
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s){"|".join(_SORTED)}|.') AS pieces, MAP {{{", ".join(f"'{k}': '{v}'" for k, v in WORDS.items())}}} AS d FROM documents)
+SELECT doc_id, CAST(len([x FOR x IN pieces IF d[x] IS NOT NULL]) AS BIGINT) AS n_phrases, md5(array_to_string([coalesce(d[x], x) FOR x IN pieces], '')) AS text_md5 FROM w"""
+)
+def phrases_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of a dictionary replaced in whole texts, the longest at each place (locale dictionaries)."""
+    d, t = X.Phrases(WORDS), F.coalesce("text", F.lit(""))
+    return D.table(spark, sf_dir, "documents").select("doc_id", d.count(t).cast("long").alias("n_phrases"), F.md5(F.encode(d.replaced(t), "UTF-8")).alias("text_md5"))
+
+
+@query(
+    f"""{D.with_tables("events")} SELECT vehicle_id, order_id, line, CASE m_source WHEN 'registry' THEN 'Register' ELSE 'Auction house' END AS source, CASE WHEN m_field IS NOT NULL THEN '1st registration' END AS field, coalesce(m_currency, '') AS currency,
+ CASE WHEN starts_with(description, 'Accident at') THEN 'Crash @' || substr(description, 12) WHEN description = 'Owner change' THEN 'Change of owner' WHEN starts_with(description, 'New car ') THEN 'New auto ' || substr(description, 9) ELSE description END AS description FROM vehicle_events"""
+)
+def phrases_in_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases replaced in descriptions and in the string values of metadata, whose field names stay (locale dictionaries)."""
+    d = X.Phrases({"registry": "Register", "auction": "Auction house", "first": "1st", "firstRegistration": "1st registration", "Accident": "Crash", "Accident at": "Crash @", "Owner change": "Change of owner", "car": "auto", "source": "src", "field": "fld"})
+    e = D.events(spark, sf_dir).withColumns({"metadata": d.replaced_in_json(F.col("metadata")), "description": d.replaced(F.col("description"))})
+    at = lambda n: F.get_json_object("metadata", f"$.{n}")
+    return e.select("vehicle_id", "order_id", "line", at("source").alias("source"), at("field").alias("field"), F.coalesce(at("currency"), F.lit("")).alias("currency"), "description")
