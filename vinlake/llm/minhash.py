@@ -5,7 +5,7 @@ ring by k places: one gather of COORDS neighbouring ranks a shingle, and their m
 into bands; texts that share a band are candidates, and links are confirmed on the full sets of shingles.
 
 Texts of one set are one class. No bucket is paired off in full: each class first meets its buckets' heads, confirmed links join components, and only classes of different
-components that share a bucket are compared further, if neither their signatures nor their distances from a common head rule a link out.
+components that share a bucket are compared further, if their signatures don't rule a link out.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from vinlake.llm.common import as_table, broadcast_if_small, map_texts
 from vinlake.llm.simhash import Shingles, _mixed, connected
 
-#: Places of the ring (a power of two), coordinates of a signature, and of a band. A pair of similarity 0.85 shares none of the 42 bands with a chance of 2e-9.
-RING, COORDS, BAND = 22, 256, 6
-#: Of two signatures' lowest bits so many may differ: 19 do on average at a similarity of 0.85, more than 48 with a chance below 1e-9.
-MOST_BITS = 48
+#: Places of the ring (a power of two), coordinates of a signature, and bands and coordinates of a band. A pair of similarity 0.85 shares no band with a chance of 2e-9.
+RING, COORDS, BANDS, BAND = 22, 1024, 42, 6
+#: Of two signatures' lowest bits so many may differ: 77 do on average at a similarity of 0.85, with a deviation of 8.4, and 127 at 0.75. More do with a chance of 2e-9.
+MOST_BITS = 127
 #: Shingles gathered at once, and rows (of a band or a class) that are broadcast at most.
-BLOCK, MAX_BROADCAST = 256, 200_000
-WORDS = ("b0", "b1", "b2", "b3")
+BLOCK, MAX_BROADCAST = 64, 200_000
+WORDS = tuple(f"b{i}" for i in range(COORDS // 64))
 
 
 @lru_cache(1)
@@ -49,8 +49,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _bands(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band."""
-    bands = sig[: len(sig) // BAND * BAND].reshape(-1, BAND).astype(np.uint64)
-    h = np.arange(1, len(bands) + 1, dtype=np.uint64)
+    bands = sig[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(BAND):
         h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + bands[:, j])
     return h.view(np.int64)
@@ -62,7 +62,7 @@ def _set_hash(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, c, n, b0 to b3, keys) of docs (doc_id, th, t): the class and size of a text's set of shingles, its signature's lowest bits and its bands' keys."""
+    """(doc_id, th, c, n, keys, b0, b1, ...) of docs (doc_id, th, t): the class and size of a text's set of shingles, its signature's lowest bits and its bands' keys."""
 
     def make():
         shingles = Shingles()
@@ -72,11 +72,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             sigs = [signature(x) if len(x) else np.zeros(COORDS, np.uint32) for x in sets]
             bits = [np.packbits((s & 1).astype(np.uint8), bitorder="little").view("<i8").tolist() for s in sigs]
             keys = [_bands(s) if len(x) else [] for s, x in zip(sigs, sets)]
-            return [ids, hashes, [_set_hash(x) for x in sets], [len(x) for x in sets], *(list(b) for b in zip(*bits)), keys]
+            return [ids, hashes, [_set_hash(x) for x in sets], [len(x) for x in sets], keys, *(list(b) for b in zip(*bits))]
 
         return fn
 
-    return map_texts(docs, make, "doc_id long, th long, c long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return map_texts(docs, make, "doc_id long, th long, c long, n long, keys array<long>, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -108,8 +108,11 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
     return map_texts(both.select("a", "b", "sa", "sb"), compare, "a long, b long, common long, either long", rows=64)
 
 
-def _differing(one: str, two: str) -> Column:
-    return reduce(Column.__add__, (F.bit_count(F.col(f"{one}{w}").bitwiseXOR(F.col(f"{two}{w}"))) for w in WORDS))
+def _may_link(percent: int) -> Column:
+    """Whether sizes and signatures of the classes x and y allow a link."""
+    sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    bits = [F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in WORDS]
+    return sizes & (sum(bits[1:4], bits[0]) <= MOST_BITS) & (sum(bits[1:], bits[0]) <= MOST_BITS)
 
 
 def near_copies(df: DataFrame, width: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,32 +129,31 @@ def near_copies(df: DataFrame, width: int = 5, percent: int = 85, id_col: str =
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
     rows = as_table(signatures(docs, width))
     docs = docs.select("th", "t")
-    same = [F.min(x).alias(x) for x in ("n", *WORDS)]  # equal in all of a class
-    classes = as_table(rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *same, F.min("keys").alias("keys")))
-
-    index = classes.select("c", "n", *WORDS, F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("keys").alias("key"))
-    heads = index.groupBy("key").agg(F.min(F.struct("least", "c", "n", *WORDS)).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    heads = as_table(heads.select("key", F.col("h.c").alias("b"), F.col("h.n").alias("hn"), *(F.col(f"h.{w}").alias(f"h{w}") for w in WORDS)))
-    shared = as_table(index.drop("least").join(broadcast_if_small(heads.select("key"), MAX_BROADCAST), "key", "left_semi"))  # what more than one class has
-    fits = lambda one, two: 100 * F.least(one, two) >= percent * F.greatest(one, two)
-    star = shared.join(broadcast_if_small(heads, MAX_BROADCAST), "key").filter((F.col("c") != F.col("b")) & (_differing("", "h") <= MOST_BITS)).select(F.col("c").alias("a"), "b")
-    met = as_table(_overlaps(star, docs, classes, width))
+    same = [F.min(x).alias(x) for x in ("n", "keys", *WORDS)]  # equal in all of a class
+    classes = as_table(rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *same))
+    signed = lambda p: classes.select(*(F.col(x).alias(f"{p}{x}") for x in ("c", "n", *WORDS)))
+
+    # Buckets of more than one class, and the head of each: the class of the smallest id.
+    index = classes.select("c", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("keys").alias("key"))
+    heads = index.groupBy("key").agg(F.min(F.struct("least", "c")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = broadcast_if_small(as_table(heads.select("key", F.col("h.c").alias("b"))), MAX_BROADCAST)
+    shared = as_table(index.join(heads, "key").select("key", "c", "b"))
+    star = shared.filter("c != b").select(F.col("c").alias("a"), "b").distinct()
+    star = star.join(signed("x"), F.col("a") == F.col("xc")).join(signed("y"), F.col("b") == F.col("yc")).filter(_may_link(percent)).select("a", "b")
     link = 100 * F.col("common") >= percent * F.col("either")
-    first = met.filter(link).select("a", "b")
+    first = as_table(_overlaps(star, docs, classes, width).filter(link)).select("a", "b")
 
+    # Buckets that are not of one component yet: pairs of different components, each at the first bucket that it shares.
     joined = connected(first)
     named = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
-    # Jaccard distance is a metric: two classes that have met one head can be alike only if their distances from it differ by 1 - percent / 100 at most.
-    fame = met.groupBy("b").agg(F.count(F.lit(1)).alias("fame"))
-    far = met.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d")).unionByName(fame.select(F.col("b").alias("a"), "b", F.lit(0.0).alias("d")))
-    far = far.join(fame, "b").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("h"), "d"), F.struct("fame", "b")).alias("x")).select(F.col("a").alias("c2"), "x.h", "x.d")
-    tags = classes.select("c").join(named, F.col("c") == F.col("node"), "left").join(far, F.col("c") == F.col("c2"), "left").select(F.col("c").alias("c3"), F.coalesce("root", "c").alias("g"), "h", "d")
-    tagged = as_table(shared.join(tags, F.col("c") == F.col("c3")).drop("c3"))
-    mixed = tagged.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("key")  # buckets that are not of one component yet
-    left = tagged.join(broadcast_if_small(mixed, MAX_BROADCAST), "key", "left_semi")
-    a, b = (left.select("key", *(F.col(x).alias(f"{s}{x}") for x in ("c", "n", *WORDS, "g", "h", "d"))) for s in ("x", "y"))
-    may = F.coalesce((F.col("xh") != F.col("yh")) | (F.abs(F.col("xd") - F.col("yd")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-    rest = a.join(b.hint("shuffle_hash"), "key").filter((F.col("xc") < F.col("yc")) & (F.col("xg") != F.col("yg")) & fits("xn", "yn") & may & (_differing("x", "y") <= MOST_BITS))
+    tagged = as_table(shared.select("key", "c").join(named, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("g")))
+    mixed = tagged.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("key")
+    tagged = as_table(tagged.join(broadcast_if_small(as_table(mixed), MAX_BROADCAST), "key", "left_semi"))
+    of_class = tagged.groupBy("c").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # BANDS at most
+    left = as_table(tagged.join(of_class.join(classes.drop("keys"), "c"), "c").select("key", "c", "g", "n", "keys", *WORDS))
+    a, b = (left.select("key", *(F.col(x).alias(f"{s}{x}") for x in ("c", "g", "n", "keys", *WORDS))) for s in ("x", "y"))
+    at_first = F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("key")
+    rest = a.join(b.hint("shuffle_hash"), "key").filter((F.col("xc") < F.col("yc")) & (F.col("xg") != F.col("yg")) & _may_link(percent) & at_first)
     second = as_table(_overlaps(rest.select(F.col("xc").alias("a"), F.col("yc").alias("b")), docs, classes, width).filter(link)).select("a", "b")
 
     star = connected(first.union(second))
