@@ -16,6 +16,7 @@ from vinlake.operators import joins as J
 from vinlake.operators.filters import LiveSearch, live_conditions
 from vinlake.operators import limits as L
 from vinlake.operators import photos as P
+from vinlake.operators import shards as S
 from vinlake.operators import windows as W
 from vinlake.operators.registry_records import record_events
 from vinlake.sources import domain as D
@@ -364,3 +365,62 @@ def test_inspections_and_diagnoses(spark):
     out = diagnosis_events(spark.createDataFrame([(1, json.dumps({"items": items, "diagnosisDate": "2020-05-05"})), (2, json.dumps({"items": items[:1]})), (3, None)], "vehicle_id long, raw string")).withColumn("pos", F.lit(1))
     assert {(r.vehicle_id, json.loads(r.metadata)["allClear"]) for r in out.collect()} == {(1, False), (2, True)}
     assert as_set(H.body_panels(out, ["pos"]), "label", "legend") == {("DOOR", "Z")}
+
+
+def replay(log):
+    """One entry after the other: (status, failures, until, next page, fetched)."""
+    s = ["pending", 0, None, 1, 0]
+    for kind, until, n in log:
+        if kind == "reset":
+            s = ["pending", 0, None, 1, 0]
+        elif s[0] == "completed":
+            continue
+        elif kind in ("page", "last"):
+            s = ["pending" if kind == "page" else "completed", 0, None, s[3] + 1, s[4] + (n or 0)]
+        elif kind == "failed":
+            f = min(8, s[1] + 1)
+            s = ["completed" if f >= 5 else "pending", f, None, s[3] + 1, s[4]]
+        elif kind == "blocked":
+            s = ["cooldown", min(8, s[1] + 1), until, s[3], s[4]]
+    return s
+
+
+@pytest.mark.parametrize("span_s", [1, 3600, 10**9])
+def test_shard_states_equal_a_replay(spark, span_s):
+    """Whatever the spans by which a log is composed, and the order of its rows."""
+    rng, day, rows, want = random.Random(9), dt.datetime(2024, 1, 1), [], {}
+    for shard in range(60):
+        log = [(rng.choice(["page", "failed", "failed", "blocked", "blocked", "last", "reset", "noise"][: rng.randint(2, 8)]), day + dt.timedelta(hours=rng.randrange(60)), rng.choice([None, 0, 3])) for _ in range(rng.randrange(25))]
+        rows += [(shard, day + dt.timedelta(minutes=i // 2 * 7) if i else None, i, *e) for i, e in enumerate(log)]
+        if log:
+            status, failures, until, page, fetched = replay(log)
+            waits = status == "cooldown" and until > day + dt.timedelta(days=1)
+            want[shard] = ("pending" if status == "cooldown" and not waits else status, failures, until if waits else None, page, fetched, failures >= 8 and fetched == 0)
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "shard int, at timestamp_ntz, i int, kind string, until timestamp_ntz, n long").repartition(7)
+    got = {r.shard: tuple(r)[1:] for r in S.shard_states(df, "shard", "at", ["i"], "2024-01-02 00:00:00", span_s).collect()}
+    assert got == want
+    assert S.shard_states(df.limit(0), "shard", "at", ["i"], "2024-01-02 00:00:00").count() == 0
+
+
+def test_boxes_hold_every_row_once_and_keep_the_bound(spark):
+    """Several columns, nulls, a value that fills most of a column, and rows that are equal in all columns."""
+    rng = random.Random(10)
+    rows = [(rng.choice([2001, 2002, None]), rng.choice(["a", "b", None, "ü/x"]), 7.0 if rng.random() < 0.6 else rng.choice([None, rng.random()]), rng.randrange(50)) for _ in range(3000)] + [(2005, "c", 1.0, 1)] * 90
+    df = spark.createDataFrame(rows, "year int, make string, price double, km int")
+    placed, boxes = S.box_shards(df, ["year", "make", "price", "km"], 40)
+    assert placed.drop("box").exceptAll(df).count() == 0 and placed.count() == len(rows)
+    said = {r.box: r for r in boxes.collect()}
+    found = {}
+    for r in placed.collect():
+        found.setdefault(r.box, []).append((r.year, r.make, r.price, r.km))
+    assert found.keys() == said.keys() and all(len(x) == said[b].n for b, x in found.items())
+    assert all(len(x) <= 40 or len(set(x)) == 1 for x in found.values()) and max(map(len, found.values())) == 90
+    for c in ("year", "price", "km"):
+        i = ["year", "make", "price", "km"].index(c)
+        assert all((said[b][f"low_{c}"], said[b][f"high_{c}"]) == (min((v[i] for v in x if v[i] is not None), default=None), max((v[i] for v in x if v[i] is not None), default=None)) for b, x in found.items())
+    spans = sorted((said[b].low_year or 0, said[b].high_year or 0) for b in said)
+    assert len(said) > 75 and spans[0] == (0, 0)
+    none, empty = S.box_shards(df.limit(0), ["year", "price"], 5)
+    assert none.count() == empty.count() == 0
+    one, whole = S.box_shards(df, ["km"], 10_000)
+    assert {r.box for r in whole.collect()} == {""} and one.count() == len(rows)

@@ -14,7 +14,7 @@ def test_query(spark, duck, name):
     want = duck.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows_of(got.columns, [tuple(r) for r in got.collect()]), rows_of(want.columns, want.fetchall())
-    assert len(a) == len(b)
+    assert len(a) == len(b) > 0  # a comparison of nothing would say nothing
     assert a == b
 
 

@@ -258,8 +258,8 @@ _ENGINE = "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN (id % 6 + 1) || '.5 L' WHEN
 @query(
     f"""{D.with_tables("vehicles", "listings")}, e AS (SELECT *, {_ENGINE} AS engine FROM vehicles),
 c AS (SELECT *, CASE id % 4 WHEN 1 THEN (id % 6 + 1) * 1000 + 500 WHEN 2 THEN 800 + id % 3000 WHEN 3 THEN 1000 + id % 1000 END AS cc FROM e),
-u AS (SELECT c.id, c.make, c.cc, l.mileage, floor(CASE price_currency WHEN 'USD' THEN CAST(price_amount AS DOUBLE) WHEN 'EUR' THEN price_amount / 0.92::DOUBLE ELSE price_amount / 1400.0::DOUBLE END * 100 + 0.5) / 100 AS usd, c.year, c.trim FROM listings l JOIN c ON l.vehicle_id = c.id)
-SELECT id, count(*) AS n, max(usd) AS usd FROM u WHERE cc BETWEEN 1200 AND 3500 AND coalesce(year, 0) >= 1995 AND coalesce(year, 9999) <= 2020 AND mileage <= 40000 AND usd <= 60 AND contains(lower(make), 'brand#1') AND contains(lower(trim), 'steel') GROUP BY id"""
+u AS (SELECT c.id, c.make, c.cc, l.mileage, c.model, floor(CASE price_currency WHEN 'USD' THEN CAST(price_amount AS DOUBLE) WHEN 'EUR' THEN price_amount / 0.92::DOUBLE ELSE price_amount / 1400.0::DOUBLE END * 100 + 0.5) / 100 AS usd, c.year, c.trim FROM listings l JOIN c ON l.vehicle_id = c.id)
+SELECT id, count(*) AS n, max(usd) AS usd FROM u WHERE cc BETWEEN 1200 AND 3500 AND coalesce(year, 0) >= 1995 AND coalesce(year, 9999) <= 2020 AND mileage <= 40000 AND usd <= 60 AND contains(lower(concat_ws(' ', make, model, trim)), 'brand#1') AND contains(lower(trim), 'small') AND mileage >= 10000 AND usd >= 1 GROUP BY id"""
 )
 def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings that the combined live filter lets through, with ranges of year, mileage, displacement and dollars."""
@@ -269,7 +269,7 @@ def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = F.when(k % 4 == 1, F.concat((k % 6 + 1).cast("string"), F.lit(".5 L"))).when(k % 4 == 2, (800 + k % 3000).cast("string")).when(k % 4 == 3, F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" cc")))
     v = D.vehicles(spark, sf_dir).withColumn("engine_displacement", engine)
     rows = with_usd_eur(D.listings(spark, sf_dir).join(v, F.col("vehicle_id") == k), "price_amount", "price_currency")
-    want = LiveSearch(year_from=1995, year_to=2020, mileage_to=40_000, engine_from=1200, engine_to=3500, usd_to=60, make="Brand#1", texts={"trim": "STEEL"})
+    want = LiveSearch(year_from=1995, year_to=2020, mileage_from=10_000, mileage_to=40_000, engine_from=1200, engine_to=3500, usd_from=1, usd_to=60, make="Brand#1", texts={"trim": "SMALL"})
     return rows.filter(live_conditions(want, rows.columns)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("usd").alias("usd"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinlake.operators import limits as L
+from vinlake.operators import shards as S
 from vinlake.plans.registry import query
 from vinlake.sources import domain as D
 
@@ -117,3 +118,36 @@ def intake_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = D.request_logs(spark, sf_dir)
     out = logs.groupBy(F.window("requested_at", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 400).alias("errors"))
     return out.select(F.col("window.start").alias("day"), "n", "errors")
+
+
+_LOG = """log AS (SELECT user_id AS shard, ts AS came, event_id, CASE WHEN k = 7 THEN 'reset' WHEN k < 4 THEN 'last' WHEN event_type = 'error' OR (k > 60 AND user_id % 3 = 0) THEN 'failed' WHEN event_type = 'purchase' THEN 'blocked' ELSE 'page' END AS kind,
+  ts + INTERVAL 1 HOUR * (k % 48) AS until, CASE WHEN event_type = 'view' THEN k END AS n FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY came, event_id) AS i, count(*) OVER (PARTITION BY shard) AS m FROM log),
+f AS (SELECT DISTINCT shard, CAST(0 AS BIGINT) AS i, m, 'pending' AS status, 0 AS failures, CAST(NULL AS TIMESTAMP) AS until, CAST(1 AS BIGINT) AS next_page, CAST(0 AS BIGINT) AS fetched FROM o
+  UNION ALL SELECT f.shard, o.i, f.m, CASE WHEN kind = 'reset' THEN 'pending' WHEN status = 'completed' THEN 'completed' WHEN kind = 'page' THEN 'pending' WHEN kind = 'last' THEN 'completed' WHEN kind = 'failed' THEN CASE WHEN failures + 1 >= 5 THEN 'completed' ELSE 'pending' END ELSE 'cooldown' END,
+    CASE WHEN kind = 'reset' THEN 0 WHEN status = 'completed' THEN failures WHEN kind IN ('page', 'last') THEN 0 ELSE least(failures + 1, 8) END, CASE WHEN kind = 'reset' THEN NULL WHEN status = 'completed' THEN f.until WHEN kind = 'blocked' THEN o.until END,
+    CASE WHEN kind = 'reset' THEN 1 WHEN status = 'completed' OR kind = 'blocked' THEN next_page ELSE next_page + 1 END, CASE WHEN kind = 'reset' THEN 0 WHEN status <> 'completed' AND kind IN ('page', 'last') THEN fetched + coalesce(n, 0) ELSE fetched END
+  FROM f JOIN o ON o.shard = f.shard AND o.i = f.i + 1)
+SELECT shard, CASE WHEN status = 'cooldown' AND until <= TIMESTAMP '2024-01-31' THEN 'pending' ELSE status END AS status, failures, CASE WHEN status = 'cooldown' AND until > TIMESTAMP '2024-01-31' THEN until END AS wakes_at, next_page, fetched, failures >= 8 AND fetched = 0 AS chronic FROM f WHERE i = m"""
+)
+def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each shard stands after its log: composed transitions against the twin's replay, one entry after the other."""
+    e, k = D.table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("int")
+    failed = (F.col("event_type") == "error") | ((k > 60) & (F.col("user_id") % 3 == 0))
+    kind = F.when(k == 7, "reset").when(k < 4, "last").when(failed, "failed").when(F.col("event_type") == "purchase", "blocked").otherwise("page")
+    log = e.select(F.col("user_id").alias("shard"), F.col("ts").alias("at"), "event_id", kind.alias("kind"), (F.col("ts") + F.make_dt_interval(F.lit(0), k % 48)).alias("until"), F.when(F.col("event_type") == "view", k).alias("n"))
+    return S.shard_states(log, "shard", "at", ["event_id"], D.AS_OF)
+
+
+@query(f"""{D.with_tables("vehicles", "listings")} SELECT year, CAST(count(*) AS BIGINT) AS n, min(price_amount) AS low, max(price_amount) AS high, CAST(0 AS BIGINT) AS too_large FROM listings JOIN vehicles ON vehicle_id = id GROUP BY year""")
+def box_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of at most 60 listings over year, make, price and mileage, summed up by year: every listing is in one box, and no box that could be cut is too large."""
+    v = D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "year", "make")
+    rows, boxes = S.box_shards(D.listings(spark, sf_dir).join(v, "vehicle_id").select("year", "make", "price_amount", "mileage"), ["year", "make", "price_amount", "mileage"], 60)
+    found = rows.groupBy("box", "year").agg(F.count(F.lit(1)).alias("in_box"), F.min("price_amount").alias("low"), F.max("price_amount").alias("high"))
+    both = found.join(boxes.select("box", F.col("n").alias("said"), "splittable"), "box")
+    large = F.count_if(((F.col("said") > 60) & F.col("splittable")) | (F.col("said") < F.col("in_box")))
+    return both.groupBy("year").agg(F.sum("in_box").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), large.alias("too_large"))
