@@ -126,3 +126,18 @@ def test_merged_target_of_no_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     M.merge_batch(states(spark, []), 0, path, KEYS, M.merged_states(KEYS), buckets=4)
     assert M.last_batch(spark, path) == 0 and M.current(spark, path, states(spark, []).schema).count() == 0
+
+
+def test_throttle_leaves_no_state_behind(spark, tmp_path):
+    """The batch's counts, over batches in order of time; of clients whose events the watermark has left behind no times remain."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, day = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(i, c, day + dt.timedelta(days=c, minutes=5 * rng.randrange(100))) for i, c in enumerate(rng.choice([0, 1, 4, 6]) for _ in range(120))]
+    df = spark.createDataFrame(rows, "id long, client_id long, requested_at timestamp_ntz").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    for low, high in ((0, 1), (1, 2), (2, 5), (5, 9)):
+        df.filter(F.col("client_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = P.stream(spark, str(tmp_path / "in"), df.schema, "requested_at", "1 minute", 1)
+    got = {(r.id, r.n, r.allowed) for r in result(spark, P.throttled(stream, 3600, 3), "t5", tmp_path, "append").collect()}
+    assert got == {(r.id, r.n, r.allowed) for r in L.throttled(df, "client_id", "requested_at", 3600, 3).collect()} and len({g[2] for g in got}) == 2
+    held = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "c"))
+    assert {r.key.client_id for r in held.select("key").distinct().collect()} == {6}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,13 +97,33 @@ SELECT client_id, id, nd < 2 AS allowed, CAST(nd AS BIGINT) AS used FROM n"""
 )
 def stream_daily_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily limit of two successes, with state by client."""
-    rows, path = _staged(D.request_logs(spark, sf_dir), "requested_at", ["2024-01-11", "2024-01-21"])
+    with _rocks(spark):
+        out = _result(P.daily_limits(_in_order(spark, sf_dir), 2), "append")
+    return out.select("client_id", "id", "allowed", "used")
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store of streams that transform with state; the setting is theirs alone."""
     before = {k: spark.conf.get(k, None) for k in ROCKS}
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
     try:
-        out = _result(P.daily_limits(P.stream(spark, path, rows.schema, "requested_at", "40 days", 1), 2), "append")
-    finally:  # the setting is this stream's alone
+        yield
+    finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    return out.select("client_id", "id", "allowed", "used")
+
+
+def _in_order(spark: SparkSession, sf_dir: str, late: str = "40 days") -> DataFrame:
+    """Request logs as a stream of batches in order of time."""
+    rows, path = _staged(D.request_logs(spark, sf_dir), "requested_at", ["2024-01-11", "2024-01-21"])
+    return P.stream(spark, path, rows.schema, "requested_at", late, 1)
+
+
+@query(ORACLE_SQL["support_throttle"])
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two events in a trailing six hours, with a list of times and a timer by client."""
+    with _rocks(spark):
+        out = _result(P.throttled(_in_order(spark, sf_dir), 6 * 3600, 2), "append")
+    return out.select("id", "client_id", "n", "allowed")

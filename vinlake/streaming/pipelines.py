@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,47 @@ def daily_limits(logs: DataFrame, limit: int) -> DataFrame:
     return logs.groupBy("client_id").transformWithStateInPandas(statefulProcessor=DailyLimit(limit), outputStructType=VERDICTS, outputMode="Append", timeMode="None")
 
 
+THROTTLED = "client_id long, id long, n long, allowed boolean"
+
+
+class Throttle(StatefulProcessor):
+    """State of a client: the times of its events of the last `seconds`, in order. A timer at the last one's end clears them once the watermark has passed it, so clients
+    that are gone leave nothing. Rows of a batch are taken in order of time; those of one moment count one another, as a window by range does."""
+
+    def __init__(self, seconds: int, most: int):
+        self.span, self.most = seconds * 1_000_000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["requested_at", "id"])  # one client's requests of one batch, which maxFilesPerTrigger bounds
+        new = frame["requested_at"].to_numpy().astype("datetime64[us]").astype("int64")
+        held = np.array([x[0] for x in self.times.get()], dtype="int64") if self.times.exists() else np.zeros(0, "int64")
+        both = np.sort(np.concatenate([held, new]))
+        n = np.searchsorted(both, new, side="right") - np.searchsorted(both, new - self.span, side="left")
+        keep = both[both >= both[-1] - self.span]
+        self.times.put([(int(x),) for x in keep])
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(int(both[-1] + self.span) // 1000 + 1)
+        yield pd.DataFrame({"client_id": key[0], "id": frame["id"], "n": n, "allowed": n <= self.most})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()  # the timer of the last event: all others are older
+        yield pd.DataFrame({"client_id": [], "id": [], "n": [], "allowed": []}).astype({"client_id": "int64", "id": "int64", "n": "int64", "allowed": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(logs: DataFrame, seconds: int, most: int) -> DataFrame:
+    """(client_id, id, n, allowed): how many events of the client are in the trailing `seconds`, this one included, and whether that is within the limit (T14). logs needs a
+    watermark on requested_at and batches in order of time; the state store must be RocksDB."""
+    return logs.groupBy("client_id").transformWithStateInPandas(statefulProcessor=Throttle(seconds, most), outputStructType=THROTTLED, outputMode="Append", timeMode="EventTime")
+
+
 def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs over all that is there, into a table in memory: for tests and small results."""
     return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
