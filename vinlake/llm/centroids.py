@@ -24,6 +24,11 @@ BLOCK = 4096
 EXACT, LONG = 2**53, 2**63
 
 
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Floats that are whole numbers, or integers, as Python's integers."""
+    return np.frompyfunc(int, 1, 1)(x)
+
+
 def _whole(x: np.ndarray) -> np.ndarray:
     """floor(SCALE * x): as floats, which hold it exactly, if it is small enough for any use of floats, else as Python integers."""
     if np.abs(x).max(initial=0.0) < EXACT:
@@ -37,7 +42,7 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     most = int(np.abs(x).max(initial=0)) + int(np.abs(c).max(initial=0))
     bound = x.shape[1] * most * most  # |x|^2 + 2 |x.c| + |c|^2 at most, term by term
     kind = np.float64 if bound < EXACT else np.int64 if bound < LONG else object
-    x, c = x.astype(kind), c.astype(kind)
+    x, c = (_integers(x) if kind is object else x.astype(kind)), c.astype(kind)
     return (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
 
 
@@ -80,8 +85,8 @@ def _summed(centroids):
                     mine = x[best == k]
                     # Sums of a block in floats if they can't reach 2^53, and integers of any length from there on.
                     small = mine.dtype != object and len(mine) * np.abs(mine).max() < EXACT
-                    s = mine.sum(axis=0) if small else mine.astype(object).sum(axis=0)
-                    _merged(total, {k: (len(mine), np.array([int(v) for v in s], dtype=object))})
+                    s = mine.sum(axis=0) if small else _integers(mine).sum(axis=0)
+                    _merged(total, {k: (len(mine), _integers(s))})
         yield pa.RecordBatch.from_pydict({"sums": [pickle.dumps(total)]})
 
     return run
