@@ -11,6 +11,7 @@ from vinlake.operators import sets as S
 from vinlake.operators.filters import LiveSearch, live_conditions
 from vinlake.plans.registry import query
 from vinlake.plans.search import _FUELS, _MODELS, _PLACES
+from vinlake.sources import blocks as B
 from vinlake.sources import domain as D
 from vinlake.sources import readers as R
 
@@ -132,13 +133,24 @@ def database_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.select(F.lit("missing").alias("kind"), F.col("id").alias("source_id"), F.lit(None).cast("long").alias("target_id")).unionByName(mapping.select(F.lit("mapped").alias("kind"), "source_id", "target_id"))
 
 
-@query(None)
+@query(
+    f"""WITH f AS (SELECT min(l_orderkey) AS low, max(l_orderkey) AS high, count(*) AS total FROM lineitem), d AS (SELECT *, (high - low + {B.BLOCKS}) // {B.BLOCKS} AS width FROM f),
+x AS (SELECT (l_orderkey - low) // width AS block, l_discount >= 0.09 AS sold FROM lineitem, d), c AS (SELECT (high - low + width) // width AS blocks, total FROM d),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS drawn FROM (SELECT unnest(range(0, (SELECT blocks FROM c))) AS block) WHERE (block * 2654435761) % 4294967296 < 0.1 * 4294967296),
+p AS (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(count(*) FILTER (sold) AS DOUBLE) AS y FROM x WHERE (block * 2654435761) % 4294967296 < 0.1 * 4294967296 GROUP BY block), s AS (SELECT sum(m) AS m, sum(y) AS y, sum(y * y) - 2 * (sum(y) / sum(m)) * sum(y * m) + (sum(y) / sum(m)) * (sum(y) / sum(m)) * sum(m * m) AS v FROM p)
+SELECT CAST(floor(total * (y / m) + 0.5) AS BIGINT) AS estimate, round({B.DEVIATIONS} * sqrt((1 - drawn / blocks) * drawn * v / (drawn - 1)) / m * total, 3) AS bound, CAST(m AS BIGINT) AS n_sampled, total FROM s, c, n"""
+)
 def sample_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A count estimated from a hashed sample beside the exact one."""
-    x = D.listings(spark, sf_dir)
-    sold, some = F.col("listing_status") == "Sold", R.in_sample("source_id", 100)
-    counts = x.agg(F.count_if(sold & some).alias("n"), F.count_if(some).alias("m"), F.count(F.lit(1)).alias("total"), F.count_if(sold).alias("exact"))
-    return counts.select(R.scaled_up(F.col("n"), F.col("total"), F.col("m")).alias("estimate"), "exact", "total")
+    """Sold listings estimated from a tenth of the table's blocks, with a bound; the table's size and range come from its footers."""
+    rows, design = B.block_sample(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey", 0.1)
+    return B.estimated(rows, F.col("l_discount") >= 0.09, design).withColumn("bound", F.round("bound", 3))
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders UNION ALL SELECT 'lineitem', count(*), min(l_orderkey), max(l_orderkey) FROM lineitem UNION ALL SELECT 'documents', count(*), min(doc_id), max(doc_id) FROM documents""")
+def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and key ranges of tables, from Parquet footers alone."""
+    parts = [B.footer_facts(spark, f"{sf_dir}/{t}.parquet", k).select(F.lit(t).alias("name"), "n", F.col(f"low_{k}").alias("low"), F.col(f"high_{k}").alias("high")) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("documents", "doc_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 40""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vinlake.functions.numbers import half_up, share_percent
 from vinlake.functions.text import outcome, path_class
+from vinlake.operators import ranks as K
 from vinlake.operators.windows import gap_filled
 from vinlake.plans.registry import query
 from vinlake.sources import domain as D
@@ -89,6 +90,18 @@ def usage_top_vins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(D.clients(spark, sf_dir).select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id", "left").select("vin", "client_id", "client_name", "requests", "errors", "last_at")
 
 
+@query(f"""{D.with_tables("logs")} SELECT path, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM logs GROUP BY path""")
+def exact_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact 95th percentile of durations by path, in bounded memory (A5)."""
+    return K.exact_percentile(D.request_logs(spark, sf_dir), ["path"], "duration_ms", 0.95).select("path", F.round("value", 6).alias("p95_ms"))
+
+
+@query(f"""{D.with_tables("logs")} SELECT vin, count(*) AS n FROM logs WHERE vin IS NOT NULL GROUP BY vin ORDER BY n DESC, vin LIMIT 25""")
+def heavy_vins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 most requested identifiers, without a count of every one (O3)."""
+    return K.heavy_top(D.request_logs(spark, sf_dir).filter("vin IS NOT NULL"), ["vin"], 25)
+
+
 @query(f"""{D.with_tables("logs")} SELECT path, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors FROM logs GROUP BY path ORDER BY requests DESC, path LIMIT 12""")
 def usage_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 12 busiest paths (O3)."""
