@@ -454,14 +454,16 @@ def with_readings(line: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def report(vehicles: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
-    """A row for each vehicle with an array of structs for each section (E27), in the order of their fields. A section is summed up by vehicle before the join, so no
-    join multiplies rows."""
-    out = vehicles
-    for name, df in sections.items():
-        fields = [c for c in df.columns if c != "vehicle_id"]
-        nested = df.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).withColumnRenamed("vehicle_id", f"_{name}")
-        out = out.join(nested, out.id == F.col(f"_{name}"), "left").drop(f"_{name}")
-    return out
+    """A row for each vehicle with an array of structs for each section (E27), in the order of their fields; null where a vehicle has none.
+
+    The sections' rows meet in one union, each as a struct in its section's column, and in one aggregation by vehicle, so neither rows nor shuffles multiply with sections."""
+    rows = [df.select("vehicle_id", F.struct(*(c for c in df.columns if c != "vehicle_id")).alias(name)) for name, df in sections.items()]
+    whole = rows[0]
+    for more in rows[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    lists = [F.array_sort(F.collect_list(name)) for name in sections]
+    nested = whole.groupBy(F.col("vehicle_id").alias("_v")).agg(*(F.when(F.size(x) > 0, x).alias(name) for name, x in zip(sections, lists)))
+    return vehicles.join(nested, vehicles.id == F.col("_v"), "left").drop("_v")
 
 
 def sold_observations(listings: DataFrame, *ties: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vinlake.functions import dates
 from vinlake.operators import history as H
+from vinlake.operators import photos as P
+from vinlake.plans.ingest import USABLE
 from vinlake.plans.registry import query
 from vinlake.sources import domain as D
 from vinlake.sources.writers import staged
@@ -157,13 +159,16 @@ SELECT vehicle_id, lower(replace(label, ' ', '_')) AS key, label, arg_max(legend
 )
 def body_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked panels, of each the mark of the highest rank (E23). Some are objects and some texts."""
+    return H.body_panels(_panel_events(_events(spark, sf_dir)), ["occurred_at", "order_id", "line", "provider_id"]).drop("legend_label")
+
+
+def _panel_events(e: DataFrame) -> DataFrame:
     q = F.get_json_object("metadata", "$.mileageKm").cast("long") / 900
     label = F.concat(F.lit("Door "), F.col("line").cast("string"))
     said = F.when(q % 5 == 0, "replacement").when(q % 5 == 1, "Scratch").when(q % 5 == 2, "repainted").when(q % 5 == 3, "normal").otherwise("crack")
     as_text = F.to_json(F.struct(F.array(F.concat(label, F.lit(": "), said)).alias("panels")))
     as_rows = F.to_json(F.struct(F.array(F.struct(label.alias("label"), said.alias("result"))).alias("panels")))
-    e = _events(spark, sf_dir).filter("event_type = 'inspection'").withColumn("metadata", F.when(F.col("provider_id") % 2 == 0, as_text).otherwise(as_rows))
-    return H.body_panels(e, ["occurred_at", "order_id", "line", "provider_id"]).drop("legend_label")
+    return e.filter("event_type = 'inspection'").withColumn("metadata", F.when(F.col("provider_id") % 2 == 0, as_text).otherwise(as_rows))
 
 
 @query(
@@ -200,8 +205,11 @@ def timeline_with_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = "{{'day': {day}, 'amount': {amount}, 'usd': CAST(NULL AS DOUBLE), 'provider': CAST(NULL AS VARCHAR), 'source_id': CAST({source_id} AS VARCHAR), 'currency': '', 'source': {source}}}"
+_PANELS = """panels AS (SELECT vehicle_id, count(DISTINCT line) AS marked FROM vehicle_events WHERE event_type = 'inspection' AND q % 5 <> 3 GROUP BY 1)"""
+#: Pictures that a gallery shows: of stills 40, and of exterior frames 72 where there are stills.
+_SHOWN = f"""{USABLE}, shown AS (SELECT vehicle_id, least(40, stills) + CASE WHEN stills > 0 THEN least(72, frames) ELSE 0 END AS pictures FROM (SELECT vehicle_id, count(DISTINCT picture) FILTER (photo_group = 'gallery') AS stills, count(DISTINCT picture) FILTER (photo_group <> 'gallery') AS frames FROM usable GROUP BY 1))"""
 #: The domain tables of enabled providers alone.
-_ENABLED = D.with_tables("vehicles", "listings", "events").replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 7 <> 0)").replace("ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_suppkey % 7 <> 0)")
+_ENABLED = D.with_tables("vehicles", "listings", "events", "photos").replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 7 <> 0)").replace("ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_suppkey % 7 <> 0)")
 
 
 @query(
@@ -211,28 +219,33 @@ s AS (SELECT vehicle_id, min((occurred_at, order_id, line, provider_id)) AS o, {
 seen AS (SELECT vehicle_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY strftime(seen_at, '%Y-%m-%d'), price_amount NULLS FIRST, price_currency, source_id) AS n, {_PLAIN.format(day="strftime(seen_at, '%Y-%m-%d')", amount="CAST(price_amount AS DOUBLE)", source_id="source_id", source="'observation'")} AS r FROM listings WHERE listing_status = 'Sold'), {_FOLD},
 x AS (SELECT vehicle_id, count(*) AS sales FROM sales GROUP BY 1), p AS (SELECT vehicle_id, 1 AS specs FROM vehicle_events WHERE event_type = 'delivery' GROUP BY 1),
 l AS (SELECT vehicle_id, day FROM line UNION ALL SELECT vehicle_id, day FROM history h WHERE NOT EXISTS (SELECT 1 FROM vehicle_events e WHERE e.vehicle_id = h.vehicle_id AND coalesce(m_date, strftime(occurred_at, '%Y-%m-%d')) = h.day AND {_KM} = h.km)),
-t AS (SELECT vehicle_id, count(*) AS timeline FROM l GROUP BY 1)
-SELECT vin, coalesce(readings, 0) AS readings, latest_km, coalesce(array_to_string(sources, ','), '') AS sources, coalesce(accidents, 0) AS accidents, coalesce(owners, 0) AS owners, coalesce(sales, 0) AS sales, CAST(coalesce(specs, 0) AS BIGINT) AS specs, coalesce(timeline, 0) AS timeline, CAST(0 AS BIGINT) AS titles, CAST(0 AS BIGINT) AS panels
-FROM vehicles v LEFT JOIN h ON v.id = h.vehicle_id LEFT JOIN a ON v.id = a.vehicle_id LEFT JOIN w ON v.id = w.vehicle_id LEFT JOIN x ON v.id = x.vehicle_id LEFT JOIN p ON v.id = p.vehicle_id LEFT JOIN t ON v.id = t.vehicle_id"""
+t AS (SELECT vehicle_id, count(*) AS timeline FROM l GROUP BY 1), {_SALVAGE}, {_PANELS}, {_SHOWN}
+SELECT vin, coalesce(readings, 0) AS readings, latest_km, coalesce(array_to_string(sources, ','), '') AS sources, coalesce(accidents, 0) AS accidents, coalesce(owners, 0) AS owners, coalesce(sales, 0) AS sales, CAST(coalesce(specs, 0) AS BIGINT) AS specs, coalesce(timeline, 0) AS timeline, CASE WHEN titles.vehicle_id IS NULL THEN 0 ELSE 1 END::BIGINT AS titles, coalesce(marked, 0) AS panels, coalesce(pictures, 0) AS gallery, coalesce(titles.salvage, false) AS salvage
+FROM vehicles v LEFT JOIN h ON v.id = h.vehicle_id LEFT JOIN a ON v.id = a.vehicle_id LEFT JOIN w ON v.id = w.vehicle_id LEFT JOIN x ON v.id = x.vehicle_id LEFT JOIN p ON v.id = p.vehicle_id LEFT JOIN t ON v.id = t.vehicle_id
+LEFT JOIN titles ON v.id = titles.vehicle_id LEFT JOIN panels ON v.id = panels.vehicle_id LEFT JOIN shown ON v.id = shown.vehicle_id"""
 )
 def vehicle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vehicle's report with nested sections, from enabled providers alone, summed up (E27, A10): readings with their sources, accidents, owners, sales, titles,
-    panels, specifications and the timeline."""
+    panels, the gallery, specifications and the timeline."""
     on = D.table(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("provider_id"))
-    e = staged(H.with_km(H.with_meta(_events(spark, sf_dir).join(on, "provider_id", "left_semi"))))
+    raw = _events(spark, sf_dir).join(on, "provider_id", "left_semi")
+    e = staged(H.with_km(H.with_meta(raw)))
+    raw = e.drop("_m", "_km")
+    photos = D.photos(spark, sf_dir).join(on.withColumnRenamed("provider_id", "listing_id"), "listing_id", "left_semi")
     x = D.listings(spark, sf_dir).join(on, "provider_id", "left_semi")
     seen = H.observation_readings(x, dates.day_of(F.col("seen_at")), F.concat(F.lit("p"), (F.col("provider_id") % 3).cast("string")))
     history = staged(H.mileage_history(seen, H.event_readings(e)))
     order = ["occurred_at", "order_id", "line", "provider_id"]
     sections = {
-        "mileage": history, "accidents": H.accidents(e), "owners": H.owner_changes(e, TIES), "sales": H.auction_sales(e, H.sold_observations(x), TIES), "titles": H.salvage_records(e, order), "panels": H.body_panels(e, order),
+        "mileage": history, "accidents": H.accidents(e), "owners": H.owner_changes(e, TIES), "sales": H.auction_sales(e, H.sold_observations(x), TIES), "titles": H.salvage_records(_title_events(raw), order),
+        "panels": H.body_panels(_panel_events(raw), order), "gallery": P.galleries(photos, P.canonical_listings(photos)).filter("shown"),
         "specs": H.extra_specs(e, order), "timeline": H.with_readings(H.timeline(e, ["order_id", "line", "provider_id", "metadata"]), history),
     }
     full = H.report(D.vehicles(spark, sf_dir).select("id", "vin"), sections)
     last = F.get(F.filter("mileage", lambda r: r["latest"]), F.lit(0))["km"]
     names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("mileage", lambda r: r["sources"])))), ",")
     counts = {("readings" if n == "mileage" else n): F.coalesce(F.size(n), F.lit(0)).cast("long") for n in sections}
-    return full.select("vin", *(c.alias(n) for n, c in counts.items()), last.alias("latest_km"), F.coalesce(names, F.lit("")).alias("sources"))
+    return full.select("vin", *(c.alias(n) for n, c in counts.items()), last.alias("latest_km"), F.coalesce(names, F.lit("")).alias("sources"), F.coalesce(F.get("titles", F.lit(0))["salvage"], F.lit(False)).alias("salvage"))
 
 
 @query(

@@ -152,17 +152,17 @@ def ingest_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PICTURE = "'cdn.example.com/lot/' || vehicle_id || '/frame_' || regexp_extract(source_url, 'frame_(\\d+)', 1)"
-_USABLE = f"usable AS (SELECT *, {_PICTURE} AS picture FROM photos WHERE source_url NOT LIKE '%logo%')"
+USABLE = f"usable AS (SELECT *, {_PICTURE} AS picture FROM photos WHERE source_url NOT LIKE '%logo%')"
 
 
-@query(f"""{D.with_tables("photos")}, {_USABLE}, s AS (SELECT listing_id, list_sort(list(DISTINCT picture)) AS p FROM usable GROUP BY 1) SELECT listing_id, len(p) AS pictures, substr(sha256(array_to_string(p, '|')), 1, 32) AS set_hash FROM s""")
+@query(f"""{D.with_tables("photos")}, {USABLE}, s AS (SELECT listing_id, list_sort(list(DISTINCT picture)) AS p FROM usable GROUP BY 1) SELECT listing_id, len(p) AS pictures, substr(sha256(array_to_string(p, '|')), 1, 32) AS set_hash FROM s""")
 def photo_set_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash of each listing's set of pictures."""
     return P.set_hashes(D.photos(spark, sf_dir), "listing_id")
 
 
 @query(
-    f"""{D.with_tables("photos")}, {_USABLE}, c AS (SELECT vehicle_id, listing_id FROM (SELECT vehicle_id, listing_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY count(*) DESC, listing_id) AS r FROM photos GROUP BY 1, 2) WHERE r = 1),
+    f"""{D.with_tables("photos")}, {USABLE}, c AS (SELECT vehicle_id, listing_id FROM (SELECT vehicle_id, listing_id, row_number() OVER (PARTITION BY vehicle_id ORDER BY count(*) DESC, listing_id) AS r FROM photos GROUP BY 1, 2) WHERE r = 1),
 o AS (SELECT u.*, CASE WHEN u.listing_id = c.listing_id THEN 0 ELSE 1 END AS lead FROM usable u LEFT JOIN c USING (vehicle_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, photo_group, picture ORDER BY lead, listing_id, is_primary DESC, sort_order, source_url) AS fr FROM o),
 n AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, photo_group ORDER BY lead, listing_id, is_primary DESC, sort_order, source_url) AS n, count(*) FILTER (photo_group = 'gallery') OVER (PARTITION BY vehicle_id) AS stills FROM f WHERE fr = 1)
@@ -193,7 +193,7 @@ def gallery_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{D.with_tables("photos")}, {_USABLE}, u AS (SELECT vehicle_id, CASE WHEN listing_id % 2 = 0 THEN 'mirrored' ELSE 'source' END AS bucket, replace(picture, 'cdn.example.com', CASE WHEN listing_id % 2 = 0 THEN 'img.mirror.example' ELSE 'cdn.example.com' END) AS picture, min(CAST(regexp_extract(source_url, 'frame_(\\d+)', 1) AS INT)) AS fr FROM usable GROUP BY 1, 2, 3)
+    f"""{D.with_tables("photos")}, {USABLE}, u AS (SELECT vehicle_id, CASE WHEN listing_id % 2 = 0 THEN 'mirrored' ELSE 'source' END AS bucket, replace(picture, 'cdn.example.com', CASE WHEN listing_id % 2 = 0 THEN 'img.mirror.example' ELSE 'cdn.example.com' END) AS picture, min(CAST(regexp_extract(source_url, 'frame_(\\d+)', 1) AS INT)) AS fr FROM usable GROUP BY 1, 2, 3)
 SELECT vehicle_id, bucket, picture, CAST(row_number() OVER (PARTITION BY vehicle_id, bucket ORDER BY fr NULLS LAST, picture) AS INT) AS place FROM u"""
 )
 def photo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def photo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{D.with_tables("photos")}, {_USABLE}, a AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, listing_id ORDER BY is_primary DESC, sort_order, source_url, photo_group) AS rn FROM usable),
+    f"""{D.with_tables("photos")}, {USABLE}, a AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, listing_id ORDER BY is_primary DESC, sort_order, source_url, photo_group) AS rn FROM usable),
 b AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY rn, listing_id, is_primary DESC, sort_order, source_url, photo_group) AS place FROM a) SELECT vehicle_id, listing_id, source_url, CAST(place AS INT) AS place FROM b WHERE place <= 8"""
 )
 def round_robin_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
