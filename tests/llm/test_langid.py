@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 from tests.llm.odd import odd_docs
@@ -59,3 +60,22 @@ def test_odd_rows(spark):
     none = langid.identify(df, langid.fit(odd_docs(spark, 0)))
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
     assert langid.identify(odd_docs(spark, 0), langid.fit(df)).count() == 0
+
+
+def test_more_languages_than_one_model_holds(spark, monkeypatch):
+    """103 labelled languages, each of letters of its own: all are learnt, dealt out to models, and predicted; predictions are those of one model."""
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(103 * 6)]
+    rows = [(i, "".join(rng.choice(letters[i % 103 * 6 : i % 103 * 6 + 6]) for _ in range(120)), f"l{i % 103:03}") for i in range(103 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert isinstance(model, langid.Models) and [len(p.languages) for p in model.parts()] == [100, 3]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model, carry=("text",)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")))
+    for reject in (False, True):
+        monkeypatch.setattr(langid, "LANGUAGES", 100)
+        want = sorted(map(tuple, langid.identify(docs, langid.fit(docs), reject=reject).collect()), key=repr)
+        monkeypatch.setattr(langid, "LANGUAGES", 2)
+        assert isinstance(langid.fit(docs), langid.Models)
+        assert sorted(map(tuple, langid.identify(docs, langid.fit(docs), reject=reject).collect()), key=repr) == want

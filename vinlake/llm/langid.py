@@ -8,15 +8,16 @@ cross entropy, and the smallest wins. A character that a sample doesn't hold is
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from math import log2
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinlake.llm.common import draw_order, learns, map_texts
+from vinlake.llm.common import as_table, draw_order, learns, map_texts
 
-#: Bounds of the sample that is learnt from: documents a language, each as a whole, and languages (those with the most documents, should a column hold more values).
+#: Documents of a language that are learnt from, each as a whole, and languages that one model holds: more of them are dealt out to several models, one after the other.
 DOCS, LANGUAGES = 20, 100
 #: Texts are parsed in blocks of so many characters side by side; what a block's parse takes over from the block before is then put right, so that counts are those of one parse.
 BLOCK = 512
@@ -165,6 +166,9 @@ class Model:
         self.bits = np.array([log2(max(2, len(samples[x]))) for x in self.languages])
         self.usual = np.array([self._usual(samples[x]) for x in self.languages])
 
+    def parts(self) -> Iterator[Model]:
+        yield self
+
     def _coded(self, text: str) -> list[int]:
         return [self.codes[ch] for ch in text]
 
@@ -225,14 +229,30 @@ class Model:
         return rates
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", purge: bool = False) -> Model:
+class Models:
+    """More languages than one model holds, in the order of their names: each part is learnt when its turn comes, so the driver holds one at a time."""
+
+    def __init__(self, rows: DataFrame, languages: list[str], purge: bool):
+        self.rows, self.languages, self.purge = rows, languages, purge
+
+    def parts(self) -> Iterator[Model]:
+        for at in range(0, len(self.languages), LANGUAGES):
+            yield _learnt(self.rows, self.languages[at : at + LANGUAGES], self.purge)
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", purge: bool = False) -> Model | Models:
     """Learn from rows with a language and a text whose id may teach (crc32 mod 5 is not 0): whole texts, at most DOCS of each language (the first in a fixed
-    pseudo-random order; repeated ones count once), and at most LANGUAGES of them. Only these texts reach the driver. purge: leave out texts that
-    contradict their language or that none explains, so that no text speaks for itself."""
+    pseudo-random order; repeated ones count once), of every language. Only these texts reach the driver, those of LANGUAGES languages at a time. purge: leave out texts that
+    contradict their language (in favour of another of the same model) or that none explains, so that no text speaks for itself."""
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(learns(F.col("i"), 5, 0) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    languages = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    rows = rows.filter(F.col("l").isin([r.l for r in languages]))
+    languages = sorted(r.l for r in rows.select("l").distinct().collect())  # names alone
+    return _learnt(rows, languages, purge) if len(languages) <= LANGUAGES else Models(rows, languages, purge)
+
+
+def _learnt(rows: DataFrame, languages: list[str], purge: bool) -> Model:
+    """The model of some languages, from rows (i, t, l)."""
+    rows = rows.filter(F.col("l").isin(languages))
     # The rank is taken over short rows; texts are fetched for the few that it leaves.
     short = rows.select("l", "i", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(*draw_order("i", "h"))))
     drawn = F.broadcast(short.filter(F.col("n") <= DOCS).select(F.col("l").alias("l2"), F.col("i").alias("i2"), F.col("h").alias("h2"), "n"))
@@ -264,16 +284,27 @@ def _purged(samples: dict[str, list[str]]) -> dict[str, list[str]]:
     return out
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), reject: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model | Models, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), reject: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, then the columns named in carry.
 
     lang_pred: the language of the least cross entropy (ties: the smaller name); `und` with score 0 if the text is null or has no letter, or nothing was learnt;
     with `reject`, also if no language explains the text: the winner takes more phrases than FAR and ALLOWED let it.
     score: by how much of it the runner-up's entropy exceeds the winner's, from 0 to 1. held_out: crc32 of the id mod 5 is 0; a null id is held out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: at most 3 ways on for each character of DOCS texts a language
     names = [f"c{i}" for i in range(len(carry))]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (~learns(F.col(id_col), 5, 0)).alias("held_out"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    carried = "".join(f", {n} {kinds[n]}" for n in names)
+    kept = [F.col(n).alias(c) for c, n in zip(carry, names)]
+    if isinstance(model, Models):
+        # Model by model, with the best so far beside each row; a table between two of them, so that no task needs more than one model.
+        found = rows.select("doc_id", "held_out", "t", *(F.lit(None).cast(k).alias(c) for c, k in _SO_FAR.items()), *names)
+        for part in model.parts():
+            found = as_table(map_texts(found, _better(df.sparkSession.sparkContext.broadcast(part)), "doc_id long, held_out boolean, t string, " + ", ".join(map(" ".join, _SO_FAR.items())) + carried, rows=512))
+        no = F.col("best").isNull() | (F.col("strange") if reject else F.lit(False))
+        score = F.greatest(F.lit(0.0), 1 - F.col("low") / F.col("after"))
+        return found.select("doc_id", "held_out", F.when(no, "und").otherwise(F.col("best")).alias("lang_pred"), F.when(no, 0.0).otherwise(score).alias("score"), *kept)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: at most 3 ways on for each character of DOCS texts a language
 
     def make():
         model = shared.value
@@ -298,7 +329,39 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         return fn
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {n} {kinds[n]}" for n in names)
-    out = map_texts(rows, make, schema, rows=512)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(n).alias(c) for c, n in zip(carry, names)))
+    out = map_texts(rows, make, "doc_id long, held_out boolean, lang_pred string, score double" + carried, rows=512)
+    return out.select("doc_id", "held_out", "lang_pred", "score", *kept)
+
+
+#: Of a row the best language so far, its entropy, the runner-up's, and whether the best leaves the text unexplained.
+_SO_FAR = {"best": "string", "low": "double", "after": "double", "strange": "boolean"}
+
+
+def _better(shared):
+    """map_texts: the rows with what one more model says."""
+
+    def make():
+        model = shared.value
+        rates = model.scorer()
+
+        def fn(ids, held, texts, best, low, after, strange, *rest):
+            plain = [normal(t) if t else "" for t in texts]
+            known = [i for i, t in enumerate(plain) if model.languages and any(map(str.isalpha, t))]
+            if known:
+                r = rates([plain[i] for i in known])
+                first = r.argmin(axis=1)
+                least = r[np.arange(len(r)), first]
+                far = model.strange(first, least, np.array([len(plain[i]) for i in known]))
+                r[np.arange(len(r)), first] = np.inf
+                second = r.min(axis=1)
+                for i, b, x, y, no in zip(known, first, least.tolist(), second.tolist(), far.tolist()):
+                    if low[i] is None or x < low[i]:  # of equals the smaller name, which came before
+                        after[i] = min(y, np.inf if low[i] is None else low[i])
+                        best[i], low[i], strange[i] = model.languages[b], x, no
+                    else:
+                        after[i] = min(after[i], x)
+            return [ids, held, texts, best, low, after, strange, *rest]
+
+        return fn
+
+    return make
