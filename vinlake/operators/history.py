@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vinlake.functions import dates, meta, text
 from vinlake.functions import mileage as M
-from vinlake.operators.ingest import first_registration_score, is_first_registration, status_key
+from vinlake.operators.ingest import FIRST_REGISTRATION, first_registration_score, is_first_registration, status_key
 from vinlake.operators.windows import first_per_key, run_window, with_runs
 
 # Which kind of reading wins when several state the same day and distance.
@@ -186,7 +186,6 @@ def auction_sales(
 
     A vehicle's list depends on all before, so it is a fold over one array a vehicle. What the array holds is small: sales are merged before, and of observations that repeat
     the one before them in the order the first alone goes in, as the others would be covered by the same sale and add nothing."""
-    events = with_meta(events)
     sales = sale_events(events, ties, houses, mirrors, hidden, won)
     order = Window.partitionBy("vehicle_id").orderBy("day", *seen_ties, *_SEEN)
     known = [c for c in observations.columns if c in _SEEN]
@@ -233,7 +232,9 @@ def _with_observation(rows: Column, o: Column, mirrors: Sequence[str]) -> Column
 def registered_labels(events: DataFrame) -> DataFrame:
     """(vehicle_id, first): the most precise first registration of each vehicle, as people would write it: a value as it is (a day without its time), else the event's own day,
     cut to the year or month if that is all that is known (E21, E11)."""
-    events, m = with_meta(events), F.col("_m")
+    # What can be none is left out by its text, before any JSON is parsed.
+    may = F.contains("metadata", F.lit("first")) | F.col("description").rlike(FIRST_REGISTRATION)
+    events, m = with_meta(events.filter(F.coalesce(may, F.contains("metadata", F.lit("first")), F.lit(False)))), F.col("_m")
     said = F.regexp_extract("description", r"(?i)First registration:\s*(.+)$", 1)
     rows = events.filter(is_first_registration(F.col("event_type"), F.col("description"), m) | (said != ""))
     value, day, unit = meta.text(m, "value"), dates.day_of(F.col("occurred_at")), F.lower(meta.text(m, "datePrecision"))

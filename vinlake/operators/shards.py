@@ -85,25 +85,30 @@ def box_shards(df: DataFrame, columns: Sequence[str], most: int, rounds: int = 2
     A tree, level by level: each box with too many rows is cut along the first of `columns` in which its rows differ, texts by value and numbers at approximate quantiles; a
     number that fills quantiles by itself gets a box of its own. A level takes one aggregation by box, with partial sums in the tasks, and a join of the rows with the boxes
     to cut, of which there are at most rows / most; rows of finished boxes are set aside and not read again. Boxes are disjoint and hold every row once; a null is a value
-    of its own, below all others."""
+    of its own, below all others. Numbers are compared as doubles."""
     kinds, spark = dict(df.dtypes), df.sparkSession
     text = {c: kinds[c] == "string" for c in columns}
+    same = lambda x, c: F.col(x) if text[c] else F.col(x).cast("double")
     rows, done, done_sizes, numbers = df.withColumn("box", F.array().cast("array<string>")), scratch(spark), scratch(spark), [c for c in columns if not text[c]]
     for _ in range(rounds):
         facts = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))] + [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns]
-        quantiles = [F.percentile_approx(c, [k / CUTS for k in range(1, CUTS)], 1000).alias(f"q_{c}") for c in numbers]
-        differ = {c: (F.col(f"low_{c}") != F.col(f"high_{c}")) | ((F.col(f"nulls_{c}") > 0) & (F.col(f"nulls_{c}") < F.col("n"))) for c in columns}
+        differ = {c: (same(f"low_{c}", c) != same(f"high_{c}", c)) | ((F.col(f"nulls_{c}") > 0) & (F.col(f"nulls_{c}") < F.col("n"))) for c in columns}
         along = F.coalesce(*(F.when(F.coalesce(differ[c], F.lit(False)), F.lit(c)) for c in columns))
-        sizes = staged(rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *facts, *quantiles).withColumn("along", along))
+        sizes = staged(rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *facts).withColumn("along", along))
         to_cut = (F.col("n") > most) & F.col("along").isNotNull()
-        cut = sizes.filter(to_cut).select(F.col("box").alias("_b"), F.col("n").alias("_n"), "along", *(F.col(f"{a}_{c}").alias(f"_{a}_{c}") for c in numbers for a in ("q", "low", "high")))
+        cut = sizes.filter(to_cut).select(F.col("box").alias("_b"), F.col("n").alias("_n"), "along")
         sizes.filter(~to_cut | F.col("along").isNull()).write.mode("append").parquet(done_sizes)
         if cut.isEmpty():
             rows.write.mode("append").parquet(done)
             break
         rows.join(cut.select("_b"), F.col("box") == F.col("_b"), "left_anti").write.mode("append").parquet(done)
-        piece = F.coalesce(*(F.when(F.col("along") == c, _text_piece(c) if text[c] else _number_piece(c, most)) for c in columns))
-        rows = rows.join(cut, F.col("box") == F.col("_b")).withColumn("box", F.concat("box", F.array(F.concat_ws("=", "along", piece)))).select(*df.columns, "box")
+        value = F.coalesce(*(F.when(F.col("along") == c, F.col(c).cast("double")) for c in numbers)) if numbers else F.lit(None).cast("double")
+        rows = staged(rows.join(cut, F.col("box") == F.col("_b")).withColumn("_v", value))
+        quantiles = F.percentile_approx("_v", [k / CUTS for k in range(1, CUTS)], 1000)
+        ranges = staged(rows.filter("_v IS NOT NULL").groupBy("box").agg(quantiles.alias("_q"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).withColumnRenamed("box", "_b2"))
+        texts = F.coalesce(*(F.when(F.col("along") == c, F.concat(F.lit("'"), c)) for c in columns if text[c]), F.lit(None).cast("string"))
+        piece = F.coalesce(texts, _number_piece(most), F.lit("null"))
+        rows = rows.join(ranges, F.col("box") == F.col("_b2"), "left").withColumn("box", F.concat("box", F.array(F.concat_ws("=", "along", piece)))).select(*df.columns, "box")
         rows = staged(rows)  # lineage ends here, so a lost executor costs one level
     else:
         raise RuntimeError(f"boxes did not settle in {rounds} levels")
@@ -112,17 +117,13 @@ def box_shards(df: DataFrame, columns: Sequence[str], most: int, rounds: int = 2
     return named(done), boxes
 
 
-def _text_piece(c: str) -> Column:
-    return F.coalesce(F.concat(F.lit("'"), c), F.lit("null"))
-
-
-def _number_piece(c: str, most: int) -> Column:
-    """The number of the piece that a value falls into: how many cuts are below it. Of the quantiles every so many is a cut, so that pieces are not much smaller than
-    need be; a quantile that comes again is a value that fills much of the box, and is cut off on both sides."""
-    v, q, low, high = F.col(c), F.col(f"_q_{c}"), F.col(f"_low_{c}"), F.col(f"_high_{c}")
+def _number_piece(most: int) -> Column:
+    """The number of the piece that the value _v falls into: how many cuts are below it; null for a null. Of the quantiles _q every so many is a cut, so that pieces are not
+    much smaller than need be; a quantile that comes again is a value that fills much of the box, and is cut off on both sides."""
+    v, q, low, high = (F.col(c) for c in ("_v", "_q", "_low", "_high"))
     step = F.greatest(F.lit(1), F.floor(F.lit(CUTS * most) / (F.col("_n") * 2)).cast("int"))  # pieces of half the limit
     heavy = F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when(F.get(q, i + 1) == x, x)), lambda x: x.isNotNull()))
     some = F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when((i + 1) % step == 0, x)), lambda x: x.isNotNull() & (x < high)))
     cuts = F.array_union(some, F.filter(heavy, lambda x: x < high))
     cuts = F.when(F.size(cuts) + F.size(heavy) > 0, cuts).otherwise(F.array(low))
-    return F.when(v.isNull(), "null").otherwise((F.size(F.filter(cuts, lambda x: x < v)) + F.size(F.filter(heavy, lambda x: x <= v))).cast("string"))
+    return F.when(v.isNotNull(), (F.size(F.filter(cuts, lambda x: x < v)) + F.size(F.filter(heavy, lambda x: x <= v))).cast("string"))

@@ -144,10 +144,10 @@ def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{D.with_tables("vehicles", "listings")} SELECT year, CAST(count(*) AS BIGINT) AS n, min(price_amount) AS low, max(price_amount) AS high, CAST(0 AS BIGINT) AS too_large FROM listings JOIN vehicles ON vehicle_id = id GROUP BY year""")
 def box_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of at most 60 listings over year, make, price and mileage, summed up by year: every listing is in one box, and no box that could be cut is too large."""
+    """Boxes of at most 500 listings over year, make, price and mileage, summed up by year: every listing is in one box, and no box that could be cut is too large."""
     v = D.vehicles(spark, sf_dir).select(F.col("id").alias("vehicle_id"), "year", "make")
-    rows, boxes = S.box_shards(D.listings(spark, sf_dir).join(v, "vehicle_id").select("year", "make", "price_amount", "mileage"), ["year", "make", "price_amount", "mileage"], 60)
+    rows, boxes = S.box_shards(D.listings(spark, sf_dir).join(v, "vehicle_id").select("year", "make", "price_amount", "mileage"), ["year", "make", "price_amount", "mileage"], 500)
     found = rows.groupBy("box", "year").agg(F.count(F.lit(1)).alias("in_box"), F.min("price_amount").alias("low"), F.max("price_amount").alias("high"))
     both = found.join(boxes.select("box", F.col("n").alias("said"), "splittable"), "box")
-    large = F.count_if(((F.col("said") > 60) & F.col("splittable")) | (F.col("said") < F.col("in_box")))
+    large = F.count_if(((F.col("said") > 500) & F.col("splittable")) | (F.col("said") < F.col("in_box")))
     return both.groupBy("year").agg(F.sum("in_box").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), large.alias("too_large"))
