@@ -424,3 +424,22 @@ def test_boxes_hold_every_row_once_and_keep_the_bound(spark):
     assert none.count() == empty.count() == 0
     one, whole = S.box_shards(df, ["km"], 10_000)
     assert {r.box for r in whole.collect()} == {""} and one.count() == len(rows)
+
+
+def test_pictures_of_lots_and_markets(spark):
+    photos = spark.createDataFrame(
+        [(1, "https://a.com/123456-1L.jpg"), (1, "https://a.com/654321-1.jpg"), (1, "https://b.com/x.jpg?partitionKey=123456"), (1, "https://b.com/r?imageKeys=999999~SID"), (1, ""), (1, None), (1, "data:image/gif;base64,xx"), (2, "https://a.com/654321-1.jpg"), (None, "https://a.com/654321-1.jpg"),
+         (3, "https://kr.com/1.jpg"), (3, "https://us.com/1.jpg"), (3, "https://c.com/m/2020/777777/1.jpg"), (4, "https://kr.com/1.jpg"), (4, "https://c.com/1.jpg")],
+        "listing_id long, source_url string",
+    )
+    listings = spark.createDataFrame([(1, "im-123456-9", None, "https://agg.com/1"), (2, "none", "kr", None), (3, None, None, "https://shop.com")], "listing_id long, source_id string, origin string, listing_url string")
+    kept = {(r.listing_id, r.source_url) for r in P.of_listing_stock(photos, listings).collect()}
+    gone = {(1, "https://a.com/654321-1.jpg"), (1, "https://b.com/r?imageKeys=999999~SID"), (1, ""), (1, None), (1, "data:image/gif;base64,xx")}
+    assert kept == {tuple(r) for r in photos.collect()} - gone
+    assert P.of_listing_stock(photos, listings, exempt="a[.]com").count() == len(kept) + 1
+    us, kr = P.Market(("us",), "us[.]com", "us[.]com"), P.Market(("kr",), "kr[.]com", "mirror[.]com")
+    own = {(r.listing_id, r.source_url) for r in P.of_own_market(photos, listings, us, kr).collect()}
+    assert own == {tuple(r) for r in photos.collect()} - {(3, "https://kr.com/1.jpg")}
+    assert P.of_verified_pages(photos, listings, "b[.]com", "agg[.]com").count() == photos.count() - 2
+    for f in (lambda d: P.of_listing_stock(d, listings), lambda d: P.of_own_market(d, listings, us, kr), lambda d: P.of_verified_pages(d, listings, "b", "agg")):
+        assert f(photos.limit(0)).count() == 0

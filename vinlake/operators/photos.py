@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinlake.functions import urls
@@ -81,3 +82,54 @@ def without_orphan_frames(photos: DataFrame) -> DataFrame:
     stills = photos.filter("photo_group = 'gallery'").select("vehicle_id", "listing_id").distinct()
     frames = photos.filter("photo_group <> 'gallery'").join(stills, ["vehicle_id", "listing_id"], "left_semi")
     return photos.filter("photo_group = 'gallery'").unionByName(frames.select(*photos.columns))
+
+
+#: Where an address states the stock number of a lot: in a file's name before the frame, in a folder below a year, in the query.
+STOCKS = (r"(?i)/(\d{6,})-\d{0,3}[a-z]?\.(?:jpe?g|webp|png)(?:\?|$)", r"(?i)[?&]partitionKey=(\d{6,})(?:&|#|$)", r"(?i)[?&]imageKeys?=(\d{6,})(?:~|%7E)", r"/\d{4}/(\d{6,})/")
+
+
+def stock_number(url: Column, patterns: Sequence[str] = STOCKS) -> Column:
+    """The stock number that a picture's address states, by the first pattern that finds one; null where none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns))
+
+
+def of_listing_stock(photos: DataFrame, listings: DataFrame, patterns: Sequence[str] = STOCKS, exempt: str | None = None) -> DataFrame:
+    """Photos whose address states no stock number, or one that is in their listing's source id (E15): thumbnails of similar lots get onto pages. listings: (listing_id,
+    source_id). A photo without a listing, of a listing without a number of six digits, or whose address fits `exempt` stays; empty addresses and blank pixels go."""
+    pins = F.regexp_extract_all(F.regexp_replace("source_id", "(?i)^im-", ""), F.lit(r"(\d{6,})"), 1)
+    rows = photos.join(listings.select(F.col("listing_id").alias("_l"), pins.alias("_pins")), F.col("listing_id") == F.col("_l"), "left")
+    stock = stock_number(F.col("source_url"), patterns)
+    free = F.col("source_url").rlike(exempt) if exempt else F.lit(False)
+    fits = stock.isNull() | F.coalesce(F.size("_pins") == 0, F.lit(True)) | F.coalesce(F.array_contains("_pins", stock), F.lit(False)) | free
+    there = (F.coalesce(F.trim("source_url"), F.lit("")) != "") & ~F.col("source_url").rlike(r"(?i)^data:image/gif|1x1|pixel\.gif|spacer\.gif")
+    return rows.filter(there & fits).select(*photos.columns)
+
+
+@dataclass(frozen=True)
+class Market:
+    """A market: the providers whose listings belong to it, the addresses of its pictures, and those that tell the market of a listing of another provider."""
+
+    origins: tuple[str, ...]
+    pictures: str
+    telling: str
+
+
+def of_own_market(photos: DataFrame, listings: DataFrame, one: Market, two: Market) -> DataFrame:
+    """Photos without those of the other market (E15): cards of related cars mix both. listings: (listing_id, origin). A listing's market is its provider's, else the first
+    whose pictures it shows (`one` if both), else none, and then all stay; so do photos without a listing.
+
+    What a listing shows is summed up by listing first, so a page with many pictures is no load."""
+    tells = lambda m: F.bool_or(F.coalesce(F.col("source_url").rlike(m.telling), F.lit(False)))
+    shows = photos.filter("listing_id IS NOT NULL").groupBy(F.col("listing_id").alias("_l")).agg(tells(one).alias("_one"), tells(two).alias("_two"))
+    shows = shows.join(listings.select(F.col("listing_id").alias("_l"), F.lower("origin").alias("_origin")), "_l", "left")
+    market = F.when(F.col("_origin").isin(*one.origins), 1).when(F.col("_origin").isin(*two.origins), 2).when(F.col("_one"), 1).when(F.col("_two"), 2)
+    rows = photos.join(shows.select("_l", market.alias("_market")), F.col("listing_id") == F.col("_l"), "left")
+    foreign = F.when(F.col("_market") == 1, F.col("source_url").rlike(two.pictures)).when(F.col("_market") == 2, F.col("source_url").rlike(one.pictures))
+    return rows.filter(~F.coalesce(foreign, F.lit(False))).select(*photos.columns)
+
+
+def of_verified_pages(photos: DataFrame, listings: DataFrame, pictures: str, aggregators: str) -> DataFrame:
+    """Photos without those that fit `pictures` on a listing whose own address fits `aggregators` (E15): an aggregator's page can't vouch for an auction's frames.
+    listings: (listing_id, listing_url); photos without a listing stay."""
+    rows = photos.join(listings.select(F.col("listing_id").alias("_l"), "listing_url"), F.col("listing_id") == F.col("_l"), "left")
+    return rows.filter(~F.coalesce(F.col("source_url").rlike(pictures) & F.col("listing_url").rlike(aggregators), F.lit(False))).select(*photos.columns)

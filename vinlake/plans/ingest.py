@@ -288,6 +288,29 @@ def photo_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.without_orphan_frames(P.of_own_lot(x, "vehicle_id")).groupBy("vehicle_id", "photo_group").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""{D.with_tables("photos")}, p AS (SELECT listing_id, (listing_id + sort_order) % 6 AS k, listing_id * 7 + sort_order % 2 + 100000 AS stock, sort_order FROM photos),
+l AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN 's' || s_suppkey * 7 + 100000 END AS pin, CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS origin, s_suppkey % 5 = 0 AS aggregated FROM supplier),
+m AS (SELECT listing_id, coalesce(max(origin), CASE WHEN bool_or(k = 0) THEN 1 WHEN bool_or(k = 2) THEN 2 END) AS market FROM p JOIN l ON listing_id = id GROUP BY 1)
+SELECT listing_id, k, count(*) AS n FROM p JOIN l ON listing_id = id JOIN m USING (listing_id) WHERE (k <> 0 OR pin IS NULL OR pin = 's' || stock) AND NOT coalesce(market = 1 AND k IN (1, 2), false) AND NOT coalesce(market = 2 AND k = 0, false) AND NOT (aggregated AND k = 3) GROUP BY 1, 2"""
+)
+def market_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of other lots, of the other market and of aggregators' pages left out."""
+    k, n = (F.col("listing_id") + F.col("sort_order")) % 6, F.col("sort_order").cast("string")
+    stock = (F.col("listing_id") * 7 + F.col("sort_order") % 2 + 100000).cast("string")
+    at = lambda where, *rest: F.concat(F.lit(f"https://{where}"), *rest, F.lit(".jpg"))
+    url = F.when(k == 0, at("us.example.com/", stock, F.lit("-"), n)).when(k == 1, at("kr.example.com/p/", n)).when(k == 2, at("mirror.example.com/kr/", n)).when(k == 3, at("frames.example.com/", n)).otherwise(at("shop.example.com/", n))
+    x = D.photos(spark, sf_dir).select("listing_id", "sort_order", url.alias("source_url"))
+    s = F.col("s_suppkey")
+    listings = D.table(spark, sf_dir, "supplier").select(
+        s.alias("listing_id"), F.when(s % 3 > 0, F.concat(F.lit("im-"), (s * 7 + 100000).cast("string"), F.lit("-x"))).alias("source_id"), F.when(s % 4 == 0, "US-House").when(s % 4 == 1, "kr-market").alias("origin"),
+        F.when(s % 5 == 0, "https://agg.example.com/1").otherwise("https://shop.example.com/1").alias("listing_url"),
+    )
+    us, kr = P.Market(("us-house",), r"us\.example\.com", r"us\.example\.com"), P.Market(("kr-market",), r"kr\.example\.com|mirror\.example\.com/kr/", r"mirror\.example\.com/kr/")
+    kept = P.of_listing_stock(P.of_own_market(P.of_verified_pages(x, listings, r"frames\.example\.com", r"agg\.example\.com"), listings, us, kr), listings)
+    return kept.groupBy("listing_id", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""{D.with_tables("listings", "vehicles", "photos")}, n AS (SELECT vehicle_id, count(*) AS n_photos FROM photos GROUP BY 1),
 k AS (SELECT DISTINCT provider_id, source_id FROM listings l JOIN vehicles v ON l.vehicle_id = v.id JOIN n ON n.vehicle_id = v.id WHERE length(vin) = 17 AND mileage > 1 AND n_photos >= 25 AND seen_at > TIMESTAMP '2001-11-05' - INTERVAL 9000 HOUR)
