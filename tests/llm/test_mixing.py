@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from math import comb
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
@@ -48,19 +47,30 @@ def test_odd_rows_and_text_of_the_mix(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
     planned = mixing.plan(df, carry=("text", "taken"), block=8, shards=4)
     got = planned.collect()
-    assert len(got) == 7 and {r.doc_id: r.taken for r in got if r.doc_id in (3, 4)} is not None
+    assert len(got) == 7 and [r.taken for r in got if r.doc_id in (3, 4)] == [0, 0]  # a null text and an empty one
     mixed = mixing.mixed(mixing.plan(df, carry=("text",), block=8, shards=4), "text")
     words = sum(len(r.text.split()) for r in mixed.collect())
     assert abs(words - sum(len((t or "").split()) for _, t, _, _ in rows)) <= 4
     assert mixing.plan(df.limit(0)).count() == 0
 
 
-def test_too_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SOURCES", 3)
-    rows = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
-    assert mixing.plan(rows.filter("doc_id < 3")).count() == 3
-    with pytest.raises(ValueError, match="sources"):
-        mixing.plan(rows)
+def test_many_sources(spark, monkeypatch):
+    """More sources than one row holds: exact targets, and the same invariants of the shards' quotas with few or many groups."""
+    rows = spark.range(10_001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 7).cast("int")).alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    rows = rows.withColumn("source", F.when(F.col("doc_id") > 0, F.col("source")))
+    got = mixing.plan(rows, carry=("source",), shards=4).collect()
+    sums = {None if i == 0 else f"s{i}": i % 7 for i in range(10_001)}
+    want = shares(sums)
+    assert len(got) == 10_001 and all(abs(r.target - want[r.source]) < 1e-6 and abs(r.taken - r.target) <= 1 for r in got)
+    s = spark.createDataFrame([(f"s{i:03}" if i else None, i * 37 % 101) for i in range(150)], "source string, draws long")
+    for most in (1_000, 40, 2):
+        monkeypatch.setattr(mixing, "SOURCES", most)
+        bounds = {r.source: r.bounds for r in mixing.shard_quotas(s, 8).collect()}
+        assert {k: v[-1] for k, v in bounds.items()} == {r.source: r.draws for r in s.collect()} and all(v == sorted(v) and len(v) == 8 for v in bounds.values())
+        sizes = [sum(v[i] - (v[i - 1] if i else 0) for v in bounds.values()) for i in range(8)]
+        assert max(sizes) - min(sizes) <= 3
+        spread = [v[3] / v[-1] for v in bounds.values() if v[-1] > 50]  # the first half of the shards gets about half of each
+        assert 0.25 < min(spread) and max(spread) < 0.75 and abs(sum(spread) / len(spread) - 0.5) < 0.03
 
 
 def test_parts_change_nothing_but_the_order(spark, monkeypatch):

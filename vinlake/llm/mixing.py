@@ -28,7 +28,8 @@ BLOCK, SHARDS, ROUNDS = 4096, 32, 24
 PART_WORDS = 2_000_000
 #: Parts of a source's order that are summed apart, so that no task gets a whole source; more of them from PARTS * PART_ROWS rows on, so that parts don't grow.
 PARTS, PART_ROWS = 4096, 100_000
-#: Sources stand in one row (of sums, not of documents): a list that somebody sets weights for. A table with more of them, such as one of hosts, is refused.
+#: Sources whose draws (not documents) stand in one row of the splitting tree. More of them are dealt out to groups: each node draws the groups' blocks first, then those of
+#: each group's sources, which is the same distribution.
 SOURCES = 10_000
 #: Sources that are broadcast at most.
 MAX_BROADCAST = 50_000
@@ -47,7 +48,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     A source is capped if its limit over its weight is below the level at which the rest fits, so sources are taken in order of that ratio and the level follows
     from running sums: the repeated sharing in one pass. One row a source.
     """
-    # All sources stand in one array here: a row of sums, not of documents. Sources are a list that somebody has set weights for.
+    # One task sorts all sources: rows of sums, not of documents.
     s = sources.select("source", "source_size", F.when(F.col("source").isNull(), 1).otherwise(0).alias("last"))
     order = F.row_number().over(Window.orderBy("last", F.col("source").cast("binary"))) - 1
     s = s.select("source", "source_size", F.get(F.array(*(F.lit(float(w)) for w in weights)), order % len(weights)).alias("w"))
@@ -121,31 +122,50 @@ def hypergeometric(good: Column, all_: Column, drawn: Column, u: Column) -> Colu
 def shard_quotas(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(source, bounds): for (source, draws), the draws at which each shard's run of the source ends, of `shards` shards (a power of two).
 
-    A row a node of the splitting tree, with an array over sources, is split into two at each level.
+    A row a node of the splitting tree and group of sources, with an array over the sources, is split into two at each level. Up to SOURCES sources are one group; else
+    there are about as many groups as sources in a group, so that neither array is long.
     """
-    node = sources.orderBy(F.col("source").isNull(), "source").groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "draws"))).alias("s"))
-    node = node.select(F.lit(0).alias("node"), F.transform("s", lambda x: x["draws"]).alias("q"), F.transform("s", lambda x: x["source"]).alias("names"))
-    levels = shards.bit_length() - 1
-    for level in range(levels):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        # Each source in turn takes its share of the blocks that the left half still needs, out of those not yet looked at.
-        left = F.aggregate(
-            F.sequence(F.lit(0), F.size("q") - 1),
-            F.struct(F.array().cast("array<bigint>").alias("out"), total.alias("rest"), F.floor((total + F.pmod(_hash(F.col("node"), level), F.lit(2))) / 2).cast("long").alias("need")),
-            lambda acc, i: _take(acc, i, F.get("q", i), level),
-            lambda acc: acc["out"],
-        )
-        half = lambda bit, q: F.struct((2 * F.col("node") + bit).alias("node"), q.alias("q"))
+    n = sources.count()
+    size = SOURCES if n <= SOURCES else max(ceil(n**0.5), 1)
+    one = sources.select(F.col("source").isNull().alias("none"), "source", "draws")
+    if n <= SOURCES:
+        one = one.withColumn("g", F.lit(0))
+    else:
+        one = one.withColumn("g", F.floor((F.row_number().over(Window.orderBy("none", "source")) - 1) / size).cast("int"))  # a row a source
+    node = one.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("none", "source", "draws"))).alias("s"))
+    node = node.select(F.lit(0).alias("node"), "g", F.transform("s", lambda x: x["draws"]).alias("q"), F.transform("s", lambda x: x["source"]).alias("names"))
+    half = lambda bit, q: F.struct((2 * F.col("node") + bit).alias("node"), q.alias("q"))
+    for level in range(shards.bit_length() - 1):
+        total = _total("q")
+        need = F.floor((total + F.pmod(_hash(F.col("node"), level), F.lit(2))) / 2).cast("long")
+        if n > SOURCES:
+            # The groups' own shares of the left half, of their totals, as if they were sources.
+            sums = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("g", total.alias("t")))).alias("a")).select("node", F.transform("a", lambda x: x["t"]).alias("q"))
+            sums = sums.select("node", F.posexplode(_left("q", need, level, -1)).alias("g2", "need"))
+            node = node.join(as_table(sums.select(F.col("node").alias("n2"), "g2", "need")), (F.col("node") == F.col("n2")) & (F.col("g") == F.col("g2")))
+            left = _left("q", F.col("need"), level, F.col("g"))
+        else:
+            left = _left("q", need, level)
         halves = _let(left, lambda one: F.array(half(0, one), half(1, F.zip_with("q", one, lambda a, b: a - b))))
-        node = as_table(node.select("names", F.explode(halves).alias("h")).select("h.node", "names", "h.q"))
+        node = as_table(node.select("g", "names", F.explode(halves).alias("h")).select("h.node", "g", "names", "h.q"))
     each = node.select("node", F.explode(F.arrays_zip(F.col("names").alias("source"), F.col("q").alias("n"))).alias("x")).select("node", F.col("x.source").alias("source"), F.col("x.n").alias("n"))
     runs = each.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("a"))
     ends = F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.aggregate(F.slice("a", 1, i), F.lit(0).cast("long"), lambda t, x: t + x["n"]))
     return runs.select("source", ends.alias("bounds"))
 
 
-def _take(acc: Column, i: Column, have: Column, level: int) -> Column:
-    got = hypergeometric(have, acc["rest"], acc["need"], _uniform(F.col("node"), level, i))
+def _total(q: str) -> Column:
+    return F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _left(q: str, need: Column, level: int, *key: Column | int) -> Column:
+    """How many of the blocks of each element of q the left half gets, of `need` in all: each in turn takes its share of what is still needed, out of those not yet looked at."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), _total(q).alias("rest"), need.alias("need"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), start, lambda acc, i: _take(acc, i, F.get(q, i), level, *key), lambda acc: acc["out"])
+
+
+def _take(acc: Column, i: Column, have: Column, level: int, *key: Column | int) -> Column:
+    got = hypergeometric(have, acc["rest"], acc["need"], _uniform(F.col("node"), level, *key, i))
     return _let(got, lambda n: F.struct(F.concat(acc["out"], F.array(n)).alias("out"), (acc["rest"] - have).alias("rest"), (acc["need"] - n).alias("need")))
 
 
@@ -177,8 +197,6 @@ def plan(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bl
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = as_table(parts.select(F.col("source").alias("s2"), F.col("part").alias("p2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n"))
     sources = as_table(parts.groupBy(F.col("s2").alias("source")).agg(F.sum("n").alias("source_size")))
-    if sources.limit(SOURCES + 1).count() > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources: give sources that weights are set for")
     goal = targets(sources, weights, most)
     words = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
