@@ -23,11 +23,15 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    return duck_over(SF_DIR)
+
+
+def duck_over(sf_dir):
     import duckdb
 
     d = duckdb.connect()
     for t in TABLES:
-        path = Path(SF_DIR, f"{t}.parquet")
+        path = Path(sf_dir, f"{t}.parquet")
         d.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
     return d
 

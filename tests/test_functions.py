@@ -198,3 +198,11 @@ def test_phrases_in_json(spark):
     got = apply(spark, d.replaced_in_json, raws)
     assert [json.loads(got[0]), json.loads(got[1])] == [{"ab": 'xq"\\', "n": [{"a": '1e"', "b": 1.5}, "e", None, True], "e": ""}, 'q"\\']
     assert "1.50" in got[0] and got[2:] == ["[]", '{"ab": "a"', "ab", None, '{"k" : "1"}']
+
+
+def test_picture_rules_of_hosts(spark):
+    keys = ((r"vis\.a\.com/resizer\?imagekeys=([^&~]+)", "vis:$1"), (r"//c[ds]n\d*\.b\.com/.+?/([a-z0-9]{17})-(\d+)(?:-[a-f0-9]+)*\.(?:jpe?g|webp)", "b:$1:$2"))
+    got = apply(spark, lambda u: urls.picture_by_rules(u, keys), ["https://vis.a.com/resizer?imageKeys=123~SID~I1&w=9", "https://cdn2.b.com/x/y/1M8GDM9AXKP042788-3-ab12.webp?z", "https://csn.b.com/q/1M8GDM9AXKP042788-3.jpg", "https://www.c.com/640x480/p_thumb.jpg?q", None])
+    assert got == ["vis:123", "b:1m8gdm9axkp042788:3", "b:1m8gdm9axkp042788:3", "c.com/p", None]
+    frames = ((r"-plate-(\d+)\.", 1000), (r"/(\d+)\.avif", 0))
+    assert apply(spark, lambda u: urls.frame_by_rules(u, frames), ["https://a.com/x-plate-2.jpg", "https://a.com/7.avif?x=1", "https://a.com/frame_12.jpg", None]) == [1002, 7, 12, None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def frame(url: Column) -> Column:
     return F.nullif(F.regexp_extract(plain(url), r"(\d{1,5})\.[A-Za-z]{3,4}$", 1), F.lit("")).try_cast("int")
 
 
+def picture_by_rules(url: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
+    """The identity of a picture where hosts name theirs: of the first rule whose pattern fits the whole address in lower case, query and all, its template with the pattern's
+    groups as $1, $2...; else what `picture` says. So shots that a host serves by query, by rotating folders or under several names are one (E12)."""
+    whole, out = F.lower(F.trim(url)), picture(url)
+    for pattern, template in reversed(rules):
+        out = F.when(whole.rlike(pattern), F.regexp_replace(F.regexp_extract(whole, pattern, 0), pattern, template)).otherwise(out)
+    return out
+
+
+def frame_by_rules(url: Column, rules: Sequence[tuple[str, int]] = ()) -> Column:
+    """The place of a picture in its gallery where hosts count theirs: of the first rule whose pattern fits, the number in the pattern's group 1, moved by the rule's offset
+    (which sends shots of plates and papers to the end); else what `frame` says (O8)."""
+    whole, out = F.lower(F.trim(url)), frame(url)
+    for pattern, offset in reversed(rules):
+        out = F.when(whole.rlike(pattern), F.nullif(F.regexp_extract(whole, pattern, 1), F.lit("")).try_cast("int") + offset).otherwise(out)
+    return out
+
+
 def junk_picture(url: Column) -> Column:
     """Logos, icons, placeholders, pixels and inline data. Null counts as junk."""
     return F.coalesce(url.rlike(r"(?i)^data:|(?:^|[/_.-])(?:logo|icon|sprite|placeholder|no[-_]?(?:image|photo)|blank|pixel|avatar|banner)(?:[/_.-]|$)|\.(?:svg|gif)(?:\?|$)"), F.lit(True))

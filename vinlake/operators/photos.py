@@ -14,9 +14,9 @@ from vinlake.functions import urls
 MOST_GALLERY, MOST_FRAMES, OVERFLOW = 40, 72, 10_000
 
 
-def identified(photos: DataFrame) -> DataFrame:
-    """Photos that are no junk, with the key that sizes of one picture share."""
-    return photos.filter(~urls.junk_picture(F.col("source_url"))).withColumn("picture", urls.picture(F.col("source_url")))
+def identified(photos: DataFrame, keys: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Photos that are no junk, with the key that sizes of one picture share (E12, E15); keys: rules of hosts that name their pictures."""
+    return photos.filter(~urls.junk_picture(F.col("source_url"))).withColumn("picture", urls.picture_by_rules(F.col("source_url"), keys))
 
 
 def set_hashes(photos: DataFrame, key: str) -> DataFrame:
@@ -64,9 +64,10 @@ def galleries(photos: DataFrame, canonical: DataFrame, most: int = MOST_GALLERY,
     )
 
 
-def split_by_host(photos: DataFrame, cdn: str) -> DataFrame:
-    """(vehicle_id, bucket, picture, place): mirrored pictures (hosts that end in `cdn`) and those at their source, each picture once a bucket, in frame order."""
-    rows = identified(photos).withColumns({"bucket": F.when(F.endswith(urls.host(F.col("source_url")), F.lit(cdn)), "mirrored").otherwise("source"), "frame": urls.frame(F.col("source_url"))})
+def split_by_host(photos: DataFrame, cdn: str, keys: Sequence[tuple[str, str]] = (), frames: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """(vehicle_id, bucket, picture, place): mirrored pictures (hosts that end in `cdn`) and those at their source, each picture once a bucket, in frame order (E16, O8);
+    keys, frames: rules of hosts that name and count their pictures."""
+    rows = identified(photos, keys).withColumns({"bucket": F.when(F.endswith(urls.host(F.col("source_url")), F.lit(cdn)), "mirrored").otherwise("source"), "frame": urls.frame_by_rules(F.col("source_url"), frames)})
     one = rows.groupBy("vehicle_id", "bucket", "picture").agg(F.min("frame").alias("frame"))
     return one.withColumn("place", F.row_number().over(Window.partitionBy("vehicle_id", "bucket").orderBy(F.col("frame").asc_nulls_last(), "picture"))).drop("frame")
 

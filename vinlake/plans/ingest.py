@@ -288,6 +288,19 @@ def photo_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.without_orphan_frames(P.of_own_lot(x, "vehicle_id")).groupBy("vehicle_id", "photo_group").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""{D.with_tables("photos")}, u AS (SELECT vehicle_id, sort_order AS w, CAST(regexp_extract(source_url, 'frame_([0-9]+)', 1) AS INT) AS f FROM photos WHERE source_url NOT LIKE '%logo%'),
+k AS (SELECT vehicle_id, 'shot:' || vehicle_id || ':' || f || ':' || w % 2 AS picture, min(CASE WHEN w % 2 = 1 THEN f ELSE f + 1000 END) AS frame FROM u GROUP BY 1, 2)
+SELECT vehicle_id, 'source' AS bucket, picture, CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY frame, picture) AS INT) AS place FROM k"""
+)
+def host_photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures by a host's own rules: what its query says is part of the identity, and some shots come last."""
+    shot = r"cdn\.example\.com/lot/(\d+)/(?:\d+x\d+/)?frame_(\d+)\.jpg\?w="
+    keys = ((shot + r"[13579]$", "shot:$1:$2:1"), (shot + r"[02468]$", "shot:$1:$2:0"))
+    frames = ((r"frame_(\d+)\.jpg\?w=[13579]$", 0), (r"frame_(\d+)\.jpg\?w=[02468]$", 1000))
+    return P.split_by_host(D.photos(spark, sf_dir), "mirror.example.com", keys, frames)
+
+
 @query(
     f"""{D.with_tables("photos")}, p AS (SELECT listing_id, (listing_id + sort_order) % 6 AS k, listing_id * 7 + sort_order % 2 + 100000 AS stock, sort_order FROM photos),
 l AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN 's' || s_suppkey * 7 + 100000 END AS pin, CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS origin, s_suppkey % 5 = 0 AS aggregated FROM supplier),
