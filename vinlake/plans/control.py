@@ -87,9 +87,14 @@ def job_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.claimed(jobs, rank, 4, ["created_at", "id"]).select("id", "rank")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE t AS (SELECT s_name AS name, s_name AS text, 0 AS start FROM supplier UNION ALL SELECT s_name, s_name || ':', 17 FROM supplier),
+h AS (SELECT name, text, start, 0 AS i, CAST(start AS BIGINT) AS h FROM t UNION ALL SELECT name, text, start, i + 1, (h * 31 + ascii(substr(text, i + 1, 1))) % 4294967296 FROM h WHERE i < length(text)),
+e AS (SELECT name, max(h) FILTER (start = 0) AS one, max(h) FILTER (start = 17) AS two FROM h WHERE i = length(text) GROUP BY name), r AS (SELECT *, [{", ".join(map(str, L.REPEAT_HOURS))}][one % {len(L.REPEAT_HOURS)} + 1] AS repeat_hours FROM e)
+SELECT name AS internal_name, repeat_hours, CAST(two % greatest(30, repeat_hours * 60 - 15) AS BIGINT) AS stagger_minutes FROM r"""
+)
 def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeat hours and first starts by a stable hash of the name (T9). Tested against plain arithmetic."""
+    """Repeat hours and first starts by a stable hash of the name."""
     return L.schedule(D.providers(spark, sf_dir), "internal_name")
 
 
@@ -104,9 +109,13 @@ def ready_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ready_shards(rows, "1998-01-01 00:00:00")
 
 
-@query(None)
+@query(
+    f"""{D.with_tables("listings")}, c AS (SELECT price_amount AS v, count(*) AS n FROM listings WHERE price_amount IS NOT NULL GROUP BY 1),
+r AS (SELECT v, n, n > 250 AS big, sum(n) OVER (ORDER BY v) - n AS before, sum(CAST(n > 250 AS INT)) OVER (ORDER BY v) AS bigs FROM c)
+SELECT min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY bigs, CASE WHEN big THEN -1 ELSE before // 250 END"""
+)
 def price_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price ranges of at most 500 listings (T11). Tested by its invariants: ranges are disjoint, cover all rows and keep the bound."""
+    """Price ranges of at most 500 listings."""
     return L.range_shards(D.listings(spark, sf_dir), "price_amount", 500)
 
 

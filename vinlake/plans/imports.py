@@ -27,6 +27,15 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", *(fields[n].alias(n) for n in ("title", "lang", "n_links", "n_paragraphs")))
 
 
+@query(
+    f"""SELECT url, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x{{00A0}}]+', ' ', 'g')), '') AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']')) AS BIGINT) AS n_links,
+ regexp_matches(html[1:4000], '(?i)^\\s*(?:<!doctype\\s+html|<html)|<(?:head|body)[\\s>]') AS is_page FROM pages"""
+)
+def adapted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the parser that is registered under a name."""
+    return R.ADAPTERS["generic"](D.table(spark, sf_dir, "pages")).select("url", "title", "n_links", "is_page")
+
+
 def _with_state(pages: DataFrame) -> DataFrame:
     """Pages with their own title and links in script states, as shops write them: an assignment, data of a framework, and one that is cut off."""
     fields, html = R.page_fields(F.col("html")), F.col("html")
