@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -53,16 +55,29 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: Spark keeps Python workers for later tasks, beside those that need memory by then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, rows: int = 256) -> DataFrame:
     """mapInArrow in small slices. make() runs once a task and returns a function from the lists of df's columns to the lists (or Arrow arrays) of the result's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what tasks before this one have left
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)], schema=arrow)
+        fn = batch = part = out = None  # noqa: F841
+        give_back()
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.mapInArrow(run, schema)
