@@ -25,9 +25,9 @@ SPACE = "▁"
 #: What an unknown character scores below the least piece.
 PENALTY = 10.0
 #: Pairs of pieces that a task remembers at most.
-PAIRS = 1_000_000
+PAIRS = 400_000
 #: Segmentations that a task remembers at most, of chunks of so many characters at most.
-MEMO, MEMO_CHARS = 500_000, 48
+MEMO, MEMO_CHARS = 200_000, 48
 
 
 class Pieces(dict):
