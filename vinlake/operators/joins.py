@@ -37,9 +37,10 @@ def either_key_count(parents: DataFrame, children: DataFrame, child_id: str, pai
 
 
 def near_vins(df: DataFrame, vin: str = "vin") -> DataFrame:
-    """(a, b): identifiers of 17 characters that differ in exactly one place, a < b (J12). They share a mask of that place, so an equi-join on masks finds them all."""
+    """(a, b): identifiers of 17 characters that differ in exactly one place, a < b (J12). They share a mask of that place, so an equi-join on masks finds them all. The
+    join sorts: Spark's estimate doesn't count that each row becomes 17, and would broadcast them."""
     masks = df.filter(F.length(vin) == 17).select(F.col(vin).alias("v")).distinct().select("v", F.explode(wildcards(F.col("v"))).alias("mask"))
-    pairs = masks.select("mask", F.col("v").alias("a")).join(masks.select("mask", F.col("v").alias("b")), "mask").filter("a < b")
+    pairs = masks.select("mask", F.col("v").alias("a")).join(masks.select("mask", F.col("v").alias("b")).hint("merge"), "mask").filter("a < b")
     return pairs.select("a", "b").filter(hamming(F.col("a"), F.col("b")) == 1)
 
 
