@@ -20,9 +20,11 @@ from vinlake.operators.ingest import CONTENT, status_key
 from vinlake.streaming import merging
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, ts: str, late: str, files: int = 8) -> DataFrame:
-    """Rows of Parquet files as they come, some files a batch, with a watermark. Event times must be timestamps with a zone, so plain ones are read as UTC."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream(spark: SparkSession, path: str, schema: StructType, ts: str, late: str, files: int | None = 8) -> DataFrame:
+    """Rows of Parquet files as they come, some files a batch (None: all that are there), with a watermark. Event times must be timestamps with a zone, so plain ones are
+    read as UTC."""
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
@@ -84,7 +86,7 @@ class DailyLimit(StatefulProcessor):
         self.state = handle.getValueState("day", "day string, used long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["requested_at", "id"])  # one client's requests of one batch, which maxFilesPerTrigger bounds
+        frame = pd.concat(list(rows)).sort_values(["requested_at", "id"])  # one client's requests of one batch
         day, used = self.state.get() if self.state.exists() else ("", 0)
         allowed, counts = [], []
         for at, status in zip(frame["requested_at"], frame["status_code"]):
@@ -121,7 +123,7 @@ class Throttle(StatefulProcessor):
         self.times = handle.getListState("times", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["requested_at", "id"])  # one client's requests of one batch, which maxFilesPerTrigger bounds
+        frame = pd.concat(list(rows)).sort_values(["requested_at", "id"])  # one client's requests of one batch
         new = frame["requested_at"].to_numpy().astype("datetime64[us]").astype("int64")
         held = np.array([x[0] for x in self.times.get()], dtype="int64") if self.times.exists() else np.zeros(0, "int64")
         both = np.sort(np.concatenate([held, new]))
