@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,9 +91,15 @@ def title_parts(title: Column, makes: list[str]) -> tuple[Column, Column, Column
     text = tidy(title)
     year = F.nullif(F.regexp_extract(text, r"(?:^|[^0-9])((?:19|20)\d{2})(?:$|[^0-9])", 1), F.lit("")).try_cast("int")
     rest = tidy(F.regexp_replace(text, r"(?:^|(?<=[^0-9]))(?:19|20)\d{2}(?=$|[^0-9])", " "))
-    make = F.lit(None).cast("string")
-    for name in sorted(makes, key=len):  # the longest stands outside and wins
-        make = F.when(F.lower(rest) == name.lower(), name).when(F.startswith(F.lower(rest), F.lit(name.lower() + " ")), name).otherwise(make)
-    after = F.split(tidy(F.substr(rest, F.length(make) + 1)), " ")
-    words = F.filter(after, lambda w: (w != "") & ~w.rlike(r"(?i)^(?:[0-9a-f]{8}-[0-9a-f-]{20,}|n/?a|unknown|null|undefined|used|car|for|sale)$"))
-    return F.when(year.between(1980, 2035), year), make, F.when(make.isNotNull(), F.get(words, F.lit(0)))
+    names = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(name.lower() + " ").alias("start")) for name in reversed(sorted(makes, key=len))))
+    named = lambda low: F.get(F.filter(names, lambda n: F.startswith(low, n["start"])), F.lit(0))["name"] if makes else F.lit(None).cast("string")
+    parts = _bound(rest, lambda r: F.struct(r.alias("rest"), _bound(F.concat(F.lower(r), F.lit(" ")), named).alias("make")))
+    words = lambda s: F.split(tidy(F.substr(s["rest"], F.length(s["make"]) + 1)), " ")
+    good = lambda w: (w != "") & ~w.rlike(r"(?i)^(?:[0-9a-f]{8}-[0-9a-f-]{20,}|n/?a|unknown|null|undefined|used|car|for|sale)$")
+    model = _bound(parts, lambda s: F.when(s["make"].isNotNull(), F.get(F.filter(words(s), good), F.lit(0))))
+    return F.when(year.between(1980, 2035), year), parts["make"], model
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
