@@ -24,6 +24,8 @@ from vinlake.functions import dates
 Merge = Callable[[DataFrame], DataFrame]
 #: Buckets of a target: more of them spare more rewriting where batches are small.
 BUCKETS = 64
+#: Rows that a task writes of a bucket, or thereabouts.
+PIECE = 500_000
 
 
 def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -73,6 +75,13 @@ def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
+def dealt(df: DataFrame, rows: int, keys: Sequence[str], buckets: int) -> DataFrame:
+    """df (with bucket) dealt out for writing: a bucket is one piece while it is small, and more as its rows grow, so that no task has to write a bucket of any size."""
+    pieces = -(-rows // (buckets * PIECE)) or 1
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * buckets * pieces)
+    return df.repartition(tasks, "bucket", F.pmod(F.hash(*keys), F.lit(pieces)))
+
+
 def _touched(df: DataFrame) -> list[int]:
     return sorted(r.bucket for r in df.select("bucket").distinct().collect())  # as many as there are buckets
 
@@ -91,7 +100,7 @@ def merge_batch(batch: DataFrame, number: int, path: str, keys: Sequence[str], m
         before = {b: [v for v in vs if v < number] for b, vs in versions(spark, path, touched).items()}
         old = with_bucket(_read(spark, path, batch.schema, {b: vs[-1] for b, vs in before.items() if vs}), keys, buckets)
         new = with_bucket(merge(old.unionByName(fresh).drop("bucket")), keys, buckets).withColumn("batch", F.lit(number))
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        dealt(new, old.count() + fresh.count(), keys, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
     finally:
         fresh.unpersist()
     fs.create(_folder(spark, f"{path}/_done/{number}")[1], True).close()

@@ -64,7 +64,7 @@ def append_new(observations: DataFrame, path: str, checkpoint: str, buckets: int
             if parts:
                 old = spark.read.schema(batch.schema).parquet(*parts).select(*(F.col(c).alias(f"_{c}") for c in CONTENT))
                 new = fresh.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTENT], "left_anti")
-            new = new.withColumn("batch", F.lit(number)).repartition("bucket")
+            new = merging.dealt(new.withColumn("batch", F.lit(number)), fresh.count(), CONTENT, buckets)
             new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(root)
         finally:
             fresh.unpersist()
