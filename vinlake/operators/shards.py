@@ -7,6 +7,7 @@ rows are, and only the spans' functions meet: no task needs a shard's whole log,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,47 +84,59 @@ def box_shards(df: DataFrame, columns: Sequence[str], most: int, rounds: int = 2
     unless all rows of a box are equal in all columns.
 
     A tree, level by level: each box with too many rows is cut along the first of `columns` in which its rows differ, texts by value and numbers at approximate quantiles; a
-    number that fills quantiles by itself gets a box of its own. A level takes one aggregation by box, with partial sums in the tasks, and a join of the rows with the boxes
-    to cut, of which there are at most rows / most; rows of finished boxes are set aside and not read again. Boxes are disjoint and hold every row once; a null is a value
-    of its own, below all others. Numbers are compared as doubles."""
+    number that fills quantiles by itself gets a box of its own. A level takes one aggregation by box, with partial sums in the tasks, and two joins of the rows with the
+    boxes to cut, of which there are at most rows / most: one for the quantiles and one for the pieces, which writes each row once. Rows of finished boxes stay where the
+    level after wrote them. Boxes are disjoint and hold every row once; a null is a value of its own, below all others. Numbers are compared as doubles."""
     kinds, spark = dict(df.dtypes), df.sparkSession
     text = {c: kinds[c] == "string" for c in columns}
     same = lambda x, c: F.col(x) if text[c] else F.col(x).cast("double")
-    rows, done, done_sizes, numbers = df.withColumn("box", F.array().cast("array<string>")), scratch(spark), scratch(spark), [c for c in columns if not text[c]]
+    blank, hashed = F.array().cast("array<string>"), F.xxhash64("box").alias("_h")  # the hash goes before the box in every key, so that sorts compare numbers
+    rows, done, done_sizes, numbers = df.withColumn("box", blank).select("*", hashed), [], scratch(spark), [c for c in columns if not text[c]]
     for _ in range(rounds):
         facts = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))] + [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns]
         differ = {c: (same(f"low_{c}", c) != same(f"high_{c}", c)) | ((F.col(f"nulls_{c}") > 0) & (F.col(f"nulls_{c}") < F.col("n"))) for c in columns}
         along = F.coalesce(*(F.when(F.coalesce(differ[c], F.lit(False)), F.lit(c)) for c in columns))
-        sizes = staged(rows.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *facts).withColumn("along", along))
+        sizes = staged(rows.groupBy("_h", "box").agg(F.count(F.lit(1)).alias("n"), *facts).withColumn("along", along))
         to_cut = (F.col("n") > most) & F.col("along").isNotNull()
-        cut = sizes.filter(to_cut).select(F.col("box").alias("_b"), F.col("n").alias("_n"), "along")
-        sizes.filter(~to_cut | F.col("along").isNull()).write.mode("append").parquet(done_sizes)
+        cut = sizes.filter(to_cut).select(F.col("_h").alias("_h2"), F.col("box").alias("_b"), F.col("n").alias("_n"), "along")
+        sizes.filter(~to_cut).drop("_h").write.mode("append").parquet(done_sizes)
         if cut.isEmpty():
-            rows.write.mode("append").parquet(done)
             break
-        rows.join(cut.select("_b"), F.col("box") == F.col("_b"), "left_anti").write.mode("append").parquet(done)
+        mine = (F.col("_h") == F.col("_h2")) & (F.col("box") == F.col("_b"))
         value = F.coalesce(*(F.when(F.col("along") == c, F.col(c).cast("double")) for c in numbers)) if numbers else F.lit(None).cast("double")
-        rows = staged(rows.join(cut, F.col("box") == F.col("_b")).withColumn("_v", value))
         quantiles = F.percentile_approx("_v", [k / CUTS for k in range(1, CUTS)], 1000)
-        ranges = staged(rows.filter("_v IS NOT NULL").groupBy("box").agg(quantiles.alias("_q"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).withColumnRenamed("box", "_b2"))
+        values = rows.join(cut, mine).select("_h2", "_b", "_n", value.alias("_v")).filter("_v IS NOT NULL")
+        ranges = values.groupBy("_h2", "_b", "_n").agg(quantiles.alias("_q"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        # Written, so that cuts are found once a box and not once a row.
+        cut = staged(cut.join(_with_cuts(ranges, most).select("_h2", "_b", "_cuts", "_heavy"), ["_h2", "_b"], "left"))
         texts = F.coalesce(*(F.when(F.col("along") == c, F.concat(F.lit("'"), c)) for c in columns if text[c]), F.lit(None).cast("string"))
-        piece = F.coalesce(texts, _number_piece(most), F.lit("null"))
-        rows = rows.join(ranges, F.col("box") == F.col("_b2"), "left").withColumn("box", F.concat("box", F.array(F.concat_ws("=", "along", piece)))).select(*df.columns, "box")
-        rows = staged(rows)  # lineage ends here, so a lost executor costs one level
+        piece = F.coalesce(texts, _number_piece(value), F.lit("null"))
+        inner = F.when(F.col("_b").isNotNull(), F.concat("box", F.array(F.concat_ws("=", "along", piece)))).otherwise(F.col("box"))
+        level = rows.join(cut, mine, "left").select(*df.columns, inner.alias("box"), F.col("_b").isNotNull().alias("_go")).select("*", hashed)
+        level = staged(level)  # lineage ends here, so a lost executor costs one level
+        done.append(level.filter("NOT _go").drop("_go", "_h"))
+        rows = level.filter("_go").drop("_go")
     else:
         raise RuntimeError(f"boxes did not settle in {rounds} levels")
-    named = lambda path: spark.read.parquet(path).withColumn("box", F.array_join("box", "/"))
-    boxes = named(done_sizes).select("box", "n", *(f"{n}_{c}" for c in columns for n in ("low", "high")), F.col("along").isNotNull().alias("splittable"))
-    return named(done), boxes
+    whole = reduce(DataFrame.unionByName, done, rows.drop("_h"))
+    boxes = spark.read.parquet(done_sizes).withColumn("box", F.array_join("box", "/"))
+    boxes = boxes.select("box", "n", *(f"{n}_{c}" for c in columns for n in ("low", "high")), F.col("along").isNotNull().alias("splittable"))
+    return whole.withColumn("box", F.array_join("box", "/")), boxes
 
 
-def _number_piece(most: int) -> Column:
-    """The number of the piece that the value _v falls into: how many cuts are below it; null for a null. Of the quantiles _q every so many is a cut, so that pieces are not
-    much smaller than need be; a quantile that comes again is a value that fills much of the box, and is cut off on both sides."""
-    v, q, low, high = (F.col(c) for c in ("_v", "_q", "_low", "_high"))
+def _with_cuts(ranges: DataFrame, most: int) -> DataFrame:
+    """Boxes (_n, _q, _low, _high) with _cuts and _heavy. Of the quantiles _q every so many is a cut, so that pieces are not much smaller than need be; a quantile that comes
+    again is a value that fills much of the box, and is cut off on both sides."""
+    q, low, high, heavy, some = (F.col(c) for c in ("_q", "_low", "_high", "_heavy", "_some"))
     step = F.greatest(F.lit(1), F.floor(F.lit(CUTS * most) / (F.col("_n") * 2)).cast("int"))  # pieces of half the limit
-    heavy = F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when(F.get(q, i + 1) == x, x)), lambda x: x.isNotNull()))
-    some = F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when((i + 1) % step == 0, x)), lambda x: x.isNotNull() & (x < high)))
-    cuts = F.array_union(some, F.filter(heavy, lambda x: x < high))
-    cuts = F.when(F.size(cuts) + F.size(heavy) > 0, cuts).otherwise(F.array(low))
-    return F.when(v.isNotNull(), (F.size(F.filter(cuts, lambda x: x < v)) + F.size(F.filter(heavy, lambda x: x <= v))).cast("string"))
+    ranges = ranges.withColumn("_step", step).withColumns({
+        "_heavy": F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when(F.get(q, i + 1) == x, x)), lambda x: x.isNotNull())),
+        "_some": F.array_distinct(F.filter(F.transform(q, lambda x, i: F.when((i + 1) % F.col("_step") == 0, x)), lambda x: x.isNotNull() & (x < high))),
+    })
+    ranges = ranges.withColumn("_cuts", F.array_union(some, F.filter(heavy, lambda x: x < high)))
+    return ranges.withColumn("_cuts", F.when(F.size("_cuts") + F.size(heavy) > 0, F.col("_cuts")).otherwise(F.array(low)))
+
+
+def _number_piece(v: Column) -> Column:
+    """The number of the piece that a value falls into: how many cuts are below it; null for a null."""
+    return F.when(v.isNotNull(), (F.size(F.filter("_cuts", lambda x: x < v)) + F.size(F.filter("_heavy", lambda x: x <= v))).cast("string"))
