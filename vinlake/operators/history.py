@@ -260,12 +260,14 @@ def salvage_records(events: DataFrame, order: Sequence[Column | str], always: st
     events = with_meta(events)
     m, raw, no = F.col("_m"), F.col("metadata"), F.lit(False)
     field = F.coalesce(F.lower(meta.text(m, "field")), F.lit(""))
+    # What a field is takes a parse of the whole text, so it is asked only where the field holds something.
+    kind_of = lambda name: F.when(meta.field(m, name).isNotNull(), meta.kind(raw, name))
     # In layers, so that no expression is computed twice. There is no filter, which Spark would push below them with all that it needs: rows without a signal have no order.
     rows = events.select(
         "vehicle_id", F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("o"), F.lower(F.coalesce("event_type", F.lit(""))).alias("kind"), F.trim(F.coalesce("description", F.lit(""))).alias("desc"),
-        F.when(meta.kind(raw, "value") == "STRING", meta.text(m, "value")).alias("value"), meta.text(m, "title").alias("named"), meta.text(m, "damageClass").alias("damage"), field.alias("field"),
-        F.when(meta.kind(raw, "salvage") == "BOOLEAN", meta.flag(m, "salvage")).alias("flag"), meta.number(m, "totalLossCnt").alias("losses"), meta.number(m, "floodTotalLossCnt").alias("floods"), meta.number(m, "value").alias("n"),
-        meta.kind(raw, "floodTotalLossCnt").rlike("INT|DOUBLE|FLOAT|DECIMAL").alias("flood_number"), meta.text(m, "state").alias("state"), meta.text(m, "status").alias("status"), F.coalesce(meta.text(m, "date"), dates.day_of(F.col("occurred_at"))).alias("day"),
+        F.when(kind_of("value") == "STRING", meta.text(m, "value")).alias("value"), meta.text(m, "title").alias("named"), meta.text(m, "damageClass").alias("damage"), field.alias("field"),
+        F.when(kind_of("salvage") == "BOOLEAN", meta.flag(m, "salvage")).alias("flag"), meta.number(m, "totalLossCnt").alias("losses"), meta.number(m, "floodTotalLossCnt").alias("floods"), meta.number(m, "value").alias("n"),
+        kind_of("floodTotalLossCnt").rlike("INT|DOUBLE|FLOAT|DECIMAL").alias("flood_number"), meta.text(m, "state").alias("state"), meta.text(m, "status").alias("status"), F.coalesce(meta.text(m, "date"), dates.day_of(F.col("occurred_at"))).alias("day"),
         meta.text(m, "source").alias("source"),
     )
     rows = rows.withColumns({
