@@ -43,8 +43,9 @@ class Phrases:
         if len(self.meanings) > MOST:
             raise ValueError(f"{len(self.meanings)} phrases; over {MOST} replaced_by_table takes them")
         found = trie_pattern(self.meanings)
-        self.whole_words = whole_words
+        self.whole_words, self.found = whole_words, None
         found = rf"(?<![\p{{L}}\p{{N}}]){found}(?![\p{{L}}\p{{N}}])" if whole_words and found else found
+        self.found = found or None
         begin = "".join(sorted({re.escape(p[0]) for p in self.meanings}))
         # A phrase, else a run of what begins none, else one character.
         self.pattern = rf"(?s)({found})|[^{begin}]+|." if found else "(?s).+"
@@ -69,23 +70,46 @@ class Phrases:
 
     def replaced(self, text: Column) -> Column:
         """The text with each phrase's meaning in its place; null stays null."""
-        return F.array_join(F.transform(self.pieces(text), lambda x: F.coalesce(x["m"], x["p"])), "") if self.meanings else text
+        # A text without any phrase isn't cut up.
+        return F.when(text.rlike(self.found), self.joined(self.pieces(text))).otherwise(text) if self.meanings else text
+
+    def joined(self, pieces: Column) -> Column:
+        """The text of its pieces, each phrase's meaning in its place."""
+        return F.array_join(F.transform(pieces, lambda x: F.coalesce(x["m"], x["p"])), "")
+
+    def counted(self, pieces: Column) -> Column:
+        """How many of the pieces are phrases."""
+        return F.size(F.filter(pieces, lambda x: x["m"].isNotNull()))
 
     def count(self, text: Column) -> Column:
         """How many phrases are replaced."""
-        return F.size(F.filter(self.pieces(text), lambda x: x["m"].isNotNull())) if self.meanings else F.when(text.isNotNull(), 0)
+        return self.counted(self.pieces(text)) if self.meanings else F.when(text.isNotNull(), 0)
 
     def replaced_in_json(self, raw: Column) -> Column:
         """JSON text with phrases replaced in its string values, of any nesting; names of fields, numbers and the rest of the text stay as they are written. Text that is no
         JSON stays."""
         pieces = F.regexp_extract_all(raw, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"(?:\s*:)?|[^"]++|"'), 0)
+        escaped = lambda x: F.contains(x, F.lit("\\"))
+        written = Phrases({k: _in_json(v) for k, v in self.meanings.items()}, self.whole_words)
 
         def put(piece: Column) -> Column:
             inner = F.get_json_object(F.concat(F.lit("["), piece, F.lit("]")), "$[0]")
             out = F.to_json(F.array(self.replaced(inner)))
-            return F.when(F.startswith(piece, F.lit('"')) & F.endswith(piece, F.lit('"')) & (F.length(piece) > 2), F.coalesce(F.substr(out, F.lit(2), F.length(out) - 2), piece)).otherwise(piece)
+            read = F.coalesce(F.substr(out, F.lit(2), F.length(out) - 2), piece)
+            value = F.startswith(piece, F.lit('"')) & F.endswith(piece, F.lit('"')) & (F.length(piece) > 2)
+            if not self.meanings:
+                return F.when(value, read).otherwise(piece)
+            # A text without escapes is what it says; others are read and written as JSON.
+            plain = F.concat(F.lit('"'), written.joined(written.pieces(F.substr(piece, F.lit(2), F.length(piece) - 2))), F.lit('"'))
+            return F.when(~value | (~escaped(piece) & ~piece.rlike(self.found)), piece).when(~escaped(piece), plain).otherwise(read)
+
+        whole = F.when(F.try_parse_json(raw).isNotNull(), F.array_join(F.transform(pieces, put), "")).otherwise(raw)
+        return F.when(~escaped(raw) & ~raw.rlike(self.found), raw).otherwise(whole) if self.meanings else whole
+
 
-        return F.when(F.try_parse_json(raw).isNotNull(), F.array_join(F.transform(pieces, put), "")).otherwise(raw)
+def _in_json(text: str) -> str:
+    """A text as it stands between the quotes of JSON, in the form that Spark writes."""
+    return "".join(f"\\u{ord(c):04X}" if c < " " and c not in "\b\t\n\f\r" else json.dumps(c, ensure_ascii=False)[1:-1] for c in text)
 
 
 def _bucket(phrase: str) -> int:
