@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vinlake.functions import dates, meta, text
 from vinlake.functions import mileage as M
 from vinlake.operators.ingest import FIRST_REGISTRATION, first_registration_score, is_first_registration, status_key
+from vinlake.operators.projections import kept
 from vinlake.operators.windows import first_per_key, run_window, with_runs
 
 # Which kind of reading wins when several state the same day and distance.
@@ -154,7 +155,8 @@ def sale_events(events: DataFrame, ties: Sequence[Column | str], houses: Sequenc
         "vehicle_id", F.coalesce(meta.text(m, "soldDate"), dates.day_of(F.col("occurred_at"))).alias("day"), amount.alias("amount"), meta.text(m, "priceCurrency", "currency").alias("_c"), (bid.isNotNull()).alias("_bid"),
         meta.number(m, "priceUsd").alias("_usd"), meta.number(m, "priceEur").alias("eur"), meta.text(m, "registered").alias("registered"), provider.alias("provider"), meta.text(m, "sourceListingId").alias("source_id"),
         source.alias("_s"), F.struct("occurred_at", *ties).alias("_o"),
-    ).filter("day IS NOT NULL")
+    )
+    rows = kept(rows, F.col("day").isNotNull())
     dollars = F.col("_c").isNull() & F.col("_bid") & (F.col("amount") > 0) & (F.col("amount") < 500_000)
     house = F.coalesce(F.col("provider").isin(*houses), F.lit(False)) | F.coalesce(F.col("_s").isin(*houses), F.lit(False))
     rows = rows.withColumns({
@@ -234,16 +236,17 @@ def registered_labels(events: DataFrame) -> DataFrame:
     cut to the year or month if that is all that is known (E21, E11)."""
     # What can be none is left out by its text, before any JSON is parsed.
     may = F.contains("metadata", F.lit("first")) | F.col("description").rlike(FIRST_REGISTRATION)
-    events, m = with_meta(events.filter(F.coalesce(may, F.contains("metadata", F.lit("first")), F.lit(False)))), F.col("_m")
+    events, m = with_meta(kept(events, F.coalesce(may, F.contains("metadata", F.lit("first")), F.lit(False)))), F.col("_m")
     said = F.regexp_extract("description", r"(?i)First registration:\s*(.+)$", 1)
-    rows = events.filter(is_first_registration(F.col("event_type"), F.col("description"), m) | (said != ""))
+    first = F.coalesce(is_first_registration(F.col("event_type"), F.col("description"), m) | (said != ""), F.lit(False))
     value, day, unit = meta.text(m, "value"), dates.day_of(F.col("occurred_at")), F.lower(meta.text(m, "datePrecision"))
     source = F.coalesce(meta.text(m, "source"), F.lit(""))
     of_year = (unit == "year") | (source == "productionYear") | (F.trim(said).rlike(r"^\d{4}$") & F.endswith(day, F.lit("-01-01")))
     label = F.coalesce(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(value, 1, 10)).otherwise(value), F.when(F.coalesce(of_year, F.lit(False)), F.substring(day, 1, 4)).when(unit == "month", F.substring(day, 1, 7)).otherwise(day), F.nullif(F.substring(F.trim(said), 1, 10), F.lit("")))
     score = first_registration_score(F.substring(F.coalesce(value, F.trim(said), F.lit("")), 1, 10), source)
     # Of the same score the earliest, then the smaller label.
-    return rows.select("vehicle_id", label.alias("l"), score.alias("s"), F.col("occurred_at").alias("at")).filter("l IS NOT NULL").groupBy("vehicle_id").agg(F.min(F.struct(-F.col("s"), F.col("at").isNull(), "at", "l"))["l"].alias("first"))
+    rows = events.select("vehicle_id", label.alias("l"), score.alias("s"), F.col("occurred_at").alias("at"), first.alias("first"))
+    return kept(rows, F.col("first") & F.col("l").isNotNull()).groupBy("vehicle_id").agg(F.min(F.struct(-F.col("s"), F.col("at").isNull(), "at", "l"))["l"].alias("first"))
 
 
 # Fields of title rows, of flags, and of counts whose zero is no loss.
