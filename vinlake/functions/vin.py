@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vinlake.functions.once import bound
+
 # What each letter counts in a check digit, and the weight of each place.
 LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
 LETTER_VALUES = "12345678123457923456789"
@@ -37,9 +39,15 @@ def vin(raw: Column) -> Column:
 
 def check_digit(vin: Column) -> Column:
     """The ninth character that the other sixteen ask for; null if a character has no value or there are not 17."""
-    values = F.translate(vin, LETTERS, LETTER_VALUES)
-    total = reduce(Column.__add__, (F.substring(values, i + 1, 1).try_cast("int") * w for i, w in enumerate(WEIGHTS) if w))
-    return F.when((F.length(vin) == 17) & vin.rlike("^[A-HJ-NPR-Z0-9]{17}$"), F.when(total % 11 == 10, "X").otherwise((total % 11).cast("string")))
+
+    def total(values: Column) -> Column:
+        return reduce(Column.__add__, (F.substring(values, i + 1, 1).try_cast("int") * w for i, w in enumerate(WEIGHTS) if w)) % 11
+
+    def digit(vin: Column) -> Column:
+        rest = bound(F.translate(vin, LETTERS, LETTER_VALUES), total)
+        return F.when((F.length(vin) == 17) & vin.rlike("^[A-HJ-NPR-Z0-9]{17}$"), bound(rest, lambda r: F.when(r == 10, "X").otherwise(r.cast("string"))))
+
+    return bound(vin, digit)
 
 
 def check_digit_ok(vin: Column) -> Column:

@@ -16,6 +16,7 @@ from vinlake.functions import vin as V
 from vinlake.functions.numbers import text_of_number, tidy
 from vinlake.functions.text import looks_like_page
 from vinlake.operators.joins import merge_duplicates
+from vinlake.operators.projections import kept
 from vinlake.operators.windows import first_per_key, richest_per_key
 
 #: A payload is cut at this length, and an observation moves back in time only by more than a day.
@@ -172,5 +173,7 @@ def recently_seen(known: DataFrame, hints: DataFrame, as_of: str, hours: int, ph
     """Hints of listings that were seen within so many hours, are complete and have enough photos (E29): they need no fetch. known: provider_id, source_id, vin, mileage,
     last_seen_at, n_photos."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    done = (F.length("vin") == 17) & M.usable(F.col("mileage")) & (F.col("n_photos") >= photos) & (F.col("last_seen_at") > now - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return hints.join(known.filter(done).select("provider_id", "source_id").distinct(), ["provider_id", "source_id"], "left_semi")
+    done = known.filter(M.usable(F.col("mileage")) & (F.col("n_photos") >= photos) & (F.col("last_seen_at") > now - F.expr(f"INTERVAL {int(hours)} HOURS")))
+    # Where the vin is computed from a key, Spark would infer a filter on it for all that is joined by that key, and compute it for each of those rows.
+    done = kept(done, F.length("vin") == 17).select("provider_id", "source_id").distinct()
+    return hints.join(done, ["provider_id", "source_id"], "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinlake.functions import vin as V
+from vinlake.functions.once import bound
 
 #: The moment that queries take as now.
 AS_OF = "2024-01-31 00:00:00"
@@ -36,7 +37,7 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vin, make, model, trim, year, fuel_type, country): parts. A third of the identifiers get their check digit."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     raw = F.substring(F.upper(F.md5(k.cast("string").cast("binary"))), 1, 17)
-    raw = F.when(k % 3 == 0, F.concat(F.substring(raw, 1, 8), V.check_digit(raw), F.substring(raw, 10, 8))).otherwise(raw)
+    raw = bound(raw, lambda r: F.when(k % 3 == 0, F.concat(F.substring(r, 1, 8), V.check_digit(r), F.substring(r, 10, 8))).otherwise(r))
     return p.select(
         k.alias("id"), raw.alias("vin"), F.col("p_brand").alias("make"), F.when(k % 2 == 0, _pick(MODELS, k % len(MODELS))).otherwise(F.col("p_name")).alias("model"), F.col("p_type").alias("trim"),
         (1990 + F.col("p_size") % 35).cast("int").alias("year"), _pick(FUELS, k % len(FUELS)).alias("fuel_type"), _pick(PLACES, k % len(PLACES)).alias("country"),
