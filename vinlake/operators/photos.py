@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinlake.functions import urls
+from vinlake.functions.once import bound
 
 # Fixed values.
 MOST_GALLERY, MOST_FRAMES, OVERFLOW = 40, 72, 10_000
@@ -75,14 +76,16 @@ def split_by_host(photos: DataFrame, cdn: str, keys: Sequence[tuple[str, str]] =
 def of_own_lot(photos: DataFrame, lot: str, pattern: str = r"/lots?/(\d+)(?:/|$)") -> DataFrame:
     """Photos whose address names no lot, or the lot in column `lot` (E15): foreign lots' pictures get onto pages as recommendations. A null lot keeps all."""
     named = F.nullif(F.regexp_extract(urls.plain(F.col("source_url")), pattern, 1), F.lit(""))
-    return photos.filter(named.isNull() | F.col(lot).isNull() | (named == F.col(lot).cast("string")))
+    return photos.filter(F.col(lot).isNull() | bound(named, lambda n: n.isNull() | (n == F.col(lot).cast("string"))))
 
 
 def without_orphan_frames(photos: DataFrame) -> DataFrame:
     """Photos without exterior and interior frames of listings that have no still (E15, J18): frames alone can't be shown."""
-    stills = photos.filter("photo_group = 'gallery'").select("vehicle_id", "listing_id").distinct()
-    frames = photos.filter("photo_group <> 'gallery'").join(stills, ["vehicle_id", "listing_id"], "left_semi")
-    return photos.filter("photo_group = 'gallery'").unionByName(frames.select(*photos.columns))
+    # A window over each listing's photos takes one pass; stills joined to frames would compute the photos for each branch.
+    still = F.col("photo_group") == "gallery"
+    rows = photos.withColumn("_stills", F.bool_or(still).over(Window.partitionBy("vehicle_id", "listing_id")))
+    named = F.col("vehicle_id").isNotNull() & F.col("listing_id").isNotNull()
+    return rows.filter(still | (F.col("photo_group").isNotNull() & F.col("_stills") & named)).drop("_stills")
 
 
 #: Where an address states the stock number of a lot: in a file's name before the frame, in a folder below a year, in the query.
