@@ -17,6 +17,12 @@ def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column
     return reduce(Column.__and__, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df marked for broadcast if it has max_rows rows at most (counted, stopping one row beyond); else as it is, to be shuffled. For tables whose size Spark overrates, as it
+    does after joins."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def with_latest(parents: DataFrame, children: DataFrame, key: str, order: Sequence[Column | str], fields: dict[str, str]) -> DataFrame:
     """Parents with fields of their latest child (J8, J17); null where there is none. fields: child column to result column."""
     last = first_per_key(children, [key], order).select(key, *(F.col(a).alias(b) for a, b in fields.items()))

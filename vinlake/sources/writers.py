@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vinlake.functions import mileage as M
 from vinlake.functions.money import with_usd_eur
+from vinlake.operators.joins import broadcast_if_small
 from vinlake.session import scratch
 
 # The columns of a CSV export, in order.
@@ -15,10 +16,14 @@ CSV_COLUMNS = (
     "country", "active", "source_id", "listing_url", "provider", "first_seen", "last_seen",
 )
 
+#: Providers up to this many are broadcast: ids and short names, some 50 MB.
+MOST_PROVIDERS = 500_000
+
 
 def export_rows(listings: DataFrame, vehicles: DataFrame, providers: DataFrame) -> DataFrame:
-    """Rows of a CSV export (K6): dollars, euros and miles are derived; a missing column is null. Providers are a small dimension that Spark may broadcast."""
-    rows = listings.join(vehicles.withColumnRenamed("id", "vehicle_id"), "vehicle_id").join(providers.select(F.col("id").alias("provider_id"), F.col("internal_name").alias("provider")), "provider_id")
+    """Rows of a CSV export (K6): dollars, euros and miles are derived; a missing column is null. Providers are a small dimension, so the wide rows are not shuffled for them."""
+    names = broadcast_if_small(providers.select(F.col("id").alias("provider_id"), F.col("internal_name").alias("provider")), MOST_PROVIDERS)
+    rows = listings.join(vehicles.withColumnRenamed("id", "vehicle_id"), "vehicle_id").join(names, "provider_id")
     rows = with_usd_eur(rows, "price_amount", "price_currency", "price_usd", "price_eur")
     km = M.to_km(F.when(M.usable(F.col("mileage")), F.col("mileage")), F.col("mileage_unit"))
     rows = rows.withColumns({"mileage_km": km, "mileage_miles": M.to_miles(km), "price": F.col("price_amount"), "currency": F.col("price_currency"), "fuel": F.col("fuel_type")})
