@@ -10,6 +10,8 @@ from vinlake.functions.numbers import tidy
 # Fixed values.
 _A, _Z = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
 SALVAGE = rf"salvage[ds]?{_Z}|{_A}slvg{_Z}|{_A}junk{_Z}|non[- ]?repairable|certificate of destruction|{_A}cod{_Z}|{_A}rebuilt{_Z}|parts only|{_A}total[_\s-]*loss{_Z}|전손|총손실|총손"
+#: A part of each word that SALVAGE asks for: a text that holds none of them can't fit, and isn't tidied for it.
+MAY_BE_SALVAGE = r"(?iu)alvage|slvg|junk|repairable|destruction|cod|rebuilt|parts|total|전손|총손"
 ZERO_LOSS = rf"^(?:total[_\s-]*loss(?:\s+from\s+flooding)?|전손|총손실|총손)\s*:\s*0{_Z}"
 ZERO_COUNT, SOME_COUNT = rf"total[_\s-]*loss[^:\d]{{0,40}}:\s*0{_Z}", rf"{_A}[1-9][0-9]*{_Z}"
 #: Condition marks in the order of their tests; the first that fits decides, and a text that says all is well has none.
@@ -29,7 +31,7 @@ OUTCOMES = ((400, "Invalid VIN"), (401, "Auth / blocked"), (403, "Auth / blocked
 def salvage(raw: Column) -> Column:
     """Whether a text speaks of salvage or a total loss; a count of zero losses doesn't. False for null."""
     t = tidy(raw)
-    return F.coalesce(t.rlike(f"(?iu){SALVAGE}") & ~zero_losses(t), F.lit(False))
+    return F.coalesce(F.when(raw.rlike(MAY_BE_SALVAGE), t.rlike(f"(?iu){SALVAGE}") & ~zero_losses(t)), F.lit(False))
 
 
 def zero_losses(t: Column) -> Column:
@@ -98,10 +100,12 @@ def path_class(path: Column) -> Column:
 
 def same_day_text(desc: Column) -> Column:
     """A description as it is compared within a day: marks as spaces, shipment as delivery, automobile as car."""
-    t = F.regexp_replace(F.lower(desc), r"[()\[\]{},.;:!?|/\\]+", " ")
+    low = F.lower(desc)
+    t = F.regexp_replace(low, r"[()\[\]{},.;:!?|/\\]+", " ")
     for old, new in ((r"\bshipment\b", "delivery"), (r"\bautomobile\b", "car"), (r"\bdamage to my car\b", "my car damage")):
         t = F.regexp_replace(t, old, new)
-    return tidy(t)
+    # Without one of those words marks and white space become one space in one pass.
+    return F.when(low.rlike("shipment|automobile|damage"), tidy(t)).otherwise(F.trim(F.regexp_replace(low, r"[\s\x{00A0}()\[\]{},.;:!?|/\\]+", " ")))
 
 
 def poly_hash(text: Column, start: int = 0) -> Column:

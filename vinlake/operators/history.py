@@ -23,9 +23,20 @@ TRUSTED = "registry"
 SPEC_FIELDS = ("condition", "secondary_damage", "primary_damage", "loss_type", "airbags", "keys", "seats", "doors", "color", "engine", "location")
 
 
+#: Every field of metadata that a rule of this module asks for.
+FIELDS = (
+    "mileageUnit", "unit", "odometerType", "odometer_type", "source", "mileageKm", "mileageMiles", "mileage", "odometer", "odometerValue", "odometer_value", "km", "miles",
+    "date", "issueDate", "validityStartDate", "validityEndDate", "firstRegistrationDate", "soldDate", "datePrecision", "registered",
+    "partCost", "laborCost", "paintingCost", "repairTotal", "currency", "type", "rawType", "value", "damage", "plate", "carNo", "info", "field", "kind",
+    "priceAmount", "amount", "finalPrice", "buyNowPrice", "auctionPrice", "openingBid", "priceCurrency", "priceUsd", "priceEur", "provider", "sourceListingId",
+    "title", "damageClass", "salvage", "totalLossCnt", "floodTotalLossCnt", "state", "status",
+    "sequence", "diagnosisNo", "bodyCondition", "allClear", "panels", "comments", "recordNo", "sticky",
+)
+
+
 def with_meta(events: DataFrame) -> DataFrame:
-    """Events with their metadata parsed once, as the map _m; as they are if they have it."""
-    return events if "_m" in events.columns else events.withColumn("_m", meta.parsed(F.col("metadata")))
+    """Events with their metadata parsed once, as the struct _m of FIELDS; as they are if they have it."""
+    return events if "_m" in events.columns else events.withColumn("_m", meta.fields(F.col("metadata"), FIELDS))
 
 
 def with_km(events: DataFrame) -> DataFrame:
