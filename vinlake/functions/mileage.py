@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vinlake.functions.numbers import half_up
+from vinlake.functions.once import bound
 
 # Fixed values.
 MILES_PER_KM = 0.621371
@@ -39,9 +40,10 @@ def to_miles(km: Column) -> Column:
 
 def in_text(text: Column) -> Column:
     """The first usable reading that a text states, by the forms in order, as written (no unit applied)."""
-    # An empty text is made null first: a cast that fails costs far more than one that is not tried.
-    found = F.array(*(F.nullif(F.replace(F.regexp_extract(text, form, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("double") for form in TEXT_FORMS))
-    return F.when(text.rlike("[0-9]"), F.get(F.filter(found, usable), F.lit(0)))  # each form is tried once
+    # Each form is tried once, and only while those before it found nothing. A cast that fails costs far more than one that is not tried.
+    number = lambda x: F.when(x != "", F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
+    found = (bound(bound(F.regexp_extract(text, form, 1), number), lambda x: F.when(usable(x), x)) for form in TEXT_FORMS)
+    return F.when(text.rlike("[0-9]"), F.coalesce(*found))
 
 
 def coerce(raw: Column) -> Column:

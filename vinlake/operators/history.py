@@ -85,20 +85,20 @@ def mileage_history(*readings: DataFrame) -> DataFrame:
     for more in readings[1:]:
         rows = rows.unionByName(more)
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair)), F.col("kind"))
-    # Rows without a reading meet in one group a vehicle, which goes by a maximum: Spark can't push that filter down and compute readings twice.
-    rows = rows.withColumn("day", F.when(F.col("km").isNotNull(), F.col("day")))
-    rows = rows.groupBy("vehicle_id", "day", "km").agg(F.max_by("kind", rank).alias("kind"), F.collect_set("source").alias("sources"), F.bool_or("of_event").alias("of_event"), F.max(F.when(F.col("day").isNotNull(), F.col("km"))).alias("_k"))
-    rows = rows.filter(M.usable(F.col("_k"))).drop("_k")
+    rows = kept(rows, F.col("day").isNotNull() & M.usable(F.col("km")))
+    # One shuffle and one sort: readings of a day and distance, which few share, and then the vehicle's are windows over the same order.
+    g = Window.partitionBy("vehicle_id", "day", "km")
+    rows = rows.repartition("vehicle_id").select(
+        "vehicle_id", "day", "km", F.max_by("kind", rank).over(g).alias("kind"), F.sort_array(F.collect_set("source").over(g)).alias("sources"), F.bool_or("of_event").over(g).alias("of_event"), F.row_number().over(g.orderBy("vehicle_id")).alias("_n")
+    ).filter("_n = 1").drop("_n")
     order = ["day", "km"]
     w = run_window(["vehicle_id"], order)
     runs = with_runs(rows, ["vehicle_id"], order, (F.col("kind") == "listing") & (F.lag("kind").over(w) == "listing") & (F.lag("km").over(w) == F.col("km")))
-    r = Window.partitionBy("vehicle_id", "run")
-    runs = runs.select(
-        "vehicle_id", "day", "km", "kind", "of_event", F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources").over(r)))).alias("sources"), F.min("day").over(r).alias("_a"), F.max("day").over(r).alias("_b"),
-        F.max(F.struct("day", "km")).over(Window.partitionBy("vehicle_id")).alias("_last"),
-    )
-    kept = runs.filter((F.col("day") == F.col("_a")) | (F.col("day") == F.col("_b")))
-    return kept.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", "sources", (F.struct("day", "km") == F.col("_last")).alias("latest"), "of_event")
+    before, after = F.lag("run").over(w), F.lead("run").over(w)
+    runs = runs.select("*", (F.coalesce(before != F.col("run"), F.lit(True)) | F.coalesce(after != F.col("run"), F.lit(True))).alias("_end"), after.isNull().alias("latest"))
+    runs = runs.withColumn("_all", F.collect_set("sources").over(Window.partitionBy("vehicle_id", "run"))).filter("_end")
+    sources = F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(F.sort_array(F.array_distinct(F.flatten("_all"))))
+    return runs.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", sources.alias("sources"), "latest", "of_event")
 
 
 def is_accident(kind: Column) -> Column:
