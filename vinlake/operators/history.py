@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vinlake.functions import dates, meta, text
@@ -372,9 +372,9 @@ def _clauses(said: Column) -> Column:
     return F.filter(t, lambda x: (x != "") & ~x.rlike(r"(?i)^(?:[a-z]+ )?diagnosis\s*[—–-]"))
 
 
-def _merged_diagnosis(group: str) -> Column:
-    """The description of the diagnoses of one day, as windows over `group`: the best row's beginning (or that all panels are well), and every different clause."""
-    w = Window.partitionBy("vehicle_id", group).orderBy(F.col("_s").desc(), "occurred_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _merged_diagnosis(w: WindowSpec) -> Column:
+    """The description of the diagnoses of one day, over a window of all of them, the best first: the best row's beginning (or that all panels are well), and every different
+    clause."""
     clear = F.when(F.bool_or(F.col("_clear")).over(w), True).when(F.bool_or(~F.col("_clear")).over(w), False)
     every = F.flatten(F.collect_list("_clauses").over(w))
     alike = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[—–−-]+", "-"), r"[/.|,;:\s]+", " "))
@@ -451,9 +451,12 @@ def timeline(events: DataFrame, ties: Sequence[Column | str], trusted: str = TRU
     rows = rows.withColumns({"_g": group, "_s": score.cast("double"), "_clauses": clauses, "_again": record})
     others = [t for t in ties if t not in ("event_type", "description", "occurred_at")]
     rows = rows.select("vehicle_id", "day", "event_type", "description", "occurred_at", "_id", "_r", "_g", "_s", "_diag", "_clear", "_clauses", "_again", *others)
-    many = F.count(F.lit(1)).over(Window.partitionBy("vehicle_id", "_g")) > 1
-    rows = rows.withColumn("description", F.when(F.col("_diag") & many, _merged_diagnosis("_g")).otherwise(F.col("description"))).drop("_clear", "_clauses")
-    rows = first_per_key(rows, ["vehicle_id", "_g"], [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
+    best = [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties]
+    # All windows of a group take the order in which the best is first, so that one sort serves them: each sort holds a task's rows.
+    whole = run_window(["vehicle_id", "_g"], best).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    many = F.count(F.lit(1)).over(whole) > 1
+    rows = rows.withColumn("description", F.when(F.col("_diag") & many, _merged_diagnosis(whole)).otherwise(F.col("description"))).drop("_clear", "_clauses")
+    rows = first_per_key(rows, ["vehicle_id", "_g"], best)
     rows = rows.withColumn("_again", F.coalesce("_again", "_g"))
     rows = first_per_key(rows, ["vehicle_id", "_again"], [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties])
     # Rows of one day that say the same. Diagnoses and inspections are one a day already; their words are not compared.
