@@ -50,21 +50,22 @@ def once_only(observations: DataFrame) -> DataFrame:
 
 
 def append_new(observations: DataFrame, path: str, checkpoint: str, buckets: int = merging.BUCKETS) -> StreamingQuery:
-    """Appends observations that a history folder lacks (T5, K1), in folders by the hash of their content. A batch reads of the history only the folders that its rows can be
-    in, and there only what earlier batches wrote; run again after a failure it writes the same folders again, so nothing is doubled."""
+    """Appends observations (with status_key) that a history folder lacks (T5, K1), in folders by the hash of their content. A batch reads of the history only the folders that
+    its rows can be in, and there only what earlier batches wrote; run again after a failure it writes the same folders again, so nothing is doubled. Contents that a batch
+    repeats count once, so a stream needs no once_only before it: that spares small batches rows, at the price of state for each content within the watermark."""
     root = path.rstrip("/")
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = merging.with_bucket(batch.dropDuplicates(list(CONTENT)), CONTENT, buckets).persist()
         try:
-            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets
-            parts = [f"{root}/bucket={b}/batch={v}" for b, vs in merging.versions(spark, root, touched).items() for v in vs if v < number]
+            counts = {r.bucket: r["n"] for r in fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as there are buckets
+            parts = [f"{root}/bucket={b}/batch={v}" for b, vs in merging.versions(spark, root, sorted(counts)).items() for v in vs if v < number]
             new = fresh
             if parts:
                 old = spark.read.schema(batch.schema).parquet(*parts).select(*(F.col(c).alias(f"_{c}") for c in CONTENT))
                 new = fresh.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTENT], "left_anti")
-            new = merging.dealt(new.withColumn("batch", F.lit(number)), fresh.count(), CONTENT, buckets)
+            new = merging.dealt(new.withColumn("batch", F.lit(number)), sum(counts.values()), CONTENT, buckets)
             new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(root)
         finally:
             fresh.unpersist()
