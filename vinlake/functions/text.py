@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vinlake.functions.numbers import tidy
+from vinlake.functions.once import bound
 
 # Fixed values.
 _A, _Z = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
@@ -30,8 +31,8 @@ OUTCOMES = ((400, "Invalid VIN"), (401, "Auth / blocked"), (403, "Auth / blocked
 
 def salvage(raw: Column) -> Column:
     """Whether a text speaks of salvage or a total loss; a count of zero losses doesn't. False for null."""
-    t = tidy(raw)
-    return F.coalesce(F.when(raw.rlike(MAY_BE_SALVAGE), t.rlike(f"(?iu){SALVAGE}") & ~zero_losses(t)), F.lit(False))
+    speaks = lambda t: t.rlike(f"(?iu){SALVAGE}") & ~zero_losses(t)
+    return F.coalesce(F.when(raw.rlike(MAY_BE_SALVAGE), bound(tidy(raw), speaks)), F.lit(False))
 
 
 def zero_losses(t: Column) -> Column:
@@ -66,11 +67,14 @@ def title_state(raw: Column) -> Column:
 
 def mark(code: Column, raw: Column) -> Column:
     """The condition mark of a panel's result, else null."""
-    t = F.upper(F.trim(F.concat_ws(" ", code, raw)))
-    out = F.lit(None).cast("string")
-    for letter, _, pattern in reversed(MARKS):
-        out = F.when(t.rlike(pattern), letter).otherwise(out)
-    return F.when(~t.rlike(WELL), out)
+
+    def of(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for letter, _, pattern in reversed(MARKS):
+            out = F.when(t.rlike(pattern), letter).otherwise(out)
+        return F.when(~t.rlike(WELL), out)
+
+    return bound(F.upper(F.trim(F.concat_ws(" ", code, raw))), of)
 
 
 def mark_label(letter: Column) -> Column:

@@ -5,13 +5,14 @@ Each builder shuffles once on the vehicle and reads metadata with Column express
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vinlake.functions import dates, meta, text
 from vinlake.functions import mileage as M
+from vinlake.functions.once import bound
 from vinlake.operators.ingest import FIRST_REGISTRATION, first_registration_score, is_first_registration, status_key
 from vinlake.operators.projections import kept
 from vinlake.operators.windows import first_per_key, run_window, with_runs
@@ -53,10 +54,15 @@ def with_km(events: DataFrame) -> DataFrame:
     return rows.withColumn("_km", F.coalesce("_stated", M.to_km(F.col("_said"), F.col("_u")))).drop("_k", "_i", "_x", "_y", "_u", "_stated", "_said")
 
 
-def reading_day(m: Column, occurred: Column) -> Column:
-    """The day on which an odometer was read (E18): stated days first; an event's own day unless it is the first registration's."""
-    own, first = dates.day_of(occurred), dates.day(meta.text(m, "firstRegistrationDate"))
-    return F.coalesce(*(dates.day(meta.text(m, n)) for n in ("date", "issueDate", "validityStartDate")), F.when(first.isNull() | (own != first), own), dates.day(meta.text(m, "soldDate")))
+#: Fields that state the day on which an odometer was read.
+READ_DAYS = ("date", "issueDate", "validityStartDate", "firstRegistrationDate", "soldDate")
+
+
+def reading_day(said: Mapping[str, Column], occurred: Column) -> Column:
+    """The day on which an odometer was read (E18): stated days first; an event's own day unless it is the first registration's. said: the text of each of READ_DAYS."""
+    day = lambda n: F.when(said[n].isNotNull(), bound(said[n], dates.day))
+    own, first = dates.day_of(occurred), day("firstRegistrationDate")
+    return F.coalesce(*(day(n) for n in ("date", "issueDate", "validityStartDate")), F.when(first.isNull() | (own != first), own), day("soldDate"))
 
 
 def event_readings(events: DataFrame) -> DataFrame:
@@ -69,7 +75,11 @@ def event_readings(events: DataFrame) -> DataFrame:
         .when(kind == "sale", "sale").when(kind == "title_status", "salvage").otherwise("other")
     )
     rows = with_km(with_meta(events)).withColumn("_source", F.coalesce(meta.text(m, "source"), F.col("event_type"), F.lit("event")))
-    return rows.select("vehicle_id", reading_day(m, F.col("occurred_at")).alias("day"), F.col("_km").alias("km"), what.alias("kind"), source.alias("source"), F.lit(True).alias("of_event"))
+    # Texts of days are columns before their forms are asked for: written out at each use they make one method that the JVM doesn't compile.
+    named = {n: f"_d{i}" for i, n in enumerate(READ_DAYS)}
+    rows = rows.withColumns({c: meta.text(m, n) for n, c in named.items()})
+    day = reading_day({n: F.col(c) for n, c in named.items()}, F.col("occurred_at"))
+    return rows.select("vehicle_id", day.alias("day"), F.col("_km").alias("km"), what.alias("kind"), source.alias("source"), F.lit(True).alias("of_event"))
 
 
 def observation_readings(observations: DataFrame, day: Column, source: Column) -> DataFrame:
@@ -81,24 +91,40 @@ def mileage_history(*readings: DataFrame) -> DataFrame:
 
     One row per vehicle, day and distance, of the highest kind, with its sources in order. Of a run of listing rows with one distance the first and last stay and carry
     the run's sources. The vehicle's last row is the latest. of_event: an event states this day and distance."""
+    runs = _ends(readings).withColumn("_all", F.collect_set("sources").over(Window.partitionBy("vehicle_id", "run"))).filter("_end")
+    sources = F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(F.sort_array(F.array_distinct(F.flatten("_all"))))
+    return runs.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", sources.alias("sources"), "latest", "of_event")
+
+
+def _ends(readings: Sequence[DataFrame]) -> DataFrame:
+    """Readings by vehicle, day and distance in order, with their runs: _end where one begins or ends; every: all the vehicle's sources."""
     rows = readings[0]
     for more in readings[1:]:
         rows = rows.unionByName(more)
-    rank = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair)), F.col("kind"))
     rows = kept(rows, F.col("day").isNotNull() & M.usable(F.col("km")))
+    by_rank = sorted(KIND_RANK, key=KIND_RANK.get)
+    rank = F.array_position(F.array(*map(F.lit, by_rank)), F.col("kind"))
     # One shuffle and one sort: readings of a day and distance, which few share, and then the vehicle's are windows over the same order.
     g = Window.partitionBy("vehicle_id", "day", "km")
-    rows = rows.repartition("vehicle_id").select(
-        "vehicle_id", "day", "km", F.max_by("kind", rank).over(g).alias("kind"), F.sort_array(F.collect_set("source").over(g)).alias("sources"), F.bool_or("of_event").over(g).alias("of_event"), F.row_number().over(g.orderBy("vehicle_id")).alias("_n")
+    rows = rows.repartition("vehicle_id").withColumn("_rank", F.nullif(rank, F.lit(0)).cast("int")).select(
+        "vehicle_id", "day", "km", F.max("_rank").over(g).alias("_rank"), F.sort_array(F.collect_set("source").over(g)).alias("sources"), F.bool_or("of_event").over(g).alias("of_event"), F.row_number().over(g.orderBy("vehicle_id")).alias("_n"),
+        F.collect_set("source").over(Window.partitionBy("vehicle_id")).alias("every"),
     ).filter("_n = 1").drop("_n")
+    rows = rows.withColumn("kind", F.get(F.array(*map(F.lit, by_rank)), F.col("_rank") - 1)).drop("_rank")
     order = ["day", "km"]
     w = run_window(["vehicle_id"], order)
     runs = with_runs(rows, ["vehicle_id"], order, (F.col("kind") == "listing") & (F.lag("kind").over(w) == "listing") & (F.lag("km").over(w) == F.col("km")))
     before, after = F.lag("run").over(w), F.lead("run").over(w)
-    runs = runs.select("*", (F.coalesce(before != F.col("run"), F.lit(True)) | F.coalesce(after != F.col("run"), F.lit(True))).alias("_end"), after.isNull().alias("latest"))
-    runs = runs.withColumn("_all", F.collect_set("sources").over(Window.partitionBy("vehicle_id", "run"))).filter("_end")
-    sources = F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(F.sort_array(F.array_distinct(F.flatten("_all"))))
-    return runs.select("vehicle_id", "day", "km", M.to_miles(F.col("km")).alias("miles"), "kind", sources.alias("sources"), "latest", "of_event")
+    return runs.select("*", (F.coalesce(before != F.col("run"), F.lit(True)) | F.coalesce(after != F.col("run"), F.lit(True))).alias("_end"), after.isNull().alias("latest"))
+
+
+def mileage_sums(*readings: DataFrame) -> DataFrame:
+    """(vehicle_id, readings, latest_km, sources, uncovered): the sums of mileage_history without its rows: how many there are, the last one's distance, all sources in order,
+    and how many no event covers. Each run's ends carry all its sources, so the vehicle's are those of all its readings."""
+    whole = Window.partitionBy("vehicle_id")
+    of_ends = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(whole)
+    rows = _ends(readings).select("vehicle_id", "km", "every", "latest", of_ends(F.col("_end")).alias("readings"), of_ends(F.col("_end") & ~F.col("of_event")).alias("uncovered"))
+    return rows.filter("latest").select("vehicle_id", "readings", F.col("km").alias("latest_km"), F.sort_array("every").alias("sources"), "uncovered")
 
 
 def is_accident(kind: Column) -> Column:
@@ -264,6 +290,8 @@ def registered_labels(events: DataFrame) -> DataFrame:
 TITLE_FIELDS = ("title", "vehicle_title", "detailed_title", "title_code", "title_type", "title_status", "title_name", "doc_type")
 FLAG_FIELDS = ("totalloss", "salvagerecord", "salvage", "vehiclecategory", "damage", "damageclass")
 COUNT_FIELDS = ("total_loss_count", "flood_loss_count", "total_loss", "totalloss")
+#: Metadata without any of these fields' names (or an escape, which can spell one) holds no signal.
+SIGNAL_FIELDS = r"field|value|salvage|damageClass|\\"
 
 
 def salvage_records(events: DataFrame, order: Sequence[Column | str], always: str | None = None) -> DataFrame:
@@ -271,6 +299,11 @@ def salvage_records(events: DataFrame, order: Sequence[Column | str], always: st
 
     salvage: any event flags it; the other fields are the first in the order that say anything. Counts of zero losses are no signal, but a count is looked for only in
     fields of counts, so a salvage title that also states zero losses stays, as does a flood's own count. always: sources (a pattern) whose vehicles are all salvage."""
+    # What can be no signal is left out by its texts, before any JSON is parsed; a source that is always salvage can be anywhere.
+    if not always:
+        desc = F.trim("description")
+        may = F.lower("event_type").isin("title_status", "total_loss", "flood_damage"), F.col("metadata").rlike(SIGNAL_FIELDS), desc.rlike(text.TITLE_TEXT), desc.rlike(text.MAY_BE_SALVAGE)
+        events = kept(events, F.greatest(*(F.coalesce(c, F.lit(False)) for c in may)))
     events = with_meta(events)
     m, raw, no = F.col("_m"), F.col("metadata"), F.lit(False)
     field = F.coalesce(F.lower(meta.text(m, "field")), F.lit(""))
@@ -324,15 +357,16 @@ PANEL = "array<struct<key:string,label:string,panel:string,name:string,resultCod
 def body_panels(events: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """(vehicle_id, key, label, legend, legend_label): the marked panels of all events (E23). Metadata may hold panels as objects, or as texts like "Hood: scratch".
     Of a panel's marks the one of the highest rank stays; of equals the later."""
-    raw = F.get_json_object("metadata", "$.panels")
+    none = F.array().cast("array<struct<key:string,label:string,code:string,result:string,legend:string>>")
+    raw, o = F.col("_panels"), F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("o")
     as_text = F.transform(F.from_json(raw, "array<string>"), lambda x: F.when(~F.startswith(x, F.lit("{")), F.struct(F.lit(None).cast("string").alias("key"), F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("label"), F.lit(None).cast("string").alias("code"), F.trim(F.split_part(x, F.lit(":"), F.lit(2))).alias("result"), F.lit(None).cast("string").alias("legend"))))
-    as_row = F.transform(F.from_json(raw, PANEL), lambda x: F.struct(x["key"].alias("key"), F.coalesce(x["label"], x["panel"], x["name"]).alias("label"), F.coalesce(x["resultCode"], x["status"]).alias("code"), F.coalesce(x["result"], x["status"]).alias("result"), x["legend"].alias("legend")))
-    both = F.concat(F.coalesce(as_text, F.array().cast("array<struct<key:string,label:string,code:string,result:string,legend:string>>")), F.coalesce(as_row, F.array().cast("array<struct<key:string,label:string,code:string,result:string,legend:string>>")))
-    o = F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("o")
-    rows = events.filter(raw.isNotNull()).select("vehicle_id", o, F.posexplode(both).alias("pos", "p")).filter("p.label IS NOT NULL")
+    as_row = F.transform(F.when(F.contains(raw, F.lit("{")), F.from_json(raw, PANEL)), lambda x: F.struct(x["key"].alias("key"), F.coalesce(x["label"], x["panel"], x["name"]).alias("label"), F.coalesce(x["resultCode"], x["status"]).alias("code"), F.coalesce(x["result"], x["status"]).alias("result"), x["legend"].alias("legend")))
+    # The panels are a column before they are tested and parsed, and marks before they are: a filter would be pushed below them and compute them again.
+    rows = events.select("vehicle_id", o, F.get_json_object("metadata", "$.panels").alias("_panels"))
+    rows = kept(rows, raw.isNotNull()).select("vehicle_id", "o", F.posexplode(F.concat(F.coalesce(as_text, none), F.coalesce(as_row, none))).alias("pos", "p")).filter("p.label IS NOT NULL")
     legend = F.when(F.col("p.legend").isin(*text.MARK_RANK), F.col("p.legend")).otherwise(text.mark(F.col("p.code"), F.coalesce("p.result", "p.label")))
     key = F.coalesce("p.key", F.regexp_replace(F.lower("p.label"), "[^a-z0-9가-힣]+", "_"))
-    rows = rows.select("vehicle_id", key.alias("key"), F.col("p.label").alias("label"), legend.alias("legend"), "o", "pos").filter("legend IS NOT NULL")
+    rows = kept(rows.select("vehicle_id", key.alias("key"), F.col("p.label").alias("label"), legend.alias("legend"), "o", "pos"), F.col("legend").isNotNull())
     best = rows.groupBy("vehicle_id", "key").agg(F.max_by(F.struct("label", "legend"), F.struct(text.mark_rank(F.col("legend")), "o", "pos")).alias("b"))
     return best.select("vehicle_id", "key", "b.label", "b.legend", text.mark_label(F.col("b.legend")).alias("legend_label"))
 
@@ -451,6 +485,8 @@ def timeline(events: DataFrame, ties: Sequence[Column | str], trusted: str = TRU
     rows = rows.withColumns({"_g": group, "_s": score.cast("double"), "_clauses": clauses, "_again": record})
     others = [t for t in ties if t not in ("event_type", "description", "occurred_at")]
     rows = rows.select("vehicle_id", "day", "event_type", "description", "occurred_at", "_id", "_r", "_g", "_s", "_diag", "_clear", "_clauses", "_again", *others)
+    # One shuffle: groups, records and days are the vehicle's.
+    rows = rows.repartition("vehicle_id")
     best = [F.col("_s").desc(), F.col("occurred_at").asc_nulls_last(), *ties]
     # All windows of a group take the order in which the best is first, so that one sort serves them: each sort holds a task's rows.
     whole = run_window(["vehicle_id", "_g"], best).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -486,6 +522,18 @@ def report(vehicles: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
     return vehicles.join(nested, vehicles.id == F.col("_v"), "left").drop("_v")
 
 
+def report_sums(vehicles: DataFrame, sections: dict[str, DataFrame], **more: Column) -> DataFrame:
+    """A row for each vehicle (id, and its other columns) with the number of rows that its report would hold of each section, and `more`: aggregates over the sections' columns
+    of those names, null where a vehicle has none. Nothing is nested: rows are counted where they are, before the shuffle."""
+    rows = None
+    for name, df in sections.items():
+        one = df.select("vehicle_id", F.lit(name).alias("_section"), *(c for c in more if c in df.columns))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    counts = [F.count_if(F.col("_section") == name).alias(name) for name in sections]
+    sums = rows.groupBy(F.col("vehicle_id").alias("_v")).agg(*counts, *(c.alias(n) for n, c in more.items()))
+    return vehicles.join(sums, vehicles.id == F.col("_v"), "left").drop("_v").na.fill(0, list(sections))
+
+
 def sold_observations(listings: DataFrame, *ties: str) -> DataFrame:
     """Listings whose status is sold, as auction_sales takes them, with the columns source_id, provider, price_usd and price_eur if they are there, and those of ties."""
     more = {"source_id": "source_id", "provider": "provider", "price_usd": "usd", "price_eur": "eur"}
